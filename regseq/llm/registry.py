@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from regseq.llm.decontaminate import op2_fm_decontaminate
 from regseq.llm.minhash_forest import op3_minhash_forest
 from regseq.llm.quality_rules import op7_quality_rules
 from regseq.llm.suffix_dedup import op8_suffix_dedup
@@ -13,6 +14,7 @@ from regseq.llm.suffix_dedup import op8_suffix_dedup
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_fm_decontaminate": op2_fm_decontaminate,
         "op3_minhash_forest": op3_minhash_forest,
         "op7_quality_rules": op7_quality_rules,
         "op8_suffix_dedup": op8_suffix_dedup,
