@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from regseq.llm.bpe import op5_trie_bpe
 from regseq.llm.decontaminate import op2_fm_decontaminate
 from regseq.llm.minhash_forest import op3_minhash_forest
 from regseq.llm.quality_rules import op7_quality_rules
@@ -16,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_fm_decontaminate": op2_fm_decontaminate,
         "op3_minhash_forest": op3_minhash_forest,
+        "op5_trie_bpe": op5_trie_bpe,
         "op7_quality_rules": op7_quality_rules,
         "op8_suffix_dedup": op8_suffix_dedup,
     }
