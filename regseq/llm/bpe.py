@@ -230,8 +230,13 @@ def _run(docs: DataFrame, path: str, columns: list) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def op5_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+def public_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the public tokenizer file lies."""
     import public_tokenizers
 
+    return public_tokenizers.path(name)
+
+
+def op5_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return digests(docs, public_tokenizers.path("word_bpe_49k.json")).drop("text")
+    return digests(docs, public_path()).drop("text")

@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from regseq.llm.bpe import op5_trie_bpe
 from regseq.llm.decontaminate import op2_fm_decontaminate
+from regseq.llm.factorization import op10_factorization_machine
+from regseq.llm.language_mixture import op1_language_mixture
 from regseq.llm.minhash_forest import op3_minhash_forest
 from regseq.llm.quality_rules import op7_quality_rules
 from regseq.llm.suffix_dedup import op8_suffix_dedup
@@ -15,11 +18,14 @@ from regseq.llm.suffix_dedup import op8_suffix_dedup
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": corpus_pipeline.run,
+        "op1_language_mixture": op1_language_mixture,
         "op2_fm_decontaminate": op2_fm_decontaminate,
         "op3_minhash_forest": op3_minhash_forest,
         "op5_trie_bpe": op5_trie_bpe,
         "op7_quality_rules": op7_quality_rules,
         "op8_suffix_dedup": op8_suffix_dedup,
+        "op10_factorization_machine": op10_factorization_machine,
     }
 
 
