@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
+from regseq.llm import license_scan
+from regseq.llm.backoff_lm import op4_backoff_automaton
 from regseq.llm.bpe import op5_trie_bpe
 from regseq.llm.decontaminate import op2_fm_decontaminate
 from regseq.llm.factorization import op10_factorization_machine
 from regseq.llm.language_mixture import op1_language_mixture
 from regseq.llm.minhash_forest import op3_minhash_forest
 from regseq.llm.quality_rules import op7_quality_rules
+from regseq.llm.sharding import op9_virtual_slots
 from regseq.llm.suffix_dedup import op8_suffix_dedup
 
 
@@ -22,12 +25,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_mixture": op1_language_mixture,
         "op2_fm_decontaminate": op2_fm_decontaminate,
         "op3_minhash_forest": op3_minhash_forest,
+        "op4_backoff_automaton": op4_backoff_automaton,
         "op5_trie_bpe": op5_trie_bpe,
+        "op6_license_scan": license_scan.op6_license_scan,
         "op7_quality_rules": op7_quality_rules,
         "op8_suffix_dedup": op8_suffix_dedup,
+        "op9_virtual_slots": op9_virtual_slots,
         "op10_factorization_machine": op10_factorization_machine,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_license_scan": license_scan.ORACLE_SQL}
