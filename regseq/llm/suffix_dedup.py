@@ -87,7 +87,7 @@ def _all_runs(docs: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in tb.slices(batches):
-            rows = s.batch.column(s.batch.schema.get_field_index("row")).to_numpy()
+            rows = s.batch.column(s.batch.schema.get_field_index("__row")).to_numpy()
             windows = len(s.data) - length + 1
             for at in range(0, max(windows, 0), SEGMENT):
                 to = min(len(s.data), at + SEGMENT + length - 1)
@@ -95,16 +95,16 @@ def _all_runs(docs: DataFrame, length: int) -> DataFrame:
                 p = p + at
                 doc = np.searchsorted(s.offsets, p, "right") - 1
                 cols = [rows[doc], (p - s.offsets[doc]) << 16 | off << 8 | n, fp.view(np.int64), sh.view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["row", "pn", "fp", "sh"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["__row", "pn", "fp", "sh"])
 
-    return docs.select("row", "text").mapInArrow(run, "row long, pn long, fp long, sh long")
+    return docs.select("__row", "text").mapInArrow(run, "__row long, pn long, fp long, sh long")
 
 
 def _shared_anchors(runs: DataFrame) -> DataFrame:
     """Runs whose anchor is found twice or more, with rep: 1 if the row is to carry the piece's
     bytes, 2 if it tells that there are more of them, 0 for the rest; and hot."""
     parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = runs.repartition(parts, "fp").sortWithinPartitions("fp", "sh", "row", "pn")
+    rows = runs.repartition(parts, "fp").sortWithinPartitions("fp", "sh", "__row", "pn")
 
     def emit(t: np.ndarray, hot: bool, before: tuple[int, int]) -> tuple[pa.RecordBatch, tuple[int, int]]:
         """t: columns row, pn, fp, sh of whole anchors, or of a portion of a hot one.  before: piece and its rows so far."""
@@ -124,7 +124,7 @@ def _shared_anchors(runs: DataFrame) -> DataFrame:
             keep = ~(edge[1:] & edge[:-1])
             rep = np.where(k == 0, 1, np.where(k == 1, 2, 0))
         cols = [pa.array(c[keep]) for c in t] + [pa.array(rep[keep].astype(np.int32)), pa.array(np.full(int(keep.sum()), hot))]
-        return pa.RecordBatch.from_arrays(cols, names=["row", "pn", "fp", "sh", "rep", "hot"]), (int(sh[-1]), int(min(k[-1] + 1, 2))) if len(sh) else before
+        return pa.RecordBatch.from_arrays(cols, names=["__row", "pn", "fp", "sh", "rep", "hot"]), (int(sh[-1]), int(min(k[-1] + 1, 2))) if len(sh) else before
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((4, 0), np.int64)
@@ -151,19 +151,19 @@ def _shared_anchors(runs: DataFrame) -> DataFrame:
         if held.shape[1]:
             yield emit(held, False, (0, 0))[0]
 
-    return rows.mapInArrow(run, "row long, pn long, fp long, sh long, rep int, hot boolean")
+    return rows.mapInArrow(run, "__row long, pn long, fp long, sh long, rep int, hot boolean")
 
 
 def _picked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """docs joined with wanted (row, ...); few wanted rows first pick the texts that are shuffled."""
     if wanted.count() <= BROADCAST_ROWS:
-        docs = docs.join(F.broadcast(wanted.select("row")), "row", "left_semi")
-    return docs.join(wanted.hint("shuffle_hash"), "row")
+        docs = docs.join(F.broadcast(wanted.select("__row")), "__row", "left_semi")
+    return docs.join(wanted.hint("shuffle_hash"), "__row")
 
 
 def _pieces(docs: DataFrame, shared: DataFrame, length: int) -> DataFrame:
     """(key, sh, first, bytes): pieces, or parts of them from window `first` on; bytes is null on rows that only count."""
-    wanted = stored(shared.filter("rep = 1").groupBy("row").agg(F.collect_list(F.struct("pn", "fp", "sh", "hot")).alias("runs")))
+    wanted = stored(shared.filter("rep = 1").groupBy("__row").agg(F.collect_list(F.struct("pn", "fp", "sh", "hot")).alias("runs")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in tb.slices(batches):
@@ -200,7 +200,7 @@ def _pieces(docs: DataFrame, shared: DataFrame, length: int) -> DataFrame:
                 body = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((bounds[lo : hi + 1] - base).astype(np.int32)), pa.py_buffer(s.data[index])])
                 yield pa.RecordBatch.from_arrays([pa.array(key[lo:hi]), pa.array(sh[lo:hi]), pa.array(first[lo:hi].astype(np.int32)), body], names=["key", "sh", "first", "bytes"])
 
-    bodies = _picked(docs.select("row", "text"), wanted).select("text", "runs").mapInArrow(run, "key long, sh long, first int, bytes binary")
+    bodies = _picked(docs.select("__row", "text"), wanted).select("text", "runs").mapInArrow(run, "key long, sh long, first int, bytes binary")
     more = shared.filter("rep = 2 and not hot").select(F.col("fp").alias("key"), "sh", F.lit(0).alias("first"), F.lit(None).cast("binary").alias("bytes"))
     return bodies.unionByName(more)
 
@@ -276,15 +276,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = True
     if length % 8 or length < GRAM + 8 or length - GRAM >= 255:
         raise ValueError("length: a multiple of 8 from 56 to 296")
     result = [x for x in _RESULT if with_text or x[0] != "kept_text"]
-    base = docs.drop(*(k for k, _ in result)).withColumn("row", _row_id())
+    base = docs.drop(*(k for k, _ in result)).withColumn("__row", _row_id())
     shared = stored(_shared_anchors(_all_runs(base, length)))
     marks = _marks(_pieces(base, shared, length), length)
-    found = shared.select("row", "pn", "sh").join(marks, "sh").groupBy("row").agg(F.collect_list(F.struct("pn", "first", "bits")).alias("__marks"))
+    found = shared.select("__row", "pn", "sh").join(marks, "sh").groupBy("__row").agg(F.collect_list(F.struct("pn", "first", "bits")).alias("__marks"))
     # Rows repeated as a whole share the row id, so that each mark comes once for each of them; the spans are a union.
     found = stored(found)
     few = found.count() <= BROADCAST_ROWS
-    flagged = base.join(F.broadcast(found.select("row", F.lit(True).alias("__flag"))), "row", "left") if few else base
-    names = [c for c in base.columns if c != "row"]
+    flagged = base.join(F.broadcast(found.select("__row", F.lit(True).alias("__flag"))), "__row", "left") if few else base
+    names = [c for c in base.columns if c != "__row"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in tb.slices(batches):
@@ -304,19 +304,22 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = True
 
     schema = out_schema(base.select(names), result)
     if few:
-        touched = flagged.filter("__flag").drop("__flag").join(found.hint("shuffle_hash"), "row").drop("row").mapInArrow(cut, schema)
+        touched = flagged.filter("__flag").drop("__flag").join(found.hint("shuffle_hash"), "__row").drop("__row").mapInArrow(cut, schema)
         text = F.coalesce("text", F.lit(""))
         clean = {"n_bytes": F.octet_length(text).cast("long"), "n_removed": F.lit(0).cast("long"), "n_spans": F.lit(0).cast("long"), "kept_sha256": F.sha2(text, 256), "removed": F.array().cast(dict(_RESULT)["removed"]), "kept_text": text}
         rest = flagged.filter("__flag is null").select(*names, *(clean[k].alias(k) for k, _ in result))
         return touched.unionByName(rest)
-    return flagged.join(found, "row", "left").drop("row").mapInArrow(cut, schema)
+    return flagged.join(found, "__row", "left").drop("__row").mapInArrow(cut, schema)
 
 
 def dedup_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with the repeated strings taken out of their texts; n_chars follows."""
-    cut = remove_repeats(docs, length)
+    own = {c: f"__own_{c}" for c in docs.columns if c in dict(_RESULT)}
+    cut = remove_repeats(docs.withColumnsRenamed(own), length)
     text = F.when(F.col("text").isNull(), None).otherwise(F.col("kept_text"))
-    new = {"text": text} | ({"n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    new = {"text": text} | {c: F.col(k) for c, k in own.items()}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return cut.select([new.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
