@@ -1,18 +1,18 @@
 """MinHash near-duplicates by an LSH forest: sorted signature orders and their neighbours.
 
 1. One pass over the texts gives each document its set of word shingles' 128-bit key (equal
-   sets are one class, so copies never meet as pairs) and TREES * BASE_DEPTH MinHash values.
+   sets are one class, so copies never meet as pairs) and VALUES MinHash values.
 2. Each tree sorts the classes by the signature, started at another hash function.  Classes
-   with a common prefix of BASE_DEPTH values are a region.  A region of more than REGION
-   classes is cut deeper, one value at a time, until its parts are small (adaptive depth);
+   with a common prefix of BASE_DEPTH values are a region.  A region of more than REGION (first
+   FIRST_REGION) classes is cut deeper, one value at a time, until its parts are small (adaptive depth);
    the neighbours in the order, whose common prefixes are longest, stay candidates beyond
    those cuts.  The order is range-partitioned, so one region may lie in many tasks.
 3. A pair of a region becomes a candidate if as many values of its signatures agree as
-   cannot be missed at the wanted similarity.  First every class is held against one
-   candidate only (the least by rank), confirmed on the full sets, and components are
-   formed; then every candidate pair that still joins two components is confirmed.  A pair
-   is left out only if its ends are already in one component, so no link is lost, and a
-   group of m near copies costs m pairs and not m * m.
+   cannot be missed at the wanted similarity.  First every class is held against its PARTNERS
+   likeliest candidates only, these are confirmed on the full sets, and components are
+   formed; then every candidate pair that still joins two components, by signatures of
+   VALUES values, is confirmed.  A pair is left out only if its ends are already in one
+   component, so no link is lost, and a group of m near copies costs some m pairs, not m * m.
 Components are built by distributed stars; class keys, links and components never
 come to the driver.
 """
@@ -34,21 +34,25 @@ from regseq.llm.components import components
 
 TREES = 20
 BASE_DEPTH = 3
-VALUES = TREES * BASE_DEPTH
-#: Classes of one region that are compared with each other.
-REGION = 256
+#: Values that estimate similarity: of all classes, and of those with candidates.  The orders
+#: begin with the first TREES * BASE_DEPTH of them.
+FIRST_VALUES, VALUES = 96, 512
+#: Classes of one region that are compared with each other, before and after most are in components.
+FIRST_REGION, REGION = 256, 4096
 #: Beyond the cuts of a large region, so many next neighbours in the order are compared.
 NEIGHBOURS = 8
-#: Signature values that agree: at similarity 0.8 fewer than OPEN of 60 have a chance of 2e-5.
-OPEN = 33
-LIKELY = 48
+#: Candidates of a class that are confirmed first: of each tree, and of all.
+TREE_PARTNERS, PARTNERS = 4, 12
+#: Standard deviations below the wanted similarity at which an estimate rules a pair out (a chance of 3e-5).
+CERTAIN = 4.0
 #: Up to so many class representatives are broadcast to pick their documents; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
-#: Rows that a task holds at once.
-HOLD = 1 << 16
+#: Rows that a task holds at once, and pairs of which it compares signatures at once.
+HOLD, CHUNK = 1 << 16, 1 << 14
 
-_MULTIPLIERS = tb.mix(np.arange(1, VALUES + 1, dtype=np.uint64) * np.uint64(tb.BASE)) | np.uint64(1)
+_MULTIPLIERS = (tb.mix(np.arange(1, VALUES + 1, dtype=np.uint64) * np.uint64(tb.BASE)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _KEY = 1 + 4 * BASE_DEPTH
+_ORDERED = TREES * BASE_DEPTH
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
@@ -89,42 +93,43 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
         for s in tb.slices(batches):
             keys, first = _sets(s.data, s.offsets, words)
             size = np.diff(first)
-            sig = np.zeros((len(size), VALUES), ">u4")
+            order, low = np.zeros((len(size), _ORDERED), ">u4"), np.zeros((len(size), VALUES), np.uint8)
             some = np.flatnonzero(size)
             if len(some):
+                short, starts = (keys >> np.uint64(32)).astype(np.uint32), first[:-1][some]
                 for k in range(VALUES):
-                    sig[some, k] = np.minimum.reduceat((keys * _MULTIPLIERS[k]) >> np.uint64(32), first[:-1][some])
+                    least = np.minimum.reduceat(short * _MULTIPLIERS[k], starts)
+                    low[some, k] = (least >> np.uint32(8)).astype(np.uint8)
+                    if k < _ORDERED:
+                        order[some, k] = least
+            sig = np.hstack([order.view(np.uint8).reshape(len(size), 4 * _ORDERED), low])
             none = pa.array(size == 0)
-            cols = [_binary(_classes(keys, first)), _binary(sig.view(np.uint8).reshape(len(size), 4 * VALUES))]
+            cols = [_binary(_classes(keys, first)), _binary(sig)]
             cols = [pc.if_else(none, pa.scalar(None, pa.binary()), c) for c in cols]
             yield pa.RecordBatch.from_arrays([s.batch.column(s.batch.schema.get_field_index("doc_id")), pa.array(size.astype(np.int64)), *cols], names=["doc_id", "n_shingles", "cls", "sig"])
 
     return docs.select("doc_id", "text").mapInArrow(run, T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("cls", T.BinaryType()), T.StructField("sig", T.BinaryType())]))
 
 
-def _orders(classes: DataFrame) -> DataFrame:
+def _orders(classes: DataFrame, values: int) -> DataFrame:
     """(okey, cls, n, label) for each tree, sorted by okey: tree, prefix, then one byte of each further value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            sig = _matrix(b.column("sig"), 4 * VALUES).reshape(-1, VALUES, 4)
-            low = sig[:, :, 3]
-            rows = []
-            for t in range(TREES):
-                at = t * BASE_DEPTH
-                head = sig[:, at : at + BASE_DEPTH].reshape(len(sig), -1)
-                rows.append(np.hstack([np.full((len(sig), 1), t, np.uint8), head, np.roll(low, -at - BASE_DEPTH, axis=1)]))
-            rest = [pa.chunked_array([b.column(c)] * TREES).combine_chunks() for c in ("cls", "n", "label")]
-            yield pa.RecordBatch.from_arrays([_binary(np.vstack(rows)), *rest], names=["okey", "cls", "n", "label"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                b = whole.slice(at, 2000)
+                sig = _matrix(b.column("sig"), 4 * _ORDERED + VALUES)
+                heads, low = sig[:, : 4 * _ORDERED].reshape(-1, TREES, 4 * BASE_DEPTH), sig[:, 4 * _ORDERED : 4 * _ORDERED + values]
+                rows = [np.hstack([np.full((len(sig), 1), t, np.uint8), heads[:, t], np.roll(low, -(t + 1) * BASE_DEPTH, axis=1)]) for t in range(TREES)]
+                rest = [pa.chunked_array([b.column(c)] * TREES).combine_chunks() for c in ("cls", "n", "label")]
+                yield pa.RecordBatch.from_arrays([_binary(np.vstack(rows)), *rest], names=["okey", "cls", "n", "label"])
 
     rows = classes.select("cls", "n", "label", "sig").mapInArrow(run, "okey binary, cls binary, n long, label binary")
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartitionByRange(parts, "okey", "cls").sortWithinPartitions("okey", "cls")
 
 
-def _regions(okey: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _regions(okey: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the base regions, and of the parts that large regions are cut into."""
     n = len(okey)
     base = np.zeros(n, np.int64)
@@ -134,7 +139,7 @@ def _regions(okey: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     part = base.copy()
     for depth in range(_KEY + 1, okey.shape[1] + 1):
         size = np.bincount(part)
-        large = size[part] > REGION
+        large = size[part] > most
         if not large.any():
             break
         cut = np.zeros(n, bool)
@@ -143,13 +148,15 @@ def _regions(okey: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return base, part
 
 
-def _near(okey: np.ndarray, n: np.ndarray, label: np.ndarray, least: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of one region whose signatures agree in `least` values and whose labels differ."""
-    base, part = _regions(okey)
+def _near(okey: np.ndarray, n: np.ndarray, label: np.ndarray, percent: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows of one region whose signatures agree well enough and whose labels differ, and how many values agree."""
+    base, part = _regions(okey, most)
     sketch = okey[:, _KEY:]
-    left, right = [], []
+    values, s = sketch.shape[1], percent / 100
+    least = (s - CERTAIN * (s * (1 - s) / values) ** 0.5) * values
     rows = np.arange(len(okey))
-    for step in range(1, REGION + 1):
+    found: list[tuple[np.ndarray, ...]] = [(rows[:0], rows[:0], rows[:0])]
+    for step in range(1, most + 1):
         rows = rows[rows + step < len(okey)]
         rows = rows[base[rows] == base[rows + step]]
         if not len(rows):
@@ -158,17 +165,16 @@ def _near(okey: np.ndarray, n: np.ndarray, label: np.ndarray, least: int, percen
         b = a + step
         fit = (label[a] != label[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
         a, b = a[fit], b[fit]
-        for at in range(0, len(a), HOLD):
-            x, y = a[at : at + HOLD], b[at : at + HOLD]
-            good = (sketch[x] == sketch[y]).sum(axis=1) >= least
-            left.append(x[good])
-            right.append(y[good])
-    if not left:
-        return rows[:0], rows[:0]
-    return np.concatenate(left), np.concatenate(right)
+        for at in range(0, len(a), CHUNK):
+            x, y = a[at : at + CHUNK], b[at : at + CHUNK]
+            same = (sketch[x] == sketch[y]).sum(axis=1)
+            good = same >= least
+            found.append((x[good], y[good], same[good]))
+    a, b, same = (np.concatenate(c) for c in zip(*found, strict=True))
+    return a, b, same
 
 
-def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.RecordBatch, bool]]:
+def _held(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
     """Sorted rows in portions that end with a base region; of a region of over HOLD rows, with overlaps of REGION rows."""
     kept: list[pa.RecordBatch] = []
     count = 0
@@ -184,7 +190,7 @@ def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.Re
         if count < HOLD:
             continue
         whole = joined()
-        okey = _matrix(whole.column("okey"), _KEY + VALUES)
+        okey = _matrix(whole.column("okey"), width)
         new = np.flatnonzero((okey[1:, :_KEY] != okey[:-1, :_KEY]).any(axis=1))
         if len(new):
             cut = int(new[-1]) + 1
@@ -196,48 +202,41 @@ def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.Re
         count = kept[0].num_rows
     if count:
         whole = joined()
-        yield _matrix(whole.column("okey"), _KEY + VALUES), whole
+        yield _matrix(whole.column("okey"), width), whole
 
 
 def _candidates(classes: DataFrame, percent: int, first: bool) -> DataFrame:
-    """first: (cls, other), for each class with candidates, other the least likely one of a lower rank or null.
-    Else: all candidate pairs (cls, other) whose labels differ."""
+    """Of classes (cls, n, sig, label): candidate pairs (cls, other) of different labels.
+
+    first: (cls, other, score) with TREE_PARTNERS likeliest candidates of each class and tree,
+    both ways.  Else all candidate pairs, once each in a tree.
+    """
+    values, most = (FIRST_VALUES, FIRST_REGION) if first else (VALUES, REGION)
+
+    def prefix(column: pa.Array) -> np.ndarray:
+        return _matrix(column, 16)[:, :8].copy().view(">u8").reshape(-1).astype(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for okey, rows in _held(batches):
-            n = rows.column("n").to_numpy()
-            rank = _matrix(rows.column("cls"), 16)[:, :8].copy().view(">u8").reshape(-1).astype(np.uint64)
-            label = rank if first else _matrix(rows.column("label"), 16)[:, :8].copy().view(">u8").reshape(-1).astype(np.uint64)
-            a, b = _near(okey, n, label, OPEN, percent)
+        for okey, rows in _held(batches, _KEY + values):
+            rank = prefix(rows.column("cls"))
+            a, b, score = _near(okey, rows.column("n").to_numpy(), prefix(rows.column("label")), percent, most)
             if not len(a):
                 continue
+            x, y, score = (np.concatenate([a, b]), np.concatenate([b, a]), np.tile(score, 2)) if first else (np.where(rank[a] < rank[b], b, a), np.where(rank[a] < rank[b], a, b), score)
             if first:
-                sketch = okey[:, _KEY:]
-                likely = np.concatenate([(sketch[a[i : i + HOLD]] == sketch[b[i : i + HOLD]]).sum(axis=1) for i in range(0, len(a), HOLD)]) >= LIKELY
-                some = np.unique(np.concatenate([a, b]))
-                x, y = np.concatenate([a[likely], b[likely]]), np.concatenate([b[likely], a[likely]])
-                keep = rank[y] < rank[x]
-                x, y = x[keep], y[keep]
-                order = np.lexsort((rank[y], x))
-                x, y = x[order], y[order]
-                new = np.ones(len(x), bool)
-                new[1:] = x[1:] != x[:-1]
-                other = np.full(len(okey), -1)
-                other[x[new]] = y[new]
-                other = other[some]
-                cls = rows.column("cls").take(pa.array(some))
-                yield pa.RecordBatch.from_arrays([cls, rows.column("cls").take(pa.array(other, mask=other < 0))], names=["cls", "other"])
-            else:
-                low = rank[a] < rank[b]
-                a, b = np.where(low, b, a), np.where(low, a, b)
-                yield pa.RecordBatch.from_arrays([rows.column("cls").take(pa.array(a)), rows.column("cls").take(pa.array(b))], names=["cls", "other"])
-
-    return _orders(classes).mapInArrow(run, "cls binary, other binary")
+                order = np.lexsort((rank[y], -score, x))
+                x, y, score = x[order], y[order], score[order]
+                begin = np.flatnonzero(np.diff(x, prepend=-1))
+                keep = np.arange(len(x)) - np.repeat(begin, np.diff(np.append(begin, len(x)))) < TREE_PARTNERS
+                x, y, score = x[keep], y[keep], score[keep]
+            cls = rows.column("cls")
+            yield pa.RecordBatch.from_arrays([cls.take(pa.array(x)), cls.take(pa.array(y)), pa.array(score.astype(np.int32))], names=["cls", "other", "score"])
+
+    return _orders(classes, values).mapInArrow(run, "cls binary, other binary, score int")
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets are similar enough."""
-    pairs = stored(pairs)
     ends = pairs.select("cls").union(pairs.select(F.col("other").alias("cls"))).distinct()
     wanted = stored(classes.join(ends, "cls", "left_semi").select(F.col("rep").alias("__rep"), F.col("cls").alias("__cls")))
     bounded = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
@@ -281,14 +280,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     """
     signed = stored(signatures(docs, words))
     classes = stored(signed.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")))
-    stars = stored(_candidates(classes.withColumn("label", F.col("cls")), percent, True).groupBy("cls").agg(F.min("other").alias("other")))
-    links = stored(_confirmed(stars.filter(F.col("other").isNotNull()), classes, docs, words, percent))
-    roots = components(links)
-    open_ = classes.join(stars.select("cls"), "cls", "left_semi").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", "n", "sig", F.coalesce("root", "cls").alias("label"))
-    rest = _candidates(stored(open_), percent, False).distinct()
-    more = stored(_confirmed(rest, classes, docs, words, percent))
-    if more.limit(1).count():
-        roots = components(links.union(more))
+    partners = F.slice(F.sort_array(F.collect_set(F.struct("score", "other")), asc=False), 1, PARTNERS)
+    best = stored(_candidates(classes.withColumn("label", F.col("cls")), percent, True).groupBy("cls").agg(partners.alias("p")))
+    pairs = best.select("cls", F.explode("p").alias("x")).select(F.greatest("cls", "x.other").alias("cls"), F.least("cls", "x.other").alias("other"))
+    roots = components(stored(_confirmed(stored(pairs.distinct()), classes, docs, words, percent)))
+    live = classes.join(best.select("cls"), "cls", "left_semi").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", "n", "sig", F.coalesce("root", "cls").alias("label"))
+    rest = _candidates(stored(live), percent, False).select("cls", "other").distinct()
+    more = stored(_confirmed(stored(rest), classes, docs, words, percent))
+    if not more.isEmpty():
+        # Components so far are stars, to which the new links are added.
+        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
     merged = classes.select("cls", "rep").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
     named = merged.join(merged.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("cls", "component_id")
     out = signed.select("doc_id", "n_shingles", "cls").join(named, "cls", "left")
