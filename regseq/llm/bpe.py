@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,11 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from regseq.llm import textbytes as tb
-from regseq.llm.common import out_schema
+from regseq.llm.common import out_schema, small_batches
 
-SLICE_BYTES = 4 << 20
 #: Words and token pairs that a worker remembers; it forgets all beyond that.
-REMEMBER = 400_000
+REMEMBER = 200_000
 
 _COLUMNS = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
 
@@ -59,10 +59,18 @@ class WordBpe:
         self.cut_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"].replace("\\s", "\\p{White_Space}"))
-        self.bytes = _printable()
-        self.longest = max(map(len, self.vocab))
+        #: The same on printable ASCII without white space.
+        self.ascii = re.compile(split["pattern"]["Regex"].replace("\\p{L}", "a-z").replace("\\p{N}", "0-9"))
+        self.bytes = dict(enumerate(_printable()))
+        #: Each ending of a token, with the token that it is, or -1.
+        self.endings: dict[str, int] = {}
+        for text in self.vocab:
+            core, tail = (text[: -len(self.end)], self.end) if text.endswith(self.end) and text != self.end else (text, "")
+            for i in range(len(core)):
+                self.endings.setdefault(core[i:] + tail, -1)
+            self.endings[text] = self.vocab[text]
         self.fits: dict[tuple[int, int], bool] = {}
-        self.words: dict[bytes, tuple[int, ...]] = {}
+        self.words: dict[bytes, tuple[int, bytes, bytes]] = {}
 
     def symbols(self, token: int) -> list[int]:
         """A token's characters, as tokens."""
@@ -72,59 +80,65 @@ class WordBpe:
 
     def merged(self, parts: list[int]) -> list[int]:
         """Plain merging: again and again the leftmost pair of the least rank."""
+        rank = self.rank.get
         while len(parts) > 1:
-            best = min((self.rank.get(p, (1 << 60, 0))[0], i) for i, p in enumerate(zip(parts, parts[1:])))  # noqa: B905
-            if best[0] == 1 << 60:
+            best, at = None, 0
+            for i in range(len(parts) - 1):
+                r = rank((parts[i], parts[i + 1]))
+                if r is not None and (best is None or r < best):
+                    best, at = r, i
+            if best is None:
                 break
-            i = best[1]
-            parts = [*parts[:i], self.rank[parts[i], parts[i + 1]][1], *parts[i + 2 :]]
+            parts[at : at + 2] = [best[1]]
         return parts
 
     def stands(self, left: int, right: int) -> bool:
-        pair = (left, right)
-        ok = self.fits.get(pair)
-        if ok is None:
-            if len(self.fits) >= REMEMBER:
-                self.fits.clear()
-            ok = self.fits[pair] = self.merged(self.symbols(left) + self.symbols(right)) == [left, right]
+        """Does right stand rightly behind left; with a left of -1, at the beginning."""
+        if len(self.fits) >= REMEMBER:
+            self.fits.clear()
+        if left < 0:
+            ok = self.merged(self.symbols(right)) == [right]
+        else:
+            ok = (left, right) not in self.rank and self.merged(self.symbols(left) + self.symbols(right)) == [left, right]
+        self.fits[left, right] = ok
         return ok
 
-    def last(self, text: str, path: list[tuple[int, int]], end: str) -> tuple[int, int]:
-        """(last token, where it begins) of text's encoding; path has those of its proper prefixes, by length."""
-        n = len(text)
-        for begin in range(max(0, n - self.longest), n):
-            token = self.vocab.get(text[begin:] + end)
-            # A token must be the encoding of its own text to end a prefix.
-            if token is not None and (self.stands(path[begin][0], token) if begin else self.whole(token)):
-                return token, begin
-        raise ValueError(f"no token ends {text!r}")
-
-    def whole(self, token: int) -> bool:
-        key = (-1, token)
-        ok = self.fits.get(key)
-        if ok is None:
-            ok = self.fits[key] = self.merged(self.symbols(token)) == [token]
-        return ok
+    def last(self, text: str, n: int, path: list[tuple[int, int]], end: str) -> tuple[int, int]:
+        """(last token, where it begins) of the encoding of text[:n]; path has those of its proper prefixes, by length."""
+        ending, fits = self.endings.get, self.fits.get
+        begin = n
+        while begin:
+            begin -= 1
+            token = ending(text[begin:n] + end if end else text[begin:n])
+            if token is None:
+                break
+            if token >= 0:
+                left = path[begin][0]
+                ok = fits((left, token))
+                if self.stands(left, token) if ok is None else ok:
+                    return token, begin
+        raise ValueError(f"no token ends {text[:n]!r}")
 
     def encode_sorted(self, texts: list[str]) -> Iterator[list[int]]:
         """Encodings of distinct ascending words (of printable characters), depth first through their trie."""
         path: list[tuple[int, int]] = [(-1, 0)]
         before = ""
+        last, end = self.last, self.end
         for text in texts:
-            shared = 0
-            for a, b in zip(before, text):  # noqa: B905
-                if a != b:
-                    break
-                shared += 1
-            del path[min(shared, len(path) - 1) + 1 :]
-            for n in range(len(path), len(text)):
-                path.append(self.last(text[:n], path, ""))
-            token, begin = self.last(text, path, self.end)
+            # The path goes back to the prefix that both words have.
+            shared = min(len(path) - 1, len(text) - 1)
+            while before[:shared] != text[:shared]:
+                shared -= 1
+            del path[shared + 1 :]
+            for n in range(shared + 1, len(text)):
+                path.append(last(text, n, path, ""))
+            token, begin = last(text, len(text), path, end)
             out = [token]
             while begin:
                 token, begin = path[begin]
                 out.append(token)
-            yield out[::-1]
+            out.reverse()
+            yield out
             before = text
 
     def pieces(self, word: str) -> list[str | int]:
@@ -135,24 +149,34 @@ class WordBpe:
             if part in self.special:
                 out.append(self.special[part])
                 continue
-            # Lower case character by character: a sigma does not look at what follows.
-            part = part.lower() if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            for found in self.pattern.findall(part):
-                out.append(found if found.isascii() and found.isprintable() else "".join(self.bytes[b] for b in found.encode()))
+            if part.isascii():
+                part = part.lower()
+                if part.isprintable():
+                    out += self.ascii.findall(part)
+                    continue
+            else:
+                if not unicodedata.is_normalized("NFC", part):
+                    part = unicodedata.normalize("NFC", part)
+                # Lower case character by character: a sigma does not look at what follows.
+                part = part.replace("Σ", "σ").lower()
+            out += [found.encode().decode("latin-1").translate(self.bytes) for found in self.pattern.findall(part)]
         return out
 
-    def encode_words(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        """Ids of raw words."""
-        new = [w for w in words if w not in self.words]
-        if len(self.words) + len(new) > REMEMBER:
-            self.words.clear()
+    def encode_words(self, words: list[bytes]) -> list[tuple[int, bytes, bytes]]:
+        """Of raw words: the number of tokens, and ids and tokens, each followed by a space."""
+        known = self.words
+        new = [w for w in words if w not in known]
+        if len(known) + len(new) > REMEMBER:
+            known.clear()
             new = words
-        split = {w: self.pieces(w.decode()) for w in new}
-        texts = sorted({p for ps in split.values() for p in ps if isinstance(p, str)})
+        split = [self.pieces(w.decode()) for w in new]
+        texts = sorted({p for ps in split for p in ps if isinstance(p, str)})
         ids = dict(zip(texts, self.encode_sorted(texts), strict=True))
-        for w, ps in split.items():
-            self.words[w] = tuple(i for p in ps for i in (ids[p] if isinstance(p, str) else (p,)))
-        return [self.words[w] for w in words]
+        token = self.token
+        for w, ps in zip(new, split, strict=True):
+            x = [i for p in ps for i in (ids[p] if isinstance(p, str) else (p,))]
+            known[w] = (len(x), "".join([f"{i} " for i in x]).encode(), "".join([token[i] + " " for i in x]).encode())
+        return [known[w] for w in words]
 
 
 @lru_cache(maxsize=2)
@@ -167,14 +191,13 @@ def _spread(rows: np.ndarray, first: np.ndarray, data: np.ndarray) -> tuple[np.n
     return data[np.repeat(first[rows] - bounds[:-1], size) + np.arange(bounds[-1])], bounds
 
 
-def _encoded(s: tb.Slice, bpe: WordBpe) -> tuple[np.ndarray, np.ndarray, list[tuple[int, ...]], np.ndarray]:
-    """Of a slice: bounds of each text's words, each word's number, the numbers' ids, and those ids' counts."""
+def _encoded(s: tb.Slice, bpe: WordBpe) -> tuple[np.ndarray, np.ndarray, list[tuple[int, bytes, bytes]]]:
+    """Of a slice: bounds of each text's words, each word's number, and the numbers' encodings."""
     starts, ends = tb.spans(s.data, s.offsets, tb.NOT_SPACE)
     hashes = tb.word_hashes(s.data, starts, ends, tb.BYTE)
     _, at, word = np.unique(hashes, return_index=True, return_inverse=True)
     raw = s.data.tobytes()
-    ids = bpe.encode_words([raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-    return np.searchsorted(starts, s.offsets), word.reshape(-1), ids, np.array([len(i) for i in ids], np.int64)
+    return np.searchsorted(starts, s.offsets), word.reshape(-1), bpe.encode_words([raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -206,6 +229,7 @@ def _joined(word: np.ndarray, parts: list[bytes], first: np.ndarray) -> list[byt
 
 
 def _run(docs: DataFrame, path: str, columns: list) -> DataFrame:
+    small_batches(docs.sparkSession)
     with open(path, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
     schema = out_schema(docs, columns)
@@ -213,18 +237,15 @@ def _run(docs: DataFrame, path: str, columns: list) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(spec.value)
-        for s in tb.slices(batches, "text", SLICE_BYTES):
-            first, word, ids, count = _encoded(s, bpe)
-            decoded = _joined(word, [b"".join(bpe.token[i].encode() + b" " for i in x) for x in ids], first)
-            more: dict[str, object] = {"n_tokens": tb.sums_by(count[word], first)}
+        for s in tb.slices(batches):
+            first, word, found = _encoded(s, bpe)
+            ids, decoded = (_joined(word, [x[k] for x in found], first) for k in (1, 2))
+            more: dict[str, object] = {"n_tokens": tb.sums_by(np.array([x[0] for x in found], np.int64)[word], first)}
             if "ids" in names:
-                flat, bounds = _spread(word, np.concatenate([[0], np.cumsum(count)]), np.array([i for x in ids for i in x], np.int32))
-                more["ids"] = pa.ListArray.from_arrays(pa.array(bounds[first].astype(np.int32)), pa.array(flat))
-                more["decoded"] = pa.array([d.decode() for d in decoded])
+                more["ids"] = pa.array([np.array(x.split(), np.int32) for x in ids], pa.list_(pa.int32()))
+                more["decoded"] = pa.array([d.decode() for d in decoded], pa.string())
             else:
-                more["ids_sha256"] = [hashlib.sha256(x).hexdigest() for x in _joined(word, ["".join(f"{i} " for i in x).encode() for x in ids], first)]
-                more["decoded_sha256"] = [hashlib.sha256(x).hexdigest() for x in decoded]
-                more = {k: pa.array(v, pa.string()) if isinstance(v, list) else v for k, v in more.items()}
+                more |= {k: pa.array([hashlib.sha256(x).hexdigest() for x in v], pa.string()) for k, v in (("ids_sha256", ids), ("decoded_sha256", decoded))}
             yield tb.with_columns(s.batch, more).select(schema.names)
 
     return docs.mapInArrow(run, schema)

@@ -49,6 +49,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", label)
 
 
+#: Whole texts are long rows: so many of them at most go to a Python worker at once.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to BATCH_ROWS rows, where they are larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that the driver and all executors see.
 

@@ -23,12 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regseq.llm import textbytes as tb
-from regseq.llm.common import out_schema
+from regseq.llm.common import out_schema, small_batches
 from regseq.llm.fm_index import FMIndex
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
 _COLUMNS = [("n_words", T.LongType()), ("hit_words", _SPANS), ("hit_bytes", _SPANS), ("item_ids", T.ArrayType(T.StringType()))]
@@ -153,6 +153,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
     under one id count once.  Rows keep their number; columns with the results' names are replaced.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     items = items.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("item_id is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(size // block_bytes) + 1

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regseq.llm import textbytes as tb
-from regseq.llm.common import stored
+from regseq.llm.common import small_batches, stored
 from regseq.llm.components import components
 
 TREES = 20
@@ -48,7 +48,7 @@ CERTAIN = 4.0
 #: Up to so many class representatives are broadcast to pick their documents; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 #: Rows that a task holds at once, and pairs of which it compares signatures at once.
-HOLD, CHUNK = 1 << 16, 1 << 14
+HOLD, CHUNK = 1 << 14, 1 << 12
 
 _MULTIPLIERS = (tb.mix(np.arange(1, VALUES + 1, dtype=np.uint64) * np.uint64(tb.BASE)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _KEY = 1 + 4 * BASE_DEPTH
@@ -116,8 +116,8 @@ def _orders(classes: DataFrame, values: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                b = whole.slice(at, 2000)
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
                 sig = _matrix(b.column("sig"), 4 * _ORDERED + VALUES)
                 heads, low = sig[:, : 4 * _ORDERED].reshape(-1, TREES, 4 * BASE_DEPTH), sig[:, 4 * _ORDERED : 4 * _ORDERED + values]
                 rows = [np.hstack([np.full((len(sig), 1), t, np.uint8), heads[:, t], np.roll(low, -(t + 1) * BASE_DEPTH, axis=1)]) for t in range(TREES)]
@@ -203,6 +203,7 @@ def _held(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.nd
     if count:
         whole = joined()
         yield _matrix(whole.column("okey"), width), whole
+    tb.give_back()
 
 
 def _candidates(classes: DataFrame, percent: int, first: bool) -> DataFrame:
@@ -262,6 +263,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int
                 both = int((y[at] == x).sum())
                 good[i] = 100 * both >= percent * (len(x) + len(y) - both)
             yield b.select(["u", "v"]).filter(pa.array(good))
+        tb.give_back()
 
     x = have.select(F.col("cls").alias("u"), F.col("keys").alias("x"))
     y = have.select(F.col("cls").alias("v"), F.col("keys").alias("y"))
@@ -278,6 +280,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     get equal results.  A row without doc_id takes part in links; it is kept only if no row of
     its component has one.  Further columns of docs are not looked at.
     """
+    small_batches(docs.sparkSession)
     signed = stored(signatures(docs, words))
     classes = stored(signed.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")))
     partners = F.slice(F.sort_array(F.collect_set(F.struct("score", "other")), asc=False), 1, PARTNERS)

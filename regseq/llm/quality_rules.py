@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from regseq.llm import docstats, gbt
 from regseq.llm import textbytes as tb
-from regseq.llm.common import labelled_sample, out_schema, shuffle_free_map
+from regseq.llm.common import labelled_sample, out_schema, shuffle_free_map, small_batches
 
 #: Bound of the labelled sample that the trees are fitted on.
 SAMPLE_ROWS = 20_000
@@ -56,6 +56,7 @@ def quality_rules(docs: DataFrame, trees: gbt.Trees, threshold: float = THRESHOL
     number: nothing is shuffled, repeated rows get equal results, and columns of the same
     names as the results are replaced.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regseq.llm import textbytes as tb
-from regseq.llm.common import out_schema, stored
+from regseq.llm.common import out_schema, small_batches, stored
 from regseq.llm.suffixes import repeated_suffixes
 
 LENGTH = 200
@@ -39,7 +39,7 @@ GRAM = 48
 HOT_ROWS = 1 << 14
 PART = 8
 #: Bytes of pieces that one block of the sort holds, whole anchors only.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 #: A text is scanned in segments of so many bytes; positions in them take 24 bits.
 SEGMENT = 1 << 22
 #: Ids of texts that are broadcast to pick them; more are joined by a shuffle.
@@ -275,6 +275,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = True
     """
     if length % 8 or length < GRAM + 8 or length - GRAM >= 255:
         raise ValueError("length: a multiple of 8 from 56 to 296")
+    small_batches(docs.sparkSession)
     result = [x for x in _RESULT if with_text or x[0] != "kept_text"]
     base = docs.drop(*(k for k, _ in result)).withColumn("__row", _row_id())
     shared = stored(_shared_anchors(_all_runs(base, length)))
