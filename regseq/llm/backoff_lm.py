@@ -1,17 +1,17 @@
-"""LM scoring by a weighted backoff automaton.
+"""LM scoring by a backoff model of n-grams, 1 to ORDER = 3 words.
 
-Counting covers all training texts and all their tokens:
+Counting covers all training texts, all their tokens and all their n-grams, those seen once too:
 1. Every token's count (one shuffle of each task's distinct words, 64-bit hashes).
-2. n-grams, 2 to ORDER words, over the VOCABULARY most frequent tokens; an n-gram is counted
-   if its parts were kept one order before, and kept while all fit in MAX_ARCS (the count
-   below which they are left out follows from that bound, as the size of the model must).
-The automaton's states are the histories that have kept continuations.  An arc (state, word)
-carries the discounted log-probability and leads to the longest state that ends the longer
-history; a failure arc carries the backoff weight to the next shorter history; at the root
-every word has its smoothed unigram probability.  Probabilities of a state sum to one.
-Scoring reads each text once from left to right, carrying one state, in lanes of many texts
-at once.  A long text is cut into lanes that first read ORDER - 1 tokens again, after which
-the carried state is the one that the whole reading would have.
+2. Every 2- and 3-gram's count, by the hashes of its first and last two words, pre-aggregated in
+   each task.  These tables grow with the input and are never collected.
+A state is a history that has continuations.  An arc (state, word) carries the discounted
+log-probability; a state's backoff weight leads to the next shorter history; at the root every
+word has its smoothed unigram probability.  Probabilities of a state sum to one.
+
+The hot head is an automaton in memory: the n-grams over the VOCABULARY most frequent tokens that
+fit in MAX_ARCS.  Scoring takes from it the arcs of whole 3-grams, whose weights are those of the
+tables; all other tokens are joined with the tables by their n-grams' hashes, so the bounds of
+the head change no score.  The automaton alone, read by walk(), is a model of its own.
 
 Counts of the HEAD most frequent tokens are broadcast; those of rarer tokens are joined by a
 shuffle, so that all counts used in scores are exact.
@@ -77,6 +77,19 @@ class Automaton(NamedTuple):
     backoff: np.ndarray  # of each state
     fail: np.ndarray
     start: np.ndarray  # state after a word read at the root
+    histories: np.ndarray  # codes of the histories of ORDER - 1 words, ascending
+    base: int  # state of the first of them
+
+    def arcs(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which n-grams of ORDER words are arcs, and the logarithms of those."""
+        if not len(self.histories):
+            return np.zeros(len(code), bool), np.zeros(0)
+        history = code >> 16
+        at = np.minimum(np.searchsorted(self.histories, history), len(self.histories) - 1)
+        key = np.where((self.histories[at] == history) & (code > 0), (self.base + at) << 16 | (code & 0xFFFF), -2)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        hit = self.keys[at] == key
+        return hit, self.logs[at[hit]]
 
     def read(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """One step of all lanes: the states after the words, the weights, and whether the root was reached."""
@@ -105,6 +118,16 @@ class Automaton(NamedTuple):
         return after, weight, root
 
 
+class Counts(NamedTuple):
+    """Tables of all n-grams of the training texts; pairs of words are named by hashes."""
+
+    words: DataFrame  # h, n
+    pairs: DataFrame  # bc, n, total (of the history b), weight
+    starts: DataFrame  # b, backoff
+    triples: DataFrame  # ab, bc, n
+    histories: DataFrame  # ab, total, backoff
+
+
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each text's words and its end, and the texts' bounds."""
     starts, ends = tb.spans(data, offsets, tb.NOT_SPACE)
@@ -256,6 +279,7 @@ def build(lex: Lexicon, grams: list[tuple[np.ndarray, np.ndarray]]) -> Automaton
     state_base: list[int] = []
     backoff, fail = [np.zeros(1)], [np.zeros(1, np.int64)]
     keys, logs, targets = [], [], []
+    whole, base = np.zeros(0, np.int64), 1
     n_states = 1
 
     def state_of(code: np.ndarray, words: int) -> np.ndarray:
@@ -282,12 +306,14 @@ def build(lex: Lexicon, grams: list[tuple[np.ndarray, np.ndarray]]) -> Automaton
         total = totals[0][states] if words == 2 else totals[i][np.searchsorted(grams[i - 1][0], states)]
         total = np.maximum(total, np.bincount(of, n, len(states)))
         p = (n - DISCOUNT) / total[of]
-        base = lower(code, words)
+        below = lower(code, words)
         left = 1 - np.bincount(of, p, len(states))
-        rest = 1 - np.bincount(of, base, len(states))
+        rest = 1 - np.bincount(of, below, len(states))
         short = state_of(states & ((1 << 16 * (words - 2)) - 1), words - 2) if words > 2 else np.zeros(len(states), np.int64)
         state_codes.append(states)
         state_base.append(n_states)
+        if words == ORDER:
+            whole, base = states, n_states
         backoff.append(np.log10(np.maximum(left, 1e-12) / np.maximum(rest, 1e-12)))
         fail.append(short)
         keys.append(((n_states + of) << 16) | (code & 0xFFFF))
@@ -304,8 +330,8 @@ def build(lex: Lexicon, grams: list[tuple[np.ndarray, np.ndarray]]) -> Automaton
     join = lambda x, kind: np.concatenate(x)[order] if x else np.zeros(0, kind)
     if not len(key):
         key, order = np.full(1, -1), np.zeros(1, np.int64)
-        return Automaton(key, np.zeros(1), order, np.concatenate(backoff), np.concatenate(fail), start)
-    return Automaton(key[order], join(logs, float), join(targets, np.int64), np.concatenate(backoff), np.concatenate(fail), start)
+        return Automaton(key, np.zeros(1), order, np.concatenate(backoff), np.concatenate(fail), start, whole, base)
+    return Automaton(key[order], join(logs, float), join(targets, np.int64), np.concatenate(backoff), np.concatenate(fail), start, whole, base)
 
 
 def walk(a: Automaton, word: np.ndarray, unigram: np.ndarray, first: np.ndarray, end: int) -> np.ndarray:
@@ -336,19 +362,95 @@ def walk(a: Automaton, word: np.ndarray, unigram: np.ndarray, first: np.ndarray,
 _COLUMNS = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())]
 
 
-def train(docs: DataFrame) -> tuple[DataFrame, Lexicon, Automaton]:
-    """Token counts, their head, and the automaton, from all rows of docs."""
-    counts = stored(token_counts(docs))
-    lex = lexicon(counts)
+def _grams(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each token: the word before it (END before a text), and the hashes of the pairs that end before it and at it.
+
+    Before the first token of a text there is no pair; its place is to be left out.
+    """
+    before = np.full(len(h), END, np.uint64)
+    before[1:] = h[:-1]
+    before[first[:-1]] = END
+    pair = tb.mix(before * np.uint64(tb.BASE) + h)
+    history = np.zeros(len(h), np.uint64)
+    history[1:] = pair[:-1]
+    return before, history, pair
+
+
+def _inner(first: np.ndarray) -> np.ndarray:
+    """Which tokens are not the first of their text."""
+    inner = np.ones(int(first[-1]), bool)
+    inner[first[:-1]] = False
+    return inner
+
+
+def pair_counts(docs: DataFrame) -> DataFrame:
+    """(bc, b, c, n): how often each 2-gram is in docs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in tb.slices(batches):
+            h, first = tokens(s.data, s.offsets)
+            before, _, pair = _grams(h, first)
+            pair, at, n = np.unique(pair, return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (pair, before[at], h[at], n)], names=["bc", "b", "c", "n"])
+
+    return docs.select("text").mapInArrow(run, "bc long, b long, c long, n long").groupBy("bc", "b", "c").agg(F.sum("n").alias("n"))
+
+
+def triple_counts(docs: DataFrame) -> DataFrame:
+    """(ab, bc, n): how often each 3-gram is in docs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in tb.slices(batches):
+            h, first = tokens(s.data, s.offsets)
+            _, history, pair = _grams(h, first)
+            inner = _inner(first)
+            history, pair = history[inner], pair[inner]
+            _, at, n = np.unique(history * np.uint64(tb.BASE) + tb.mix(pair), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (history[at], pair[at], n)], names=["ab", "bc", "n"])
+
+    return docs.select("text").mapInArrow(run, "ab long, bc long, n long").groupBy("ab", "bc").agg(F.sum("n").alias("n"))
+
+
+def tables(docs: DataFrame, words: DataFrame, lex: Lexicon) -> Counts:
+    """All n-grams of docs.  What the shorter history leaves to a state is summed in whole counts, so it is exact."""
+    seen = stored(pair_counts(docs))
+    space = lex.tokens + lex.types + 1
+    last = words.select(F.col("h").alias("c"), F.col("n").alias("of_c"))
+    starts = seen.join(last, "c").groupBy("b").agg(F.sum("n").alias("total"), F.count("*").alias("k"), F.sum(F.col("of_c") + 1).alias("used"))
+    left = F.log10(DISCOUNT * F.col("k") / F.col("total"))
+    starts = stored(starts.select("b", "total", (left - F.log10((space - F.col("used")) / space)).alias("backoff")))
+    weight = F.log10((F.col("n") - DISCOUNT) / F.col("total"))
+    pairs = stored(seen.join(starts, "b").select("bc", "n", "total", weight.alias("weight")))
+    triples = stored(triple_counts(docs))
+    lower = pairs.select("bc", F.col("n").alias("below"), F.col("total").alias("of_b"))
+    states = triples.join(lower, "bc").groupBy("ab").agg(F.sum("n").alias("total"), F.count("*").alias("k"), F.sum("below").alias("used"), F.max("of_b").alias("of_b"))
+    rest = F.log10((F.col("of_b") - F.col("used") + DISCOUNT * F.col("k")) / F.col("of_b"))
+    states = stored(states.select("ab", "total", (left - rest).alias("backoff")))
+    return Counts(words, pairs, starts.select("b", "backoff"), triples, states)
+
+
+def train(docs: DataFrame) -> tuple[Counts, Lexicon, Automaton]:
+    """The tables of all n-grams, the head of the token counts and the head's automaton, from all rows of docs."""
+    words = stored(token_counts(docs))
+    lex = lexicon(words)
     hashes, numbers = _numbers(lex)
     end = int(numbers[hashes == END][0]) if (hashes == END).any() else 0
     grams: list[tuple[np.ndarray, np.ndarray]] = []
     for order in range(2, ORDER + 1):
         grams.append(_most_frequent(ngram_counts(docs, hashes, numbers, end, order, grams[-1][0] if grams else None), MAX_ARCS))
-    return counts, lex, build(lex, grams)
+    return tables(docs, words, lex), lex, build(lex, grams)
+
 
+def _pair_weights(docs: DataFrame, counts: Counts, floor: float) -> DataFrame:
+    """(bc, weight) of the trained 2-grams, and of those of docs that are not trained: what they back off to."""
+    new = pair_counts(docs).join(counts.pairs, "bc", "left_anti").select("bc", "b", "c")
+    words = counts.words.select(F.col("h").alias("c"), "n")
+    new = new.join(counts.starts, "b", "left").join(words, "c", "left")
+    unigram = F.log10(F.coalesce("n", F.lit(0)) + 1) - floor
+    return counts.pairs.select("bc", "weight").union(new.select("bc", F.coalesce("backoff", F.lit(0.0)) + unigram))
 
-def score(docs: DataFrame, counts: DataFrame, lex: Lexicon, automaton: Automaton) -> DataFrame:
+
+def score(docs: DataFrame, counts: Counts, lex: Lexicon, automaton: Automaton) -> DataFrame:
     """docs with n_tokens, n_known, train_tokens, base_score and score (log10 of the model's probability).
 
     A null or empty text is its end alone.  Rows keep their number, repeated rows get equal
@@ -358,13 +460,18 @@ def score(docs: DataFrame, counts: DataFrame, lex: Lexicon, automaton: Automaton
     floor = float(np.log10(lex.tokens + lex.types + 1))
     shared = docs.sparkSession.sparkContext.broadcast((lex, automaton))
     rest = [c for c in base.columns if c != "text"]
-    more = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()), ("__rare", T.ArrayType(T.LongType()))]
+    longs = T.ArrayType(T.LongType())
+    more = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()), ("__rare", longs), ("__first", T.LongType()), ("__ab", longs), ("__bc", longs)]
     schema = out_schema(base, more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, a = shared.value
         at_end = int(np.searchsorted(lex.hashes, END))
         end = int(lex.word[at_end]) if at_end < len(lex.hashes) and lex.hashes[at_end] == END else 0
+
+        def lists(x: np.ndarray, bounds: np.ndarray) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(x.view(np.int64)))
+
         for s in tb.slices(batches):
             h, first = tokens(s.data, s.offsets)
             at = lex.find(h)
@@ -373,19 +480,33 @@ def score(docs: DataFrame, counts: DataFrame, lex: Lexicon, automaton: Automaton
             word = np.where(known, lex.word[at], 0) if len(lex.word) else np.zeros(len(h), np.int64)
             # Rare tokens are taken as never seen here; what their counts add follows from the join.
             unigram = np.log10(count + 1) - floor
-            rare = h[~known].view(np.int64)
-            bounds = np.concatenate([[0], np.cumsum(~known)])[first]
+            _, history, pair = _grams(h, first)
+            hot, logs = a.arcs(_histories(word, first, end, ORDER))
+            weight = np.zeros(len(h))
+            weight[hot] = logs
+            open_ = _inner(first) & ~hot
+            bounds = lambda which: np.concatenate([[0], np.cumsum(which)])[first]
             yield tb.with_columns(s.batch, {
-                "n_tokens": np.diff(first), "n_known": tb.sums_by(known, first), "base_score": tb.sums_by(unigram, first, float), "score": tb.sums_by(walk(a, word, unigram, first, end), first, float),
-                "__rare": pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(rare)),
+                "n_tokens": np.diff(first), "n_known": tb.sums_by(known, first), "base_score": tb.sums_by(unigram, first, float), "score": tb.sums_by(weight, first, float),
+                "__rare": lists(h[~known], bounds(~known)), "__first": pair[first[:-1]].view(np.int64), "__ab": lists(history[open_], bounds(open_)), "__bc": lists(pair[open_], bounds(open_)),
             }).select(schema.names)
 
     scored = stored(base.mapInArrow(run, schema).drop("text").withColumn("__row", F.monotonically_increasing_id()))
-    seen = scored.select("__row", F.explode("__rare").alias("h")).groupBy("__row", "h").count().join(counts, "h")
+    seen = scored.select("__row", F.explode("__rare").alias("h")).groupBy("__row", "h").count().join(counts.words, "h")
     added = seen.groupBy("__row").agg(F.sum("count").alias("__known"), F.sum(F.col("count") * F.log10(F.col("n") + 1)).alias("__more"))
-    out = scored.drop("__rare").join(added, "__row", "left")
+    # Weights are summed as whole numbers, so that no order of rows changes a score.
+    whole = lambda x: F.round(x * 1e10).cast("long")
+    trained = counts.triples.join(counts.histories, "ab").select("ab", "bc", whole(F.log10((F.col("n") - DISCOUNT) / F.col("total"))).alias("w"))
+    asked = scored.select("__row", F.inline(F.arrays_zip(F.col("__ab").alias("ab"), F.col("__bc").alias("bc")))).join(trained, ["ab", "bc"], "left")
+    missed = F.collect_list(F.when(F.col("w").isNull(), F.struct("ab", "bc")))
+    met = stored(asked.groupBy("__row").agg(F.sum("w").alias("w"), missed.alias("missed")))
+    below = met.select("__row", F.inline("missed")).union(scored.select("__row", F.lit(None).cast("long"), "__first"))
+    below = below.join(counts.histories.select("ab", "backoff"), "ab", "left").join(_pair_weights(docs, counts, floor), "bc")
+    below = below.select("__row", whole(F.coalesce("backoff", F.lit(0.0)) + F.col("weight")).alias("w"))
+    joined = met.select("__row", "w").union(below).groupBy("__row").agg(F.sum("w").alias("__w"))
+    out = scored.drop("__rare", "__first", "__ab", "__bc").join(added, "__row", "left").join(joined, "__row", "left")
     more_, zero = F.coalesce("__more", F.lit(0.0)), F.lit(0)
-    new = {"n_known": F.col("n_known") + F.coalesce("__known", zero), "train_tokens": F.lit(lex.tokens).cast("long"), "base_score": F.col("base_score") + more_, "score": F.col("score") + more_}
+    new = {"n_known": F.col("n_known") + F.coalesce("__known", zero), "train_tokens": F.lit(lex.tokens).cast("long"), "base_score": F.col("base_score") + more_, "score": F.col("score") + F.coalesce("__w", zero) / 1e10}
     return out.select(*rest, *(new.get(k, F.col(k)).alias(k) for k, _ in _COLUMNS))
 
 

@@ -273,6 +273,49 @@ def test_backoff(spark, docs, rows, odd, clash, monkeypatch):
     assert all(r.n_known == 0 for r in backoff_lm.score(odd, *empty).collect())
 
 
+def test_backoff_scores_by_all_ngrams_whatever_the_head_holds(spark, rows, monkeypatch):
+    import collections
+    import math
+
+    some = [(d, " ".join((t or "").split()[:80])) for d, t in rows[:60]]
+    tok = lambda t: [*brute.words(t), None]
+    c1, c2, c3 = (collections.Counter() for _ in range(3))
+    for _, t in some[:40]:
+        w = [None, *tok(t)]
+        c1.update(w[1:])
+        c2.update(zip(w, w[1:], strict=False))
+        c3.update(zip(w, w[1:], w[2:], strict=False))
+    space = sum(c1.values()) + len(c1) + 1
+    after = collections.defaultdict(list)
+    for g in [*c2, *c3]:
+        after[g[:-1]].append(g[-1])
+    p1 = lambda c: (c1[c] + 1) / space
+
+    def p2(b, c):
+        if c2[b, c]:
+            return (c2[b, c] - 0.75) / c1[b]
+        here = after.get((b,), [])
+        return p1(c) * ((1 - sum(p2(b, x) for x in here)) / (1 - sum(map(p1, here))) if here else 1)
+
+    def p3(a, b, c):
+        if c3[a, b, c]:
+            return (c3[a, b, c] - 0.75) / c2[a, b]
+        here = after.get((a, b), [])
+        return p2(b, c) * ((1 - sum(p3(a, b, x) for x in here)) / (1 - sum(p2(b, x) for x in here)) if here else 1)
+
+    def whole(t):
+        w = [None, *tok(t)]
+        return math.log10(p2(w[0], w[1])) + sum(math.log10(p3(*g)) for g in zip(w, w[1:], w[2:], strict=False))
+
+    frame = spark.createDataFrame(some, "doc_id long, text string")
+    head = backoff_lm.lexicon.__defaults__
+    for vocabulary in (head[1], 20):
+        monkeypatch.setattr(backoff_lm.lexicon, "__defaults__", (head[0], vocabulary))
+        got = backoff_lm.score(frame, *backoff_lm.train(spark.createDataFrame(some[:40], frame.schema)))
+        got = {r.doc_id: r.score for r in got.collect()}
+        assert got == {d: pytest.approx(whole(t), abs=1e-6) for d, t in some}
+
+
 def test_automaton_is_a_distribution_and_lanes_agree(docs, monkeypatch):
     _, lex, a = backoff_lm.train(docs)
     size = int(lex.word.max()) + 1
