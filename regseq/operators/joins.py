@@ -137,20 +137,40 @@ def kmers(seqs: DataFrame, k: int) -> DataFrame:
     return seqs.select("id", F.explode(F.array_distinct(F.transform(at, lambda i: F.col("seq").substr(i + 1, F.lit(k))))).alias("kmer"))
 
 
-def kmer_hits(a: DataFrame, b: DataFrame, k: int, min_shared: int, most: int) -> DataFrame:
-    """(query, target, shared, score): shared distinct k-mers over the smaller set.
+#: Targets of one k-mer that one task of the join meets at most, on average.
+KMER_TARGETS = 1000
 
-    k-mers of more than `most` sequences of b tell nothing and are left out, which also bounds
-    what one k-mer can yield.
+
+def _shared_kmers(x: DataFrame, y: DataFrame) -> DataFrame:
+    """(query, target, shared) of k-mers x and y; k-mers of many targets are dealt to salts by target."""
+    salts = y.groupBy("kmer").agg(F.ceil(F.count("*") / KMER_TARGETS).cast("int").alias("salts"))
+    x = x.join(salts, "kmer").select(F.col("id").alias("query"), "kmer", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    y = y.join(salts, "kmer").select(F.col("id").alias("target"), "kmer", F.pmod(F.xxhash64("id"), "salts").cast("int").alias("salt"))
+    return x.join(y, ["kmer", "salt"]).groupBy("query", "target").agg(F.count("*").alias("shared"))
+
+
+def kmer_hits(a: DataFrame, b: DataFrame, k: int, min_shared: int, most: int | None = None) -> DataFrame:
+    """(query, target, shared, score): shared distinct k-mers over the smaller set; an id names one sequence.
+
+    All k-mers count; equal sequences are compared once.  With `most`, k-mers of more than so
+    many sequences of b are left out of the counts, and hits by those alone are lost.
     """
+    size = lambda df, name: df.groupBy("id").count().select(F.col("id").alias(name), F.col("count").alias(f"n_{name}"))
+    score = (F.col("shared") / F.least("n_query", "n_target")).alias("score")
+    if most is None:
+        cls = F.md5("seq")
+        x, y = (kmers(s.select(cls.alias("id"), "seq").dropDuplicates(["id"]), k) for s in (a, b))
+        met = _shared_kmers(x, y).filter(F.col("shared") >= min_shared).join(size(x, "query"), "query").join(size(y, "target"), "target")
+        met = met.select(F.col("query").alias("cls_a"), F.col("target").alias("cls_b"), "shared", score)
+        ids = lambda s, name, key: s.select(F.col("id").alias(name), cls.alias(key)).distinct()
+        return met.join(ids(a, "query", "cls_a"), "cls_a").join(ids(b, "target", "cls_b"), "cls_b").select("query", "target", "shared", "score")
     x, y = kmers(a, k), kmers(b, k)
     rare = y.groupBy("kmer").count().filter(F.col("count") <= most).select("kmer")
     y = y.join(rare, "kmer", "left_semi")
     x = x.join(rare, "kmer", "left_semi")
-    size = lambda df, name: df.groupBy("id").count().select(F.col("id").alias(name), F.col("count").alias(f"n_{name}"))
     shared = x.withColumnRenamed("id", "query").join(y.withColumnRenamed("id", "target"), "kmer").groupBy("query", "target").agg(F.count("*").alias("shared"))
     joined = shared.filter(F.col("shared") >= min_shared).join(size(x, "query"), "query").join(size(y, "target"), "target")
-    return joined.select("query", "target", "shared", (F.col("shared") / F.least("n_query", "n_target")).alias("score"))
+    return joined.select("query", "target", "shared", score)
 
 
 def extract_sequence(intervals: DataFrame, seqs: DataFrame, tile: int = 1 << 16) -> DataFrame:

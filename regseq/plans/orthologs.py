@@ -9,7 +9,7 @@ from regseq.functions.sequence import gene_from_description
 from regseq.operators import joins
 
 
-def search_orthologs(a: DataFrame, b: DataFrame, k: int = 8, min_shared: int = 3, most: int = 1000) -> DataFrame:
+def search_orthologs(a: DataFrame, b: DataFrame, k: int = 8, min_shared: int = 3, most: int | None = None) -> DataFrame:
     """(query_protein, target_protein, target_gene, query_gene); a and b have id, description and seq.
 
     Similarity is the share of k-mers, so 1 - score stands in for a significance.

@@ -168,7 +168,7 @@ def kmer_hits(spark, d):
 
 def search(spark, d):
     i = b.items(spark, d).select("id", F.concat(F.lit("x gene:"), F.col("id")).alias("description"), "seq")
-    return writers.ortholog_rows(orthologs.search_orthologs(i, i.select(F.concat(F.lit("t"), F.col("id")).alias("id"), "description", "seq"), 8, 3, 200))
+    return writers.ortholog_rows(orthologs.search_orthologs(i, i.select(F.concat(F.lit("t"), F.col("id")).alias("id"), "description", "seq"), 8, 3))
 
 
 _COUNTS = "cm AS (SELECT motif_id, pos, count(*) FILTER (b = 'A') AS A, count(*) FILTER (b = 'C') AS C, count(*) FILTER (b = 'G') AS G, count(*) FILTER (b = 'T') AS T FROM (SELECT motif_id, unnest(range(0, 12)) AS pos, seq, substring(seq, pos::INT + 1, 1) AS b FROM aligned) GROUP BY motif_id, pos)"

@@ -213,3 +213,20 @@ def test_synteny(spark):
     orth = spark.createDataFrame([("b", "c")], "a string, b string")
     got = {r.id for r in graph.synteny_closure(spark.createDataFrame([("a",)], "id string"), regions, orth).collect()}
     assert got == {"a", "b", "c", "d"}
+
+
+@pytest.mark.parametrize("per_salt", [1000, 7])
+def test_kmer_hits_count_kmers_of_any_number_of_targets(spark, monkeypatch, per_salt):
+    monkeypatch.setattr(joins, "KMER_TARGETS", per_salt)
+    random.seed(5)
+    bases = lambda n: "".join(random.choice("ACGT") for _ in range(n))
+    passage = bases(30)
+    targets = [(f"t{i}", passage + bases(20)) for i in range(45)] + [(f"c{i}", passage) for i in range(45)] + [("short", "ACG"), ("other", bases(60))]
+    queries = [("q1", passage), ("q2", bases(10) + passage[:20]), ("q3", bases(40))]
+    sets_of = lambda rows: {i: {t[p : p + 8] for p in range(len(t) - 7)} for i, t in rows}
+    x, y = sets_of(queries), sets_of(targets)
+    want = {(q, t): (len(x[q] & y[t]), len(x[q] & y[t]) / min(len(x[q]), len(y[t]))) for q in x for t in y if len(x[q] & y[t]) >= 3}
+    assert len(want) >= 180
+    a, b = (spark.createDataFrame(r, "id string, seq string") for r in (queries, targets))
+    got = {(r.query, r.target): (r.shared, pytest.approx(r.score)) for r in joins.kmer_hits(a, b, 8, 3).collect()}
+    assert got == want
