@@ -13,6 +13,10 @@
    formed; then every candidate pair that still joins two components, by signatures of
    VALUES values, is confirmed.  A pair is left out only if its ends are already in one
    component, so no link is lost, and a group of m near copies costs some m pairs, not m * m.
+4. Classes of regions that had to be cut, or that a border between tasks may have cut, are not
+   left to the parts: after the first step they take part in the second in any case, and after
+   the second they are joined exactly, by the rarest of their shingles (a pair that is similar
+   enough shares one of so few that size bounds give, the prefix filter).
 Components are built by distributed stars; class keys, links and components never
 come to the driver.
 """
@@ -24,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +51,8 @@ TREE_PARTNERS, PARTNERS = 4, 12
 CERTAIN = 4.0
 #: Up to so many class representatives are broadcast to pick their documents; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Classes of one shingle that one task of the exact join meets at most, on average.
+SHARERS = 1_000
 #: Rows that a task holds at once, and pairs of which it compares signatures at once.
 HOLD, CHUNK = 1 << 14, 1 << 12
 
@@ -210,15 +216,28 @@ def _candidates(classes: DataFrame, percent: int, first: bool) -> DataFrame:
     """Of classes (cls, n, sig, label): candidate pairs (cls, other) of different labels.
 
     first: (cls, other, score) with TREE_PARTNERS likeliest candidates of each class and tree,
-    both ways.  Else all candidate pairs, once each in a tree.
+    both ways.  Else all candidate pairs, once each in a tree.  Where other is null, cls was not
+    held against its whole region.
     """
     values, most = (FIRST_VALUES, FIRST_REGION) if first else (VALUES, REGION)
 
     def prefix(column: pa.Array) -> np.ndarray:
         return _matrix(column, 16)[:, :8].copy().view(">u8").reshape(-1).astype(np.uint64)
 
+    def flagged(cls: pa.Array, which: np.ndarray) -> pa.RecordBatch:
+        cls = cls.filter(pa.array(which)).unique()
+        return pa.RecordBatch.from_arrays([cls, pa.nulls(len(cls), pa.binary()), pa.array(np.full(len(cls), -1, np.int32))], names=["cls", "other", "score"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for okey, rows in _held(batches, _KEY + values):
+            # Regions that are too large, and those at the borders of the task's range, are not whole.
+            base = np.cumsum(np.concatenate([[False], (okey[1:, :_KEY] != okey[:-1, :_KEY]).any(axis=1)]))
+            partly = np.bincount(base)[base] > most
+            if last is None:
+                partly |= base == 0
+            yield flagged(rows.column("cls"), partly)
+            last = rows.column("cls").filter(pa.array(base == base[-1]))
             rank = prefix(rows.column("cls"))
             a, b, score = _near(okey, rows.column("n").to_numpy(), prefix(rows.column("label")), percent, most)
             if not len(a):
@@ -232,13 +251,14 @@ def _candidates(classes: DataFrame, percent: int, first: bool) -> DataFrame:
                 x, y, score = x[keep], y[keep], score[keep]
             cls = rows.column("cls")
             yield pa.RecordBatch.from_arrays([cls.take(pa.array(x)), cls.take(pa.array(y)), pa.array(score.astype(np.int32))], names=["cls", "other", "score"])
+        if last is not None:
+            yield flagged(last, np.ones(len(last), bool))
 
     return _orders(classes, values).mapInArrow(run, "cls binary, other binary, score int")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets are similar enough."""
-    ends = pairs.select("cls").union(pairs.select(F.col("other").alias("cls"))).distinct()
+def _full_sets(ends: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(cls, keys) of the classes `ends`: their distinct shingles, ascending, 8 bytes each."""
     wanted = stored(classes.join(ends, "cls", "left_semi").select(F.col("rep").alias("__rep"), F.col("cls").alias("__cls")))
     bounded = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     rows = docs.select("doc_id", "text").join(bounded, F.col("doc_id").eqNullSafe(F.col("__rep"))).select("text", "__cls")
@@ -250,7 +270,44 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int
             out = pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, pa.py_buffer((first * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(keys))])
             yield pa.RecordBatch.from_arrays([s.batch.column("__cls"), out], names=["cls", "keys"]).filter(pa.array(same))
 
-    have = rows.mapInArrow(sets, "cls binary, keys binary").dropDuplicates(["cls"])
+    return rows.mapInArrow(sets, "cls binary, keys binary").dropDuplicates(["cls"])
+
+
+def _exact_pairs(cut: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """All pairs (cls, other) of the classes `cut` that may be similar enough and whose labels differ.
+
+    Shingles are ordered by how many of the classes have them; of n shingles, one of the first
+    n - ceil(n * percent / 100) + 1 is shared.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                data, offsets = tb.text_bytes(part.column("keys"))
+                n = np.diff(offsets) // 8
+                of = pa.array(np.repeat(np.arange(part.num_rows), n))
+                yield pa.RecordBatch.from_arrays([part.column("cls").take(of), pa.array(np.repeat(n, n)), pa.array(np.frombuffer(data.tobytes(), np.int64))], names=["cls", "n", "key"])
+
+    held = stored(_full_sets(cut, classes, docs, words).mapInArrow(rows, "cls binary, n long, key long"))
+    common = held.groupBy("key").count().filter("count > 1")
+    shared = held.join(common, "key")
+    place = F.row_number().over(Window.partitionBy("cls").orderBy("count", "key"))
+    alone = F.col("n") - F.count("*").over(Window.partitionBy("cls"))
+    reach = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    rare = shared.withColumn("place", place + alone).filter(F.col("place") <= reach).join(labels, "cls")
+    # Frequent shingles are dealt to salts by class, each of which meets all others.
+    salts = F.ceil(F.col("count") / SHARERS).cast("int")
+    x = rare.select("key", "cls", "n", "label", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    y = rare.select("key", F.col("cls").alias("other"), F.col("n").alias("m"), F.col("label").alias("of_other"), F.pmod(F.xxhash64("cls"), salts).cast("int").alias("salt"))
+    fit = (F.col("cls") > F.col("other")) & (F.col("label") != F.col("of_other")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+    return x.join(y, ["key", "salt"]).filter(fit).select("cls", "other").distinct()
+
+
+def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (u, v) whose full sets are similar enough."""
+    ends = pairs.select("cls").union(pairs.select(F.col("other").alias("cls"))).distinct()
+    have = _full_sets(ends, classes, docs, words)
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -283,12 +340,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     small_batches(docs.sparkSession)
     signed = stored(signatures(docs, words))
     classes = stored(signed.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")))
-    partners = F.slice(F.sort_array(F.collect_set(F.struct("score", "other")), asc=False), 1, PARTNERS)
-    best = stored(_candidates(classes.withColumn("label", F.col("cls")), percent, True).groupBy("cls").agg(partners.alias("p")))
+    first = _candidates(classes.withColumn("label", F.col("cls")), percent, True).groupBy("cls")
+    # A class without candidates is done with, unless a region of it was cut.
+    best = stored(first.agg(F.slice(F.sort_array(F.collect_set(F.when(F.col("other").isNotNull(), F.struct("score", "other"))), asc=False), 1, PARTNERS).alias("p")))
     pairs = best.select("cls", F.explode("p").alias("x")).select(F.greatest("cls", "x.other").alias("cls"), F.least("cls", "x.other").alias("other"))
     roots = components(stored(_confirmed(stored(pairs.distinct()), classes, docs, words, percent)))
     live = classes.join(best.select("cls"), "cls", "left_semi").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", "n", "sig", F.coalesce("root", "cls").alias("label"))
-    rest = _candidates(stored(live), percent, False).select("cls", "other").distinct()
+    live = stored(live)
+    met = stored(_candidates(live, percent, False).select("cls", "other").distinct())
+    cut = met.filter(F.col("other").isNull()).select("cls")
+    exact = _exact_pairs(cut, live.select("cls", "label"), classes, docs, words, percent)
+    rest = met.filter(F.col("other").isNotNull()).union(exact).distinct()
     more = stored(_confirmed(stored(rest), classes, docs, words, percent))
     if not more.isEmpty():
         # Components so far are stars, to which the new links are added.

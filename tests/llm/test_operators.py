@@ -117,6 +117,22 @@ def test_near_duplicates_in_large_regions(spark, monkeypatch):
     assert key(got) == key(brute.near(plain, 4))
 
 
+def test_near_duplicates_across_all_cuts_of_a_large_region(spark, monkeypatch):
+    """One source of pairwise similarity of about 0.6 and pairs just above 0.8, with regions cut to almost nothing."""
+    for name, value in (("FIRST_REGION", 1), ("REGION", 1), ("NEIGHBOURS", 0), ("SHARERS", 20)):
+        monkeypatch.setattr(minhash_forest, name, value)
+    random.seed(2)
+    new = lambda n: [f"z{random.random()}" for _ in range(n)]
+    base, plain = [f"w{i}" for i in range(75)], []
+    for i in range(80):
+        own = new(25)
+        plain += [(2 * i, " ".join(base + own)), (2 * i + 1, " ".join(base + own[:15] + new(10)))]
+    want = brute.near(plain, 4)
+    assert sum(k[3] for k in want) == 80
+    got = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash_forest.near_duplicates(spark.createDataFrame(plain, "doc_id long, text string"), 4).collect()]
+    assert key(got) == key(want)
+
+
 def test_components(spark):
     random.seed(5)
     edges = [(random.randrange(200), random.randrange(200)) for _ in range(150)] + [(k, k + 1) for k in range(300, 340)]
