@@ -20,7 +20,6 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +30,14 @@ from pyspark.sql import types as T
 from regseq.llm import textbytes as tb
 from regseq.llm.common import out_schema, small_batches
 
-#: Words and token pairs that a worker remembers; it forgets all beyond that.
-REMEMBER = 200_000
+#: Words that a task remembers; it forgets all beyond that.
+REMEMBER = 1 << 20
+#: Pairs of tokens of which it remembers whether they may stand side by side.
+REMEMBER_PAIRS = 200_000
+#: Bytes up to which a word is named by a hash.
+HASHED = 256
+#: Tokens that are spelt out at once.
+PORTION = 1 << 17
 
 _COLUMNS = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
 
@@ -70,7 +75,6 @@ class WordBpe:
                 self.endings.setdefault(core[i:] + tail, -1)
             self.endings[text] = self.vocab[text]
         self.fits: dict[tuple[int, int], bool] = {}
-        self.words: dict[bytes, tuple[int, bytes, bytes]] = {}
 
     def symbols(self, token: int) -> list[int]:
         """A token's characters, as tokens."""
@@ -94,7 +98,7 @@ class WordBpe:
 
     def stands(self, left: int, right: int) -> bool:
         """Does right stand rightly behind left; with a left of -1, at the beginning."""
-        if len(self.fits) >= REMEMBER:
+        if len(self.fits) >= REMEMBER_PAIRS:
             self.fits.clear()
         if left < 0:
             ok = self.merged(self.symbols(right)) == [right]
@@ -126,9 +130,7 @@ class WordBpe:
         last, end = self.last, self.end
         for text in texts:
             # The path goes back to the prefix that both words have.
-            shared = min(len(path) - 1, len(text) - 1)
-            while before[:shared] != text[:shared]:
-                shared -= 1
+            shared = _common(before, text, min(len(path) - 1, len(text) - 1))
             del path[shared + 1 :]
             for n in range(shared + 1, len(text)):
                 path.append(last(text, n, path, ""))
@@ -162,42 +164,110 @@ class WordBpe:
             out += [found.encode().decode("latin-1").translate(self.bytes) for found in self.pattern.findall(part)]
         return out
 
-    def encode_words(self, words: list[bytes]) -> list[tuple[int, bytes, bytes]]:
-        """Of raw words: the number of tokens, and ids and tokens, each followed by a space."""
-        known = self.words
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > REMEMBER:
-            known.clear()
-            new = words
-        split = [self.pieces(w.decode()) for w in new]
+    def encode_words(self, words: list[bytes]) -> list[list[int]]:
+        """The token ids of raw words."""
+        if not words:
+            return []
+        split = [[w.lower()] if w.isascii() and w.isalpha() else self.pieces(w) for w in b"\n".join(words).decode().split("\n")]
         texts = sorted({p for ps in split for p in ps if isinstance(p, str)})
         ids = dict(zip(texts, self.encode_sorted(texts), strict=True))
-        token = self.token
-        for w, ps in zip(new, split, strict=True):
-            x = [i for p in ps for i in (ids[p] if isinstance(p, str) else (p,))]
-            known[w] = (len(x), "".join([f"{i} " for i in x]).encode(), "".join([token[i] + " " for i in x]).encode())
-        return [known[w] for w in words]
+        return [ids[ps[0]] if len(ps) == 1 and isinstance(ps[0], str) else [i for p in ps for i in (ids[p] if isinstance(p, str) else (p,))] for ps in split]
 
 
-@lru_cache(maxsize=2)
-def _loaded(spec: str) -> WordBpe:
-    return WordBpe(json.loads(spec))
+def _common(a: str, b: str, most: int) -> int:
+    """How many characters a and b begin with in common, at most `most`."""
+    if a[:most] == b[:most]:
+        return most
+    low, high = 0, most - 1
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if a[:mid] == b[:mid] else (low, mid - 1)
+    return low
 
 
-def _spread(rows: np.ndarray, first: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """data[first[r]:first[r + 1]] for each r of rows, end to end, and the bounds."""
-    size = (first[1:] - first[:-1])[rows]
-    bounds = np.concatenate([[0], np.cumsum(size)])
-    return data[np.repeat(first[rows] - bounds[:-1], size) + np.arange(bounds[-1])], bounds
+class Known:
+    """Encodings that a task has worked out, as flat arrays: hashes ascending, and where each word's ids are."""
 
+    def __init__(self) -> None:
+        self.clear()
 
-def _encoded(s: tb.Slice, bpe: WordBpe) -> tuple[np.ndarray, np.ndarray, list[tuple[int, bytes, bytes]]]:
-    """Of a slice: bounds of each text's words, each word's number, and the numbers' encodings."""
+    def clear(self) -> None:
+        self.keys, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids = np.zeros(0, np.int32)
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """Where the keys are, -1 for those that are not known."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
+
+    def add(self, keys: np.ndarray, ids: list[list[int]]) -> None:
+        size = np.array([len(x) for x in ids], np.int32)
+        begin = len(self.ids) + np.cumsum(size, dtype=np.int64) - size
+        keys = np.concatenate([self.keys, keys])
+        order = np.argsort(keys, kind="stable")
+        self.ids = np.concatenate([self.ids, np.fromiter((i for x in ids for i in x), np.int32, int(size.sum()))])
+        self.keys, self.begin, self.size = keys[order], np.concatenate([self.begin, begin])[order], np.concatenate([self.size, size])[order]
+
+
+def _ranges(begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The indices begin[i] to begin[i] + size[i] - 1 of all i, end to end, and the bounds."""
+    bounds = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+    return np.repeat(begin - bounds[:-1], size) + np.arange(bounds[-1]), bounds
+
+
+def _encoded(s: tb.Slice, bpe: WordBpe, known: Known) -> tuple[np.ndarray, np.ndarray]:
+    """The token ids of a slice's texts end to end, and each text's bounds."""
     starts, ends = tb.spans(s.data, s.offsets, tb.NOT_SPACE)
     hashes = tb.word_hashes(s.data, starts, ends, tb.BYTE)
-    _, at, word = np.unique(hashes, return_index=True, return_inverse=True)
+    # Hashes name words of bounded length only; a longer one is a word of its own wherever it stands.
+    long = np.flatnonzero(ends - starts > HASHED)
+    hashes[long] = np.arange(len(long), dtype=np.uint64)
+    if len(known.keys) > REMEMBER:
+        known.clear()
+    keys, at, word = np.unique(hashes, return_index=True, return_inverse=True)
+    new = np.flatnonzero(known.places(keys) < 0)
     raw = s.data.tobytes()
-    return np.searchsorted(starts, s.offsets), word.reshape(-1), bpe.encode_words([raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+    if len(new):
+        words = [raw[a:b] for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)]
+        known.add(keys[new], bpe.encode_words(words))
+    place = known.places(keys)[word.reshape(-1)]
+    flat, bounds = _ranges(known.begin[place], known.size[place])
+    ids, first = known.ids[flat], bounds[np.searchsorted(starts, s.offsets)]
+    if len(long):
+        known.clear()
+    return ids, first
+
+
+class Spelling:
+    """The bytes of all tokens, each followed by a space, in one array; and so their ids in decimal."""
+
+    def __init__(self, bpe: WordBpe) -> None:
+        top = max(bpe.token) + 1
+        self.tokens = self._table([(bpe.token[i] + " ").encode() if i in bpe.token else b"" for i in range(top)])
+        self.ids = self._table([f"{i} ".encode() for i in range(top)])
+
+    @staticmethod
+    def _table(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        size = np.array([len(p) for p in parts], np.int64)
+        return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(size) - size, size
+
+
+def _joined(table: tuple[np.ndarray, np.ndarray, np.ndarray], ids: np.ndarray, first: np.ndarray) -> Iterator[bytes]:
+    """Each text's tokens as the table spells them, without the last space."""
+    data, begin, size = table
+    row = 0
+    while row < len(first) - 1:
+        # A portion of texts at a time keeps the indices small.
+        to = max(row + 1, int(np.searchsorted(first, first[row] + PORTION, "right")) - 1)
+        part = ids[first[row] : first[to]]
+        flat, bounds = _ranges(begin[part], size[part])
+        text = data[flat].tobytes()
+        cuts = bounds[first[row : to + 1] - first[row]].tolist()
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield text[a : max(a, b - 1)]
+        row = to
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -219,15 +289,6 @@ def decode(ids: list[int], bpe: WordBpe) -> str:
     return " ".join(bpe.token[i] for i in ids)
 
 
-def _joined(word: np.ndarray, parts: list[bytes], first: np.ndarray) -> list[bytes]:
-    """Each text's parts (each ending with a space) end to end, without the last space."""
-    data = np.frombuffer(b"".join(parts), np.uint8)
-    bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-    flat, at = _spread(word, bounds, data)
-    flat = flat.tobytes()
-    return [flat[a : max(a, b - 1)] for a, b in zip(at[first[:-1]].tolist(), at[first[1:]].tolist(), strict=True)]
-
-
 def _run(docs: DataFrame, path: str, columns: list) -> DataFrame:
     small_batches(docs.sparkSession)
     with open(path, encoding="utf-8") as f:
@@ -236,17 +297,20 @@ def _run(docs: DataFrame, path: str, columns: list) -> DataFrame:
     names = [k for k, _ in columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _loaded(spec.value)
+        # The model lives as long as the task: workers that wait for others hold nothing.
+        bpe, known = WordBpe(json.loads(spec.value)), Known()
+        spelling = Spelling(bpe)
         for s in tb.slices(batches):
-            first, word, found = _encoded(s, bpe)
-            ids, decoded = (_joined(word, [x[k] for x in found], first) for k in (1, 2))
-            more: dict[str, object] = {"n_tokens": tb.sums_by(np.array([x[0] for x in found], np.int64)[word], first)}
+            ids, first = _encoded(s, bpe, known)
+            more: dict[str, object] = {"n_tokens": np.diff(first)}
             if "ids" in names:
-                more["ids"] = pa.array([np.array(x.split(), np.int32) for x in ids], pa.list_(pa.int32()))
-                more["decoded"] = pa.array([d.decode() for d in decoded], pa.string())
+                more["ids"] = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids))
+                more["decoded"] = pa.array([d.decode() for d in _joined(spelling.tokens, ids, first)], pa.string())
             else:
-                more |= {k: pa.array([hashlib.sha256(x).hexdigest() for x in v], pa.string()) for k, v in (("ids_sha256", ids), ("decoded_sha256", decoded))}
+                more |= {k: pa.array([hashlib.sha256(x).hexdigest() for x in _joined(v, ids, first)], pa.string()) for k, v in (("ids_sha256", spelling.ids), ("decoded_sha256", spelling.tokens))}
             yield tb.with_columns(s.batch, more).select(schema.names)
+        del bpe, known, spelling
+        tb.give_back()
 
     return docs.mapInArrow(run, schema)
 

@@ -88,6 +88,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def give_back() -> None:
     """Hands memory that is free but kept back to the system: workers idle between tasks beside others that run."""
+    _powers[:] = [a[:1].copy() for a in _powers]
     pa.default_memory_pool().release_unused()
     if hasattr(_C, "malloc_trim"):
         _C.malloc_trim(0)
