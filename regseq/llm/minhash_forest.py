@@ -93,7 +93,7 @@ def _classes(keys: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, cls, sig) of each row; cls and sig are null where there are no words."""
+    """(doc_id, __text, n_shingles, cls, sig) of each row; cls and sig are null where there are no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in tb.slices(batches):
@@ -112,13 +112,17 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
             none = pa.array(size == 0)
             cols = [_binary(_classes(keys, first)), _binary(sig)]
             cols = [pc.if_else(none, pa.scalar(None, pa.binary()), c) for c in cols]
-            yield pa.RecordBatch.from_arrays([s.batch.column(s.batch.schema.get_field_index("doc_id")), pa.array(size.astype(np.int64)), *cols], names=["doc_id", "n_shingles", "cls", "sig"])
+            own = [s.batch.column(s.batch.schema.get_field_index(c)) for c in ("doc_id", "__text")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(size.astype(np.int64)), *cols], names=["doc_id", "__text", "n_shingles", "cls", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("cls", T.BinaryType()), T.StructField("sig", T.BinaryType())]))
+    return docs.select("doc_id", "__text", "text").mapInArrow(run, T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("__text", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("cls", T.BinaryType()), T.StructField("sig", T.BinaryType())]))
 
 
 def _orders(classes: DataFrame, values: int) -> DataFrame:
-    """(okey, cls, n, label) for each tree, sorted by okey: tree, prefix, then one byte of each further value."""
+    """(okey, cls, n, label, heads) for each tree, sorted by okey: tree, prefix, then one byte of each further value.
+
+    heads: the prefixes in all trees.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -127,10 +131,11 @@ def _orders(classes: DataFrame, values: int) -> DataFrame:
                 sig = _matrix(b.column("sig"), 4 * _ORDERED + VALUES)
                 heads, low = sig[:, : 4 * _ORDERED].reshape(-1, TREES, 4 * BASE_DEPTH), sig[:, 4 * _ORDERED : 4 * _ORDERED + values]
                 rows = [np.hstack([np.full((len(sig), 1), t, np.uint8), heads[:, t], np.roll(low, -(t + 1) * BASE_DEPTH, axis=1)]) for t in range(TREES)]
-                rest = [pa.chunked_array([b.column(c)] * TREES).combine_chunks() for c in ("cls", "n", "label")]
-                yield pa.RecordBatch.from_arrays([_binary(np.vstack(rows)), *rest], names=["okey", "cls", "n", "label"])
+                rest = [b.column("cls"), b.column("n"), b.column("label"), _binary(sig[:, : 4 * _ORDERED])]
+                rest = [pa.chunked_array([c] * TREES).combine_chunks() for c in rest]
+                yield pa.RecordBatch.from_arrays([_binary(np.vstack(rows)), *rest], names=["okey", "cls", "n", "label", "heads"])
 
-    rows = classes.select("cls", "n", "label", "sig").mapInArrow(run, "okey binary, cls binary, n long, label binary")
+    rows = classes.select("cls", "n", "label", "sig").mapInArrow(run, "okey binary, cls binary, n long, label binary, heads binary")
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartitionByRange(parts, "okey", "cls").sortWithinPartitions("okey", "cls")
 
@@ -154,8 +159,11 @@ def _regions(okey: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return base, part
 
 
-def _near(okey: np.ndarray, n: np.ndarray, label: np.ndarray, percent: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of rows of one region whose signatures agree well enough and whose labels differ, and how many values agree."""
+def _near(okey: np.ndarray, n: np.ndarray, label: np.ndarray, heads: np.ndarray | None, percent: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows of one region whose signatures agree well enough and whose labels differ, and how many values agree.
+
+    heads (rows, trees, bytes): pairs that are in one region of an earlier tree are left to it.
+    """
     base, part = _regions(okey, most)
     sketch = okey[:, _KEY:]
     values, s = sketch.shape[1], percent / 100
@@ -175,6 +183,10 @@ def _near(okey: np.ndarray, n: np.ndarray, label: np.ndarray, percent: int, most
             x, y = a[at : at + CHUNK], b[at : at + CHUNK]
             same = (sketch[x] == sketch[y]).sum(axis=1)
             good = same >= least
+            if heads is not None and good.any():
+                x, y, same = x[good], y[good], same[good]
+                # The first tree in which the prefixes are equal; there is one, this tree.
+                good = (heads[x] == heads[y]).all(axis=2).argmax(axis=1) == okey[x, 0]
             found.append((x[good], y[good], same[good]))
     a, b, same = (np.concatenate(c) for c in zip(*found, strict=True))
     return a, b, same
@@ -216,7 +228,7 @@ def _candidates(classes: DataFrame, percent: int, first: bool) -> DataFrame:
     """Of classes (cls, n, sig, label): candidate pairs (cls, other) of different labels.
 
     first: (cls, other, score) with TREE_PARTNERS likeliest candidates of each class and tree,
-    both ways.  Else all candidate pairs, once each in a tree.  Where other is null, cls was not
+    both ways.  Else all candidate pairs, each in the first tree that has it in one region.  Where other is null, cls was not
     held against its whole region.
     """
     values, most = (FIRST_VALUES, FIRST_REGION) if first else (VALUES, REGION)
@@ -239,7 +251,8 @@ def _candidates(classes: DataFrame, percent: int, first: bool) -> DataFrame:
             yield flagged(rows.column("cls"), partly)
             last = rows.column("cls").filter(pa.array(base == base[-1]))
             rank = prefix(rows.column("cls"))
-            a, b, score = _near(okey, rows.column("n").to_numpy(), prefix(rows.column("label")), percent, most)
+            heads = None if first else _matrix(rows.column("heads"), 4 * _ORDERED).reshape(-1, TREES, 4 * BASE_DEPTH)
+            a, b, score = _near(okey, rows.column("n").to_numpy(), prefix(rows.column("label")), heads, percent, most)
             if not len(a):
                 continue
             x, y, score = (np.concatenate([a, b]), np.concatenate([b, a]), np.tile(score, 2)) if first else (np.where(rank[a] < rank[b], b, a), np.where(rank[a] < rank[b], a, b), score)
@@ -254,7 +267,8 @@ def _candidates(classes: DataFrame, percent: int, first: bool) -> DataFrame:
         if last is not None:
             yield flagged(last, np.ones(len(last), bool))
 
-    return _orders(classes, values).mapInArrow(run, "cls binary, other binary, score int")
+    orders = _orders(classes, values)
+    return (orders.drop("heads") if first else orders).mapInArrow(run, "cls binary, other binary, score int")
 
 
 def _full_sets(ends: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
@@ -290,18 +304,21 @@ def _exact_pairs(cut: DataFrame, labels: DataFrame, classes: DataFrame, docs: Da
                 yield pa.RecordBatch.from_arrays([part.column("cls").take(of), pa.array(np.repeat(n, n)), pa.array(np.frombuffer(data.tobytes(), np.int64))], names=["cls", "n", "key"])
 
     held = stored(_full_sets(cut, classes, docs, words).mapInArrow(rows, "cls binary, n long, key long"))
-    common = held.groupBy("key").count().filter("count > 1")
-    shared = held.join(common, "key")
+    named = held.join(labels, "cls")
+    by_label = named.groupBy("key", "label").agg(F.count("*").alias("m"))
+    # Keys of which all classes have one label lead to no pair.
+    common = by_label.groupBy("key").agg(F.sum("m").alias("count"), F.count("*").alias("labels"), F.max_by("label", F.struct("m", "label")).alias("heavy")).filter("count > 1")
     place = F.row_number().over(Window.partitionBy("cls").orderBy("count", "key"))
     alone = F.col("n") - F.count("*").over(Window.partitionBy("cls"))
     reach = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    rare = shared.withColumn("place", place + alone).filter(F.col("place") <= reach).join(labels, "cls")
-    # Frequent shingles are dealt to salts by class, each of which meets all others.
+    rare = named.join(common, "key").withColumn("place", place + alone).filter((F.col("place") <= reach) & (F.col("labels") > 1))
+    # Classes of a shingle's most frequent label meet those of its other labels only; they are
+    # dealt to salts, each of which meets all of the others.
     salts = F.ceil(F.col("count") / SHARERS).cast("int")
-    x = rare.select("key", "cls", "n", "label", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    y = rare.select("key", F.col("cls").alias("other"), F.col("n").alias("m"), F.col("label").alias("of_other"), F.pmod(F.xxhash64("cls"), salts).cast("int").alias("salt"))
-    fit = (F.col("cls") > F.col("other")) & (F.col("label") != F.col("of_other")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-    return x.join(y, ["key", "salt"]).filter(fit).select("cls", "other").distinct()
+    x = rare.filter(F.col("label") != F.col("heavy")).select("key", "cls", "n", "label", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    y = rare.select("key", F.col("cls").alias("other"), F.col("n").alias("m"), F.col("label").alias("of_other"), (F.col("label") == F.col("heavy")).alias("lone"), F.pmod(F.xxhash64("cls"), salts).cast("int").alias("salt"))
+    fit = (F.col("lone") | (F.col("cls") > F.col("other"))) & (F.col("label") != F.col("of_other")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+    return x.join(y, ["key", "salt"]).filter(fit).select(F.greatest("cls", "other").alias("cls"), F.least("cls", "other").alias("other")).distinct()
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -328,17 +345,10 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int
     return met.mapInArrow(agree, "u binary, v binary")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text, ...).
-
-    Texts are linked if 100 * shared shingles >= percent * shingles of both.  component_id is
-    the least doc_id that links lead to, the own included; kept: it is the own.  A text that is
-    null or without words has no shingles and is linked with nothing.  Rows repeated as a whole
-    get equal results.  A row without doc_id takes part in links; it is kept only if no row of
-    its component has one.  Further columns of docs are not looked at.
-    """
+def _resolved(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(doc_id, __text, n_shingles, cls, root, component_id) of each row: its text's hash, class, and component."""
     small_batches(docs.sparkSession)
-    signed = stored(signatures(docs, words))
+    signed = stored(signatures(docs.withColumn("__text", F.xxhash64("text")), words))
     classes = stored(signed.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")))
     first = _candidates(classes.withColumn("label", F.col("cls")), percent, True).groupBy("cls")
     # A class without candidates is done with, unless a region of it was cut.
@@ -356,25 +366,42 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         # Components so far are stars, to which the new links are added.
         roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
     merged = classes.select("cls", "rep").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
-    named = merged.join(merged.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("cls", "component_id")
-    out = signed.select("doc_id", "n_shingles", "cls").join(named, "cls", "left")
+    named = merged.join(merged.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("cls", "root", "component_id")
+    return signed.drop("sig").join(named, "cls", "left")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text, ...).
+
+    Texts are linked if 100 * shared shingles >= percent * shingles of both.  component_id is
+    the least doc_id that links lead to, the own included; kept: it is the own.  A text that is
+    null or without words has no shingles and is linked with nothing.  Rows repeated as a whole
+    get equal results.  A row without doc_id takes part in links; it is kept only if no row of
+    its component has one.  Further columns of docs are not looked at.
+    """
     own = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+    return _resolved(docs, words, percent).select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each component.
+    """docs with one row of each component: that of the least doc_id, then of the least hash of the text.
 
-    Of rows with one doc_id one stays if any of them is repeated; rows without doc_id stay.
+    Only rows whose own text is a repeat go, whatever other rows have their doc_id; of rows with
+    equal doc_id and text the one stays whose columns have the least hash.  Rows without words
+    or without doc_id stay.
     """
-    found = stored(near_duplicates(docs, words, percent))
-    gone = stored(found.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct())
-    bounded = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    left = docs.join(bounded, "doc_id", "left_anti").select(docs.columns)
-    if found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        named = left.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-        left = named.unionByName(left.filter(F.col("doc_id").isNull()))
-    return left
+    found = stored(_resolved(docs, words, percent).filter(F.col("doc_id").isNotNull() & F.col("cls").isNotNull()).select("doc_id", "__text", "root"))
+    chosen = found.groupBy("root").agg(F.min(F.struct("doc_id", "__text")).alias("x")).select("root", "x.*")
+    keys = ["doc_id", "__text"]
+    gone = stored(found.join(chosen, ["root", *keys], "left_anti").select(keys).distinct())
+    again = stored(found.groupBy(keys).count().filter("count > 1").join(gone, keys, "left_anti").select(keys))
+    bounded = lambda t: F.broadcast(t) if t.count() <= BROADCAST_ROWS else t
+    left = docs.withColumn("__text", F.xxhash64("text")).join(bounded(gone), keys, "left_anti")
+    if not again.isEmpty():
+        one = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns))
+        once = left.join(bounded(again), keys, "left_semi").groupBy(keys).agg(one.alias("x")).select("x.*")
+        return left.join(bounded(again), keys, "left_anti").select(docs.columns).unionByName(once)
+    return left.select(docs.columns)
 
 
 def op3_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

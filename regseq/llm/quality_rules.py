@@ -72,9 +72,9 @@ def quality_rules(docs: DataFrame, trees: gbt.Trees, threshold: float = THRESHOL
 
 def filter_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents kept, with their columns as they were."""
-    flagged = quality_rules(docs.withColumnRenamed("kept", "__kept") if "kept" in docs.columns else docs, train(docs, labels))
-    flagged = flagged.filter(F.col("kept"))
-    return flagged.select([F.col("__kept").alias("kept") if c == "kept" else F.col(c) for c in docs.columns])
+    own = {c: f"__own_{c}" for c in docs.columns if c in dict(_COLUMNS)}
+    flagged = quality_rules(docs.withColumnsRenamed(own), train(docs, labels)).filter(F.col("kept"))
+    return flagged.select([F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
