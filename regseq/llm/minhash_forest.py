@@ -315,9 +315,11 @@ def _exact_pairs(cut: DataFrame, labels: DataFrame, classes: DataFrame, docs: Da
     # Classes of a shingle's most frequent label meet those of its other labels only; they are
     # dealt to salts, each of which meets all of the others.
     salts = F.ceil(F.col("count") / SHARERS).cast("int")
-    x = rare.filter(F.col("label") != F.col("heavy")).select("key", "cls", "n", "label", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    y = rare.select("key", F.col("cls").alias("other"), F.col("n").alias("m"), F.col("label").alias("of_other"), (F.col("label") == F.col("heavy")).alias("lone"), F.pmod(F.xxhash64("cls"), salts).cast("int").alias("salt"))
-    fit = (F.col("lone") | (F.col("cls") > F.col("other"))) & (F.col("label") != F.col("of_other")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+    x = rare.filter(F.col("label") != F.col("heavy")).select("key", "cls", "n", "place", "label", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    y = rare.select("key", F.col("cls").alias("other"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("label").alias("of_other"), (F.col("label") == F.col("heavy")).alias("lone"), F.pmod(F.xxhash64("cls"), salts).cast("int").alias("salt"))
+    fit = (F.col("lone") | (F.col("cls") > F.col("other"))) & (F.col("label") != F.col("of_other"))
+    # If this is the first shingle that both have, they share no more than those from here on.
+    fit &= (1 + F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at"))) * (100 + percent) >= percent * (F.col("n") + F.col("m"))
     return x.join(y, ["key", "salt"]).filter(fit).select(F.greatest("cls", "other").alias("cls"), F.least("cls", "other").alias("other")).distinct()
 
 
@@ -355,16 +357,21 @@ def _resolved(docs: DataFrame, words: int, percent: int) -> DataFrame:
     best = stored(first.agg(F.slice(F.sort_array(F.collect_set(F.when(F.col("other").isNotNull(), F.struct("score", "other"))), asc=False), 1, PARTNERS).alias("p")))
     pairs = best.select("cls", F.explode("p").alias("x")).select(F.greatest("cls", "x.other").alias("cls"), F.least("cls", "x.other").alias("other"))
     roots = components(stored(_confirmed(stored(pairs.distinct()), classes, docs, words, percent)))
-    live = classes.join(best.select("cls"), "cls", "left_semi").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", "n", "sig", F.coalesce("root", "cls").alias("label"))
-    live = stored(live)
+    labelled = lambda of: of.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("root", "cls")).drop("root")
+    live = stored(labelled(classes.join(best.select("cls"), "cls", "left_semi").select("cls", "rep", "n", "sig")))
     met = stored(_candidates(live, percent, False).select("cls", "other").distinct())
+    pairs = met.filter(F.col("other").isNotNull())
     cut = met.filter(F.col("other").isNull()).select("cls")
-    exact = _exact_pairs(cut, live.select("cls", "label"), classes, docs, words, percent)
-    rest = met.filter(F.col("other").isNotNull()).union(exact).distinct()
-    more = stored(_confirmed(stored(rest), classes, docs, words, percent))
-    if not more.isEmpty():
-        # Components so far are stars, to which the new links are added.
-        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
+    for exact in (False, True):
+        if exact:
+            # By the labels that the second step has left.
+            pairs = stored(_exact_pairs(cut, labelled(live.select("cls")), classes, docs, words, percent))
+        if pairs.isEmpty():
+            continue
+        more = stored(_confirmed(pairs, classes, docs, words, percent))
+        if not more.isEmpty():
+            # Components so far are stars, to which the new links are added.
+            roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
     merged = classes.select("cls", "rep").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
     named = merged.join(merged.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("cls", "root", "component_id")
     return signed.drop("sig").join(named, "cls", "left")
