@@ -68,7 +68,9 @@ def windows(seq: ColumnOrName, width: int, step: int = 1) -> Column:
     """All (offset, seq) windows that lie wholly inside, as an array."""
     last = F.length(_c(seq)) - width
     starts = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(i.alias("offset"), _c(seq).substr(i + 1, F.lit(width)).alias("seq")))
+    # Bases are bytes: a slice of bytes costs its own width, one of a string all that is before it.
+    cut = lambda whole: F.transform(starts, lambda i: F.struct(i.alias("offset"), whole.substr(i + 1, F.lit(width)).cast("string").alias("seq")))
+    return F.get(F.transform(F.array(_c(seq).cast("binary")), cut), 0)
 
 
 def site_interval(position: ColumnOrName, width: int | Column, site_strand: ColumnOrName, lo: ColumnOrName, hi: ColumnOrName, strand: ColumnOrName) -> tuple[Column, Column, Column]:

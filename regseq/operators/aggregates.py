@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from regseq.functions.kernels import gram_counts, position_counts
+
 
 def cds_span(gff: DataFrame) -> DataFrame:
     """(gene_id, lo, hi) of all CDS lines of each gene; gff has gene_id (sweeps.assign_gene), start and end 1-based and closed."""
@@ -24,8 +26,7 @@ def count_matrix(aligned: DataFrame) -> DataFrame:
     bad = aligned.groupBy("motif_id").agg(F.min(length).alias("a"), F.max(length).alias("b")).filter("a <> b").limit(1).collect()
     if bad:
         raise ValueError(f"sequences of unequal length in motif {bad[0]['motif_id']}")
-    rows = aligned.select("motif_id", F.posexplode(F.split("seq", "")).alias("pos", "base"))
-    return rows.groupBy("motif_id", "pos").agg(*(F.count_if(F.col("base") == b).alias(b) for b in "ACGT"))
+    return position_counts(aligned).groupBy("motif_id", "pos").agg(*(F.sum(b).alias(b) for b in "ACGT"))
 
 
 def profiles(pairs: DataFrame) -> DataFrame:
@@ -51,11 +52,8 @@ def score_histogram(pairs: DataFrame, width: int, bins: int) -> DataFrame:
 
 def markov_model(seqs: DataFrame, order: int) -> DataFrame:
     """(context, base, n, p): how bases follow `order` bases; only A, C, G, T, never across sequences."""
-    last = F.length("seq") - order - 1
-    at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    grams = seqs.select(F.explode(F.transform(at, lambda i: F.col("seq").substr(i + 1, F.lit(order + 1)))).alias("g"))
-    # Letters are checked on the few distinct grams, after the counting.
-    counts = grams.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("g").rlike(f"^[ACGT]{{{order + 1}}}$")).select(F.col("g").substr(1, order).alias("context"), F.col("g").substr(order + 1, 1).alias("base"), "n")
+    gram, n = F.col("gram"), F.sum("n").alias("n")
+    counts = gram_counts(seqs, order + 1).groupBy("gram").agg(n).select(gram.substr(1, order).alias("context"), gram.substr(order + 1, 1).alias("base"), "n")
     return counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("context")))
 
 

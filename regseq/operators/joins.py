@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from regseq.functions.kernels import distinct_kmers
 from regseq.functions.sequence import revcomp
 
 TILE = 10_000
@@ -130,47 +131,32 @@ def orthologs_from_homology(members: DataFrame, species: str, pattern: str = ".*
     return x.join(y, "homology_id").filter("gene_id <> ortholog").select("gene_id", "ortholog", "ortholog_species").distinct()
 
 
-def kmers(seqs: DataFrame, k: int) -> DataFrame:
-    """(id, kmer), each once."""
-    last = F.length("seq") - k
-    at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return seqs.select("id", F.explode(F.array_distinct(F.transform(at, lambda i: F.col("seq").substr(i + 1, F.lit(k))))).alias("kmer"))
-
-
 #: Targets of one k-mer that one task of the join meets at most, on average.
 KMER_TARGETS = 1000
 
 
 def _shared_kmers(x: DataFrame, y: DataFrame) -> DataFrame:
-    """(query, target, shared) of k-mers x and y; k-mers of many targets are dealt to salts by target."""
+    """(query, target, shared, score) of k-mers x and y (id, n, kmer); k-mers of many targets are dealt to salts by target."""
     salts = y.groupBy("kmer").agg(F.ceil(F.count("*") / KMER_TARGETS).cast("int").alias("salts"))
-    x = x.join(salts, "kmer").select(F.col("id").alias("query"), "kmer", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    y = y.join(salts, "kmer").select(F.col("id").alias("target"), "kmer", F.pmod(F.xxhash64("id"), "salts").cast("int").alias("salt"))
-    return x.join(y, ["kmer", "salt"]).groupBy("query", "target").agg(F.count("*").alias("shared"))
+    x = x.join(salts, "kmer").select(F.col("id").alias("query"), F.col("n").alias("n_query"), "kmer", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    y = y.join(salts, "kmer").select(F.col("id").alias("target"), F.col("n").alias("n_target"), "kmer", F.pmod(F.xxhash64("id"), "salts").cast("int").alias("salt"))
+    score = F.col("shared") / F.least("n_query", "n_target")
+    return x.join(y, ["kmer", "salt"]).groupBy("query", "target", "n_query", "n_target").agg(F.count("*").alias("shared")).select("query", "target", "shared", score.alias("score"))
 
 
-def kmer_hits(a: DataFrame, b: DataFrame, k: int, min_shared: int, most: int | None = None) -> DataFrame:
+def kmer_hits(a: DataFrame, b: DataFrame, k: int, min_shared: int) -> DataFrame:
     """(query, target, shared, score): shared distinct k-mers over the smaller set; an id names one sequence.
 
-    All k-mers count; equal sequences are compared once.  With `most`, k-mers of more than so
-    many sequences of b are left out of the counts, and hits by those alone are lost.
+    All k-mers count; equal sequences are compared once.  Only k-mers that a has leave the scan
+    of b: they are picked by a hash join with a's distinct k-mers, broadcast by Spark if small.
     """
-    size = lambda df, name: df.groupBy("id").count().select(F.col("id").alias(name), F.col("count").alias(f"n_{name}"))
-    score = (F.col("shared") / F.least("n_query", "n_target")).alias("score")
-    if most is None:
-        cls = F.md5("seq")
-        x, y = (kmers(s.select(cls.alias("id"), "seq").dropDuplicates(["id"]), k) for s in (a, b))
-        met = _shared_kmers(x, y).filter(F.col("shared") >= min_shared).join(size(x, "query"), "query").join(size(y, "target"), "target")
-        met = met.select(F.col("query").alias("cls_a"), F.col("target").alias("cls_b"), "shared", score)
-        ids = lambda s, name, key: s.select(F.col("id").alias(name), cls.alias(key)).distinct()
-        return met.join(ids(a, "query", "cls_a"), "cls_a").join(ids(b, "target", "cls_b"), "cls_b").select("query", "target", "shared", "score")
-    x, y = kmers(a, k), kmers(b, k)
-    rare = y.groupBy("kmer").count().filter(F.col("count") <= most).select("kmer")
-    y = y.join(rare, "kmer", "left_semi")
-    x = x.join(rare, "kmer", "left_semi")
-    shared = x.withColumnRenamed("id", "query").join(y.withColumnRenamed("id", "target"), "kmer").groupBy("query", "target").agg(F.count("*").alias("shared"))
-    joined = shared.filter(F.col("shared") >= min_shared).join(size(x, "query"), "query").join(size(y, "target"), "target")
-    return joined.select("query", "target", "shared", score)
+    cls = F.md5("seq")
+    x, y = (distinct_kmers(s.select(cls.alias("id"), "seq"), k) for s in (a, b))
+    x = x.dropDuplicates(["id", "kmer"])
+    y = y.join(x.select("kmer").distinct(), "kmer", "left_semi").dropDuplicates(["id", "kmer"])
+    met = _shared_kmers(x, y).filter(F.col("shared") >= min_shared).withColumnsRenamed({"query": "cls_a", "target": "cls_b"})
+    ids = lambda s, name, key: s.select(F.col("id").alias(name), cls.alias(key)).distinct()
+    return met.join(ids(a, "query", "cls_a"), "cls_a").join(ids(b, "target", "cls_b"), "cls_b").select("query", "target", "shared", "score")
 
 
 def extract_sequence(intervals: DataFrame, seqs: DataFrame, tile: int = 1 << 16) -> DataFrame:
@@ -179,8 +165,11 @@ def extract_sequence(intervals: DataFrame, seqs: DataFrame, tile: int = 1 << 16)
     Sequences are cut into tiles, so that no chromosome is one row of the join; an interval
     gathers the few tiles it touches.
     """
-    cuts = F.transform(F.sequence(F.lit(0), F.greatest(F.length("seq") - 1, F.lit(0)), F.lit(tile)), lambda i: F.struct((i / tile).cast("long").alias("t"), F.col("seq").substr(i + 1, F.lit(tile)).alias("s")))
-    tiles = seqs.select(F.col("id").alias("chrom"), F.length("seq").alias("size"), F.inline(cuts))
+    # Tiles are cut from bytes, where a slice costs its own width.
+    starts = F.sequence(F.lit(0), F.greatest(F.length("seq") - 1, F.lit(0)), F.lit(tile))
+    cuts = F.transform(F.array(F.col("seq").cast("binary")), lambda whole: F.transform(starts, lambda i: F.struct((i / tile).cast("long").alias("t"), whole.substr(i + 1, F.lit(tile)).cast("string").alias("s"))))
+    seqs = seqs.join(intervals.select(F.col("chrom").alias("id")).distinct(), "id", "left_semi")
+    tiles = seqs.select(F.col("id").alias("chrom"), F.length("seq").alias("size"), F.inline(F.get(cuts, 0)))
     wanted = intervals.filter("lo >= 0 and lo < hi").withColumn("t", F.explode(F.sequence(F.floor(F.col("lo") / tile), F.floor((F.col("hi") - 1) / tile))))
     joined = wanted.join(tiles, ["chrom", "t"]).filter("hi <= size")
     whole = joined.groupBy(*intervals.columns).agg(F.sort_array(F.collect_list(F.struct("t", "s"))).alias("p"))

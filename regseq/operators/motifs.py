@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from regseq.functions.sequence import revcomp, site_interval, windows
+from regseq.functions.kernels import motif_scores
+from regseq.functions.sequence import site_interval
 from regseq.operators.graph import _cut
 from regseq.operators.statistics import best_binomial
 from regseq.operators.topk import top_sites
@@ -16,6 +18,8 @@ OVERHANG = {"A": 0.32, "C": 0.18, "G": 0.18, "T": 0.32}
 #: Two-way ties.
 IUPAC = {"GT": "K", "AC": "M", "AG": "R", "CG": "S", "AT": "W", "CT": "Y"}
 TINY = 1e-9
+#: Motifs that one scan takes.
+MAX_MOTIFS = 20_000
 
 
 def frequencies(counts: DataFrame, kind: str = "p", p: float = 1.0) -> DataFrame:
@@ -140,23 +144,20 @@ def representatives(clusters: DataFrame, freq: DataFrame) -> DataFrame:
 def scan(seqs: DataFrame, freq: DataFrame, background: dict[str, float] | None = None, least: float | None = None) -> DataFrame:
     """(id, motif_id, site, strand, score): log-odds of each window against the background on both strands.
 
-    A base that is not A, C, G or T adds 0.  Motifs are broadcast as compact arrays (their number
-    is bounded by the caller's motif table); least drops lower scores early.
+    A base that is not A, C, G or T adds 0.  Motifs, at most MAX_MOTIFS, go to all tasks as
+    arrays; `least` drops lower scores in the scan.
     """
     background = background or dict.fromkeys(BASES, 0.25)
-    odds = F.transform("m", lambda p: F.transform(F.arrays_zip(p.alias("f"), F.array(*(F.lit(background[b]) for b in BASES)).alias("b")), lambda x: F.log2(F.when(x["f"] > 0, x["f"]).otherwise(TINY) / x["b"])))
-    motifs = compact(freq).select("motif_id", F.size("m").alias("width"), odds.alias("odds"))
-    widths = [r["width"] for r in motifs.select("width").distinct().collect()]
-    letter = lambda c: F.instr(F.lit(BASES), c) - 1
-    out = None
-    for width in sorted(widths):
-        cut = seqs.select("id", F.explode(windows("seq", width)).alias("w")).select("id", F.col("w.offset").alias("site"), F.col("w.seq").alias("s"))
-        both = cut.select("id", "site", F.lit("+").alias("strand"), "s").union(cut.select("id", "site", F.lit("-").alias("strand"), revcomp("s").alias("s")))
-        value = F.aggregate(F.zip_with(F.split("s", ""), "odds", lambda c, o: F.when(letter(c) >= 0, F.get(o, letter(c))).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
-        part = both.join(F.broadcast(motifs.filter(F.col("width") == width)), F.lit(True)).select("id", "motif_id", "site", "strand", value.alias("score"))
-        part = part.filter(F.col("score") >= least) if least is not None else part
-        out = part if out is None else out.union(part)
-    return out if out is not None else seqs.sparkSession.createDataFrame([], "id string, motif_id string, site int, strand string, score double")
+    rows = freq.groupBy("motif_id").agg(F.collect_list(F.struct("pos", "base", "freq")).alias("c")).limit(MAX_MOTIFS + 1).collect()
+    if len(rows) > MAX_MOTIFS:
+        raise ValueError(f"more than {MAX_MOTIFS} motifs")
+    tables = []
+    for r in sorted(rows, key=lambda r: r["motif_id"]):
+        value = np.zeros((max(c["pos"] for c in r["c"]) + 1, 4))
+        for c in r["c"]:
+            value[c["pos"], BASES.index(c["base"])] = c["freq"]
+        tables.append((r["motif_id"], np.log2(np.where(value > 0, value, TINY) / [background[b] for b in BASES])))
+    return motif_scores(seqs, tables, freq.schema["motif_id"].dataType, least)
 
 
 def empirical_p(scores: DataFrame, background: DataFrame, step: float = 0.01) -> DataFrame:

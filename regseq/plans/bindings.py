@@ -47,10 +47,12 @@ def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As intervals, but on the first documents as chromosomes, so that there is sequence under them."""
+    """As intervals, but dealt over all documents as chromosomes and over their whole lengths."""
     n = F.col("n")
-    lo = (n * 7919) % 1500
-    return intervals(spark, sf_dir).withColumns({"chrom": F.concat(F.lit("d"), (n % 200).cast("string")), "lo": lo, "hi": lo + 20 + (n * 31) % 180})
+    size = seqs(spark, sf_dir).select(F.col("id").alias("chrom"), F.length("seq").alias("__size"))
+    dealt = intervals(spark, sf_dir).withColumn("chrom", F.concat(F.lit("d"), (n % table(spark, sf_dir, "documents").count()).cast("string")))
+    lo = (n * 7919) % F.greatest(F.col("__size") - 200, F.lit(1))
+    return dealt.join(size, "chrom").withColumns({"lo": lo, "hi": lo + 20 + (n * 31) % 180}).drop("__size")
 
 
 def genes(df: DataFrame) -> DataFrame:
@@ -83,8 +85,8 @@ def pvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(motif_id, seq): twelve-base sites of each source, one at the end of each document."""
-    return seqs(spark, sf_dir).filter(F.length("seq") >= 12).select(F.col("source").alias("motif_id"), F.expr("right(seq, 12)").alias("seq"))
+    """(motif_id, seq): the twelve bases behind every GAT of each document, by source."""
+    return seqs(spark, sf_dir).select(F.col("source").alias("motif_id"), F.explode(F.regexp_extract_all("seq", F.lit("GAT([ACGTN]{12})"), 1)).alias("seq"))
 
 
 _TYPES = ", ".join(f"'{t}'" for t in GENE_TYPES)
@@ -93,7 +95,7 @@ SQL = {
     "seqs": f"seqs AS (SELECT 'd' || doc_id AS id, source, lang, {_BASES_SQL} AS seq FROM documents)",
     "items": f"items AS (SELECT 'b' || item_id AS id, item_id AS n, {_BASES_SQL} AS seq FROM benchmark)",
     "iv": "iv AS (SELECT event_id AS n, 'e' || event_id AS id, 'e' || event_id AS name, 'c' || user_id AS chrom, (event_id * 7919) % 200000 AS lo, (event_id * 7919) % 200000 + 50 + (event_id * 31) % 900 AS hi, CASE WHEN event_id % 2 = 0 THEN '+' ELSE '-' END AS strand, event_type AS type, value FROM events)",
-    "pl": "pl AS (SELECT event_id AS n, 'e' || event_id AS id, 'e' || event_id AS name, 'd' || (event_id % 200) AS chrom, (event_id * 7919) % 1500 AS lo, (event_id * 7919) % 1500 + 20 + (event_id * 31) % 180 AS hi, CASE WHEN event_id % 2 = 0 THEN '+' ELSE '-' END AS strand, event_type AS type FROM events)",
+    "pl": "p0 AS (SELECT event_id AS n, 'd' || (event_id % (SELECT count(*) FROM documents)) AS chrom, CASE WHEN event_id % 2 = 0 THEN '+' ELSE '-' END AS strand, event_type AS type FROM events), pl AS (SELECT n, 'e' || n AS id, 'e' || n AS name, chrom, (n * 7919) % greatest(length(seq) - 200, 1) AS lo, (n * 7919) % greatest(length(seq) - 200, 1) + 20 + (n * 31) % 180 AS hi, strand, type FROM p0 JOIN seqs ON seqs.id = chrom)",
     "iv_genes": f"g AS (SELECT * FROM iv WHERE type IN ({_TYPES}))",
     "iv_prom": f"p AS (SELECT * FROM iv WHERE type NOT IN ({_TYPES}))",
     "pl_genes": f"g AS (SELECT * FROM pl WHERE type IN ({_TYPES}))",
@@ -101,7 +103,7 @@ SQL = {
     "hits": "pairs AS (SELECT l_partkey, l_suppkey, min(l_extendedprice) AS there, min(l_extendedprice * l_quantity) AS back FROM lineitem GROUP BY ALL), hits AS (SELECT 'p' || l_partkey AS query, 'part' AS query_db, 's' || l_suppkey AS target, 'supplier' AS target_db, there AS significance FROM pairs UNION ALL SELECT 's' || l_suppkey, 'supplier', 'p' || l_partkey, 'part', back FROM pairs)",
     "edges": "edges AS (SELECT 'c' || o_custkey AS src, 's' || l_suppkey AS dst, o_orderpriority = '1-URGENT' AS bidir, l_quantity AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey)",
     "pvalues": "pv AS (SELECT event_id AS hit_id, 'c' || user_id AS seq_id, event_type AS motif, ((event_id * 7919) % 9973 + 1) / 10000.0::DOUBLE AS pvalue FROM events)",
-    "aligned": "aligned AS (SELECT source AS motif_id, right(seq, 12) AS seq FROM seqs WHERE length(seq) >= 12)",
+    "aligned": "aligned AS (SELECT source AS motif_id, unnest(regexp_extract_all(seq, 'GAT([ACGTN]{12})', 1)) AS seq FROM seqs)",
 }
 
 

@@ -180,7 +180,7 @@ mg AS (SELECT {k}, min(lo) AS lo, max(hi) AS hi, count(*) AS n FROM y GROUP BY {
 _SITES = "st AS (SELECT seq_id, motif, hit_id, pvalue, (hit_id * 7919) % 200000 % 3000 AS pos, CASE WHEN hit_id % 2 = 0 THEN '+' ELSE '-' END AS strand FROM pv)"
 
 QUERIES = {
-    "flagship_promoters": (flagship_promoters, with_views("pl", "pl_genes", "pl_prom", "seqs") + f", t AS ({_TRIM}) SELECT t.name, t.chrom, t.lo, t.hi, t.strand, CASE WHEN t.strand = '-' THEN reverse(translate(substring(seq, t.lo + 1, t.hi - t.lo), 'ACGTN', 'TGCAN')) ELSE substring(seq, t.lo + 1, t.hi - t.lo) END AS seq FROM t JOIN seqs ON t.chrom = seqs.id WHERE t.lo < t.hi AND t.hi <= length(seq)"),
+    "flagship_promoters": (flagship_promoters, with_views("seqs", "pl", "pl_genes", "pl_prom") + f", t AS ({_TRIM}) SELECT t.name, t.chrom, t.lo, t.hi, t.strand, CASE WHEN t.strand = '-' THEN reverse(translate(substring(seq, t.lo + 1, t.hi - t.lo), 'ACGTN', 'TGCAN')) ELSE substring(seq, t.lo + 1, t.hi - t.lo) END AS seq FROM t JOIN seqs ON t.chrom = seqs.id WHERE t.lo < t.hi AND t.hi <= length(seq)"),
     "win4_trim_overlaps": (trim_overlaps, with_views("iv", "iv_genes", "iv_prom") + _TRIM),
     "win10_merge_intervals": (merge_intervals, with_views("iv") + ", " + _MERGE.format(k="chrom, strand", t="iv") + " SELECT * FROM mg"),
     "win11_region_intervals": (region_intervals, with_views("iv") + ", z AS (SELECT *, type AS gene_id FROM iv), " + _MERGE.format(k="gene_id, chrom", t="z") + " SELECT * FROM mg"),
@@ -191,7 +191,7 @@ QUERIES = {
     "win8_core_promoter": (core_promoter, with_views("iv") + ", " + _NEAR + ", t AS (SELECT *, greatest(least(1000, coalesce(CASE WHEN strand = '+' THEN left_distance ELSE right_distance END, 1000)), 200) AS take FROM nb) SELECT chrom, position, gene_id, strand, CASE WHEN strand = '+' THEN greatest(position - take, 0) ELSE position + 1 END AS lo, CASE WHEN strand = '+' THEN position ELSE position + 1 + take END AS hi FROM t"),
     "win9_stop_at_neighbour": (stop_at_neighbour, with_views("iv") + ", " + _NEAR + ", t AS (SELECT *, greatest(lo - 500, coalesce(position - left_distance, lo - 500)) AS l, least(lo + 500, coalesce(position + 1 + right_distance, lo + 500)) AS h FROM nb) SELECT chrom, position, gene_id, least(l, h) AS lo, h AS hi FROM t"),
     "win7_locus_region": (locus_region, with_views("iv") + ", " + _NEAR + " SELECT chrom, position, gene_id, strand, 'upstream' AS kind, CASE WHEN strand = '+' THEN greatest(lo - least(greatest(least(800, coalesce(left_distance, 800)), 100), lo), 0) ELSE hi END AS lo, CASE WHEN strand = '+' THEN lo ELSE least(hi + least(greatest(least(800, coalesce(right_distance, 800)), 100), greatest(201000 - hi, 0)), 201000) END AS hi FROM nb"),
-    "win2_flank": (flank, with_views("pl", "pl_genes", "seqs") + ", z AS (SELECT g.*, length(seq) AS size FROM g JOIN seqs ON g.chrom = seqs.id) SELECT name, chrom, strand, least(CASE WHEN strand = '+' THEN greatest(lo - 300, 0) ELSE hi END, size) AS lo, least(CASE WHEN strand = '+' THEN lo ELSE least(hi + 300, size) END, size) AS hi FROM z"),
+    "win2_flank": (flank, with_views("seqs", "pl", "pl_genes") + ", z AS (SELECT g.*, length(seq) AS size FROM g JOIN seqs ON g.chrom = seqs.id) SELECT name, chrom, strand, least(CASE WHEN strand = '+' THEN greatest(lo - 300, 0) ELSE hi END, size) AS lo, least(CASE WHEN strand = '+' THEN lo ELSE least(hi + 300, size) END, size) AS hi FROM z"),
     "win5_nearest_piece": (nearest_piece, with_views("iv") + " SELECT chrom || '/' || strand AS name, strand, lo, hi FROM iv QUALIFY row_number() OVER (PARTITION BY chrom, strand ORDER BY CASE WHEN strand = '+' THEN -lo ELSE lo END, hi) = 1"),
     "win1_assign_gene": (gene_of_line, with_views("iv") + f", {_GFF} SELECT seqid, line_no, type, gene_id FROM gff"),
     "agg1_cds_span": (cds_span, with_views("iv") + f", {_GFF} SELECT gene_id, min(lo)::INT AS lo, max(hi)::INT AS hi FROM gff WHERE type = 'CDS' AND gene_id IS NOT NULL GROUP BY gene_id"),

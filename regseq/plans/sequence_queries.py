@@ -162,7 +162,7 @@ def set_profiles(spark, d):
 
 
 def kmer_hits(spark, d):
-    out = joins.kmer_hits(b.items(spark, d), b.seqs(spark, d), 14, 5, 40)
+    out = joins.kmer_hits(b.items(spark, d), b.seqs(spark, d), 14, 5)
     return out.withColumn("score", F.round("score", 9))
 
 
@@ -180,6 +180,8 @@ _CELLS = "c{t} AS (SELECT pair_id, x, y, (substring(seq1, x::INT + 1, 1) = subst
 _ONE = _W + ", " + _CELLS.format(t="", s="seq2", c=9)
 _ODDS = "md AS (SELECT motif_id, pos, base, log2(freq / 0.25) AS o FROM fr), it AS (SELECT id, seq, '+' AS strand FROM items UNION ALL SELECT id, reverse(translate(seq, 'ACGTN', 'TGCAN')), '-' FROM items), sc AS (SELECT id, motif_id, p - pos AS site_, strand, sum(o) AS score, len FROM (SELECT id, strand, length(seq) AS len, unnest(range(0, length(seq))) AS p, substring(seq, p::INT + 1, 1) AS base FROM it) z JOIN md USING (base) WHERE p - pos >= 0 AND p - pos <= len - 12 GROUP BY ALL)"
 
+_KMERS = "{t} AS (SELECT DISTINCT id, substring(seq, i::INT + 1, {k}) AS k FROM (SELECT id, seq, unnest(range(0, length(seq) - {k} + 1)) AS i FROM {of}))"
+
 QUERIES = {
     "prj_sequence_scalars": (scalars, with_views("seqs") + " SELECT id, md5(reverse(translate(seq, 'ACGTN', 'TGCAN'))) AS turned, (length(seq) - length(replace(seq, 'N', '')))::INT AS hidden, CASE WHEN length(seq) > 0 THEN round(100.0 * (length(seq) - length(replace(seq, 'N', ''))) / length(seq), 6) END::DOUBLE AS ratio, md5(replace(translate(seq, 'T', 'N'), 'N', 'N')) AS masked, id || '-' || source AS name FROM seqs"),
     "prj16_shuffle_sequence": (shuffled, with_views("items") + " SELECT id, string_agg(c, '' ORDER BY k, c) AS seq FROM (SELECT id, substring(seq, i::INT + 1, 1) AS c, md5('4:' || i) AS k FROM (SELECT id, seq, unnest(range(0, length(seq))) AS i FROM items)) GROUP BY id"),
@@ -211,6 +213,6 @@ QUERIES = {
     "agg6_histogram": (histogram, _ONE + ", bn AS (SELECT unnest(range(0, 7)) AS b), rg AS (SELECT b, floor(21 * b / 7.0) AS low, CASE WHEN b = 6 THEN 999 ELSE floor(21 * (b + 1) / 7.0) END AS high FROM bn) SELECT b::INT AS bin, count(score) AS n FROM rg LEFT JOIN s ON score >= low AND score < high GROUP BY b"),
     "cns13_conserved_regions": (regions, None),
     "cns14_profiles": (set_profiles, None),
-    "join14_kmer_hits": (kmer_hits, with_views("seqs", "items") + ", y AS (SELECT DISTINCT id AS target, substring(seq, i::INT + 1, 14) AS k FROM (SELECT id, seq, unnest(range(0, length(seq) - 13)) AS i FROM seqs)), rare AS (SELECT k FROM y GROUP BY k HAVING count(*) <= 40), x AS (SELECT DISTINCT id AS query, substring(seq, i::INT + 1, 14) AS k FROM (SELECT id, seq, unnest(range(0, length(seq) - 13)) AS i FROM items)), xr AS (SELECT * FROM x SEMI JOIN rare USING (k)), yr AS (SELECT * FROM y SEMI JOIN rare USING (k)), sh AS (SELECT query, target, count(*) AS shared FROM xr JOIN yr USING (k) GROUP BY ALL HAVING count(*) >= 5), nx AS (SELECT query, count(*) AS a FROM xr GROUP BY query), ny AS (SELECT target, count(*) AS b FROM yr GROUP BY target) SELECT query, target, shared, round(shared / least(a, b), 9)::DOUBLE AS score FROM sh JOIN nx USING (query) JOIN ny USING (target)"),
+    "join14_kmer_hits": (kmer_hits, with_views("seqs", "items") + ", " + _KMERS.format(k=14, t="y", of="seqs") + ", " + _KMERS.format(k=14, t="x", of="items") + ", sh AS (SELECT x.id AS query, y.id AS target, count(*) AS shared FROM x JOIN y USING (k) GROUP BY ALL HAVING count(*) >= 5), nx AS (SELECT id AS query, count(*) AS a FROM x GROUP BY id), ny AS (SELECT id AS target, count(*) AS b FROM y GROUP BY id) SELECT query, target, shared, round(shared / least(a, b), 9)::DOUBLE AS score FROM sh JOIN nx USING (query) JOIN ny USING (target)"),
     "rbh_search": (search, None),
 }
