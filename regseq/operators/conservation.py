@@ -6,10 +6,11 @@ Defaults: windows of 60 bases, thresholds 78 and 100, tolerance 20, belief 0.05.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regseq.functions.sequence import belief, bundle_interval, repeat_ratio, revcomp, windows
@@ -69,44 +70,56 @@ def window_repeats(seqs: DataFrame, width: int = WIDTH) -> DataFrame:
     return rows.select("gene_id", "species", F.col("w")["u"]["offset"].alias("offset"), repeat_ratio(F.col("w")["m"]["seq"], F.col("w")["u"]["seq"]).alias("repeat_ratio"))
 
 
+def _comparison(df: DataFrame) -> list[str]:
+    """The columns that name one comparison of a centre gene: the species, and the partner gene where it is given."""
+    return [c for c in ("species", "partner") if c in df.columns]
+
+
 def score_pairs(pairs: DataFrame, repeats1: DataFrame, repeats2: DataFrame, width: int = WIDTH, low: int = LOW, high: int = HIGH) -> DataFrame:
     """Window pairs with their belief and integrated score, where belief is above 0.
 
-    pairs: (gene_id, species, offset1, offset2, score); repeats1: (gene_id, offset, repeat_ratio),
-    repeats2: (gene_id, species, offset, repeat_ratio).  The larger ratio of the two windows counts.
+    pairs: (gene_id, species[, partner], offset1, offset2, score); repeats1: (gene_id, offset,
+    repeat_ratio), repeats2: (partner, offset, repeat_ratio), or (gene_id, species, offset,
+    repeat_ratio) without partners.  The larger ratio of the two windows counts.
     """
+    who = _comparison(pairs)
+    theirs = ["partner"] if "partner" in repeats2.columns else ["gene_id", "species"]
     one = repeats1.select("gene_id", F.col("offset").alias("offset1"), F.col("repeat_ratio").alias("__r1"))
-    two = repeats2.select("gene_id", "species", F.col("offset").alias("offset2"), F.col("repeat_ratio").alias("__r2"))
-    rows = pairs.join(one, ["gene_id", "offset1"], "left").join(two, ["gene_id", "species", "offset2"], "left")
+    two = repeats2.select(*theirs, F.col("offset").alias("offset2"), F.col("repeat_ratio").alias("__r2"))
+    rows = pairs.join(one, ["gene_id", "offset1"], "left").join(two, [*theirs, "offset2"], "left")
     rows = rows.withColumn("repeat_ratio", F.greatest(F.coalesce("__r1", F.lit(0.0)), F.coalesce("__r2", F.lit(0.0))))
     b, integrate = belief(100.0 * F.col("score") / width, "repeat_ratio", low, high)
-    return rows.withColumns({"belief": b, "integrate": integrate}).filter("belief > 0").select("gene_id", "species", "offset1", "offset2", "score", "repeat_ratio", "belief", "integrate")
+    return rows.withColumns({"belief": b, "integrate": integrate}).filter("belief > 0").select("gene_id", *who, "offset1", "offset2", "score", "repeat_ratio", "belief", "integrate")
 
 
 def thin_partners(scored: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Of the partner windows of a centre window in a species those that no better one overlaps
+    """Of the partner windows of a centre window in a comparison those that no better one overlaps
     (belief, then integrated score, then the lower offset)."""
+    who = _comparison(scored)
     entry = F.struct((-F.col("belief")).alias("b"), (-F.col("integrate")).alias("i"), F.col("offset2").alias("o"), F.col("score").alias("s"), F.col("repeat_ratio").alias("r"))
     kind = f"array<struct<b:double,i:double,o:int,s:{scored.schema['score'].dataType.simpleString()},r:double>>"
     taken = F.aggregate(F.sort_array(F.collect_list(entry)), F.array().cast(kind), lambda t, x: F.when(F.exists(t, lambda y: F.abs(y["o"] - x["o"]) < width), t).otherwise(F.concat(t, F.array(x))))
-    rows = scored.groupBy("gene_id", "species", "offset1").agg(taken.alias("t")).select("gene_id", "species", "offset1", F.explode("t").alias("x"))
-    return rows.select("gene_id", "species", "offset1", F.col("x.o").alias("offset2"), F.col("x.s").alias("score"), F.col("x.r").alias("repeat_ratio"), (-F.col("x.b")).alias("belief"), (-F.col("x.i")).alias("integrate"))
+    rows = scored.groupBy("gene_id", *who, "offset1").agg(taken.alias("t")).select("gene_id", *who, "offset1", F.explode("t").alias("x"))
+    return rows.select("gene_id", *who, "offset1", F.col("x.o").alias("offset2"), F.col("x.s").alias("score"), F.col("x.r").alias("repeat_ratio"), (-F.col("x.b")).alias("belief"), (-F.col("x.i")).alias("integrate"))
 
 
 def combine_belief(thinned: DataFrame, least: float = BELIEF) -> DataFrame:
     """(gene_id, offset1, belief, maxima) of the centre windows whose combined belief 1 - prod(1 - best of a
-    species) is not below `least`; maxima is (species, best) of each."""
-    best = thinned.groupBy("gene_id", "offset1", "species").agg(F.max("belief").alias("best"))
-    rows = best.groupBy("gene_id", "offset1").agg(F.sort_array(F.collect_list(F.struct("species", "best"))).alias("maxima"))
+    comparison) is not below `least`; maxima is (species[, partner], best) of each."""
+    who = _comparison(thinned)
+    best = thinned.groupBy("gene_id", "offset1", *who).agg(F.max("belief").alias("best"))
+    rows = best.groupBy("gene_id", "offset1").agg(F.sort_array(F.collect_list(F.struct(*who, "best"))).alias("maxima"))
     rows = rows.withColumn("belief", 1 - F.aggregate("maxima", F.lit(1.0), lambda a, x: a * (1 - x["best"])))
     return rows.filter(F.col("belief") >= least).select("gene_id", "offset1", "belief", "maxima")
 
 
 def prune_partners(thinned: DataFrame, combined: DataFrame, least: float = BELIEF) -> DataFrame:
-    """Partner windows whose own belief, with the other species' best, is not below `least`."""
+    """Partner windows whose own belief, with the other comparisons' best, is not below `least`."""
+    who = _comparison(thinned)
     rows = thinned.join(combined.select("gene_id", "offset1", "maxima", F.col("belief").alias("centre_belief")), ["gene_id", "offset1"])
-    others = F.aggregate(F.filter("maxima", lambda x: x["species"] != F.col("species")), F.lit(1.0), lambda a, x: a * (1 - x["best"]))
-    return rows.filter(1 - others * (1 - F.col("belief")) >= least).drop("maxima")
+    others = F.filter("maxima", lambda x: ~reduce(Column.__and__, (x[c] == F.col(c) for c in who)))
+    left = F.aggregate(others, F.lit(1.0), lambda a, x: a * (1 - x["best"]))
+    return rows.filter(1 - left * (1 - F.col("belief")) >= least).drop("maxima")
 
 
 def assemble(centres: DataFrame, width: int = WIDTH, tolerance: int = TOLERANCE) -> DataFrame:
@@ -116,10 +129,11 @@ def assemble(centres: DataFrame, width: int = WIDTH, tolerance: int = TOLERANCE)
 
 
 def merge_elements(pruned: DataFrame, bundles: DataFrame, width: int = WIDTH, tolerance: int = TOLERANCE) -> DataFrame:
-    """Elements of a species in a bundle, those within the tolerance as one (closed bounds)."""
+    """Elements of a comparison in a bundle, those within the tolerance as one (closed bounds)."""
+    who = _comparison(pruned)
     rows = pruned.join(bundles, ["gene_id", "offset1"]).withColumns({"lo": F.col("offset2"), "hi": F.col("offset2") + width - 1})
-    rows = islands(rows, ["gene_id", "bundle_id", "species"], tolerance)
-    return rows.groupBy("gene_id", "bundle_id", "species", "island").agg(
+    rows = islands(rows, ["gene_id", "bundle_id", *who], tolerance)
+    return rows.groupBy("gene_id", "bundle_id", *who, "island").agg(
         F.min("lo").alias("start"), F.max("hi").alias("end"), F.min("offset1").alias("target_start"), (F.max("offset1") + width - 1).alias("target_end"),
         F.max("score").alias("conservation"), F.max("belief").alias("belief"), F.max("integrate").alias("integrate"),
     ).drop("island")
@@ -139,15 +153,17 @@ def bundle_conservation(elements: DataFrame, species_order: DataFrame) -> DataFr
 
 
 def element_repeat_ratio(elements: DataFrame, seqs: DataFrame) -> DataFrame:
-    """Elements with the repeat ratio of their final stretch; seqs: (gene_id, species, seq, masked_seq)."""
+    """Elements with the repeat ratio of their final stretch; seqs: (gene_id or partner, species, seq, masked_seq)."""
     cut = lambda c: F.col(c).substr(F.col("start") + 1, F.col("end") - F.col("start") + 1)
-    joined = elements.join(seqs.select("gene_id", "species", "seq", "masked_seq"), ["gene_id", "species"])
+    on = [c for c in ("gene_id", "species", "partner") if c in elements.columns and c in seqs.columns]
+    joined = elements.join(seqs.select(*on, "seq", "masked_seq"), on)
     return joined.withColumn("repeat_ratio", repeat_ratio(cut("masked_seq"), cut("seq"))).drop("seq", "masked_seq")
 
 
 def bundles_to_modules(elements: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Elements with their place on the region and their bases; intervals: (gene_id, species, chrom, lo, hi, strand, seq)."""
-    rows = elements.join(intervals.select("gene_id", "species", "chrom", F.col("lo").alias("__lo"), F.col("hi").alias("__hi"), "strand", "seq"), ["gene_id", "species"])
+    """Elements with their place on the region and their bases; intervals: (gene_id or partner, species, chrom, lo, hi, strand, seq)."""
+    on = [c for c in ("gene_id", "species", "partner") if c in elements.columns and c in intervals.columns]
+    rows = elements.join(intervals.select(*on, "chrom", F.col("lo").alias("__lo"), F.col("hi").alias("__hi"), "strand", "seq"), on)
     lo, hi = bundle_interval("start", "end", "__lo", "__hi", "strand")
     piece = F.col("seq").substr(F.col("start") + 1, F.col("end") - F.col("start") + 1)
     return rows.withColumns({"lo": lo, "hi": hi, "seq": piece}).drop("__lo", "__hi")

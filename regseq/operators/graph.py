@@ -12,7 +12,12 @@ def _cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint of a loop's state, in the folder that spark.checkpoint.dir names."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", f"/tmp/regseq-{uuid.uuid4().hex}"))
+        top = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not top:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            top = f"/tmp/regseq-{uuid.uuid4().hex}"
+        sc.setCheckpointDir(top)
     return df.checkpoint()
 
 

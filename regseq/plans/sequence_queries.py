@@ -151,9 +151,9 @@ def histogram(spark, d):
 
 def regions(spark, d):
     i = b.items(spark, d)
-    seqs = i.select(F.col("id").alias("gene_id"), F.concat(F.lit("s"), (F.col("n") % 4).cast("string")).alias("species"), "seq", F.col("seq").alias("masked_seq"))
+    seqs = i.select(F.col("id").alias("gene_id"), F.concat(F.lit("s"), (F.col("n") % 4).cast("string")).alias("species"), "seq", F.regexp_replace("seq", "AAAAA", "NNNNN").alias("masked_seq"))
     pairs = i.select(F.col("id").alias("query_gene"), F.explode(F.array(*(F.concat(F.lit("b"), (F.col("n") + k).cast("string")) for k in (1, 2, 3)))).alias("target_gene"))
-    return conserved.conserved_regions(seqs, pairs, 20, 40, 75, 0.05, 5)
+    return conserved.conserved_regions(seqs, pairs, 20, 40, 75, 0.05, 5, centre=True)
 
 
 def set_profiles(spark, d):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from regseq.functions import sequence as s
 from regseq.operators import aggregates, conservation, graph, joins, motifs, quality, sets, statistics, sweeps, topk
 from regseq.plans import conserved
+from regseq.sources import writers
 
 
 def one(spark, *columns):
@@ -160,6 +161,45 @@ def test_conserved_regions_finds_a_planted_element(spark):
     assert conserved.conserved_regions(df, orth, pseudo_seed=1).count() <= 2
 
 
+def _planted(spark, masked=False):
+    random.seed(8)
+    rnd = lambda n: "".join(random.choice("ACGT") for _ in range(n))
+    core = rnd(80)
+    seqs = [("g1", "s1", rnd(100) + core + rnd(50)), ("g2", "s2", rnd(30) + core + rnd(120)), ("g3", "s2", rnd(45) + core + rnd(100))]
+    rows = [(g, sp, q, "N" * len(q) if masked and g == "g2" else q) for g, sp, q in seqs]
+    df = spark.createDataFrame(rows, "gene_id string, species string, seq string, masked_seq string")
+    return df, core
+
+
+def test_two_partners_of_one_species_are_two_comparisons(spark):
+    df, core = _planted(spark)
+    orth = spark.createDataFrame([("g1", "g2"), ("g1", "g3")], "query_gene string, target_gene string")
+    got = {r.partner: r for r in conserved.conserved_regions(df, orth, centre=True).collect()}
+    assert set(got) == {"g1", "g2", "g3"} and got["g1"].species == "centre"
+    assert 0 <= 30 - got["g2"].start <= 18 and 0 <= 45 - got["g3"].start <= 18
+    assert all(core in r.seq and r.repeat_ratio == 0 and r.end - r.start + 1 == len(r.seq) for r in got.values())
+    assert got["g1"].conservation is None and got["g1"].belief == 1 and got["g2"].target_start == got["g1"].start
+    lines = {r.value for r in writers.cns_tabular(conserved.conserved_regions(df, orth, centre=True)).collect()}
+    assert len(lines) == 3
+
+
+def test_partner_repeats_lower_belief(spark):
+    df, _ = _planted(spark, masked=True)
+    orth = spark.createDataFrame([("g1", "g2")], "query_gene string, target_gene string")
+    assert conserved.conserved_regions(df, orth).count() == 0
+
+
+def test_regions_of_a_gene_list_and_of_all(spark):
+    random.seed(9)
+    chrom = "".join(random.choice("ACGT") for _ in range(1000))
+    seqs = spark.createDataFrame([("c1", chrom)], "id string, seq string")
+    genes = spark.createDataFrame([("a", "c1", 200, 300, "+"), ("b", "c1", 340, 400, "+"), ("c", "c1", 600, 700, "-")], "name string, chrom string, lo long, hi long, strand string")
+    got = {r.gene_id: (r.lo, r.hi, r.seq) for r in conserved.regulatory_regions(genes, seqs, 100).collect()}
+    assert got["a"] == (100, 200, chrom[100:200]) and got["b"][:2] == (300, 340) and got["c"][:2] == (700, 800)
+    one = conserved.regulatory_regions(genes, seqs, 100, spark.createDataFrame([("b",)], "name string")).collect()
+    assert [(r.gene_id, r.lo, r.hi) for r in one] == [("b", 300, 340)]
+
+
 def test_tails(spark):
     rows = [(i, n, k, p) for i, (n, k, p) in enumerate([(10, 3, 0.2), (10, 0, 0.5), (5, 6, 0.5), (7, 2, 0.0), (7, 2, 1.0), (50, 40, 0.9)])]
     got = {r.key: r.p_value for r in statistics.binom_sf(spark.createDataFrame(rows, "key int, n int, k int, p double"), 50).collect()}
