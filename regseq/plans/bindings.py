@@ -109,3 +109,12 @@ SQL = {
 
 def with_views(*names: str) -> str:
     return "WITH " + ", ".join(SQL[n] for n in names)
+
+
+#: Greedy choice as a recursion along the rank: `taken` holds the sites so far.
+_GREEDY = "od AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY interval_idx ORDER BY pvalue, site, strand) AS r FROM {t}), gr AS (SELECT interval_idx, 0::BIGINT AS r, []::INT[] AS taken, false AS took FROM od GROUP BY 1 UNION ALL SELECT interval_idx, r, CASE WHEN t THEN list_append(taken, site) ELSE taken END, t FROM (SELECT gr.taken, od.*, len(list_filter(gr.taken, lambda x: abs(x - od.site) < {w})) = 0 AND len(gr.taken) < {n} AS t FROM gr JOIN od ON od.interval_idx = gr.interval_idx AND od.r = gr.r + 1)), ch AS (SELECT interval_idx, row_number() OVER (PARTITION BY interval_idx ORDER BY r)::INT AS rank, site, strand, pvalue FROM gr JOIN od USING (interval_idx, r) WHERE took)"
+
+
+def greedy_sql(views: str, width: int, n: int, of: str) -> str:
+    """The sites of table `of` (interval_idx, site, strand, pvalue) that are chosen greedily, n of an interval at most."""
+    return views.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + _GREEDY.format(t=of, w=width, n=n) + " SELECT interval_idx, rank, site, strand, pvalue FROM ch"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from regseq.functions import sequence as s
 from regseq.operators import aggregates, joins, quality, sets, sweeps, topk
 from regseq.plans import bindings as b
-from regseq.plans.bindings import with_views
+from regseq.plans.bindings import greedy_sql, with_views
 
 _TRIM = """
 SELECT p.chrom, p.name, p.strand,
@@ -203,7 +203,7 @@ QUERIES = {
     "agg13_possible_sites": (possible_sites, with_views("iv") + " SELECT sum(2 * greatest(hi - lo - 100 + 1, 0))::BIGINT AS sites FROM iv"),
     "top6_best_site": (best_site, with_views("iv") + " SELECT chrom AS interval_idx, n AS site, strand, value AS score FROM iv QUALIFY row_number() OVER (PARTITION BY chrom ORDER BY value DESC, n) = 1"),
     "top5_top_pvalues": (top_pvalues, with_views("pvalues") + " SELECT motif AS interval_idx, hit_id AS site, '+' AS strand, pvalue, row_number() OVER (PARTITION BY motif ORDER BY pvalue, hit_id)::INT AS rank FROM pv QUALIFY rank <= 20"),
-    "top2_top_sites": (top_sites, None),
+    "top2_top_sites": (top_sites, greedy_sql(with_views("pvalues", "iv") + ", si AS (SELECT seq_id AS interval_idx, (lo % 3000)::INT AS site, strand, pvalue FROM pv JOIN iv ON iv.n = hit_id)", 60, 10, "si")),
     "join11_pair_sites": (pair_sites, with_views("pvalues") + f", {_SITES}, m AS (SELECT a.seq_id, a.strand, a.pos AS pos_a, b.pos AS pos_b, a.pvalue AS p1, b.pvalue AS p2, b.pos - (a.pos + 10) + 1 AS m FROM st a JOIN st b ON a.seq_id = b.seq_id AND a.strand = b.strand AND a.motif = 'click' AND b.motif = 'view' AND b.pos BETWEEN a.pos + 10 AND a.pos + 68), z AS (SELECT *, least(p1 * (1 - pow(1 - p2, m)), p2 * (1 - pow(1 - p1, m))) AS score FROM m) SELECT seq_id, strand, pos_a, pos_b, round(score, 9) AS score FROM z QUALIFY row_number() OVER (PARTITION BY seq_id, strand, pos_a ORDER BY score, pos_b) = 1"),
     "top9_sample_ids": (sample_events, with_views("iv") + " SELECT id FROM iv ORDER BY md5('7:' || id), id LIMIT 100"),
     "set2_intersect_ids": (intersect_names, with_views("iv", "iv_genes", "iv_prom") + " SELECT chrom AS id, name FROM p WHERE chrom IN (SELECT chrom FROM g)"),

@@ -132,7 +132,7 @@ QUERIES = {
     "agg14_neighbours": (neighbour_lists, with_views("edges") + ", z AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges WHERE bidir) SELECT src, count(*) AS n, md5(string_agg(dst, ',' ORDER BY dst)) AS digest FROM z GROUP BY src"),
     "gra7_edge_lengths": (edge_lengths, with_views("edges") + ", z AS (SELECT src, dst, ln(sqrt(sum(weight * weight))) AS x FROM edges GROUP BY ALL), m AS (SELECT min(x) AS lo, max(x) AS hi FROM z) SELECT src, dst, round(CASE WHEN hi > lo THEN 10 * (x - lo) / (hi - lo) ELSE 5 END, 6) AS length FROM z, m"),
     "gra2_merge_networks": (merged_networks, with_views("edges") + ", n AS (SELECT 'c' || c_custkey AS id, CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) THEN 'buyer' ELSE 'customer' END AS type, CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) THEN 'x' ELSE c_mktsegment END AS k FROM customer UNION ALL SELECT DISTINCT 'c' || o_custkey, 'buyer', 'x' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)) SELECT * FROM n UNION ALL SELECT src || '>' || dst || '>' || bidir, 'edge', max(weight)::INT::VARCHAR FROM edges GROUP BY src, dst, bidir"),
-    "gra3_candidate_network": (candidate_network, with_views("hits") + ", bst AS (SELECT query AS src, target AS dst FROM hits QUALIFY row_number() OVER (PARTITION BY query ORDER BY significance, target) <= 2), one AS (SELECT * FROM bst WHERE src IN (SELECT 's' || s_suppkey FROM supplier)) SELECT src, dst, 1 AS level FROM one UNION ALL SELECT src, dst, 2 FROM bst WHERE src IN (SELECT dst FROM one) AND src NOT IN (SELECT 's' || s_suppkey FROM supplier)"),
+    "gra3_candidate_network": (candidate_network, with_views("hits") + ", bst AS MATERIALIZED (SELECT query AS src, target AS dst FROM hits QUALIFY row_number() OVER (PARTITION BY query ORDER BY significance, target) <= 2), sd AS MATERIALIZED (SELECT 's' || s_suppkey AS src FROM supplier), one AS MATERIALIZED (SELECT bst.* FROM bst SEMI JOIN sd USING (src)), nx AS MATERIALIZED (SELECT DISTINCT dst AS src FROM one) SELECT src, dst, 1 AS level FROM one UNION ALL SELECT src, dst, 2 FROM bst SEMI JOIN nx USING (src) ANTI JOIN sd USING (src)"),
     "gra4_clean_orthology": (clean_orthology, with_views("hits") + f", {_RBH}, e AS (SELECT a AS src, b AS dst FROM rbh WHERE db_a = 'part'), c AS (SELECT src AS id FROM e UNION SELECT dst FROM e), nr AS (SELECT id, 'p' || (substring(id, 2)::INT + 1) AS near FROM c WHERE id LIKE 'p%' AND id IN (SELECT query FROM hits)) SELECT src, dst, true AS bidir FROM e UNION SELECT id, near, false FROM nr"),
     "gra5_synteny_closure": (synteny, None),
     "gra6_add_orthologs": (add_orthologs, with_views("edges") + ", e AS (SELECT DISTINCT src, dst, bidir FROM edges UNION SELECT DISTINCT 's' || s_suppkey, 'c' || c_custkey, true FROM supplier JOIN customer ON s_nationkey = c_nationkey WHERE c_mktsegment = 'BUILDING') SELECT bidir, count(*) AS n FROM e GROUP BY bidir"),

@@ -116,12 +116,12 @@ def scan(spark, d):
 
 def scan_p(spark, d):
     found = motifs.scan(b.items(spark, d), _freq(spark, d))
-    return motifs.empirical_p(found.filter("score >= 1"), found).groupBy("motif_id").agg(F.count("*").alias("n"), F.min("pvalue").alias("least"))
+    return motifs.empirical_p(found.filter("score >= 1"), found).withColumns({"score": F.round("score", 6), "pvalue": F.round("pvalue", 9)})
 
 
 def site_stats(spark, d):
     found = motifs.scan(b.items(spark, d), _freq(spark, d), least=0.5).withColumn("width", F.lit(12)).withColumnRenamed("id", "seq_id")
-    return motifs.motif_site_stats(found, b.items(spark, d)).groupBy("motif_id").agg(F.count("*").alias("n"), F.round(F.max("ratio"), 6).alias("ratio"), F.round(F.sum("scaled"), 4).alias("scaled"))
+    return motifs.motif_site_stats(found, b.items(spark, d)).withColumns({"ratio": F.round("ratio", 6), "scaled": F.round("scaled", 6)})
 
 
 def _pairs(spark, d):
@@ -180,6 +180,8 @@ _CELLS = "c{t} AS (SELECT pair_id, x, y, (substring(seq1, x::INT + 1, 1) = subst
 _ONE = _W + ", " + _CELLS.format(t="", s="seq2", c=9)
 _ODDS = "md AS (SELECT motif_id, pos, base, log2(freq / 0.25) AS o FROM fr), it AS (SELECT id, seq, '+' AS strand FROM items UNION ALL SELECT id, reverse(translate(seq, 'ACGTN', 'TGCAN')), '-' FROM items), sc AS (SELECT id, motif_id, p - pos AS site_, strand, sum(o) AS score, len FROM (SELECT id, strand, length(seq) AS len, unnest(range(0, length(seq))) AS p, substring(seq, p::INT + 1, 1) AS base FROM it) z JOIN md USING (base) WHERE p - pos >= 0 AND p - pos <= len - 12 GROUP BY ALL)"
 
+_SCAN = with_views("seqs", "aligned", "items") + ", " + _FREQ.format(pc="(0.5 / sqrt(n))") + ", " + _ODDS
+_DISTANCES = _F + ", a4 AS (SELECT motif_id, 0 AS r, pos, base, freq FROM fr UNION ALL SELECT motif_id, 1, 11 - pos, translate(base, 'ACGT', 'TGCA'), freq FROM fr), pad AS (SELECT * FROM (VALUES ('A', 0.32), ('C', 0.18), ('G', 0.18), ('T', 0.32)) v(base, pf)), grid AS (SELECT a, b, r, sh, i, pad.base, pf FROM (SELECT x.motif_id AS a, y.motif_id AS b FROM (SELECT DISTINCT motif_id FROM fr) x, (SELECT DISTINCT motif_id FROM fr) y WHERE a < b), (SELECT unnest([0, 1]) AS r), (SELECT unnest(range(-11, 12)) AS sh), (SELECT unnest(range(-11, 24)) AS i), pad WHERE i >= least(0, sh) AND i < greatest(12, 12 + sh)), v AS (SELECT g.a, g.b, g.r, g.sh, coalesce(p.freq, pf) AS p, coalesce(q.freq, pf) AS q FROM grid g LEFT JOIN a4 p ON p.motif_id = g.a AND p.r = 0 AND p.pos = g.i AND p.base = g.base LEFT JOIN a4 q ON q.motif_id = g.b AND q.r = g.r AND q.pos = g.i - g.sh AND q.base = g.base), s AS (SELECT a, b, sum((p - q) * (log2(p) - log2(q)) / 2) AS d FROM v GROUP BY a, b, r, sh)"
 _KMERS = "{t} AS (SELECT DISTINCT id, substring(seq, i::INT + 1, {k}) AS k FROM (SELECT id, seq, unnest(range(0, length(seq) - {k} + 1)) AS i FROM {of}))"
 
 QUERIES = {
@@ -200,19 +202,19 @@ QUERIES = {
     "mot3_entropy": (entropies, with_views("seqs", "aligned") + ", " + _FREQ.format(pc="0.5") + ", z AS (SELECT motif_id, pos::INT AS pos, -sum(CASE WHEN freq > 0 THEN freq * log2(freq) ELSE 0 END) AS e FROM fr GROUP BY ALL) SELECT motif_id, pos, round(e, 8) AS entropy, round(sum(e) OVER (PARTITION BY motif_id), 7) AS total FROM z"),
     "mot4_reverse_complement": (turned, _F + " SELECT motif_id, (11 - pos)::INT AS pos, translate(base, 'ACGT', 'TGCA') AS base, round(freq, 9) AS freq FROM fr"),
     "mot5_consensus": (consensus, with_views("seqs", "aligned") + f", {_COUNTS}, {_LONG}, t AS (SELECT motif_id, pos, string_agg(base, '' ORDER BY base) AS b FROM (SELECT * FROM lc QUALIFY c = max(c) OVER (PARTITION BY motif_id, pos)) GROUP BY motif_id, pos) SELECT motif_id, string_agg(CASE WHEN length(b) = 1 THEN b WHEN b = 'GT' THEN 'K' WHEN b = 'AC' THEN 'M' WHEN b = 'AG' THEN 'R' WHEN b = 'CG' THEN 'S' WHEN b = 'AT' THEN 'W' WHEN b = 'CT' THEN 'Y' ELSE 'N' END, '' ORDER BY pos) AS consensus FROM t GROUP BY motif_id"),
-    "mot7_distances": (distances, _F + ", a4 AS (SELECT motif_id, 0 AS r, pos, base, freq FROM fr UNION ALL SELECT motif_id, 1, 11 - pos, translate(base, 'ACGT', 'TGCA'), freq FROM fr), pad AS (SELECT * FROM (VALUES ('A', 0.32), ('C', 0.18), ('G', 0.18), ('T', 0.32)) v(base, pf)), grid AS (SELECT a, b, r, sh, i, pad.base, pf FROM (SELECT x.motif_id AS a, y.motif_id AS b FROM (SELECT DISTINCT motif_id FROM fr) x, (SELECT DISTINCT motif_id FROM fr) y WHERE a < b), (SELECT unnest([0, 1]) AS r), (SELECT unnest(range(-11, 12)) AS sh), (SELECT unnest(range(-11, 24)) AS i), pad WHERE i >= least(0, sh) AND i < greatest(12, 12 + sh)), v AS (SELECT g.a, g.b, g.r, g.sh, coalesce(p.freq, pf) AS p, coalesce(q.freq, pf) AS q FROM grid g LEFT JOIN a4 p ON p.motif_id = g.a AND p.r = 0 AND p.pos = g.i AND p.base = g.base LEFT JOIN a4 q ON q.motif_id = g.b AND q.r = g.r AND q.pos = g.i - g.sh AND q.base = g.base), s AS (SELECT a, b, sum((p - q) * (log2(p) - log2(q)) / 2) AS d FROM v GROUP BY a, b, r, sh) SELECT a, b, round(min(d), 7) AS distance FROM s GROUP BY a, b"),
-    "top7_nearest_motifs": (nearest, None),
+    "mot7_distances": (distances, _DISTANCES + " SELECT a, b, round(min(d), 7) AS distance FROM s GROUP BY a, b"),
+    "top7_nearest_motifs": (nearest, _DISTANCES + ", ds AS (SELECT a, b, round(min(d), 7) AS distance FROM s GROUP BY a, b) SELECT *, row_number() OVER (PARTITION BY a ORDER BY distance, b)::INT AS rank FROM ds QUALIFY row_number() OVER (PARTITION BY a ORDER BY distance, b) <= 3"),
     "mot8_clusters": (clusters, None),
-    "mot10_scan": (scan, with_views("seqs", "aligned", "items") + ", " + _FREQ.format(pc="(0.5 / sqrt(n))") + f", {_ODDS} SELECT id, motif_id, CASE WHEN strand = '-' THEN len - 12 - site_ ELSE site_ END::INT AS site, strand, round(score, 6) AS score FROM sc WHERE score >= 0.5"),
-    "mot11_empirical_p": (scan_p, None),
-    "mot14_site_stats": (site_stats, None),
+    "mot10_scan": (scan, _SCAN + " SELECT id, motif_id, CASE WHEN strand = '-' THEN len - 12 - site_ ELSE site_ END::INT AS site, strand, round(score, 6) AS score FROM sc WHERE score >= 0.5"),
+    "mot11_empirical_p": (scan_p, _SCAN + ", bn AS (SELECT motif_id, floor(score / 0.01)::BIGINT AS bin, count(*) AS n FROM sc GROUP BY ALL), tl AS (SELECT motif_id, bin, (sum(n) OVER (PARTITION BY motif_id ORDER BY bin DESC) + 1) / (sum(n) OVER (PARTITION BY motif_id) + 1) AS pvalue FROM bn) SELECT id, motif_id, CASE WHEN strand = '-' THEN len - 12 - site_ ELSE site_ END::INT AS site, strand, round(score, 6) AS score, round(pvalue, 9)::DOUBLE AS pvalue FROM (SELECT *, floor(score / 0.01)::BIGINT AS bin FROM sc WHERE score >= 1) JOIN tl USING (motif_id, bin)"),
+    "mot14_site_stats": (site_stats, _SCAN + ", f AS (SELECT id AS seq_id, motif_id, CASE WHEN strand = '-' THEN len - 12 - site_ ELSE site_ END AS site, len FROM sc WHERE score >= 0.5) SELECT motif_id, seq_id, site::INT AS site, round(count(*) OVER m / nq, 6)::DOUBLE AS ratio, round(site / (len - 11) * ((SELECT max(length(seq)) FROM items) - 11), 6) AS scaled FROM f JOIN (SELECT motif_id, count(DISTINCT seq_id) AS nq FROM f GROUP BY 1) USING (motif_id) WINDOW m AS (PARTITION BY motif_id)"),
     "cns1_window_pairs": (window_pairs, _ONE + " SELECT pair_id, offset1::INT AS offset1, offset2::INT AS offset2, score FROM s"),
     "cns2_merge_strands": (both_strands, _W + ", " + _CELLS.format(t="f", s="seq2", c=10) + ", " + _CELLS.format(t="r", s="reverse(translate(seq2, 'ACGTN', 'TGCAN'))", c=10) + " SELECT pair_id, offset1::INT AS offset1, offset2::INT AS offset2, max(score) AS score FROM (SELECT * FROM sf UNION ALL SELECT pair_id, offset1, length(seq2) - offset2 - 20, score FROM sr JOIN pr USING (pair_id)) GROUP BY ALL"),
     "agg4_profiles": (profiles, _ONE + " SELECT pair_id, side, o::INT AS offset, max(score) AS score FROM (SELECT pair_id, 1 AS side, offset1 AS o, score FROM s UNION ALL SELECT pair_id, 2, offset2, score FROM s) GROUP BY ALL"),
     "agg5_alignmax": (alignmax, _ONE + " SELECT pair_id, coalesce(max(score), 0) AS score FROM pr LEFT JOIN s USING (pair_id) GROUP BY pair_id"),
     "agg6_histogram": (histogram, _ONE + ", bn AS (SELECT unnest(range(0, 7)) AS b), rg AS (SELECT b, floor(21 * b / 7.0) AS low, CASE WHEN b = 6 THEN 999 ELSE floor(21 * (b + 1) / 7.0) END AS high FROM bn) SELECT b::INT AS bin, count(score) AS n FROM rg LEFT JOIN s ON score >= low AND score < high GROUP BY b"),
     "cns13_conserved_regions": (regions, None),
-    "cns14_profiles": (set_profiles, None),
+    "cns14_profiles": (set_profiles, with_views("items") + ", st AS (SELECT n // 3 AS set_id, id, seq FROM items), pr AS (SELECT x.set_id || '|' || x.id || '|' || y.id AS pair_id, x.seq AS seq1, y.seq AS seq2 FROM st x JOIN st y ON x.set_id = y.set_id AND x.id < y.id), " + _CELLS.format(t="f", s="seq2", c=10) + ", " + _CELLS.format(t="r", s="reverse(translate(seq2, 'ACGTN', 'TGCAN'))", c=10) + ", b2 AS (SELECT * FROM sf UNION ALL SELECT pair_id, offset1, length(seq2) - offset2 - 20, score FROM sr JOIN pr USING (pair_id)) SELECT pair_id, side, o::INT AS offset, max(score) AS score FROM (SELECT pair_id, 1 AS side, offset1 AS o, score FROM b2 UNION ALL SELECT pair_id, 2, offset2, score FROM b2) GROUP BY ALL"),
     "join14_kmer_hits": (kmer_hits, with_views("seqs", "items") + ", " + _KMERS.format(k=14, t="y", of="seqs") + ", " + _KMERS.format(k=14, t="x", of="items") + ", sh AS (SELECT x.id AS query, y.id AS target, count(*) AS shared FROM x JOIN y USING (k) GROUP BY ALL HAVING count(*) >= 5), nx AS (SELECT id AS query, count(*) AS a FROM x GROUP BY id), ny AS (SELECT id AS target, count(*) AS b FROM y GROUP BY id) SELECT query, target, shared, round(shared / least(a, b), 9)::DOUBLE AS score FROM sh JOIN nx USING (query) JOIN ny USING (target)"),
-    "rbh_search": (search, None),
+    "rbh_search": (search, with_views("items") + ", " + _KMERS.format(k=8, t="x", of="items") + ", z AS (SELECT id, count(*) AS n FROM x GROUP BY id), sh AS (SELECT p.id AS q, r.id AS t, 1 - count(*) / least(any_value(zp.n), any_value(zr.n)) AS s FROM x p JOIN x r USING (k) JOIN z zp ON zp.id = p.id JOIN z zr ON zr.id = r.id GROUP BY ALL HAVING count(*) >= 3), there AS (SELECT q, t FROM sh QUALIFY row_number() OVER (PARTITION BY q ORDER BY s, 't' || t) = 1), back AS (SELECT q AS t, t AS q FROM sh QUALIFY row_number() OVER (PARTITION BY q ORDER BY s, t) = 1) SELECT id AS query_protein, CASE WHEN b.t IS NULL THEN 'none' ELSE 't' || b.t END AS target_protein, coalesce(b.t, 'none') AS target_gene, id AS query_gene FROM items LEFT JOIN (SELECT * FROM there JOIN back USING (q, t)) b ON b.q = id"),
 }

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from regseq.plans import interval_queries, ortholog_queries, sequence_queries, statistic_queries
+from regseq.plans import interval_queries, ortholog_queries, record_queries, sequence_queries, statistic_queries
 
-_ALL = interval_queries.QUERIES | ortholog_queries.QUERIES | sequence_queries.QUERIES | statistic_queries.QUERIES
+_ALL = interval_queries.QUERIES | ortholog_queries.QUERIES | record_queries.QUERIES | sequence_queries.QUERIES | statistic_queries.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

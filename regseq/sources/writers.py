@@ -83,4 +83,4 @@ def report_regions(df: DataFrame, conservation: float, species: str | None = Non
 def bundle_table(df: DataFrame, seqs: DataFrame) -> DataFrame:
     """Elements with the stretches they cover, for inspection."""
     piece = F.col("seq").substr(F.col("start") + 1, F.col("end") - F.col("start") + 1).alias("piece")
-    return df.join(seqs.select("gene_id", "species", "seq"), ["gene_id", "species"]).select("species", "start", "end", "target_start", "target_end", "conservation", "repeat_ratio", "belief", piece)
+    return df.drop("seq").join(seqs.select("gene_id", "species", "seq"), ["gene_id", "species"]).select("species", "start", "end", "target_start", "target_end", "conservation", "repeat_ratio", "belief", piece)
