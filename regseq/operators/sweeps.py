@@ -142,7 +142,8 @@ def islands(df: DataFrame, keys: list[str], gap: int = 0) -> DataFrame:
     gap 0 joins intervals that touch; -1 asks for a shared base.
     """
     before = Window.partitionBy(*keys).orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
-    running = Window.partitionBy(*keys).orderBy("lo", "hi", "__new").rowsBetween(Window.unboundedPreceding, 0)
+    # Of equal intervals the one that begins an island comes first.
+    running = Window.partitionBy(*keys).orderBy("lo", "hi", F.desc("__new")).rowsBetween(Window.unboundedPreceding, 0)
     marked = df.withColumn("__end", F.max("hi").over(before))
     marked = marked.withColumn("__new", F.when(F.col("__end").isNull() | (F.col("lo") > F.col("__end") + gap), 1).otherwise(0))
     return marked.withColumn("island", F.sum("__new").over(running)).drop("__new", "__end")

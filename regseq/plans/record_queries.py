@@ -59,7 +59,7 @@ def _windows(spark, d):
 
 _TH = with_views("iv") + ", th AS (SELECT chrom AS gene_id, type AS species, 'p' || (n % 2) AS partner, (n % 401)::INT AS offset1, (n * 7 % 503)::INT AS offset2, (n % 61)::INT AS score, (n % 31)::DOUBLE AS repeat_ratio, (n % 11) / 20.0::DOUBLE AS belief, (n % 89)::DOUBLE AS integrate FROM iv)"
 _BEST = "bs AS (SELECT gene_id, offset1, species, partner, max(belief) AS best FROM th GROUP BY ALL), cb AS (SELECT gene_id, offset1, 1 - product(1 - best) AS belief FROM bs GROUP BY ALL HAVING 1 - product(1 - best) >= 0.3)"
-_ISLES = "{a} AS (SELECT *, max({hi}) OVER (PARTITION BY {k} ORDER BY {lo}, {hi} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM {t}), {b} AS (SELECT *, sum(CASE WHEN m IS NULL OR {lo} > m + {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY {k} ORDER BY {lo}, {hi}, CASE WHEN m IS NULL OR {lo} > m + {gap} THEN 1 ELSE 0 END ROWS UNBOUNDED PRECEDING) AS island FROM {a})"
+_ISLES = "{a} AS (SELECT *, max({hi}) OVER (PARTITION BY {k} ORDER BY {lo}, {hi} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM {t}), {b} AS (SELECT *, sum(CASE WHEN m IS NULL OR {lo} > m + {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY {k} ORDER BY {lo}, {hi}, CASE WHEN m IS NULL OR {lo} > m + {gap} THEN 1 ELSE 0 END DESC ROWS UNBOUNDED PRECEDING) AS island FROM {a})"
 _BUNDLES = "cw AS (SELECT gene_id, offset1, offset1 AS lo, offset1 + 59 AS hi FROM cb), " + _ISLES.format(a="ba", b="bb", k="gene_id", lo="lo", hi="hi", t="cw", gap=0) + ", bu AS (SELECT gene_id, offset1, island AS bundle_id FROM bb)"
 _PRUNED = "pn AS (SELECT th.*, cb.belief AS centre_belief, coalesce((SELECT product(1 - best) FROM bs WHERE bs.gene_id = th.gene_id AND bs.offset1 = th.offset1 AND (bs.species <> th.species OR bs.partner <> th.partner)), 1) AS left_ FROM th JOIN cb USING (gene_id, offset1)), pr AS (SELECT * EXCLUDE (left_) FROM pn WHERE 1 - left_ * (1 - belief) >= 0.3)"
 
