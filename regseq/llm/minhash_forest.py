@@ -13,10 +13,11 @@
    formed; then every candidate pair that still joins two components, by signatures of
    VALUES values, is confirmed.  A pair is left out only if its ends are already in one
    component, so no link is lost, and a group of m near copies costs some m pairs, not m * m.
-4. Classes of regions that had to be cut, or that a border between tasks may have cut, are not
-   left to the parts: after the first step they take part in the second in any case, and after
-   the second they are joined exactly, by the rarest of their shingles (a pair that is similar
-   enough shares one of so few that size bounds give, the prefix filter).
+4. Classes of regions that had to be cut, or in the first step that a border between tasks may
+   have cut, are not left to the parts: after the first step they take part in the second in any
+   case; in the second a border divides large regions only, and their classes are joined
+   exactly, by the rarest of their shingles (a pair that is similar enough shares one of so few
+   that size bounds give, the prefix filter).
 Components are built by distributed stars; class keys, links and components never
 come to the driver.
 """
@@ -118,10 +119,11 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "__text", "text").mapInArrow(run, T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("__text", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("cls", T.BinaryType()), T.StructField("sig", T.BinaryType())]))
 
 
-def _orders(classes: DataFrame, values: int) -> DataFrame:
+def _orders(classes: DataFrame, values: int, large: DataFrame | None = None) -> DataFrame:
     """(okey, cls, n, label, heads) for each tree, sorted by okey: tree, prefix, then one byte of each further value.
 
-    heads: the prefixes in all trees.
+    heads: the prefixes in all trees.  large (region, large): if given, regions that are not among
+    them are not divided between tasks, and rows carry `large`.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +139,21 @@ def _orders(classes: DataFrame, values: int) -> DataFrame:
 
     rows = classes.select("cls", "n", "label", "sig").mapInArrow(run, "okey binary, cls binary, n long, label binary, heads binary")
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartitionByRange(parts, "okey", "cls").sortWithinPartitions("okey", "cls")
+    if large is None:
+        return rows.repartitionByRange(parts, "okey", "cls").sortWithinPartitions("okey", "cls")
+    # A region stays whole in one task, unless it is large: then its order is dealt out.
+    rows = rows.withColumn("region", F.substring("okey", 1, _KEY)).join(large, "region", "left")
+    rows = rows.withColumn("large", F.coalesce("large", F.lit(False)))
+    dealt = F.when(F.col("large"), F.col("okey")).otherwise(F.lit(b""))
+    return rows.repartitionByRange(parts, "region", dealt).sortWithinPartitions("okey", "cls").drop("region")
+
+
+def _large_regions(classes: DataFrame, most: int) -> DataFrame:
+    """(region, large) of the regions of more than `most` classes, in any tree."""
+    keys = (F.concat(F.lit(bytes([t])), F.substring("sig", 4 * BASE_DEPTH * t + 1, 4 * BASE_DEPTH)) for t in range(TREES))
+    sizes = classes.select(F.explode(F.array(*keys)).alias("region")).groupBy("region").count()
+    found = stored(sizes.filter(F.col("count") > most).select("region", F.lit(True).alias("large")))
+    return F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
 
 
 def _regions(okey: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -243,10 +259,10 @@ def _candidates(classes: DataFrame, percent: int, first: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for okey, rows in _held(batches, _KEY + values):
-            # Regions that are too large, and those at the borders of the task's range, are not whole.
+            # Regions that are too large, and in the first step those at the borders of the task's range, are not whole.
             base = np.cumsum(np.concatenate([[False], (okey[1:, :_KEY] != okey[:-1, :_KEY]).any(axis=1)]))
-            partly = np.bincount(base)[base] > most
-            if last is None:
+            partly = np.bincount(base)[base] > most if first else rows.column("large").to_numpy(zero_copy_only=False)
+            if first and last is None:
                 partly |= base == 0
             yield flagged(rows.column("cls"), partly)
             last = rows.column("cls").filter(pa.array(base == base[-1]))
@@ -264,10 +280,10 @@ def _candidates(classes: DataFrame, percent: int, first: bool) -> DataFrame:
                 x, y, score = x[keep], y[keep], score[keep]
             cls = rows.column("cls")
             yield pa.RecordBatch.from_arrays([cls.take(pa.array(x)), cls.take(pa.array(y)), pa.array(score.astype(np.int32))], names=["cls", "other", "score"])
-        if last is not None:
+        if first and last is not None:
             yield flagged(last, np.ones(len(last), bool))
 
-    orders = _orders(classes, values)
+    orders = _orders(classes, values, None if first else _large_regions(classes, most))
     return (orders.drop("heads") if first else orders).mapInArrow(run, "cls binary, other binary, score int")
 
 
