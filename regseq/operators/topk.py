@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regseq.functions.sequence import count_n
+from regseq.operators.graph import _cut
 
 
 def ordered_sites(scores: DataFrame) -> DataFrame:
@@ -121,9 +122,21 @@ def pseudo_orthologs(orthologs: DataFrame, seed: int) -> DataFrame:
     return a.join(b, ["species", "r"]).select("species", "query_gene", "target_gene")
 
 
+def _numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """df with the place of each row in the order, from 0, counted by ranges: only their sizes meet on the driver."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = _cut(df.repartitionByRange(parts, order).withColumn("__part", F.spark_partition_id()))
+    sizes = {r["__part"]: r["count"] for r in dealt.groupBy("__part").count().collect()}
+    before = [(p, sum(n for q, n in sizes.items() if q < p)) for p in sizes]
+    offsets = spark.createDataFrame(before, "__part int, __before long")
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1 + F.col("__before")
+    return dealt.join(F.broadcast(offsets), "__part").withColumn(name, place).drop("__part", "__before")
+
+
 def random_orthologs(source: DataFrame, target: DataFrame, seed: int) -> DataFrame:
     """Each source id with one target, by its hash modulo the number of targets in id order."""
     n = target.count()
-    ranked = target.select(F.col("id").alias("ortholog"), (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("id")) - 1).alias("r"))
+    ranked = _numbered(target.select(F.col("id").alias("ortholog")), "ortholog", "r")
     draw = F.conv(F.substring(_hash(seed, "id"), 1, 12), 16, 10).cast("long") % max(n, 1)
-    return source.select("id", draw.cast("int").alias("r")).join(ranked, "r").select("id", "ortholog")
+    return source.select("id", draw.alias("r")).join(ranked, "r").select("id", "ortholog")
