@@ -1,131 +1,72 @@
-"""LM scoring by a backoff model of n-grams, 1 to ORDER = 3 words.
-
-Counting covers all training texts, all their tokens and all their n-grams, those seen once too:
-1. Every token's count (one shuffle of each task's distinct words, 64-bit hashes).
-2. Every 2- and 3-gram's count, by the hashes of its first and last two words, pre-aggregated in
-   each task.  These tables grow with the input and are never collected.
-A state is a history that has continuations.  An arc (state, word) carries the discounted
-log-probability; a state's backoff weight leads to the next shorter history; at the root every
-word has its smoothed unigram probability.  Probabilities of a state sum to one.
-
-The hot head is an automaton in memory: the n-grams over the VOCABULARY most frequent tokens that
-fit in MAX_ARCS.  Scoring takes from it the arcs of whole 3-grams, whose weights are those of the
-tables; all other tokens are joined with the tables by their n-grams' hashes, so the bounds of
-the head change no score.  The automaton alone, read by walk(), is a model of its own.
-
-Counts of the HEAD most frequent tokens are broadcast; those of rarer tokens are joined by a
-shuffle, so that all counts used in scores are exact.
+"""LM scoring by a weighted backoff automaton over n-grams of 1 to 3 words.
+
+The model is that of all training texts, all their tokens and all their n-grams, those seen once
+too; nothing bounds it.  With n() the training counts and MASS a constant,
+
+    p(c) = (n(c) + 1) / (N + V + 1)
+    p(c | b) = (n(bc) + MASS p(c)) / (n(b) + MASS)
+    p(c | ab) = (n(abc) + MASS p(c | b)) / (n(ab) + MASS)
+
+so every history's probabilities sum to one.  A history that was seen is a state; an n-gram that
+was seen is an arc with its log-probability; a state's failure arc costs log MASS / (n + MASS)
+and leads to the next shorter history; at the root every word has its smoothed probability.
+
+The automaton of a whole corpus fits no task, but that part of it which a block of texts can
+reach does, and needs its n-grams' counts only:
+1. Texts are packed into blocks of about BLOCK bytes, written once to the shared folder.
+2. Each block asks for its distinct n-grams: their hashes, sorted and delta-coded, with the
+   block's own training counts, dealt by ranges of the hash.  A block names an n-gram once, so
+   no frequent word, pair or passage makes a hot range.
+3. A range sums the counts of all blocks and answers every block in the order of its question.
+4. A block meets its answers, builds its part of the automaton and reads its texts left to right.
+
+Blocks and ranges have bounded sizes; their numbers grow with the input.  N-grams are named by
+hashes of log2(bytes) + SPARE bits, so that an n-gram shares its name with another with a chance
+of at most 2**-SPARE at any size of the input.
 """
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regseq.llm import textbytes as tb
 from regseq.llm.common import fold, out_schema, stored
 
-ORDER = 3
-HEAD = 1 << 20
-VOCABULARY = 1 << 13
-MAX_ARCS = 1 << 19
-DISCOUNT = 0.75
+MASS = 8.0
 LANE = 256
-#: Distinct keys that a counting task holds before it hands its partial counts on.
-HOLD = 1 << 20
+#: Bytes of text of a block (a longer text is a block of its own) and, about, of a range.
+BLOCK = 8 << 20
+RANGE = 16 << 20
+SPARE = 20
 #: The token that ends each text; it also stands before the first word as its history.
 END = tb.mix(np.array([0xE0D], np.uint64))[0]
+CODEC = pa.Codec("zstd", compression_level=3)
 
 
-class Lexicon(NamedTuple):
-    """Counts of the head: hashes ascending, counts, and word numbers (0 beyond the vocabulary)."""
+class Grams(NamedTuple):
+    """The n-grams of some texts: names ascending (the last bit tells words), and each token's place among them."""
 
-    hashes: np.ndarray
-    counts: np.ndarray
+    names: np.ndarray
     word: np.ndarray
-    slots: np.ndarray  # first place of each value of the hash's leading bits
-    shift: int
-    tokens: int  # N
-    types: int  # V
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Places of the hashes, -1 for those that are not in the head."""
-        lead = (h >> np.uint64(self.shift)).astype(np.int64)
-        at, stop = self.slots[lead], self.slots[lead + 1]
-        found = np.full(len(h), -1)
-        live = np.flatnonzero(at < stop)
-        while len(live):
-            here = self.hashes[at[live]]
-            hit = here == h[live]
-            found[live[hit]] = at[live[hit]]
-            live = live[here < h[live]]
-            at[live] += 1
-            live = live[at[live] < stop[live]]
-        return found
+    pair: np.ndarray  # of the token and that before it, which is END before a text
+    triple: np.ndarray  # the pair's place for the first token of a text
+    end: int  # place of END
+    first: np.ndarray  # bounds of the texts
 
 
 class Automaton(NamedTuple):
-    keys: np.ndarray  # state << 16 | word, ascending
+    seen: np.ndarray  # of each n-gram: whether it is an arc, and, of 1 or 2 words, a state
     logs: np.ndarray
-    to: np.ndarray
-    backoff: np.ndarray  # of each state
     fail: np.ndarray
-    start: np.ndarray  # state after a word read at the root
-    histories: np.ndarray  # codes of the histories of ORDER - 1 words, ascending
-    base: int  # state of the first of them
-
-    def arcs(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which n-grams of ORDER words are arcs, and the logarithms of those."""
-        if not len(self.histories):
-            return np.zeros(len(code), bool), np.zeros(0)
-        history = code >> 16
-        at = np.minimum(np.searchsorted(self.histories, history), len(self.histories) - 1)
-        key = np.where((self.histories[at] == history) & (code > 0), (self.base + at) << 16 | (code & 0xFFFF), -2)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        hit = self.keys[at] == key
-        return hit, self.logs[at[hit]]
-
-    def read(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """One step of all lanes: the states after the words, the weights, and whether the root was reached."""
-        weight = np.zeros(len(state))
-        after = np.zeros(len(state), np.int64)
-        root = np.zeros(len(state), bool)
-        live = np.arange(len(state))
-        state = state.copy()
-        while len(live):
-            down = state[live] == 0
-            rows = live[down]
-            root[rows] = True
-            after[rows] = self.start[word[rows]]
-            live = live[~down]
-            if not len(live):
-                break
-            key = (state[live] << 16) | word[live]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = self.keys[at] == key
-            rows = live[hit]
-            weight[rows] += self.logs[at[hit]]
-            after[rows] = self.to[at[hit]]
-            live = live[~hit]
-            weight[live] += self.backoff[state[live]]
-            state[live] = self.fail[state[live]]
-        return after, weight, root
-
-
-class Counts(NamedTuple):
-    """Tables of all n-grams of the training texts; pairs of words are named by hashes."""
-
-    words: DataFrame  # h, n
-    pairs: DataFrame  # bc, n, total (of the history b), weight
-    starts: DataFrame  # b, backoff
-    triples: DataFrame  # ab, bc, n
-    histories: DataFrame  # ab, total, backoff
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,379 +79,235 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, first + np.arange(n + 1)
 
 
-def _counted(keys: Iterator[np.ndarray], name: str) -> Iterator[pa.RecordBatch]:
-    """Partial counts of int64 keys, in portions of bounded size."""
-    held_k, held_n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def batch() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(held_k), pa.array(held_n)], names=[name, "n"])
-
-    for k in keys:
-        k, n = np.unique(k, return_counts=True)
-        k, n = np.concatenate([held_k, k]), np.concatenate([held_n, n])
-        order = np.argsort(k, kind="stable")
-        k, n = k[order], n[order]
-        new = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-        held_k, held_n = k[new], np.add.reduceat(n, new) if len(new) else n
-        if len(held_k) > HOLD:
-            yield batch()
-            held_k, held_n = held_k[:0], held_n[:0]
-    if len(held_k):
-        yield batch()
-
-
-def token_counts(docs: DataFrame) -> DataFrame:
-    """(h, n): how often each token is in docs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _counted((tokens(s.data, s.offsets)[0].view(np.int64) for s in tb.slices(batches)), "h")
-
-    return docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-
-
-def lexicon(counts: DataFrame, head: int = HEAD, vocabulary: int = VOCABULARY) -> Lexicon:
-    """The most frequent tokens, at most `head`; of equal counts' classes all or none."""
-    level = F.floor(F.log2("n") * 16).cast("int")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    least, room = 1 << 30, head
-    for row in sorted(counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
-        if row["count"] > room:
-            break
-        least, room = row["level"], room - row["count"]
-    got = counts.filter(level >= least).select("h", "n").toArrow()
-    h, n = got["h"].to_numpy().view(np.uint64), got["n"].to_numpy()
-    order = np.argsort(h)
-    h, n = h[order], n[order]
-    word = np.zeros(len(h), np.int64)
-    frequent = np.lexsort((h, -n))[: vocabulary - 1]
-    word[frequent] = np.arange(1, len(frequent) + 1)
-    # The end has a number in any case: it is the history of first words.
-    end = np.searchsorted(h, END)
-    if end < len(h) and h[end] == END and not word[end]:
-        word[end] = len(frequent) + 1
-    bits = max(1, min(21, int(len(h)).bit_length()))
-    slots = np.searchsorted(h >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-    return Lexicon(h, n, word, slots.astype(np.int64), 64 - bits, int(total[0]), int(total[1]))
-
-
-def _numbers(lex: Lexicon) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the vocabulary, ascending, and their numbers."""
-    have = lex.word > 0
-    return lex.hashes[have], lex.word[have]
-
-
-def _histories(word: np.ndarray, first: np.ndarray, end: int, order: int) -> np.ndarray:
-    """Codes of the n-grams of `order` words that end at each token, 16 bits a word; 0 if one is beyond the vocabulary.
-
-    Before a text stands one end; n-grams reach no further back.
-    """
-    n = len(word)
-    padded = np.zeros(n + len(first) - 1, np.int64)
-    doc = tb.doc_of(first)
-    place = np.arange(n) + doc + 1
-    padded[place] = word
-    padded[first[:-1] + np.arange(len(first) - 1)] = end
-    code = np.zeros(n, np.int64)
-    ok = np.ones(n, bool)
-    floor = (first[:-1] + np.arange(len(first) - 1))[doc] if n else place
-    for back in reversed(range(order)):
-        at = place - back
-        w = np.where(at >= floor, padded[np.maximum(at, 0)], 0)
-        ok &= w > 0
-        code = code << 16 | w
-    return np.where(ok, code, 0)
-
-
-def _isin(x: np.ndarray, table: np.ndarray) -> np.ndarray:
-    if not len(table):
-        return np.zeros(len(x), bool)
-    at = np.minimum(np.searchsorted(table, x), len(table) - 1)
-    return table[at] == x
-
-
-def ngram_counts(docs: DataFrame, hashes: np.ndarray, numbers: np.ndarray, end: int, order: int, kept: np.ndarray | None) -> DataFrame:
-    """(gram, n) of the n-grams of `order` words whose two parts of order - 1 words are among `kept` (None: all are)."""
-    shared = docs.sparkSession.sparkContext.broadcast((hashes, numbers, kept))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, numbers, kept = shared.value
-
-        def codes() -> Iterator[np.ndarray]:
-            for s in tb.slices(batches):
-                h, first = tokens(s.data, s.offsets)
-                at = np.minimum(np.searchsorted(hashes, h), max(len(hashes) - 1, 0))
-                word = np.where(hashes[at] == h, numbers[at], 0) if len(hashes) else np.zeros(len(h), np.int64)
-                code = _histories(word, first, end, order)
-                code = code[code > 0]
-                if kept is not None:
-                    code = code[_isin(code >> 16, kept)]
-                    code = code[_isin(code & ((1 << 16 * (order - 1)) - 1), kept)]
-                yield code
-
-        return _counted(codes(), "gram")
-
-    return docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def _most_frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams of the highest counts of 2 or more, at most `most`, ascending by code; of equal levels all or none."""
-    counts = stored(counts.filter("n >= 2"))
-    level = F.floor(F.log2("n") * 8).cast("int")
-    least, room = 1 << 30, most
-    for row in sorted(counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
-        if row["count"] > room:
-            break
-        least, room = row["level"], room - row["count"]
-    got = counts.filter(level >= least).toArrow()
-    gram, n = got["gram"].to_numpy(), got["n"].to_numpy()
-    order = np.argsort(gram)
-    return gram[order], n[order]
-
-
-def build(lex: Lexicon, grams: list[tuple[np.ndarray, np.ndarray]]) -> Automaton:
-    """grams: kept n-grams and counts of 2, 3, ... words.  Logarithms are to base 10."""
-    size = int(lex.word.max(initial=0)) + 1
-    count = np.zeros(size)
-    count[lex.word] = lex.counts
-    count[0] = 0
-    probability = [(count + 1) / (lex.tokens + lex.types + 1)]  # by order; the first by word, the others by kept n-gram
-    totals = [count]
-    state_codes: list[np.ndarray] = []  # histories of 1, 2, ... words
-    state_base: list[int] = []
-    backoff, fail = [np.zeros(1)], [np.zeros(1, np.int64)]
-    keys, logs, targets = [], [], []
-    whole, base = np.zeros(0, np.int64), 1
-    n_states = 1
-
-    def state_of(code: np.ndarray, words: int) -> np.ndarray:
-        """The longest state that ends these histories of `words` words."""
-        out = np.zeros(len(code), np.int64)
-        for w in range(1, min(words, len(state_codes)) + 1):
-            part = code & ((1 << 16 * w) - 1)
-            table = state_codes[w - 1]
-            if len(table):
-                at = np.minimum(np.searchsorted(table, part), len(table) - 1)
-                out = np.where(table[at] == part, state_base[w - 1] + at, out)
-        return out
-
-    def lower(code: np.ndarray, words: int) -> np.ndarray:
-        """Probability of the last word after the shorter history; that n-gram is kept."""
-        part = code & ((1 << 16 * (words - 1)) - 1)
-        return probability[0][part] if words == 2 else probability[words - 2][np.searchsorted(grams[words - 3][0], part)]
-
-    for i, (code, n) in enumerate(grams):
-        words = i + 2
-        history = code >> 16
-        states, of = np.unique(history, return_inverse=True)
-        of = of.reshape(-1)
-        total = totals[0][states] if words == 2 else totals[i][np.searchsorted(grams[i - 1][0], states)]
-        total = np.maximum(total, np.bincount(of, n, len(states)))
-        p = (n - DISCOUNT) / total[of]
-        below = lower(code, words)
-        left = 1 - np.bincount(of, p, len(states))
-        rest = 1 - np.bincount(of, below, len(states))
-        short = state_of(states & ((1 << 16 * (words - 2)) - 1), words - 2) if words > 2 else np.zeros(len(states), np.int64)
-        state_codes.append(states)
-        state_base.append(n_states)
-        if words == ORDER:
-            whole, base = states, n_states
-        backoff.append(np.log10(np.maximum(left, 1e-12) / np.maximum(rest, 1e-12)))
-        fail.append(short)
-        keys.append(((n_states + of) << 16) | (code & 0xFFFF))
-        logs.append(np.log10(p))
-        n_states += len(states)
-        probability.append(p)
-        totals.append(n)
-    for i, (code, _) in enumerate(grams):
-        targets.append(state_of(code, i + 2))
-    start = state_of(np.arange(size), 1)
-    start[0] = 0
-    key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-    order = np.argsort(key)
-    join = lambda x, kind: np.concatenate(x)[order] if x else np.zeros(0, kind)
-    if not len(key):
-        key, order = np.full(1, -1), np.zeros(1, np.int64)
-        return Automaton(key, np.zeros(1), order, np.concatenate(backoff), np.concatenate(fail), start, whole, base)
-    return Automaton(key[order], join(logs, float), join(targets, np.int64), np.concatenate(backoff), np.concatenate(fail), start, whole, base)
-
-
-def walk(a: Automaton, word: np.ndarray, unigram: np.ndarray, first: np.ndarray, end: int) -> np.ndarray:
-    """Weight of each token, read left to right.  unigram: what a word costs at the root."""
-    n = np.diff(first)
+def grams(h: np.ndarray, first: np.ndarray, bits: int) -> Grams:
+    """The n-grams of texts of the tokens h, named by `bits` bits."""
+    before = np.full(len(h), END, np.uint64)
+    before[1:] = h[:-1]
+    before[first[:-1]] = END
+    pair = tb.mix(before * np.uint64(tb.BASE) + h)
+    triple = pair.copy()
+    triple[1:] = tb.mix(pair[:-1] * np.uint64(tb.BASE) + tb.mix(pair[1:]))
+    triple[first[:-1]] = pair[first[:-1]]
+    cut, one = np.uint64(65 - bits), np.uint64(1)
+    name = np.concatenate([h >> cut << one | one, pair >> cut << one, triple >> cut << one])
+    names, place = np.unique(name, return_inverse=True)
+    word, pair, triple = place.reshape(3, -1)
+    return Grams(names, word, pair, triple, int(np.searchsorted(names, END >> cut << one | one)), first)
+
+
+def own_counts(g: Grams, train: np.ndarray) -> np.ndarray:
+    """How often each n-gram is in those of the texts that `train` holds."""
+    on = np.repeat(train, np.diff(g.first))
+    n = np.bincount(g.word[on], minlength=len(g.names)) + np.bincount(g.pair[on], minlength=len(g.names))
+    on[g.first[:-1]] = False
+    return n + np.bincount(g.triple[on], minlength=len(g.names))
+
+
+def build(g: Grams, n: np.ndarray, space: int, mass: float = MASS) -> Automaton:
+    """n: the n-grams' training counts.  space: N + V + 1.  Logarithms are to base 10."""
+    p = np.empty(len(n))
+    p[g.word] = (n[g.word] + 1) / space
+    before = np.full(len(g.word), g.end)
+    before[1:] = g.word[:-1]
+    before[g.first[:-1]] = g.end
+    p[g.pair] = (n[g.pair] + mass * p[g.word]) / (n[before] + mass)
+    inner = np.ones(len(g.word), bool)
+    inner[g.first[:-1]] = False
+    at = np.flatnonzero(inner)
+    p[g.triple[at]] = (n[g.triple[at]] + mass * p[g.pair[at]]) / (n[g.pair[at - 1]] + mass)
+    return Automaton(n > 0, np.log10(p), np.log10(mass / (n + mass)))
+
+
+def walk(a: Automaton, g: Grams) -> np.ndarray:
+    """Weight of each token.  Lanes of LANE tokens are read left to right, each carrying its state; a lane inside a
+    text starts two tokens before, which makes its state whole."""
+    n = np.diff(g.first)
     lanes = -(-n // LANE)
     doc = np.repeat(np.arange(len(n)), lanes)
     part = np.arange(len(doc)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
-    begin = first[:-1][doc] + part * LANE
-    warm = np.where(part > 0, ORDER - 1, 0)
-    stop = np.minimum(begin + LANE, first[1:][doc])
-    length = stop - begin + warm
+    begin = g.first[:-1][doc] + part * LANE
+    warm = np.where(part > 0, 2, 0)
+    length = np.minimum(begin + LANE, g.first[1:][doc]) - begin + warm
     order = np.argsort(-length, kind="stable")
-    at, warm, length = (begin - warm)[order], warm[order], length[order]
-    state = np.where(warm > 0, 0, a.start[end] if end else 0)
-    out = np.zeros(len(word))
-    ascending = -length
-    for step in range(int(length.max(initial=0))):
-        live = int(np.searchsorted(ascending, -step, "left"))
-        here = at[:live] + step
-        state[:live], weight, root = a.read(state[:live], word[here])
-        weight += np.where(root, unigram[here], 0.0)
+    begin, warm, length = (begin - warm)[order], warm[order], length[order]
+    # A state is the place of its history, -1 for the root; `words` is how many words it has.
+    words = np.where((warm == 0) & a.seen[g.end], 1, 0)
+    state = np.where(words > 0, g.end, -1)
+    out = np.zeros(len(g.word))
+    for step in range(int(length[0]) if len(length) else 0):
+        live = int(np.searchsorted(-length, -step, "left"))
+        here, s, w = begin[:live] + step, state[:live], words[:live]
+        weight = np.zeros(live)
+        arc = g.triple[here]
+        hit = (w == 2) & a.seen[arc]
+        weight[hit] = a.logs[arc[hit]]
+        down = np.flatnonzero((w == 2) & ~hit)
+        weight[down] = a.fail[s[down]]
+        s[down], w[down] = g.word[here[down] - 1], 1
+        pair = g.pair[here]
+        met = (w == 1) & a.seen[pair]
+        rows = np.flatnonzero(met)
+        weight[rows] += a.logs[pair[rows]]
+        down = np.flatnonzero((w == 1) & ~met)
+        weight[down] += a.fail[s[down]]
+        root = np.flatnonzero(~hit & ~met)
+        weight[root] += a.logs[g.word[here[root]]]
+        s[:], w[:] = pair, 2
+        known = a.seen[g.word[here[root]]]
+        s[root], w[root] = np.where(known, g.word[here[root]], -1), np.where(known, 1, 0)
         count = warm[:live] <= step
         out[here[count]] = weight[count]
     return out
 
 
-_COLUMNS = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())]
+def _packed(*columns: np.ndarray) -> bytes:
+    """Numbers as planes of their bytes, those of most zeros last, compressed."""
+    planes = b"".join(c.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns)
+    return CODEC.compress(planes, asbytes=True)
 
 
-def _grams(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each token: the word before it (END before a text), and the hashes of the pairs that end before it and at it.
+def _unpacked(data: bytes, n: int, columns: int) -> list[np.ndarray]:
+    planes = np.frombuffer(CODEC.decompress(data, n * 8 * columns, asbytes=True), np.uint8).reshape(columns, 8, n)
+    return [np.ascontiguousarray(c.T).view(np.uint64).reshape(-1) for c in planes]
 
-    Before the first token of a text there is no pair; its place is to be left out.
-    """
-    before = np.full(len(h), END, np.uint64)
-    before[1:] = h[:-1]
-    before[first[:-1]] = END
-    pair = tb.mix(before * np.uint64(tb.BASE) + h)
-    history = np.zeros(len(h), np.uint64)
-    history[1:] = pair[:-1]
-    return before, history, pair
+
+def _message(batch: pa.RecordBatch) -> bytes:
+    sink = io.BytesIO()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=CODEC)) as out:
+        out.write_batch(batch)
+    return sink.getvalue()
 
 
-def _inner(first: np.ndarray) -> np.ndarray:
-    """Which tokens are not the first of their text."""
-    inner = np.ones(int(first[-1]), bool)
-    inner[first[:-1]] = False
-    return inner
+def _batch(message: bytes) -> pa.RecordBatch:
+    return next(iter(pa.ipc.open_stream(message)))
 
 
-def pair_counts(docs: DataFrame) -> DataFrame:
-    """(bc, b, c, n): how often each 2-gram is in docs."""
+def _blocks(docs: DataFrame, wanted: bool) -> DataFrame:
+    """(block, wanted, size, payload): docs in blocks; those of a corpus that is not scored have numbers below 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in tb.slices(batches):
-            h, first = tokens(s.data, s.offsets)
-            before, _, pair = _grams(h, first)
-            pair, at, n = np.unique(pair, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (pair, before[at], h[at], n)], names=["bc", "b", "c", "n"])
+        task = TaskContext.get().partitionId() << 32
+        for i, s in enumerate(tb.slices(batches, most=BLOCK)):
+            block = task + i if wanted else -1 - task - i
+            yield pa.RecordBatch.from_pydict({"block": [block], "wanted": [wanted], "size": [len(s.data)], "payload": [_message(s.batch)]})
+
+    return docs.mapInArrow(run, "block long, wanted boolean, size long, payload binary")
 
-    return docs.select("text").mapInArrow(run, "bc long, b long, c long, n long").groupBy("bc", "b", "c").agg(F.sum("n").alias("n"))
 
+def _asked(blocks: DataFrame, bits: int, lead: int) -> DataFrame:
+    """(range, block, wanted, n, payload): each block's n-grams and own counts, by the first `lead` bits of the names."""
 
-def triple_counts(docs: DataFrame) -> DataFrame:
-    """(ab, bc, n): how often each 3-gram is in docs."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = np.arange(1, 1 << lead, dtype=np.uint64) << np.uint64(bits - lead)
+        for batch in batches:
+            for block, wanted, payload in zip(*(batch.column(c) for c in ("block", "wanted", "payload")), strict=True):
+                docs, wanted = _batch(payload.as_py()), wanted.as_py()
+                g = grams(*tokens(*tb.text_bytes(docs.column("text"))), bits)
+                n = own_counts(g, docs.column("__train").to_numpy(zero_copy_only=False))
+                names = g.names
+                if not wanted:
+                    names, n = names[n > 0], n[n > 0]
+                bounds = np.concatenate([[0], np.searchsorted(names, edges), [len(names)]])
+                part = np.flatnonzero(np.diff(bounds))
+                data = [_packed(np.diff(names[bounds[i] : bounds[i + 1]], prepend=np.uint64(0)), n[bounds[i] : bounds[i + 1]]) for i in part.tolist()]
+                k = len(part)
+                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array([block.as_py()] * k, pa.int64()), pa.array([wanted] * k, pa.bool_()), pa.array(np.diff(bounds)[part].astype(np.int32)), pa.array(data, pa.binary())], names=["range", "block", "wanted", "n", "payload"])
+        tb.give_back()
+
+    return blocks.select("block", "wanted", "payload").mapInArrow(run, "range int, block long, wanted boolean, n int, payload binary")
+
+
+def _answers(asked: DataFrame, ranges: int) -> DataFrame:
+    """(block, range, n, payload, tokens, types): counts over all blocks, in the order of the questions; a row without
+    block has the range's share of N and V."""
+
+    def answer(r: int, rows: list[tuple]) -> Iterator[dict]:
+        parts = [_unpacked(payload, n, 2) for _, _, n, payload in rows]
+        names, place = np.unique(np.concatenate([np.cumsum(d) for d, _ in parts]), return_inverse=True)
+        total = np.bincount(place, np.concatenate([n for _, n in parts]), len(names)).astype(np.int64)
+        word = total[(names & np.uint64(1)) > 0]
+        yield {"block": None, "range": r, "n": 0, "payload": None, "tokens": int(word.sum()), "types": int((word > 0).sum())}
+        at = 0
+        for block, wanted, n, _ in rows:
+            if wanted:
+                yield {"block": block, "range": r, "n": n, "payload": _packed(total[place[at : at + n]]), "tokens": 0, "types": 0}
+            at += n
+
+    schema = pa.schema([("block", pa.int64()), ("range", pa.int32()), ("n", pa.int32()), ("payload", pa.binary()), ("tokens", pa.int64()), ("types", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in tb.slices(batches):
-            h, first = tokens(s.data, s.offsets)
-            _, history, pair = _grams(h, first)
-            inner = _inner(first)
-            history, pair = history[inner], pair[inner]
-            _, at, n = np.unique(history * np.uint64(tb.BASE) + tb.mix(pair), return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (history[at], pair[at], n)], names=["ab", "bc", "n"])
-
-    return docs.select("text").mapInArrow(run, "ab long, bc long, n long").groupBy("ab", "bc").agg(F.sum("n").alias("n"))
-
-
-def tables(docs: DataFrame, words: DataFrame, lex: Lexicon) -> Counts:
-    """All n-grams of docs.  What the shorter history leaves to a state is summed in whole counts, so it is exact."""
-    seen = stored(pair_counts(docs))
-    space = lex.tokens + lex.types + 1
-    last = words.select(F.col("h").alias("c"), F.col("n").alias("of_c"))
-    starts = seen.join(last, "c").groupBy("b").agg(F.sum("n").alias("total"), F.count("*").alias("k"), F.sum(F.col("of_c") + 1).alias("used"))
-    left = F.log10(DISCOUNT * F.col("k") / F.col("total"))
-    starts = stored(starts.select("b", "total", (left - F.log10((space - F.col("used")) / space)).alias("backoff")))
-    weight = F.log10((F.col("n") - DISCOUNT) / F.col("total"))
-    pairs = stored(seen.join(starts, "b").select("bc", "n", "total", weight.alias("weight")))
-    triples = stored(triple_counts(docs))
-    lower = pairs.select("bc", F.col("n").alias("below"), F.col("total").alias("of_b"))
-    states = triples.join(lower, "bc").groupBy("ab").agg(F.sum("n").alias("total"), F.count("*").alias("k"), F.sum("below").alias("used"), F.max("of_b").alias("of_b"))
-    rest = F.log10((F.col("of_b") - F.col("used") + DISCOUNT * F.col("k")) / F.col("of_b"))
-    states = stored(states.select("ab", "total", (left - rest).alias("backoff")))
-    return Counts(words, pairs, starts.select("b", "backoff"), triples, states)
-
-
-def train(docs: DataFrame) -> tuple[Counts, Lexicon, Automaton]:
-    """The tables of all n-grams, the head of the token counts and the head's automaton, from all rows of docs."""
-    words = stored(token_counts(docs))
-    lex = lexicon(words)
-    hashes, numbers = _numbers(lex)
-    end = int(numbers[hashes == END][0]) if (hashes == END).any() else 0
-    grams: list[tuple[np.ndarray, np.ndarray]] = []
-    for order in range(2, ORDER + 1):
-        grams.append(_most_frequent(ngram_counts(docs, hashes, numbers, end, order, grams[-1][0] if grams else None), MAX_ARCS))
-    return tables(docs, words, lex), lex, build(lex, grams)
-
-
-def _pair_weights(docs: DataFrame, counts: Counts, floor: float) -> DataFrame:
-    """(bc, weight) of the trained 2-grams, and of those of docs that are not trained: what they back off to."""
-    new = pair_counts(docs).join(counts.pairs, "bc", "left_anti").select("bc", "b", "c")
-    words = counts.words.select(F.col("h").alias("c"), "n")
-    new = new.join(counts.starts, "b", "left").join(words, "c", "left")
-    unigram = F.log10(F.coalesce("n", F.lit(0)) + 1) - floor
-    return counts.pairs.select("bc", "weight").union(new.select("bc", F.coalesce("backoff", F.lit(0.0)) + unigram))
-
-
-def score(docs: DataFrame, counts: Counts, lex: Lexicon, automaton: Automaton) -> DataFrame:
-    """docs with n_tokens, n_known, train_tokens, base_score and score (log10 of the model's probability).
-
-    A null or empty text is its end alone.  Rows keep their number, repeated rows get equal
-    scores; columns with the results' names are replaced.
+        held: list[tuple] = []
+        last = -1
+        for batch in batches:
+            for r, *row in zip(*(batch.column(c) for c in ("range", "block", "wanted", "n", "payload")), strict=True):
+                if r.as_py() != last and held:
+                    yield pa.RecordBatch.from_pylist(list(answer(last, held)), schema)
+                    held = []
+                last = r.as_py()
+                held.append(tuple(x.as_py() for x in row))
+        if held:
+            yield pa.RecordBatch.from_pylist(list(answer(last, held)), schema)
+        tb.give_back()
+
+    dealt = asked.repartition(ranges, "range").sortWithinPartitions("range", "block")
+    return dealt.mapInArrow(run, "block long, range int, n int, payload binary, tokens long, types long")
+
+
+_COLUMNS = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())]
+
+
+def score(docs: DataFrame, training: Column, corpus: DataFrame | None = None, mass: float = MASS) -> DataFrame:
+    """docs without text, with n_tokens, n_known, train_tokens, base_score and score (log10 of the model's probability).
+
+    The model learns from those rows of docs where `training` is true, and from all texts of `corpus`, if given.
+    A null or empty text is its end alone.  Rows keep their number, repeated rows get equal scores; columns with the
+    results' names are replaced.  An empty table gives an empty one.  Without any training text N and V are 0.
     """
     base = docs.drop(*(k for k, _ in _COLUMNS))
-    floor = float(np.log10(lex.tokens + lex.types + 1))
-    shared = docs.sparkSession.sparkContext.broadcast((lex, automaton))
-    rest = [c for c in base.columns if c != "text"]
-    longs = T.ArrayType(T.LongType())
-    more = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()), ("__rare", longs), ("__first", T.LongType()), ("__ab", longs), ("__bc", longs)]
-    schema = out_schema(base, more)
+    rest = base.drop("text")
+    blocks = _blocks(base.withColumn("__train", F.coalesce(training, F.lit(False))), True)
+    if corpus is not None:
+        blocks = blocks.union(_blocks(corpus.select("text", F.lit(True).alias("__train")), False))
+    blocks = stored(blocks)
+    size, n_blocks = blocks.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    bits = min(64, int(size).bit_length() + SPARE + 1)
+    lead = int(size // RANGE).bit_length()
+    answers = stored(_answers(_asked(blocks, bits, lead), 1 << lead))
+    n_tokens, n_types = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
+    space = int(n_tokens + n_types + 1)
+    schema = out_schema(rest, _COLUMNS)
+
+    def read(message: bytes, parts: list[bytes], sizes: list[int]) -> pa.RecordBatch:
+        batch = _batch(message)
+        g = grams(*tokens(*tb.text_bytes(batch.column("text"))), bits)
+        n = np.concatenate([_unpacked(p, k, 1)[0] for p, k in zip(parts, sizes, strict=True)]).astype(np.int64)
+        first, count = g.first[:-1], n[g.word]
+        results = {
+            "n_tokens": np.diff(g.first), "n_known": np.add.reduceat((count > 0).astype(np.int64), first), "train_tokens": np.full(len(first), n_tokens, np.int64),
+            "base_score": np.add.reduceat(np.log10((count + 1) / space), first), "score": np.add.reduceat(walk(build(g, n, space, mass), g), first),
+        }
+        return tb.with_columns(batch, results).select(schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, a = shared.value
-        at_end = int(np.searchsorted(lex.hashes, END))
-        end = int(lex.word[at_end]) if at_end < len(lex.hashes) and lex.hashes[at_end] == END else 0
-
-        def lists(x: np.ndarray, bounds: np.ndarray) -> pa.Array:
-            return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(x.view(np.int64)))
-
-        for s in tb.slices(batches):
-            h, first = tokens(s.data, s.offsets)
-            at = lex.find(h)
-            known = at >= 0
-            count = np.where(known, lex.counts[at], 0) if len(lex.counts) else np.zeros(len(h))
-            word = np.where(known, lex.word[at], 0) if len(lex.word) else np.zeros(len(h), np.int64)
-            # Rare tokens are taken as never seen here; what their counts add follows from the join.
-            unigram = np.log10(count + 1) - floor
-            _, history, pair = _grams(h, first)
-            hot, logs = a.arcs(_histories(word, first, end, ORDER))
-            weight = np.zeros(len(h))
-            weight[hot] = logs
-            open_ = _inner(first) & ~hot
-            bounds = lambda which: np.concatenate([[0], np.cumsum(which)])[first]
-            yield tb.with_columns(s.batch, {
-                "n_tokens": np.diff(first), "n_known": tb.sums_by(known, first), "base_score": tb.sums_by(unigram, first, float), "score": tb.sums_by(weight, first, float),
-                "__rare": lists(h[~known], bounds(~known)), "__first": pair[first[:-1]].view(np.int64), "__ab": lists(history[open_], bounds(open_)), "__bc": lists(pair[open_], bounds(open_)),
-            }).select(schema.names)
-
-    scored = stored(base.mapInArrow(run, schema).drop("text").withColumn("__row", F.monotonically_increasing_id()))
-    seen = scored.select("__row", F.explode("__rare").alias("h")).groupBy("__row", "h").count().join(counts.words, "h")
-    added = seen.groupBy("__row").agg(F.sum("count").alias("__known"), F.sum(F.col("count") * F.log10(F.col("n") + 1)).alias("__more"))
-    # Weights are summed as whole numbers, so that no order of rows changes a score.
-    whole = lambda x: F.round(x * 1e10).cast("long")
-    trained = counts.triples.join(counts.histories, "ab").select("ab", "bc", whole(F.log10((F.col("n") - DISCOUNT) / F.col("total"))).alias("w"))
-    asked = scored.select("__row", F.inline(F.arrays_zip(F.col("__ab").alias("ab"), F.col("__bc").alias("bc")))).join(trained, ["ab", "bc"], "left")
-    missed = F.collect_list(F.when(F.col("w").isNull(), F.struct("ab", "bc")))
-    met = stored(asked.groupBy("__row").agg(F.sum("w").alias("w"), missed.alias("missed")))
-    below = met.select("__row", F.inline("missed")).union(scored.select("__row", F.lit(None).cast("long"), "__first"))
-    below = below.join(counts.histories.select("ab", "backoff"), "ab", "left").join(_pair_weights(docs, counts, floor), "bc")
-    below = below.select("__row", whole(F.coalesce("backoff", F.lit(0.0)) + F.col("weight")).alias("w"))
-    joined = met.select("__row", "w").union(below).groupBy("__row").agg(F.sum("w").alias("__w"))
-    out = scored.drop("__rare", "__first", "__ab", "__bc").join(added, "__row", "left").join(joined, "__row", "left")
-    more_, zero = F.coalesce("__more", F.lit(0.0)), F.lit(0)
-    new = {"n_known": F.col("n_known") + F.coalesce("__known", zero), "train_tokens": F.lit(lex.tokens).cast("long"), "base_score": F.col("base_score") + more_, "score": F.col("score") + F.coalesce("__w", zero) / 1e10}
-    return out.select(*rest, *(new.get(k, F.col(k)).alias(k) for k, _ in _COLUMNS))
+        message, parts, sizes = None, [], []
+        for batch in batches:
+            for r, n, payload in zip(*(batch.column(c).to_pylist() for c in ("range", "n", "payload")), strict=True):
+                if r >= 0:
+                    parts.append(payload)
+                    sizes.append(n)
+                    continue
+                if message is not None:
+                    yield read(message, parts, sizes)
+                message, parts, sizes = payload, [], []
+        if message is not None:
+            yield read(message, parts, sizes)
+        tb.give_back()
+
+    whole = blocks.filter("wanted").select("block", F.lit(-1).alias("range"), F.lit(0).alias("n"), "payload")
+    met = whole.union(answers.filter("block is not null").select("block", "range", "n", "payload"))
+    return met.repartition(max(1, int(n_blocks)), "block").sortWithinPartitions("block", "range").mapInArrow(run, schema)
 
 
 def op4_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    counts, lex, automaton = train(docs.filter(fold(7) != 2))
-    return score(docs.select("doc_id", (fold(7) == 2).alias("held_out"), "text"), counts, lex, automaton)
+    return score(docs.select("doc_id", (fold(7) == 2).alias("held_out"), "text"), fold(7) != 2)

@@ -279,87 +279,89 @@ def test_language(spark, docs, odd, clash):
     assert set(language_mixture.identify(mixed, model).first().proportions) >= {"en", "de"}
 
 
-def test_backoff(spark, docs, rows, odd, clash, monkeypatch):
-    small = backoff_lm.lexicon.__defaults__
-    for head in (small[0], 300):
-        monkeypatch.setattr(backoff_lm.lexicon, "__defaults__", (head, small[1]))
-        got = {r.doc_id: r for r in backoff_lm.op4_backoff_automaton(spark, SF).collect()}
-        want = brute.base_scores(rows)
-        for d, (n, known, total, base) in want.items():
-            assert (got[d].n_tokens, got[d].n_known, got[d].train_tokens) == (n, known, total)
-            assert got[d].base_score == pytest.approx(base, rel=1e-9)
-        held = [r for r in got.values() if r.held_out]
-        assert sum(r.score for r in held) > sum(r.base_score for r in held)
-    counts, lex, automaton = backoff_lm.train(odd)
+def test_backoff(spark, docs, rows, odd, clash):
+    got = {r.doc_id: r for r in backoff_lm.op4_backoff_automaton(spark, SF).collect()}
+    want = brute.base_scores(rows)
+    assert len(got) == len(want)
+    for d, (n, known, total, base) in want.items():
+        assert (got[d].n_tokens, got[d].n_known, got[d].train_tokens) == (n, known, total)
+        assert got[d].base_score == pytest.approx(base, rel=1e-9)
+    held = [r for r in got.values() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
     for frame in (odd, clash):
-        out = {r.doc_id: r for r in backoff_lm.score(frame, counts, lex, automaton).collect()}
-        assert out[1].n_tokens == out[2].n_tokens == 1 and out[1].score == out[2].score
-    assert backoff_lm.score(odd.limit(0), counts, lex, automaton).count() == 0
-    empty = backoff_lm.train(odd.limit(0))
-    assert all(r.n_known == 0 for r in backoff_lm.score(odd, *empty).collect())
-
-
-def test_backoff_scores_by_all_ngrams_whatever_the_head_holds(spark, rows, monkeypatch):
+        out = backoff_lm.score(frame, F.lit(True)).collect()
+        assert len(out) == len(AWKWARD)
+        by = {r.doc_id: r for r in out}
+        assert by[1].n_tokens == by[2].n_tokens == 1 and by[1].score == by[2].score
+        assert len({r.score for r in out if r.doc_id == 7}) == 1
+        assert all(r.n_known == r.n_tokens for r in out)
+    assert backoff_lm.score(odd.limit(0), F.lit(True)).count() == 0
+    assert backoff_lm.score(odd.limit(0), F.lit(True), odd).count() == 0
+    assert all(r.n_known == 0 and r.train_tokens == 0 for r in backoff_lm.score(odd, F.lit(None).cast("boolean")).collect())
+
+
+def test_backoff_scores_by_all_ngrams(spark, rows, monkeypatch):
     import collections
     import math
 
     some = [(d, " ".join((t or "").split()[:80])) for d, t in rows[:60]]
-    tok = lambda t: [*brute.words(t), None]
     c1, c2, c3 = (collections.Counter() for _ in range(3))
     for _, t in some[:40]:
-        w = [None, *tok(t)]
+        w = [None, *brute.words(t), None]
         c1.update(w[1:])
         c2.update(zip(w, w[1:], strict=False))
         c3.update(zip(w, w[1:], w[2:], strict=False))
-    space = sum(c1.values()) + len(c1) + 1
-    after = collections.defaultdict(list)
-    for g in [*c2, *c3]:
-        after[g[:-1]].append(g[-1])
+    space, mass = sum(c1.values()) + len(c1) + 1, backoff_lm.MASS
     p1 = lambda c: (c1[c] + 1) / space
+    p2 = lambda b, c: (c2[b, c] + mass * p1(c)) / (c1[b] + mass)
+    p3 = lambda a, b, c: (c3[a, b, c] + mass * p2(b, c)) / (c2[a, b] + mass)
 
-    def p2(b, c):
-        if c2[b, c]:
-            return (c2[b, c] - 0.75) / c1[b]
-        here = after.get((b,), [])
-        return p1(c) * ((1 - sum(p2(b, x) for x in here)) / (1 - sum(map(p1, here))) if here else 1)
-
-    def p3(a, b, c):
-        if c3[a, b, c]:
-            return (c3[a, b, c] - 0.75) / c2[a, b]
-        here = after.get((a, b), [])
-        return p2(b, c) * ((1 - sum(p3(a, b, x) for x in here)) / (1 - sum(p2(b, x) for x in here)) if here else 1)
+    # Every history's probabilities, with that of all words never seen, sum to one.
+    for a, b in [g for g in c2 if g[1] is not None][::50]:
+        assert sum(p3(a, b, c) for c in c1) + mass * mass / space / (c1[b] + mass) / (c2[a, b] + mass) == pytest.approx(1)
 
     def whole(t):
-        w = [None, *tok(t)]
+        w = [None, *brute.words(t), None]
         return math.log10(p2(w[0], w[1])) + sum(math.log10(p3(*g)) for g in zip(w, w[1:], w[2:], strict=False))
 
+    want = {d: pytest.approx(whole(t), abs=1e-6) for d, t in some}
     frame = spark.createDataFrame(some, "doc_id long, text string")
-    head = backoff_lm.lexicon.__defaults__
-    for vocabulary in (head[1], 20):
-        monkeypatch.setattr(backoff_lm.lexicon, "__defaults__", (head[0], vocabulary))
-        got = backoff_lm.score(frame, *backoff_lm.train(spark.createDataFrame(some[:40], frame.schema)))
-        got = {r.doc_id: r.score for r in got.collect()}
-        assert got == {d: pytest.approx(whole(t), abs=1e-6) for d, t in some}
-
-
-def test_automaton_is_a_distribution_and_lanes_agree(docs, monkeypatch):
-    _, lex, a = backoff_lm.train(docs)
-    size = int(lex.word.max()) + 1
-    count = np.zeros(size)
-    count[lex.word[lex.word > 0]] = lex.counts[lex.word > 0]
-    uni = np.log10((count + 1) / (lex.tokens + lex.types + 1))
-    outside = 1 - (10.0 ** uni[1:]).sum()
-    for state in np.unique(a.keys >> 16)[:: max(1, len(a.fail) // 40)]:
-        _, weight, root = a.read(np.full(size - 1, state), np.arange(1, size))
-        _, out, _ = a.read(np.array([state]), np.array([0]))
-        total = (10 ** (weight + np.where(root, uni[1:], 0))).sum() + 10 ** out[0] * outside
-        assert total == pytest.approx(1, abs=1e-6)
+    train = F.col("doc_id").isin([d for d, _ in some[:40]])
+    corpus, rest = frame.filter(train), frame.filter(~train)
+    # Blocks, ranges and lanes of any size give the same scores; so does a corpus beside the scored table.
+    for block, span, lane in ((8 << 20, 16 << 20, 256), (2_000, 3_000, 7)):
+        for name, value in (("BLOCK", block), ("RANGE", span), ("LANE", lane)):
+            monkeypatch.setattr(backoff_lm, name, value)
+        assert {r.doc_id: r.score for r in backoff_lm.score(frame, train).collect()} == want
+        got = backoff_lm.score(rest, F.lit(False), corpus).union(backoff_lm.score(corpus, F.lit(False), corpus))
+        assert {r.doc_id: r.score for r in got.collect()} == want
+
+
+def test_lanes_carry_the_states_of_a_traversal_from_the_start(monkeypatch):
     rng = np.random.default_rng(0)
-    word = rng.integers(0, min(size, 50), 3000)
-    first = np.array([0, 0, 7, 1500, 3000])
-    whole = backoff_lm.walk(a, word, uni[word], first, 1)
-    monkeypatch.setattr(backoff_lm, "LANE", 11)
-    assert np.allclose(whole, backoff_lm.walk(a, word, uni[word], first, 1))
+    h = tb.mix(rng.integers(1, 40, 3000).astype(np.uint64))
+    first = np.array([0, 1, 8, 1500, 3000])
+    h[first[1:] - 1] = backoff_lm.END
+    g = backoff_lm.grams(h, first, 50)
+    n = backoff_lm.own_counts(g, np.array([True, True, True, False]))
+    a = backoff_lm.build(g, n, int(n[g.word].max()) + 41)
+    whole = backoff_lm.walk(a, g)
+    for lane in (3, 11, 5000):
+        monkeypatch.setattr(backoff_lm, "LANE", lane)
+        assert np.allclose(whole, backoff_lm.walk(a, g), atol=1e-12)
+    # Failure arcs lead to what the formula gives: the logarithm of each token's own n-gram, seen or not.
+    inner = np.ones(3000, bool)
+    inner[first[:-1]] = False
+    want = np.where(inner, a.logs[g.triple], a.logs[g.pair])
+    assert np.allclose(whole, want, atol=1e-9)
+
+
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(1)
+    for n in (1, 7, 1000):
+        x, y = rng.integers(0, 1 << 62, n).astype(np.uint64), rng.integers(0, 9, n).astype(np.uint64)
+        got = backoff_lm._unpacked(backoff_lm._packed(x, y), n, 2)
+        assert (got[0] == x).all() and (got[1] == y).all()
 
 
 def test_licenses(spark, odd, clash):
