@@ -39,13 +39,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regseq.llm import textbytes as tb
-from regseq.llm.common import fold, out_schema, stored
+from regseq.llm.common import fold, out_schema, small_batches, stored
 
 MASS = 8.0
 LANE = 256
 #: Bytes of text of a block (a longer text is a block of its own) and, about, of a range.
-BLOCK = 8 << 20
-RANGE = 16 << 20
+BLOCK = 4 << 20
+RANGE = 8 << 20
 SPARE = 20
 #: The token that ends each text; it also stands before the first word as its history.
 END = tb.mix(np.array([0xE0D], np.uint64))[0]
@@ -89,9 +89,13 @@ def grams(h: np.ndarray, first: np.ndarray, bits: int) -> Grams:
     triple[1:] = tb.mix(pair[:-1] * np.uint64(tb.BASE) + tb.mix(pair[1:]))
     triple[first[:-1]] = pair[first[:-1]]
     cut, one = np.uint64(65 - bits), np.uint64(1)
-    name = np.concatenate([h >> cut << one | one, pair >> cut << one, triple >> cut << one])
+    name = np.concatenate([h, pair, triple])
+    del pair, triple, before
+    name >>= cut
+    name <<= one
+    name[: len(h)] |= one
     names, place = np.unique(name, return_inverse=True)
-    word, pair, triple = place.reshape(3, -1)
+    word, pair, triple = place.astype(np.int32).reshape(3, -1)
     return Grams(names, word, pair, triple, int(np.searchsorted(names, END >> cut << one | one)), first)
 
 
@@ -263,6 +267,7 @@ def score(docs: DataFrame, training: Column, corpus: DataFrame | None = None, ma
     A null or empty text is its end alone.  Rows keep their number, repeated rows get equal scores; columns with the
     results' names are replaced.  An empty table gives an empty one.  Without any training text N and V are 0.
     """
+    small_batches(docs.sparkSession)
     base = docs.drop(*(k for k, _ in _COLUMNS))
     rest = base.drop("text")
     blocks = _blocks(base.withColumn("__train", F.coalesce(training, F.lit(False))), True)
