@@ -253,7 +253,7 @@ def _answers(asked: DataFrame, ranges: int) -> DataFrame:
             yield pa.RecordBatch.from_pylist(list(answer(last, held)), schema)
         tb.give_back()
 
-    dealt = asked.repartition(ranges, "range").sortWithinPartitions("range", "block")
+    dealt = asked.repartitionById(ranges, F.col("range")).sortWithinPartitions("range", "block")
     return dealt.mapInArrow(run, "block long, range int, n int, payload binary, tokens long, types long")
 
 

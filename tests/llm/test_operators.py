@@ -369,8 +369,8 @@ def test_licenses(spark, odd, clash):
 
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    want = sorted((r[0], r[1], r[2], r[3] or 0) for r in con.sql(license_scan.ORACLE_SQL).fetchall())
-    assert sorted((r.doc_id, r.n_matches, r.licenses, r.best_percent or 0) for r in license_scan.op6_license_scan(spark, SF).collect()) == want
+    want = sorted((*r[:4], r[4] or 0) for r in con.sql(license_scan.ORACLE_SQL).fetchall())
+    assert sorted((r.doc_id, r.n_matches, r.n_passages, r.licenses, r.best_percent or 0) for r in license_scan.op6_license_scan(spark, SF).collect()) == want
     for frame in (odd, clash):
         assert {(r.n_matches, r.licenses, r.best_percent) for r in license_scan.scan(frame).collect()} == {(0, "", None)}
     assert license_scan.scan(odd.limit(0)).count() == 0
@@ -379,6 +379,36 @@ def test_licenses(spark, odd, clash):
     assert r.licenses == "GPL-3.0-or-later,MIT" and r.best_percent == 100
 
 
+def test_licence_passages(spark, tmp_path):
+    import textwrap
+
+    import duckdb
+
+    by = {}
+    for name, t in license_scan.TEMPLATES:
+        by.setdefault(name, []).append(t)
+    prose = "the cat sat on the mat and the dog lay under the table in the hall of the house "
+    wrapped = lambda t: "\n".join(" * " + x for x in textwrap.wrap(t, 60))
+    cases = {
+        1: (prose * 40 + "\n" + wrapped(by["Apache-2.0"][1]) + "\n" + prose * 40, "Apache-2.0", 1),
+        2: (prose + by["MIT"][0] + " " + prose, "MIT", 1),
+        3: (prose * 9 + wrapped(max(by["MIT"], key=len)) + prose * 9, "MIT", 1),
+        4: (prose * 3 + wrapped(by["GPL-2.0-or-later"][0]) + "\n\n" + prose + wrapped(by["GPL-3.0-or-later"][0]) + prose, "GPL-2.0-or-later,GPL-3.0-or-later", 2),
+        5: (prose * 60, "", 0),
+        6: ("See LICENSE. " + by["Apache-2.0"][0] + " for details. " + by["Apache-2.0"][0], "Apache-2.0", 2),
+        7: (" ".join([by["ISC"][0]] * 30), "ISC", 30),
+    }
+    frame = spark.createDataFrame([(d, t) for d, (t, _, _) in cases.items()], "doc_id long, text string")
+    got = license_scan.scan(frame).collect()
+    assert {r.doc_id: (r.licenses, r.n_passages) for r in got} == {d: (names, n) for d, (_, names, n) in cases.items()}
+    path = str(tmp_path / "documents.parquet")
+    frame.toPandas().to_parquet(path)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{path}'")
+    want = sorted((*r[:4], r[4] or 0) for r in con.sql(license_scan.ORACLE_SQL).fetchall())
+    assert sorted((r.doc_id, r.n_matches, r.n_passages, r.licenses, r.best_percent or 0) for r in got) == want
+
+
 def test_sharding(spark, docs, rows, odd, clash, tmp_path):
     import zlib
 
