@@ -172,16 +172,21 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
 
 
 def remove_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with the hit spans cut out of their texts; n_chars follows."""
-    names = docs.columns
-    schema = docs.schema
+    """docs with the hit spans cut out of their texts; n_chars follows.
+
+    Rows and columns stay as they are, whatever their names and types; null texts stay null.
+    """
+    names, schema = docs.columns, docs.schema
+    # The caller's columns go by numbers meanwhile, so that the operator's own have their names to themselves.
+    private = [c if c == "text" else f"__{i}" for i, c in enumerate(names)]
+    chars_at = private[names.index("n_chars")] if "n_chars" in names else None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in tb.slices(batches):
-            spans = s.batch.column(s.batch.schema.get_field_index("hit_bytes")).to_pylist()
-            new = {"text": s.batch.column(s.batch.schema.get_field_index("text"))}
+            spans = s.batch.column("hit_bytes").to_pylist()
+            new = {"text": s.batch.column("text")}
             if any(spans):
-                texts, chars = new["text"].to_pylist(), s.batch.column(s.batch.schema.get_field_index("n_chars")).to_pylist() if "n_chars" in names else None
+                texts, chars = new["text"].to_pylist(), s.batch.column(chars_at).to_pylist() if chars_at else None
                 for i, gone in enumerate(spans):
                     if gone:
                         body = texts[i].encode()
@@ -190,13 +195,10 @@ def remove_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW
                             chars[i] = len(texts[i])
                 new["text"] = pa.array(texts, new["text"].type)
                 if chars:
-                    new["n_chars"] = pa.array(chars, s.batch.column(s.batch.schema.get_field_index("n_chars")).type)
-            yield tb.with_columns(s.batch.select(names), new)
+                    new[chars_at] = pa.array(chars, s.batch.column(chars_at).type)
+            yield tb.with_columns(s.batch.select(private), new).rename_columns(names)
 
-    clash = [c for c in names if c in dict(_COLUMNS)]
-    found = contamination(docs.withColumnsRenamed({c: f"__{c}" for c in clash}), items, window)
-    back = found.select(*(F.col(f"__{c}" if c in clash else c).alias(c) for c in names), *([] if "hit_bytes" in clash else ["hit_bytes"])) if clash else found
-    return back.mapInArrow(cut, schema)
+    return contamination(docs.toDF(*private), items, window).mapInArrow(cut, schema)
 
 
 def op2_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -421,7 +421,8 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) ->
     bounded = lambda t: F.broadcast(t) if t.count() <= BROADCAST_ROWS else t
     left = docs.withColumn("__text", F.xxhash64("text")).join(bounded(gone), keys, "left_anti")
     if not again.isEmpty():
-        one = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns))
+        # A map has no hash; as text it has one.
+        one = F.min_by(F.struct(*docs.columns), F.xxhash64(*(F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in docs.schema.fields)))
         once = left.join(bounded(again), keys, "left_semi").groupBy(keys).agg(one.alias("x")).select("x.*")
         return left.join(bounded(again), keys, "left_anti").select(docs.columns).unionByName(once)
     return left.select(docs.columns)

@@ -20,7 +20,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 LONG = "lorem ipsum " * 30_000 + "x" * 50_000
 #: Nulls, empty and very long texts, repeated rows and ties.
 AWKWARD = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, LONG), (None, "a b c d e f"), (None, None), (7, "a b c d e f"), (7, "a b c d e f"), (8, "Ünïcödé ½ ² \x85 漢字 😀 ́"), (9, "a\x00b\x7f c"), (10, "A B C D E F")]
-RESULTS = ["n_words", "kept", "score", "hit_words", "n_bytes", "removed", "shard", "lang_pred", "n_tokens", "predicted", "licenses", "cls", "row"]
+RESULTS = ["n_words", "kept", "score", "hit_words", "hit_bytes", "item_ids", "n_bytes", "removed", "shard", "lang_pred", "n_tokens", "predicted", "licenses", "cls", "row"]
 
 
 @pytest.fixture(scope="module")
@@ -478,6 +478,21 @@ def test_pipeline(spark, docs, tmp_path):
     assert key((r.doc_id, r.n_tokens, r.ids_sha256, r.n_chars) for r in got) == key(want)
 
 
+def test_stages_keep_callers_columns(spark, odd):
+    """Columns named like results, maps and repeated rows go through the stages that return documents."""
+    items = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
+    map_ = F.create_map(F.lit("k"), F.col("doc_id"))
+    wide = odd.select("*", *(F.lit("mine").alias(c) for c in RESULTS), map_.alias("m"), F.array(F.struct(map_.alias("deep"))).alias("x"), F.length("text").cast("long").alias("n_chars"))
+    cut = decontaminate.remove_contamination(wide, items)
+    assert cut.columns == wide.columns and cut.schema == wide.schema
+    want = [(d, brute.without_hits(t, [(1, "a b c d e f")])) for d, t in AWKWARD]
+    got = cut.collect()
+    assert key((r.doc_id, r.text) for r in got) == key(want)
+    assert all(r[c] == "mine" for r in got for c in RESULTS) and all(r.n_chars == (None if r.text is None else len(r.text)) for r in got)
+    left = minhash_forest.drop_near_duplicates(wide)
+    assert left.columns == wide.columns and sum(r.doc_id == 7 for r in left.collect()) == 1
+
+
 def test_registered():
     names = set(registry.queries())
     assert {n.split("_")[0] for n in names} == {"pipeline", *(f"op{k}" for k in range(1, 11))} and set(registry.oracle_sql()) <= names
