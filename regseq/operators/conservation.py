@@ -163,7 +163,7 @@ def element_repeat_ratio(elements: DataFrame, seqs: DataFrame) -> DataFrame:
 def bundles_to_modules(elements: DataFrame, intervals: DataFrame) -> DataFrame:
     """Elements with their place on the region and their bases; intervals: (gene_id or partner, species, chrom, lo, hi, strand, seq)."""
     on = [c for c in ("gene_id", "species", "partner") if c in elements.columns and c in intervals.columns]
-    rows = elements.join(intervals.select(*on, "chrom", F.col("lo").alias("__lo"), F.col("hi").alias("__hi"), "strand", "seq"), on)
+    rows = elements.drop("chrom", "lo", "hi", "strand", "seq").join(intervals.select(*on, "chrom", F.col("lo").alias("__lo"), F.col("hi").alias("__hi"), "strand", "seq"), on)
     lo, hi = bundle_interval("start", "end", "__lo", "__hi", "strand")
     piece = F.col("seq").substr(F.col("start") + 1, F.col("end") - F.col("start") + 1)
     return rows.withColumns({"lo": lo, "hi": hi, "seq": piece}).drop("__lo", "__hi")

@@ -18,11 +18,16 @@ def gene_lookup(promoters: DataFrame, utr5: DataFrame, utr3: DataFrame) -> DataF
 
 
 def comparison_pairs(seqs: DataFrame, orthologs: DataFrame) -> DataFrame:
-    """Each centre gene's sequence beside that of each ortholog: (pair_id, gene_id, species, partner, seq1, seq2)."""
-    one = seqs.select(F.col("gene_id").alias("query_gene"), F.col("seq").alias("seq1"))
-    two = seqs.select(F.col("gene_id").alias("target_gene"), F.col("species"), F.col("seq").alias("seq2"))
+    """Each centre gene's sequence beside that of each ortholog: (pair_id, gene_id, species, partner, seq1, seq2).
+
+    Repeated sequences and orthologs count once.  pair_id names both species, so that an id
+    that two species use stands for two genes.
+    """
+    once = seqs.select("gene_id", "species", "seq").distinct()
+    one = once.select(F.col("gene_id").alias("query_gene"), F.col("species").alias("__own"), F.col("seq").alias("seq1"))
+    two = once.select(F.col("gene_id").alias("target_gene"), "species", F.col("seq").alias("seq2"))
     rows = orthologs.select("query_gene", "target_gene").distinct().join(one, "query_gene").join(two, "target_gene")
-    return rows.select(F.concat_ws("|", "query_gene", "species", "target_gene").alias("pair_id"), F.col("query_gene").alias("gene_id"), "species", F.col("target_gene").alias("partner"), "seq1", "seq2")
+    return rows.select(F.concat_ws("|", "query_gene", "__own", "species", "target_gene").alias("pair_id"), F.col("query_gene").alias("gene_id"), "species", F.col("target_gene").alias("partner"), "seq1", "seq2")
 
 
 def n_best_hits(hits: DataFrame, n: int = 1) -> DataFrame:

@@ -19,8 +19,13 @@ def conserved_regions(seqs: DataFrame, orthologs: DataFrame, width: int = c.WIDT
     pseudo_seed the partners are permuted within their species, as a control.  Each partner gene
     is a comparison of its own, also where two are of one species.  centre=True adds the centre
     gene's own stretch of each bundle as species "centre", with itself as partner and no
-    conservation.  Pairs beyond the size limit raise.
+    conservation.  Repeated rows of either table count once.  A gene_id of several species or
+    of several sequences is ambiguous and raises; so do pairs beyond the size limit.
     """
+    seqs = seqs.select("gene_id", "species", "seq", "masked_seq").distinct()
+    unclear = seqs.groupBy("gene_id").count().filter("count > 1").orderBy("gene_id").limit(5).collect()
+    if unclear:
+        raise ValueError(f"genes of several species or sequences: {[r[0] for r in unclear]}")
     clean = quality.min_length(seqs.withColumns({"seq": mask_iupac("seq"), "masked_seq": mask_iupac(F.coalesce("masked_seq", "seq"))}), width)
     if pseudo_seed is not None:
         named = orthologs.join(seqs.select(F.col("gene_id").alias("target_gene"), "species"), "target_gene")

@@ -15,6 +15,7 @@ from regseq.functions import sequence as s
 from regseq.operators import aggregates, conservation, joins, motifs, quality, sets, sweeps, topk
 from regseq.plans import bindings as b
 from regseq.plans import sequence_queries as sq
+from regseq.operators.graph import _cut
 from regseq.plans.bindings import greedy_sql, with_views
 from regseq.sources import readers, writers
 
@@ -123,9 +124,21 @@ def alignmax_lines(spark, d):
 
 
 def bundle_table(spark, d):
-    kinds = F.array(*(F.lit(x) for x in ("view", "signup", "click", "error", "purchase")))
-    seqs = b.seqs(spark, d).select(F.concat(F.lit("c"), F.expr("substring(id, 2)")).alias("gene_id"), F.explode(kinds).alias("species"), "seq")
-    return writers.bundle_table(_elements(spark, d), seqs).withColumn("piece", F.md5("piece"))
+    """Each element's partner is a document whose species it shares; masked, its A are hidden."""
+    seqs = b.seqs(spark, d).select(F.concat(F.lit("c"), F.expr("substring(id, 2)")).alias("gene_id"), F.explode(F.array(*(F.lit(x) for x in ("view", "signup", "click", "error", "purchase")))).alias("species"), "seq")
+    elements = _elements(spark, d).withColumns({"partner": F.col("gene_id"), "species": F.when(F.col("bundle_id") == 0, "centre").otherwise(F.col("species"))})
+    out = writers.bundle_table(elements, seqs.filter("species <> 'error'").withColumn("masked_seq", F.translate("seq", "A", "N")))
+    return out.drop("gene_id", "bundle_id", "partner").withColumns({"piece": F.md5("piece"), "masked_piece": F.md5("masked_piece")})
+
+
+def conserved_chain(spark, d):
+    """What the writers make of conserved regions: lines and blocks of a gene, and rows of the bundle table."""
+    seqs, orthologs = sq.region_input(spark, d)
+    found = _cut(sq.regions(spark, d))
+    places = seqs.select(F.col("gene_id").alias("partner"), F.concat(F.lit("chr"), "species").alias("chrom"), F.lit(1000).alias("lo"), (F.length("seq") + 1000).alias("hi"), F.when(F.col("species") == "s1", "-").otherwise("+").alias("strand"), "seq")
+    of = lambda kind, rows: rows.select(F.lit(kind).alias("kind"), F.col("value"))
+    table = writers.bundle_table(found, seqs)
+    return of("tabular", writers.cns_tabular(found)).union(of("blocks", writers.cns_blocks(conservation.bundles_to_modules(found, places)))).union(of("table", table.select(F.to_json(F.struct(*table.columns)).alias("value"))))
 
 
 def described(spark, d):
@@ -422,12 +435,13 @@ QUERIES = {
     "src6_read_chip_loci": (read_chip_loci, with_views("iv") + " SELECT chrom AS region, lo::INT AS position, name AS gene_id, '+' AS strand FROM iv"),
     "src7_read_factor_map": (read_factor_map, with_views("iv") + " SELECT type || '_' || n AS factor, 'A' || n AS accession FROM iv WHERE n % 7 > 1"),
     "snk1_fasta_details": (fasta_details, with_views("iv") + " SELECT '>' || name || '(' || lo || ':' || hi || ') dbname=' || type || ' conservation=' || (n % 61) || ' belief_score=' || (n % 10) || chr(10) || md5(n::VARCHAR) AS value FROM iv"),
-    "snk4_cns_tabular": (lambda spark, d: writers.cns_tabular(_elements(spark, d)), _EL + " SELECT gene_id || chr(9) || string_agg(DISTINCT partner, ',' ORDER BY partner) || chr(9) || string_agg(seq || chr(9) || conservation || chr(9) || belief, chr(9) ORDER BY bundle_id, species, start, seq || chr(9) || conservation || chr(9) || belief) AS value FROM el GROUP BY gene_id"),
-    "snk5_cns_blocks": (lambda spark, d: writers.cns_blocks(_elements(spark, d)), _EL + ", tx AS (SELECT *, species || chr(9) || start || chr(9) || \"end\" || chr(9) || seq || chr(9) || conservation || chr(9) || belief AS text FROM el), bl AS (SELECT gene_id, bundle_id, '--RemoStart' || chr(10) || string_agg('--InnerStart' || chr(10) || text, chr(10) ORDER BY species, start, text) AS text FROM tx GROUP BY ALL) SELECT '--PairStart' || chr(10) || gene_id || chr(10) || string_agg(text, chr(10) ORDER BY bundle_id) AS value FROM bl GROUP BY gene_id"),
+    "snk4_cns_tabular": (lambda spark, d: writers.cns_tabular(_elements(spark, d)), _EL + ", tx AS (SELECT *, seq || chr(9) || conservation || chr(9) || belief || chr(9) AS text FROM el), pt AS (SELECT gene_id, string_agg(partner || chr(9), '' ORDER BY partner) AS p FROM (SELECT DISTINCT gene_id, partner FROM el) GROUP BY gene_id) SELECT gene_id || chr(9) || any_value(p) || string_agg(text, '' ORDER BY bundle_id, species, partner, start, text) AS value FROM tx JOIN pt USING (gene_id) GROUP BY gene_id"),
+    "snk5_cns_blocks": (lambda spark, d: writers.cns_blocks(_elements(spark, d)), _EL + ", tx AS (SELECT *, concat_ws(chr(10), '--Organism: ' || species, seq, '+', start + 1, \"end\" + 1, conservation, belief, repeat_ratio) AS text FROM el), bl AS (SELECT gene_id, bundle_id, '--InnerStart' || chr(10) || string_agg(text, chr(10) ORDER BY species, partner, start, text) || chr(10) || '--InnerEnd' AS text FROM tx GROUP BY ALL), pt AS (SELECT gene_id, string_agg(species || chr(10) || partner || chr(10) || chr(10), chr(10) ORDER BY species, partner) AS p FROM (SELECT DISTINCT gene_id, species, partner FROM el) GROUP BY gene_id) SELECT concat_ws(chr(10), '--PairStart', gene_id, '', any_value(p), '--RemoStart', string_agg(text, chr(10) ORDER BY bundle_id), '--RemoEnd', '--PairEnd') AS value FROM bl JOIN pt USING (gene_id) GROUP BY gene_id"),
     "snk6_alignmax_lines": (alignmax_lines, "SELECT l_partkey || chr(9) || max(l_linenumber) AS value FROM lineitem GROUP BY l_partkey"),
     "snk7_cns_fasta": (lambda spark, d: writers.cns_fasta(_elements(spark, d)), _EL + ", nb AS (SELECT *, dense_rank() OVER (PARTITION BY gene_id ORDER BY bundle_id)::INT AS n, '>' || species || '(' || start || ':' || \"end\" || ')' || chr(10) || seq AS text FROM el) SELECT gene_id, n, string_agg(text, chr(10) ORDER BY species, start, text) AS value FROM nb GROUP BY gene_id, n"),
     "snk8_report_regions": (lambda spark, d: writers.report_regions(_elements(spark, d), 30, "click"), _EL + " SELECT gene_id, count(DISTINCT bundle_id) AS n_sets, count(*) AS n_modules, count(*) FILTER (conservation >= 30) AS n_conserved, max(belief) AS best_belief FROM el WHERE species = 'click' GROUP BY gene_id"),
-    "snk9_bundle_table": (bundle_table, with_views("seqs") + ", " + _EL.removeprefix("WITH ") + f", {_DOCS} SELECT species, start, \"end\", target_start, target_end, conservation, repeat_ratio, belief, md5(substring(ds.seq, start + 1, 60)) AS piece FROM el JOIN ds USING (gene_id, species)"),
+    "snk9_bundle_table": (bundle_table, with_views("seqs") + ", " + _EL.removeprefix("WITH ") + f", {_DOCS} SELECT ds.species, start, \"end\", CASE WHEN bundle_id > 0 THEN target_start END AS target_start, CASE WHEN bundle_id > 0 THEN target_end END AS target_end, conservation, repeat_ratio, belief, md5(replace(substring(ds.seq, start + 1, 60), 'A', 'N')) AS masked_piece, md5(substring(ds.seq, start + 1, 60)) AS piece FROM el JOIN ds ON el.gene_id = ds.gene_id AND ds.species <> 'error' AND (bundle_id = 0 OR el.species = ds.species)"),
+    "snk_conserved_chain": (conserved_chain, None),
     "prj7_gene_from_description": (described, "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'unknown' ELSE source END AS gene FROM documents"),
     "prj10_working_sequence": (working, with_views("iv") + " SELECT id, CASE n % 4 WHEN 0 THEN id WHEN 1 THEN chrom WHEN 2 THEN type END AS seq FROM iv"),
     "prj20_go_terms": (go_terms, with_views("iv") + " SELECT id, 'GO_process' AS kind, type AS term FROM iv UNION ALL SELECT id, 'GO_component', chrom FROM iv"),
@@ -440,7 +454,7 @@ QUERIES = {
     "flt8_real_accessions": (accessions, with_views("iv") + " SELECT id, 'A_' || n AS accession FROM iv WHERE n % 3 <> 0"),
     "qc6_single_database": (single_database, "SELECT count(DISTINCT source) <= 1 AS single, count(DISTINCT source) AS n_db FROM documents UNION ALL SELECT true, 1"),
     "join1_gene_lookup": (gene_lookup, with_views("iv") + " SELECT type AS species, name, lo, hi, CASE WHEN n % 2 = 0 THEN lo END AS utr5_lo, CASE WHEN n % 2 = 0 THEN lo + 9 END AS utr5_hi, CASE WHEN n % 3 = 0 THEN hi - 9 END AS utr3_lo, CASE WHEN n % 3 = 0 THEN hi END AS utr3_hi FROM iv"),
-    "join2_comparison_pairs": (comparison_pairs, with_views("items") + ", o AS (SELECT DISTINCT n, unnest([n + 1, n + 5]) AS t FROM items) SELECT x.id || '|s' || (y.n % 4) || '|' || y.id AS pair_id, x.id AS gene_id, 's' || (y.n % 4) AS species, y.id AS partner, md5(x.seq) AS seq1, md5(y.seq) AS seq2 FROM o JOIN items x ON x.n = o.n JOIN items y ON y.n = o.t"),
+    "join2_comparison_pairs": (comparison_pairs, with_views("items") + ", o AS (SELECT DISTINCT n, unnest([n + 1, n + 5]) AS t FROM items) SELECT x.id || '|s' || (x.n % 4) || '|s' || (y.n % 4) || '|' || y.id AS pair_id, x.id AS gene_id, 's' || (y.n % 4) AS species, y.id AS partner, md5(x.seq) AS seq1, md5(y.seq) AS seq2 FROM o JOIN items x ON x.n = o.n JOIN items y ON y.n = o.t"),
     "join9_motif_proteins": (motif_proteins, with_views("iv") + ", f AS (SELECT id, substring(type || '_long_name', 1, 6) AS factor FROM iv UNION ALL SELECT id, substring(chrom, 1, 6) FROM iv), t AS (SELECT DISTINCT substring(type, 1, 6) AS factor FROM iv) SELECT id AS motif_id, factor, md5(factor) AS accession FROM f JOIN t USING (factor)"),
     "join10_pair_thresholds": (pair_thresholds, with_views("iv") + ", t AS (SELECT DISTINCT 's' || (n_nationkey // 5) AS lo_, 's' || (n_nationkey % 5) AS hi_ FROM nation), z AS (SELECT id, 's' || (n % 6) AS sp1, 's' || (n * 7 % 5) AS sp2 FROM iv) SELECT id, sp1, sp2, lo_ || hi_ AS a, hi_ || lo_ AS b FROM z LEFT JOIN (SELECT * FROM t WHERE lo_ <= hi_) ON lo_ = least(sp1, sp2) AND hi_ = greatest(sp1, sp2)"),
     "join12_combine_motifs": (combine_motifs, with_views("iv") + ", p AS (SELECT 'g' || (n % 20) AS group_id, chrom AS seq_id, type || (n % 2) AS motif FROM iv WHERE n % 3 > 0 OR type <> 'click'), t AS (SELECT group_id, count(DISTINCT seq_id) AS n FROM p GROUP BY 1), k AS (SELECT group_id, motif, count(DISTINCT seq_id) AS k FROM p GROUP BY ALL) SELECT p.* FROM p JOIN t USING (group_id) JOIN k USING (group_id, motif) WHERE k >= n * 0.2"),

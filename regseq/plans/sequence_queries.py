@@ -149,11 +149,15 @@ def histogram(spark, d):
     return aggregates.score_histogram(window_pairs(spark, d), 20, 7)
 
 
-def regions(spark, d):
+def region_input(spark, d):
+    """Every item as a gene of one of four species, with the three that follow it as orthologs."""
     i = b.items(spark, d)
     seqs = i.select(F.col("id").alias("gene_id"), F.concat(F.lit("s"), (F.col("n") % 4).cast("string")).alias("species"), "seq", F.regexp_replace("seq", "AAAAA", "NNNNN").alias("masked_seq"))
-    pairs = i.select(F.col("id").alias("query_gene"), F.explode(F.array(*(F.concat(F.lit("b"), (F.col("n") + k).cast("string")) for k in (1, 2, 3)))).alias("target_gene"))
-    return conserved.conserved_regions(seqs, pairs, 20, 40, 75, 0.05, 5, centre=True)
+    return seqs, i.select(F.col("id").alias("query_gene"), F.explode(F.array(*(F.concat(F.lit("b"), (F.col("n") + k).cast("string")) for k in (1, 2, 3)))).alias("target_gene"))
+
+
+def regions(spark, d):
+    return conserved.conserved_regions(*region_input(spark, d), 20, 40, 75, 0.05, 5, centre=True)
 
 
 def set_profiles(spark, d):

@@ -183,6 +183,46 @@ def test_two_partners_of_one_species_are_two_comparisons(spark):
     assert len(lines) == 1 and all(core in x for x in lines)
 
 
+def test_repeated_rows_and_ambiguous_ids_of_conserved_regions(spark):
+    df, _ = _planted(spark)
+    orth = spark.createDataFrame([("g1", "g2"), ("g1", "g3")], "query_gene string, target_gene string")
+    text = lambda x: sorted(map(str, x.collect()))
+    assert text(conserved.conserved_regions(df.union(df), orth.union(orth), centre=True)) == text(conserved.conserved_regions(df, orth, centre=True))
+    for other in (F.lit("s9").alias("species"), F.col("species")):
+        twice = df.union(df.filter("gene_id = 'g1'").select("gene_id", other, F.concat("seq", F.lit("A")), F.concat("masked_seq", F.lit("A"))))
+        with pytest.raises(ValueError, match="g1"):
+            conserved.conserved_regions(twice, orth)
+    pairs = joins.comparison_pairs(df.union(df.withColumn("species", F.concat("species", F.lit("x")))), orth)
+    assert pairs.count() == pairs.select("pair_id").distinct().count() == 8
+
+
+def test_conserved_regions_written_out(spark):
+    """The text of conserved regions, as a reader of the files expects it, line by line."""
+    df, _ = _planted(spark)
+    seq = {r.gene_id: r.seq for r in df.collect()}
+    orth = spark.createDataFrame([("g1", "g2"), ("g1", "g3")], "query_gene string, target_gene string")
+    found = conserved.conserved_regions(df, orth, centre=True)
+    e = {r.partner: r for r in found.collect()}
+    assert len(e) == 3
+    fields = [x for g in ("g1", "g2", "g3") for x in (e[g].seq, "" if g == "g1" else str(e[g].conservation), str(e[g].belief))]
+    assert [r.value for r in writers.cns_tabular(found).collect()] == ["\t".join(["g1", "g2", "g3", *fields, ""])]
+    three = orth.withColumn("species", F.lit("s2")).select(F.col("query_gene").alias("gene_id"), F.lit("+").alias("gene_strand"), "species", F.col("target_gene").alias("partner"), F.lit("-").alias("partner_strand"), F.lit(60).alias("alignmax"))
+    lone = three.limit(1).select(F.lit("g9").alias("gene_id"), "gene_strand", "species", F.lit("h").alias("partner"), "partner_strand", "alignmax")
+    places = df.select(F.col("gene_id").alias("partner"), F.lit("c").alias("chrom"), F.lit(500).alias("lo"), (F.length("seq") + 500).alias("hi"), F.when(F.col("gene_id") == "g3", "-").otherwise("+").alias("strand"), "seq")
+    blocks = {r.value.split("\n")[1]: r.value.split("\n") for r in writers.cns_blocks(conservation.bundles_to_modules(found, places), three.union(lone)).collect()}
+    want = ["--PairStart", "g1", "+", "s2", "g2", "-", "60", "s2", "g3", "-", "60", "--RemoStart", "--InnerStart"]
+    for g in ("g1", "g2", "g3"):
+        r = e[g]
+        five, three_ = (501 + r.start, 501 + r.end) if g != "g3" else (500 + len(seq[g]) - r.start, 500 + len(seq[g]) - r.end)
+        want += [f"--Organism: {r.species}", r.seq, "-" if g == "g3" else "+", str(five), str(three_), "" if g == "g1" else str(r.conservation), str(r.belief), str(r.repeat_ratio)]
+    assert blocks["g1"] == [*want, "--InnerEnd", "--RemoEnd", "--PairEnd"]
+    assert blocks["g9"] == ["--PairStart", "g9", "+", "s2", "h", "-", "60", "--RemoStart", "--RemoEnd", "--PairEnd"]
+    masked = df.withColumn("masked_seq", F.translate("seq", "A", "N"))
+    table = {r.partner: r for r in writers.bundle_table(found, masked).collect()}
+    assert set(table) == {"g1", "g2", "g3"} and table["g1"].species == "s1" and table["g1"].target_start is None and table["g2"].target_end == e["g2"].target_end
+    assert all(r.piece == e[g].seq and r.masked_piece == r.piece.replace("A", "N") for g, r in table.items())
+
+
 def test_partner_repeats_lower_belief(spark):
     df, _ = _planted(spark, masked=True)
     orth = spark.createDataFrame([("g1", "g2")], "query_gene string, target_gene string")

@@ -56,8 +56,8 @@ def test_promoter_chain(spark, tmp_path):
 def test_writers(spark, tmp_path):
     df = spark.createDataFrame([("g", 1, "s1", 0, 3, "ACGT", 9.0, 0.5, "p")], "gene_id string, bundle_id int, species string, start int, end int, seq string, conservation double, belief double, partner string")
     writers.write_cns_tabular(df, str(tmp_path / "t"))
-    assert spark.read.text(str(tmp_path / "t")).first()[0] == "g\tp\tACGT\t9.0\t0.5"
-    assert writers.cns_blocks(df).first()[0].split("\n") == ["--PairStart", "g", "--RemoStart", "--InnerStart", "s1\t0\t3\tACGT\t9.0\t0.5"]
+    assert spark.read.text(str(tmp_path / "t")).first()[0] == "g\tp\tACGT\t9.0\t0.5\t"
+    assert writers.cns_blocks(df).first()[0].split("\n") == ["--PairStart", "g", "", "s1", "p", "", "", "--RemoStart", "--InnerStart", "--Organism: s1", "ACGT", "+", "1", "4", "9.0", "0.5", "", "--InnerEnd", "--RemoEnd", "--PairEnd"]
     writers.write_cns_fasta(df, str(tmp_path / "f"))
     assert "gene_id=g" in str(list((tmp_path / "f").iterdir()))
     writers.write_cns_blocks(df, str(tmp_path / "b"))
