@@ -175,10 +175,10 @@ def empirical_p(scores: DataFrame, background: DataFrame, step: float = 0.01) ->
     return scores.withColumn("bin", F.floor(F.col("score") / step).cast("long")).join(tail.select("motif_id", "bin", p.alias("pvalue")), ["motif_id", "bin"]).drop("bin")
 
 
-def motif_in_sequences(sites: DataFrame, width: int, n_sites: int, most: int) -> DataFrame:
+def motif_in_sequences(sites: DataFrame, width: int, n_sites: int) -> DataFrame:
     """Per interval: the least binomial tail over its greedily chosen sites, and how many sites give it."""
     chosen = top_sites(sites, width).select(F.col("interval_idx").alias("group_id"), "pvalue")
-    return best_binomial(chosen, n_sites, most).withColumnRenamed("group_id", "interval_idx")
+    return best_binomial(chosen, n_sites).withColumnRenamed("group_id", "interval_idx")
 
 
 def hits_to_annotations(hits: DataFrame, seqs: DataFrame) -> DataFrame:

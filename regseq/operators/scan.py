@@ -52,12 +52,14 @@ def dealt(df: DataFrame, keys: list[str], order: list[str | Column], ranges: int
     return _cut(spread.withColumn("__range", F.spark_partition_id()))
 
 
-def _carried(rows: DataFrame, key: Column, kinds: dict[str, str]) -> DataFrame:
-    """(__range, __first, __in): for ranges that continue a group, its key and what the ranges before hold of it."""
+def _carried(rows: DataFrame, key: Column, kinds: dict[str, str], back: bool) -> DataFrame:
+    """(__range, __first, __in): for ranges that continue a group, its key and what the ranges before (behind) hold of it."""
     sums = rows.groupBy("__range", key.alias("__key")).agg(F.struct(*(_LOCAL[k](n).alias(n) for n, k in kinds.items())).alias("__sum"))
-    ends = sums.groupBy("__range").agg(F.min("__key").alias("first"), F.max("__key").alias("last"), F.max_by("__sum", "__key").alias("sum"))
+    low, high = F.min("__key"), F.max("__key")
+    first, last, of_last = (high, low, F.min_by) if back else (low, high, F.max_by)
+    ends = sums.groupBy("__range").agg(first.alias("first"), last.alias("last"), of_last("__sum", "__key").alias("sum"))
     out, at, held = [], None, None
-    for r in sorted(ends.collect(), key=lambda r: r["__range"]):
+    for r in sorted(ends.collect(), key=lambda r: r["__range"], reverse=back):
         if at is not None and _place(r["first"]) == _place(at):
             out.append((r["__range"], r["first"], held))
         if at is not None and _place(r["last"]) == _place(at):
@@ -68,18 +70,18 @@ def _carried(rows: DataFrame, key: Column, kinds: dict[str, str]) -> DataFrame:
     return rows.sparkSession.createDataFrame(out, T.StructType([T.StructField(n, t) for n, t in types]))
 
 
-def scanned(parts: DataFrame, keys: list[str], order: list[str | Column], totals: dict[str, tuple[str, Column]], before: bool = False) -> DataFrame:
+def scanned(parts: DataFrame, keys: list[str], order: list[str | Column], totals: dict[str, tuple[str, Column]], before: bool = False, back: bool = False) -> DataFrame:
     """Dealt rows with a running total for each name in `totals`: (sum, max or min, expression).
 
     A total runs from its group's first row to the row itself, or with `before` to the row
-    before it.  Nulls add nothing, and the total of nothing is null.  Keys may be null; without
+    before it; with `back` it runs from the group's end, and order is the reverse of that dealt by.  Nulls add nothing, and the total of nothing is null.  Keys may be null; without
     keys all rows are one group.  The largest struct of (order, value) is the last value.
     """
     names = {n: f"__t{i}" for i, n in enumerate(totals)}
     kinds = {names[n]: k for n, (k, _) in totals.items()}
     key = F.struct(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), F.lit(0).alias("k"))
     rows = parts.withColumns({names[n]: e for n, (_, e) in totals.items()})
-    carried = _carried(rows, key, kinds)
+    carried = _carried(rows, key, kinds, back)
     w = Window.partitionBy("__range", *keys).orderBy(*_columns(order)).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
     local = rows.withColumns({t: _LOCAL[k](t).over(w) for t, k in kinds.items()})
     both = local.join(F.broadcast(carried), "__range", "left")

@@ -1,65 +1,114 @@
-"""Statistics per group on columns: tails from a table of log-factorials, selection tests, q-values."""
+"""Statistics per group on columns: tails in closed form, selection tests, q-values."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from regseq.operators import scan
+
+# Lanczos' series for the gamma function, g = 7.
+LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
+
+# The Kolmogorov tail of large samples, and from where on it counts as such.
+KS_TAIL = (2.000071, 0.331, 1.409)
+KS_LARGE, KS_MIDDLE, KS_MANY = 7.24, 3.76, 99
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """SQL of a body in which a name stands for a value that is worked out once a row."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _log_gammas(*xs: str) -> str:
+    """SQL of the array of ln gamma(x) for each x of at least 1, by one series whatever their number."""
+    terms = ", ".join(f"struct({i}D AS i, {c!r}D AS c)" for i, c in enumerate(LANCZOS[1:], 1))
+    series = f"aggregate(array({terms}), {LANCZOS[0]!r}D, (acc, u) -> acc + u.c / (z + u.i))"
+    of = f"{0.5 * math.log(2 * math.pi)!r}D + (z + 0.5D) * ln(z + 7.5D) - (z + 7.5D) + ln({series})"
+    return f"transform(array({', '.join(f'cast({x} AS double) - 1' for x in xs)}), z -> {of})"
+
+
+def _signed_log_gammas(plus: list[str], minus: list[str]) -> str:
+    """SQL of the sum of some ln gamma(x) less that of others."""
+    signs = ", ".join(["1D"] * len(plus) + ["-1D"] * len(minus))
+    return f"aggregate(zip_with({_log_gammas(*plus, *minus)}, array({signs}), (g, sign) -> g * sign), 0D, (acc, g) -> acc + g)"
+
 
-def log_factorials(spark: SparkSession, most: int) -> DataFrame:
-    """(i, lf) for i from 0 to `most`: the table grows with the largest argument, not with the data."""
-    w = Window.partitionBy(F.lit(0)).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    log = F.when(F.col("i") > 0, F.log(F.col("i").cast("double"))).otherwise(F.lit(0.0))
-    return spark.range(most + 1).withColumnRenamed("id", "i").withColumn("lf", F.sum(log).over(w))
+def log_gamma(x: str) -> Column:
+    """ln gamma(x) of a column or SQL expression of at least 1."""
+    return F.expr(f"element_at({_log_gammas(x)}, 1)")
 
 
-def _lf(df: DataFrame, table: DataFrame, names: dict[str, Column]) -> DataFrame:
-    """df with a column of log-factorials for each expression."""
-    for name, value in names.items():
-        df = df.withColumn("__i", value.cast("long")).join(F.broadcast(table.select(F.col("i").alias("__i"), F.col("lf").alias(name))), "__i").drop("__i")
-    return df
+#: The continued fraction of the incomplete beta function of v.a, v.b and v.x, read from its end; x up to
+#: about a / (a + b).  It settles within 12 + 1.1 sqrt(max(a, b)) steps to eleven digits.
+_ODD = "(-(v.a + {m}) * (v.a + v.b + {m}) * v.x / ((v.a + 2 * {m}) * (v.a + 2 * {m} + 1)))"
+_EVEN = "({m} * (v.b - {m}) * v.x / ((v.a + 2 * {m} - 1) * (v.a + 2 * {m})))"
+_FRACTION = f"1 / (1 + {_ODD.format(m='0')} / (1 + aggregate(sequence(cast(16 + 1.25D * sqrt(greatest(v.a, v.b)) AS int), 1, -1), 0D, (t, m) -> {_EVEN.format(m='m')} / (1 + {_ODD.format(m='m')} / (1 + t)))))"
 
 
-def binom_sf(df: DataFrame, most: int, out: str = "p_value") -> DataFrame:
-    """P(X >= k) of X ~ Binomial(n, p) for each row (key, n, k, p); n is at most `most`.
+def binomial_tail(n: str, k: str, p: str) -> Column:
+    """P(X >= k) of X ~ Binomial(n, p): the regularised incomplete beta function I_p(k, n - k + 1).
 
-    Terms are summed from the smallest.  p of 0 and 1, and k of 0 and above n, are exact.
+    Arguments are columns' names or SQL expressions.  p of 0 and 1, and k of 0 and above n, are
+    exact; a null argument gives null.
     """
-    table = log_factorials(df.sparkSession, most)
-    trivial = F.when(F.col("k") <= 0, 1.0).when(F.col("k") > F.col("n"), 0.0).when(F.col("p") <= 0, 0.0).when(F.col("p") >= 1, 1.0)
-    base = df.withColumn("__t", trivial)
-    terms = base.filter("__t is null").withColumn("__j", F.explode(F.sequence(F.col("k").cast("long"), F.col("n").cast("long"))))
-    terms = _lf(terms, table, {"__n": F.col("n"), "__a": F.col("__j"), "__b": F.col("n") - F.col("__j")})
-    term = F.exp(F.col("__n") - F.col("__a") - F.col("__b") + F.col("__j") * F.log("p") + (F.col("n") - F.col("__j")) * F.log(1 - F.col("p")))
-    summed = terms.groupBy("key").agg(F.least(F.lit(1.0), F.aggregate(F.sort_array(F.collect_list(term)), F.lit(0.0), lambda a, x: a + x)).alias("__s"))
-    return base.join(summed, "key", "left").withColumn(out, F.coalesce("__t", "__s")).drop("__t", "__s")
+    one = lambda x: f"greatest(cast({x} AS double), 1D)"
+    args = f"struct({one(n)} AS n, least({one(k)}, {one(n)}) AS k, least(greatest(cast({p} AS double), 1e-300D), {1 - 1e-16!r}D) AS x)"
+    # The fraction settles on the side of the mean that x is on.
+    turned = "struct(u.n - u.k + 1 AS a, u.k AS b, 1 - u.x AS x, u.x AS y, true AS turn)"
+    sides = f"if(u.x > (u.k + 1) / (u.n + 3), {turned}, struct(u.k AS a, u.n - u.k + 1 AS b, u.x AS x, 1 - u.x AS y, false AS turn))"
+    front = f"exp({_signed_log_gammas(['v.a + v.b'], ['v.a', 'v.b'])} + v.a * ln(v.x) + v.b * ln(v.y)) / v.a"
+    tail = _let("s", f"{front} * {_FRACTION}", "least(1D, greatest(0D, if(v.turn, 1 - s, s)))")
+    inside = _let("u", args, _let("v", sides, tail))
+    return F.expr(f"CASE WHEN {n} IS NULL OR {k} IS NULL OR {p} IS NULL THEN NULL WHEN {k} <= 0 THEN 1D WHEN {k} > {n} THEN 0D WHEN {p} <= 0 THEN 0D WHEN {p} >= 1 THEN 1D ELSE {inside} END")
 
 
-def best_binomial(pvalues: DataFrame, n: int, most: int, by: str = "group_id") -> DataFrame:
+def binom_sf(df: DataFrame, out: str = "p_value") -> DataFrame:
+    """P(X >= k) of X ~ Binomial(n, p) for each row (n, k, p)."""
+    return df.withColumn(out, binomial_tail("n", "k", "p"))
+
+
+def best_binomial(pvalues: DataFrame, n: int, by: str = "group_id") -> DataFrame:
     """Per group the least P(X >= i; n, p_i) over the ordered p-values, and the first i that gives it."""
-    rank = F.row_number().over(Window.partitionBy(by).orderBy("pvalue"))
-    rows = pvalues.select(by, F.col("pvalue").alias("p"), rank.alias("k")).withColumns({"n": F.lit(n), "key": F.struct(by, "k")})
-    tails = binom_sf(rows, most)
-    return tails.groupBy(by).agg(F.min(F.struct("p_value", "k")).alias("b")).select(by, "b.p_value", F.col("b.k").alias("index"))
-
-
-def phyper(df: DataFrame, most: int, lower: bool, out: str = "p_value") -> DataFrame:
-    """Hypergeometric tails for rows (key, q, m, n, k): q marked of k drawn from m marked and n others.
-    lower: P(X <= q), else P(X >= q).  m + n is at most `most`."""
-    table = log_factorials(df.sparkSession, most)
-    least, top = F.greatest(F.lit(0), F.col("k") - F.col("n")), F.least("k", "m")
-    a, b = (least, F.least("q", top)) if lower else (F.greatest("q", least), top)
-    base = df.withColumns({"__a": a.cast("long"), "__b": b.cast("long")})
-    terms = base.filter("__a <= __b").withColumn("__j", F.explode(F.sequence("__a", "__b")))
-    c = lambda x, y: {"n": x, "k": y, "r": x - y}
-    parts = {"m": c(F.col("m"), F.col("__j")), "n": c(F.col("n"), F.col("k") - F.col("__j")), "t": c(F.col("m") + F.col("n"), F.col("k"))}
-    terms = _lf(terms, table, {f"__{x}{y}": e for x, d in parts.items() for y, e in d.items()})
-    log = lambda x: F.col(f"__{x}n") - F.col(f"__{x}k") - F.col(f"__{x}r")
-    summed = terms.groupBy("key").agg(F.least(F.lit(1.0), F.aggregate(F.sort_array(F.collect_list(F.exp(log("m") + log("n") - log("t")))), F.lit(0.0), lambda x, y: x + y)).alias("__s"))
-    return base.join(summed, "key", "left").withColumn(out, F.coalesce("__s", F.lit(0.0))).drop("__a", "__b", "__s")
-
-
-def cluster_enrichment(universe: DataFrame, positives: DataFrame, clusters: DataFrame, most: int) -> DataFrame:
+    order = ["pvalue", *(c for c in pvalues.columns if c not in (by, "pvalue"))]
+    rows = scan.ranked(pvalues, [by], order, "k").select(by, F.col("pvalue").alias("p"), "k", F.lit(n).alias("n"))
+    return binom_sf(rows).groupBy(by).agg(F.min(F.struct("p_value", "k")).alias("b")).select(by, "b.p_value", F.col("b.k").alias("index"))
+
+
+def hypergeometric_tail(q: str, m: str, n: str, k: str, lower: bool) -> Column:
+    """Of k drawn from m marked and n others, P(at most q marked) or, if not lower, P(at least q).
+
+    Terms are summed from q outwards on the side that falls away from the mode, each from the
+    one before by its ratio, for as many as eleven standard deviations hold; the other side is
+    1 less that.  Arguments are columns' names or SQL expressions; a null one gives null.
+    """
+    args = "struct(" + ", ".join(f"cast({e} AS double) AS {c}" for c, e in zip("qmnk", (q, m, n, k), strict=True)) + ")"
+    mode = "floor((u.k + 1) * (u.m + 1) / (u.m + u.n + 2))"
+    sd = "sqrt(u.k * u.m * u.n * greatest(u.m + u.n - u.k, 0D) / (power(greatest(u.m + u.n, 1D), 2) * greatest(u.m + u.n - 1, 1D)))"
+    # Beyond the mode q's own side is summed, before it the other side, up to the place beside q.
+    rest, beside = (f"u.q > {mode}", "u.q + 1") if lower else (f"u.q < {mode}", "u.q - 1")
+    least, top = "greatest(0D, u.k - u.n)", "least(u.k, u.m)"
+    known = f"struct(u.q AS q, u.m AS m, u.n AS n, u.k AS k, {least} AS least, {top} AS top, ceil(11 * {sd}) + 60 AS far, {rest} AS rest, {rest if lower else f'NOT ({rest})'} AS up, least(greatest(if({rest}, {beside}, u.q), {least}), {top}) AS j)"
+    first = f"exp({_signed_log_gammas(['v.m + 1', 'v.n + 1', 'v.k + 1', 'v.m + v.n - v.k + 1'], ['v.j + 1', 'v.m - v.j + 1', 'v.k - v.j + 1', 'v.n - v.k + v.j + 1', 'v.m + v.n + 1'])})"
+    ratio = _let("j", "if(v.up, v.j + i, v.j - i)", "if(v.up, (v.m - j) * (v.k - j) / ((j + 1) * (v.n - v.k + j + 1)), j * (v.n - v.k + j) / ((v.m - j + 1) * (v.k - j + 1)))")
+    steps = "cast(least(if(v.up, v.top - v.j, v.j - v.least), v.far) AS int)"
+    grow = _let("t", f"acc.t * {ratio}", "struct(t AS t, acc.s + t AS s)")
+    walk = f"aggregate(if({steps} > 0, sequence(0, {steps} - 1), cast(array() AS array<int>)), struct(f AS t, f AS s), (acc, i) -> {grow}).s"
+    inside = _let("f", first, _let("s", f"least(1D, {walk})", "if(v.rest, 1 - s, s)"))
+    ends = "WHEN v.q < v.least THEN 0D WHEN v.q >= v.top THEN 1D" if lower else "WHEN v.q > v.top THEN 0D WHEN v.q <= v.least THEN 1D"
+    tail = _let("u", args, _let("v", known, f"CASE {ends} ELSE {inside} END"))
+    return F.expr(f"CASE WHEN {q} IS NULL OR {m} IS NULL OR {n} IS NULL OR {k} IS NULL THEN NULL ELSE {tail} END")
+
+
+def phyper(df: DataFrame, lower: bool, out: str = "p_value") -> DataFrame:
+    """Hypergeometric tails for rows (q, m, n, k): q marked of k drawn from m marked and n others.
+    lower: P(X <= q), else P(X >= q)."""
+    return df.withColumn(out, hypergeometric_tail("q", "m", "n", "k", lower))
+
+
+def cluster_enrichment(universe: DataFrame, positives: DataFrame, clusters: DataFrame) -> DataFrame:
     """(pattern, cluster_id, q, m, n, k, p_value): are positives (pattern, gene_id) frequent in a cluster.
 
     Members outside the universe and repeats do not count.  p is 1 where a cluster or the
@@ -72,10 +121,9 @@ def cluster_enrichment(universe: DataFrame, positives: DataFrame, clusters: Data
     size = clusters.select("cluster_id").distinct().join(members.groupBy("cluster_id").agg(F.count("*").alias("m")), "cluster_id", "left").fillna(0, ["m"])
     drawn = positives.select("pattern").distinct().join(called.groupBy("pattern").agg(F.count("*").alias("k")), "pattern", "left").fillna(0, ["k"])
     both = called.join(members, "gene_id").groupBy("pattern", "cluster_id").agg(F.count("*").alias("q"))
-    # Patterns x clusters: both are short lists, and each pair is a row of the result.
-    rows = drawn.join(size, F.lit(True)).join(both, ["pattern", "cluster_id"], "left").fillna(0, ["q"])
-    rows = rows.withColumns({"n": F.lit(total) - F.col("m"), "key": F.concat_ws("|", "pattern", "cluster_id")})
-    out = phyper(rows, most, False)
+    # Patterns x clusters: each pair is a row of the result.
+    rows = drawn.crossJoin(size).join(both, ["pattern", "cluster_id"], "left").fillna(0, ["q"])
+    out = phyper(rows.withColumn("n", F.lit(total) - F.col("m")), False)
     return out.withColumn("p_value", F.when((F.col("m") == 0) | (F.col("k") == 0), 1.0).otherwise(F.col("p_value"))).select("pattern", "cluster_id", "q", "m", "n", "k", "p_value")
 
 
@@ -84,6 +132,7 @@ def ks_uniform(df: DataFrame, steps: int, by: str = "group_id") -> DataFrame:
     place = F.least(F.greatest(F.ceil(F.round(F.col("value") * steps, 9)), F.lit(0)), F.lit(steps)).cast("int")
     counts = df.groupBy(by, place.alias("i")).agg(F.count("*").alias("c"))
     spine = df.select(by).distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(steps))))
+    # A group has steps + 1 rows here, whatever the data.
     w = Window.partitionBy(by).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     run = spine.join(counts, [by, "i"], "left").fillna(0, ["c"]).withColumn("f", F.sum("c").over(w) / F.sum("c").over(Window.partitionBy(by)))
     return run.groupBy(by).agg(F.max(F.abs(F.col("f") - F.col("i") / steps)).alias("d"), F.sum("c").alias("n"))
@@ -92,16 +141,16 @@ def ks_uniform(df: DataFrame, steps: int, by: str = "group_id") -> DataFrame:
 def ks_pvalue(d: Column, n: Column) -> Column:
     """Large samples by the closed form, others by twenty terms of the Kolmogorov series."""
     s = n * d * d
-    large = 2 * F.exp(-(2.000071 + 0.331 / F.sqrt(n) + 1.409 / n) * s)
+    large = 2 * F.exp(-(KS_TAIL[0] + KS_TAIL[1] / F.sqrt(n) + KS_TAIL[2] / n) * s)
     series = F.aggregate(F.sequence(F.lit(1), F.lit(20)), F.lit(0.0), lambda a, k: a + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * s))
-    return F.when((s > 7.24) | ((s > 3.76) & (n > 99)), large).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), series)))
+    return F.when((s > KS_LARGE) | ((s > KS_MIDDLE) & (n > KS_MANY)), large).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), series)))
 
 
-def strand_bias(sites: DataFrame, most: int, by: str = "motif_id") -> DataFrame:
+def strand_bias(sites: DataFrame, by: str = "motif_id") -> DataFrame:
     """Binomial tail at 1/2 of the larger strand count."""
     rows = sites.groupBy(by).agg(F.count_if(F.col("strand") == "+").alias("plus"), F.count_if(F.col("strand") == "-").alias("minus"))
-    rows = rows.withColumns({"n": F.col("plus") + F.col("minus"), "k": F.greatest("plus", "minus"), "p": F.lit(0.5), "key": F.col(by)})
-    return binom_sf(rows, most).select(by, "plus", "minus", "p_value")
+    rows = rows.withColumns({"n": F.col("plus") + F.col("minus"), "k": F.greatest("plus", "minus"), "p": F.lit(0.5)})
+    return binom_sf(rows).select(by, "plus", "minus", "p_value")
 
 
 def overrep_none(hits: DataFrame, threshold: float) -> DataFrame:
@@ -109,7 +158,7 @@ def overrep_none(hits: DataFrame, threshold: float) -> DataFrame:
 
 
 def _ranked(hits: DataFrame, by: list[str]) -> DataFrame:
-    return hits.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("pvalue", "hit_id")))
+    return scan.ranked(hits, by, ["pvalue", "hit_id"])
 
 
 def _first_best(ranked: DataFrame, tails: DataFrame, by: list[str], threshold: float) -> DataFrame:
@@ -118,11 +167,11 @@ def _first_best(ranked: DataFrame, tails: DataFrame, by: list[str], threshold: f
     return ranked.join(best, by).filter("rank <= best").drop("best")
 
 
-def overrep_binomial(hits: DataFrame, n: int, threshold: float, most: int, by: list[str]) -> DataFrame:
+def overrep_binomial(hits: DataFrame, n: int, threshold: float, by: list[str]) -> DataFrame:
     """Over the ordered p_i the i of the least P(X > i; n, p_i); its first i hits, if that is below the threshold."""
     ranked = _ranked(hits, by)
-    rows = ranked.select(*by, "rank", F.lit(n).alias("n"), (F.col("rank") + 1).alias("k"), F.col("pvalue").alias("p"), F.struct(*by, "rank").alias("key"))
-    return _first_best(ranked, binom_sf(rows, most), by, threshold)
+    rows = ranked.select(*by, "rank", F.lit(n).alias("n"), (F.col("rank") + 1).alias("k"), F.col("pvalue").alias("p"))
+    return _first_best(ranked, binom_sf(rows), by, threshold)
 
 
 def _normal_sf(z: Column) -> Column:
@@ -136,25 +185,31 @@ def _normal_sf(z: Column) -> Column:
 
 def overrep_poisbinom(hits: DataFrame, n: int, threshold: float, by: list[str]) -> DataFrame:
     """As overrep_binomial for a sum of unequal trials p_1 ... p_i and n - i of p_i, by the refined normal approximation."""
-    ranked = _ranked(hits, by)
-    w = Window.partitionBy(*by).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     p, i = F.col("pvalue"), F.col("rank")
-    total = lambda e: F.sum(e).over(w) + F.greatest(F.lit(n) - i, F.lit(0)) * e
-    rows = ranked.withColumns({"__mu": total(p), "__var": total(p * (1 - p)), "__third": total(p * (1 - p) * (1 - 2 * p))})
+    moments = {"__mu": p, "__var": p * (1 - p), "__third": p * (1 - p) * (1 - 2 * p)}
+    rows = scan.prefix_scan(hits, by, ["pvalue", "hit_id"], {"rank": ("sum", F.lit(1).cast("long"))} | {c: ("sum", e) for c, e in moments.items()})
+    ranked = rows.withColumn("rank", i.cast("int")).withColumns({c: F.col(c) + F.greatest(F.lit(n) - i, F.lit(0)) * e for c, e in moments.items()})
     sd = F.sqrt(F.greatest("__var", F.lit(1e-300)))
     z = (i + 0.5 - F.col("__mu")) / sd
-    skew = F.col("__third") / (sd * sd * sd)
-    refined = _normal_sf(z) + skew * (z * z - 1) * F.exp(-z * z / 2) / (6 * F.sqrt(F.lit(2 * 3.141592653589793)))
-    tails = rows.withColumn("p_value", F.least(F.lit(1.0), F.greatest(F.lit(0.0), refined)))
-    return _first_best(ranked, tails, by, threshold)
+    # Certain trials have no spread, and nothing to refine.
+    cubed = F.when(F.col("__var") > 1e-100, sd * sd * sd)
+    refined = _normal_sf(z) + F.coalesce(F.col("__third") / cubed * (z * z - 1) * F.exp(-z * z / 2) / (6 * F.sqrt(F.lit(2 * math.pi))), F.lit(0.0))
+    tails = ranked.withColumn("p_value", F.least(F.lit(1.0), F.greatest(F.lit(0.0), refined)))
+    return _first_best(ranked.drop(*moments), tails, by, threshold)
 
 
 def qvalues(hits: DataFrame, by: list[str], pi0: float = 1.0, threshold: float | None = None) -> DataFrame:
-    """hits with qvalue; with a threshold only those not above it."""
-    ranked = _ranked(hits, by)
-    m = F.count("*").over(Window.partitionBy(*by))
-    up = Window.partitionBy(*by).orderBy(F.col("rank").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    out = ranked.withColumn("__q", F.col("pvalue") * pi0 * m / F.col("rank")).withColumn("qvalue", F.least(F.lit(1.0), F.min("__q").over(up))).drop("__q")
+    """hits with rank and qvalue; with a threshold only those not above it.
+
+    No task holds a group: ranks are counted forwards over ranges of p-values, and the least
+    p m / rank of what is behind comes backwards over the same ranges.
+    """
+    order = ["pvalue", "hit_id"]
+    parts = scan.scanned(scan.dealt(hits, by, order), by, order, {"rank": ("sum", F.lit(1).cast("long"))}).withColumn("rank", F.col("rank").cast("int"))
+    size = hits.groupBy(*(F.col(c).alias(f"__{c}") for c in by)).agg(F.count("*").alias("__m"))
+    parts = parts.join(size, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]).withColumn("__q", F.col("pvalue") * pi0 * F.col("__m") / F.col("rank"))
+    back = scan.scanned(parts, by, [F.desc(c) for c in order], {"qvalue": ("min", F.col("__q"))}, back=True)
+    out = back.withColumn("qvalue", F.least(F.lit(1.0), "qvalue")).select(*hits.columns, "rank", "qvalue")
     return out.filter(F.col("qvalue") <= threshold) if threshold is not None else out
 
 
@@ -163,13 +218,13 @@ def storey_pi0(hits: DataFrame, by: list[str], cut: float = 0.5) -> DataFrame:
     return hits.groupBy(*by).agg(F.least(F.lit(1.0), F.count_if(F.col("pvalue") > cut) / (F.count("*") * (1 - cut))).alias("pi0"))
 
 
-def overrepresented(hits: DataFrame, presence: DataFrame, test: str, threshold: float, n: int = 100, most: int = 1000, by: list[str] | None = None) -> DataFrame:
+def overrepresented(hits: DataFrame, presence: DataFrame, test: str, threshold: float, n: int = 100, by: list[str] | None = None) -> DataFrame:
     """Presence rows with the number of hits that the test (none, binomial, poisbinom, qvalue) keeps, and their least p-value."""
     by = by or ["seq_id", "motif"]
     if test == "none":
         kept = overrep_none(hits, threshold)
     elif test == "binomial":
-        kept = overrep_binomial(hits, n, threshold, most, by)
+        kept = overrep_binomial(hits, n, threshold, by)
     elif test == "poisbinom":
         kept = overrep_poisbinom(hits, n, threshold, by)
     elif test == "qvalue":

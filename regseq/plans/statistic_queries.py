@@ -17,13 +17,13 @@ def _most(df, by):
 
 def strand_bias(spark, d):
     iv = b.intervals(spark, d).withColumnRenamed("chrom", "motif_id")
-    return statistics.strand_bias(iv, _most(iv, "motif_id")).withColumn("p_value", F.round("p_value", 7))
+    return statistics.strand_bias(iv).withColumn("p_value", F.round("p_value", 7))
 
 
 def best_binomial(spark, d):
     pv = b.pvalues(spark, d).withColumnRenamed("seq_id", "group_id")
     n = 2 * _most(pv, "group_id")
-    return statistics.best_binomial(pv, n, n).withColumn("p_value", F.round("p_value", 7))
+    return statistics.best_binomial(pv, n).withColumn("p_value", F.round("p_value", 7))
 
 
 def phyper(spark, d):
@@ -32,21 +32,21 @@ def phyper(spark, d):
     total = p.agg(F.count("*").alias("t"), F.count_if(F.col("p_size") > 25).alias("m"))
     rows = p.groupBy(F.col("p_brand").alias("key")).agg(F.count("*").alias("k"), F.count_if(F.col("p_size") > 25).alias("q")).join(F.broadcast(total), F.lit(True))
     rows = rows.withColumn("n", F.col("t") - F.col("m"))
-    most = p.count()
-    return statistics.phyper(statistics.phyper(rows, most, False, "upper"), most, True, "lower").select("key", "q", "k", F.round("upper", 7).alias("upper"), F.round("lower", 7).alias("lower"))
+    return statistics.phyper(statistics.phyper(rows, False, "upper"), True, "lower").select("key", "q", "k", F.round("upper", 7).alias("upper"), F.round("lower", 7).alias("lower"))
 
 
 def enrichment(spark, d):
     p = b.table(spark, d, "part")
     calls = b.table(spark, d, "lineitem").filter("l_quantity >= 49").select(F.col("l_returnflag").alias("pattern"), F.col("l_partkey").alias("gene_id"))
-    out = statistics.cluster_enrichment(p.select(F.col("p_partkey").alias("gene_id")), calls, p.select(F.col("p_brand").alias("cluster_id"), F.col("p_partkey").alias("gene_id")), p.count())
+    out = statistics.cluster_enrichment(p.select(F.col("p_partkey").alias("gene_id")), calls, p.select(F.col("p_brand").alias("cluster_id"), F.col("p_partkey").alias("gene_id")))
     return out.withColumn("p_value", F.round("p_value", 6))
 
 
 def ks(spark, d):
     v = b.pvalues(spark, d).select(F.col("seq_id").alias("group_id"), F.col("pvalue").alias("value"))
-    out = statistics.ks_uniform(v, 50)
-    return out.select("group_id", F.round("d", 9).alias("d"), "n", F.round(statistics.ks_pvalue(F.col("d"), F.col("n")), 5).alias("p_value"))
+    # In one select a lambda would see the rounded d under d's name.
+    out = statistics.ks_uniform(v, 50).withColumn("p_value", statistics.ks_pvalue(F.col("d"), F.col("n")))
+    return out.select("group_id", F.round("d", 9).alias("d"), "n", F.round("p_value", 7).alias("p_value"))
 
 
 def qvalues(spark, d):
@@ -64,7 +64,7 @@ def overrep_none(spark, d):
 def overrep_binomial(spark, d):
     pv = b.pvalues(spark, d)
     n = 2 * _most(pv, "seq_id")
-    return statistics.overrep_binomial(pv, n, 0.9, n + 2, ["seq_id"]).select("seq_id", "hit_id", "rank")
+    return statistics.overrep_binomial(pv, n, 0.9, ["seq_id"]).select("seq_id", "hit_id", "rank")
 
 
 def overrep_poisbinom(spark, d):
@@ -84,7 +84,7 @@ def motif_in_sequences(spark, d):
     rows = b.pvalues(spark, d).join(b.intervals(spark, d).select(F.col("n").alias("hit_id"), (F.col("lo") % 3000).cast("int").alias("site"), "strand"), "hit_id")
     sites = rows.select(F.col("seq_id").alias("interval_idx"), "site", "strand", "pvalue")
     n = 2 * _most(sites, "interval_idx")
-    return motifs.motif_in_sequences(sites, 30, n, n).withColumn("p_value", F.round("p_value", 7))
+    return motifs.motif_in_sequences(sites, 30, n).withColumn("p_value", F.round("p_value", 7))
 
 
 _R = "r AS (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY pvalue, hit_id) AS rank FROM pv)"
@@ -94,7 +94,7 @@ QUERIES = {
     "sta2_best_binomial": (best_binomial, with_views("pvalues") + f", m AS (SELECT 2 * max(c) AS n FROM (SELECT count(*) AS c FROM pv GROUP BY seq_id)), z AS (SELECT seq_id AS group_id, pvalue AS p, row_number() OVER (PARTITION BY seq_id ORDER BY pvalue) AS k, n FROM pv, m), t AS (SELECT group_id, k, {_SF} AS v FROM z) SELECT group_id, round(min(v), 7)::DOUBLE AS p_value, arg_min(k, v)::INT AS index FROM t GROUP BY group_id"),
     "sta3_phyper": (phyper, "WITH t AS (SELECT count(*) AS t, count(*) FILTER (p_size > 25) AS m FROM part), z AS (SELECT p_brand AS key, count(*) AS k, count(*) FILTER (p_size > 25) AS q FROM part GROUP BY p_brand), y AS (SELECT key, k, q, m, t - m AS n, unnest(range(greatest(0, k - (t - m)), least(k, m) + 1)) AS j FROM z, t), x AS (SELECT *, exp(lgamma(m + 1) - lgamma(j + 1) - lgamma(m - j + 1) + lgamma(n + 1) - lgamma(k - j + 1) - lgamma(n - k + j + 1) - lgamma(m + n + 1) + lgamma(k + 1) + lgamma(m + n - k + 1)) AS v FROM y) SELECT key, q, k, round(least(1.0, coalesce(sum(v) FILTER (j >= q), 0)), 7)::DOUBLE AS upper, round(least(1.0, coalesce(sum(v) FILTER (j <= q), 0)), 7)::DOUBLE AS lower FROM x GROUP BY ALL"),
     "sta4_cluster_enrichment": (enrichment, "WITH c AS (SELECT DISTINCT l_returnflag AS pattern, l_partkey AS g FROM lineitem WHERE l_quantity >= 49 AND l_partkey IN (SELECT p_partkey FROM part)), kk AS (SELECT pattern, count(*) AS k FROM c GROUP BY ALL), mm AS (SELECT p_brand AS cluster_id, count(DISTINCT p_partkey) AS m FROM part GROUP BY ALL), qq AS (SELECT pattern, p_brand AS cluster_id, count(*) AS q FROM c JOIN part ON g = p_partkey GROUP BY ALL), z AS (SELECT pattern, cluster_id, coalesce(q, 0) AS q, m, (SELECT count(*) FROM part) - m AS n, k FROM kk CROSS JOIN mm LEFT JOIN qq USING (pattern, cluster_id)), x AS (SELECT *, unnest(range(greatest(q, k - n, 0), least(k, m) + 1)) AS j FROM z) SELECT pattern, cluster_id, q, m, n, k, round(least(1.0, sum(exp(lgamma(m + 1) - lgamma(j + 1) - lgamma(m - j + 1) + lgamma(n + 1) - lgamma(k - j + 1) - lgamma(n - k + j + 1) - lgamma(m + n + 1) + lgamma(k + 1) + lgamma(m + n - k + 1)))), 6)::DOUBLE AS p_value FROM x GROUP BY ALL"),
-    "sta5_ks_uniform": (ks, with_views("pvalues") + ", g AS (SELECT DISTINCT seq_id, unnest(range(0, 51)) AS i FROM pv), f AS (SELECT g.seq_id, i, count(*) FILTER (round(pvalue * 50, 9) <= i) / count(*)::DOUBLE AS f, count(*) AS n FROM g JOIN pv USING (seq_id) GROUP BY ALL), d AS (SELECT seq_id, max(abs(f - i / 50.0)) AS d, max(n) AS n FROM f GROUP BY seq_id), s AS (SELECT *, n * d * d AS s FROM d) SELECT seq_id AS group_id, round(d, 9)::DOUBLE AS d, n, round(CASE WHEN s > 7.24 OR (s > 3.76 AND n > 99) THEN 2 * exp(-(2.000071 + 0.331 / sqrt(n) + 1.409 / n) * s) ELSE least(1.0, greatest(0.0, (SELECT sum(CASE WHEN k % 2 = 1 THEN 2.0 ELSE -2.0 END * exp(-2.0 * k * k * s)) FROM (SELECT unnest(range(1, 21)) AS k)))) END, 5)::DOUBLE AS p_value FROM s"),
+    "sta5_ks_uniform": (ks, with_views("pvalues") + ", g AS (SELECT DISTINCT seq_id, unnest(range(0, 51)) AS i FROM pv), f AS (SELECT g.seq_id, i, count(*) FILTER (round(pvalue * 50, 9) <= i) / count(*)::DOUBLE AS f, count(*) AS n FROM g JOIN pv USING (seq_id) GROUP BY ALL), d AS (SELECT seq_id, max(abs(f - i / 50.0)) AS d, max(n) AS n FROM f GROUP BY seq_id), s AS (SELECT *, n * d * d AS s FROM d) SELECT seq_id AS group_id, round(d, 9)::DOUBLE AS d, n, round(CASE WHEN s > " + f"{statistics.KS_LARGE} OR (s > {statistics.KS_MIDDLE} AND n > {statistics.KS_MANY}) THEN 2 * exp(-({statistics.KS_TAIL[0]} + {statistics.KS_TAIL[1]} / sqrt(n) + {statistics.KS_TAIL[2]} / n) * s)" + " ELSE least(1.0, greatest(0.0, (SELECT sum(CASE WHEN k % 2 = 1 THEN 2.0 ELSE -2.0 END * exp(-2.0 * k * k * s)) FROM (SELECT unnest(range(1, 21)) AS k)))) END, 7)::DOUBLE AS p_value FROM s"),
     "sta11_qvalues": (qvalues, with_views("pvalues") + ", " + _R.format(k="motif") + ", q AS (SELECT *, pvalue * count(*) OVER (PARTITION BY motif) / rank AS v FROM r) SELECT hit_id, rank::INT AS rank, round(least(1.0, min(v) OVER (PARTITION BY motif ORDER BY rank DESC ROWS UNBOUNDED PRECEDING)), 8)::DOUBLE AS qvalue FROM q"),
     "sta11_storey_pi0": (storey, with_views("pvalues") + " SELECT motif, round(least(1.0, count(*) FILTER (pvalue > 0.5) / (count(*) * 0.5)), 9)::DOUBLE AS pi0 FROM pv GROUP BY motif"),
     "sta8_overrep_none": (overrep_none, with_views("pvalues") + " SELECT * FROM pv WHERE pvalue < 0.01"),

@@ -39,6 +39,15 @@ def test_two_scans_of_one_deal(spark, table):
     assert two.filter("n > 1 and m <> n - 1 or n = 1 and m is not null").count() == 0
 
 
+def test_backwards_over_the_same_ranges(spark, table):
+    parts = scan.dealt(table, ["key"], ["id"], 7)
+    got = scan.scanned(parts, ["key"], [F.desc("id")], {"n": ("sum", F.lit(1)), "m": ("min", F.col("x"))}, back=True)
+    w = Window.partitionBy("key").orderBy(F.desc("id")).rowsBetween(Window.unboundedPreceding, 0)
+    want = table.withColumns({"n": F.count("*").over(w), "m": F.min("x").over(w)})
+    text = lambda df: sorted(map(str, df.select("id", "key", "n", "m").collect()))
+    assert text(got) == text(want)
+
+
 def test_empty_table(spark, table):
     assert scan.ranked(table.limit(0), ["key"], ["id"]).collect() == []
 
