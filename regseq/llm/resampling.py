@@ -180,6 +180,8 @@ def ranked_scores(rows: DataFrame, segments: int | None = None) -> DataFrame:
     sizes = sorted(map(tuple, dealt.groupBy("segment").count().collect()))
     before = np.cumsum([0, *(n for _, n in sizes)]).tolist()
     offsets = spark.createDataFrame([(s, b) for (s, _), b in zip(sizes, before[: len(sizes)], strict=True)], "segment int, before long")
+    # Whole segments go to tasks by ranges of equal rows; a hash would put some tasks three.
+    dealt = dealt.repartitionByRange("segment")
     merged = Window.partitionBy("segment").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"), *(c for c in ("weight", "n_features") if c in rows.columns))
     return dealt.withColumn("rank", F.row_number().over(merged)).join(F.broadcast(offsets), "segment").withColumn("rank", F.col("rank") + F.col("before")).drop("segment", "before")
 
