@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regseq.functions.sequence import belief, bundle_interval, repeat_ratio, revcomp, windows
+from regseq.operators.greedy import greedy
 from regseq.operators.sweeps import islands
 
 WIDTH = 60
@@ -96,11 +97,9 @@ def thin_partners(scored: DataFrame, width: int = WIDTH) -> DataFrame:
     """Of the partner windows of a centre window in a comparison those that no better one overlaps
     (belief, then integrated score, then the lower offset)."""
     who = _comparison(scored)
-    entry = F.struct((-F.col("belief")).alias("b"), (-F.col("integrate")).alias("i"), F.col("offset2").alias("o"), F.col("score").alias("s"), F.col("repeat_ratio").alias("r"))
-    kind = f"array<struct<b:double,i:double,o:int,s:{scored.schema['score'].dataType.simpleString()},r:double>>"
-    taken = F.aggregate(F.sort_array(F.collect_list(entry)), F.array().cast(kind), lambda t, x: F.when(F.exists(t, lambda y: F.abs(y["o"] - x["o"]) < width), t).otherwise(F.concat(t, F.array(x))))
-    rows = scored.groupBy("gene_id", *who, "offset1").agg(taken.alias("t")).select("gene_id", *who, "offset1", F.explode("t").alias("x"))
-    return rows.select("gene_id", *who, "offset1", F.col("x.o").alias("offset2"), F.col("x.s").alias("score"), F.col("x.r").alias("repeat_ratio"), (-F.col("x.b")).alias("belief"), (-F.col("x.i")).alias("integrate"))
+    rows = scored.select("gene_id", *who, "offset1", F.col("offset2").cast("int").alias("offset2"), "score", "repeat_ratio", "belief", "integrate")
+    order = [-F.col("belief"), -F.col("integrate"), F.col("offset2"), F.col("score"), F.col("repeat_ratio")]
+    return greedy(rows, ["gene_id", *who, "offset1"], order, [("offset2", width)])
 
 
 def combine_belief(thinned: DataFrame, least: float = BELIEF) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regseq.functions.sequence import count_n
-from regseq.operators.graph import _cut
+from regseq.operators import scan
+from regseq.operators.greedy import greedy
 
 
 def ordered_sites(scores: DataFrame) -> DataFrame:
@@ -14,24 +15,11 @@ def ordered_sites(scores: DataFrame) -> DataFrame:
     return scores.orderBy("pvalue", "interval_idx", "site", "strand")
 
 
-def _greedy(rows: Column, clash: object, kind: str, most: int | None = None) -> Column:
-    """Of an ordered array the elements that clash with none taken before, at most `most`."""
-    free = lambda taken, x: ~F.exists(taken, lambda t: clash(t, x))
-    ok = (lambda taken, x: free(taken, x) & (F.size(taken) < most)) if most is not None else free
-    return F.aggregate(rows, F.array().cast(f"array<{kind}>"), lambda taken, x: F.when(ok(taken, x), F.concat(taken, F.array(x))).otherwise(taken))
-
-
-SITE = "struct<pvalue:double,site:int,strand:string>"
-
-
 def top_sites(sites: DataFrame, width: int, n: int | None = None, by: str = "interval_idx") -> DataFrame:
-    """Per interval the best sites that do not overlap, taken greedily by p-value (site and strand break ties).
-
-    A group is one interval's sites; filter by p-value first where there are very many.
-    """
-    entry = F.struct(F.col("pvalue").cast("double").alias("pvalue"), F.col("site").cast("int").alias("site"), "strand")
-    taken = _greedy(F.sort_array(F.collect_list(entry)), lambda a, b: F.abs(a["site"] - b["site"]) < width, SITE, n)
-    return sites.groupBy(by).agg(taken.alias("t")).select(by, F.posexplode("t").alias("rank", "s")).select(by, (F.col("rank") + 1).alias("rank"), "s.site", "s.strand", "s.pvalue")
+    """Per interval the best sites that do not overlap, taken greedily by p-value (site and strand break ties)."""
+    rows = sites.select(by, F.col("site").cast("int").alias("site"), "strand", F.col("pvalue").cast("double").alias("pvalue"))
+    taken = greedy(rows, [by], [F.col("pvalue"), F.col("site"), F.col("strand")], [("site", width)], n, "rank")
+    return taken.select(by, "rank", "site", "strand", "pvalue")
 
 
 def sites_below(sites: DataFrame, p: float, width: int, by: str = "interval_idx") -> DataFrame:
@@ -41,12 +29,9 @@ def sites_below(sites: DataFrame, p: float, width: int, by: str = "interval_idx"
 
 def top_pair_sites(pairs: DataFrame, width_a: int, width_b: int, n: int) -> DataFrame:
     """Per sequence the best n paired sites (seq_id, strand, pos_a, pos_b, score) of which neither part overlaps."""
-    kind = "struct<score:double,pos_a:int,pos_b:int,strand:string>"
-    entry = F.struct("score", F.col("pos_a").cast("int").alias("pos_a"), F.col("pos_b").cast("int").alias("pos_b"), "strand")
-    meet = lambda a, wa, b, wb: (a < b + wb) & (b < a + wa)
-    clash = lambda x, y: meet(x["pos_a"], width_a, y["pos_a"], width_a) | meet(x["pos_b"], width_b, y["pos_b"], width_b) | meet(x["pos_a"], width_a, y["pos_b"], width_b) | meet(x["pos_b"], width_b, y["pos_a"], width_a)
-    taken = _greedy(F.sort_array(F.collect_list(entry)), clash, kind, n)
-    return pairs.groupBy("seq_id").agg(taken.alias("t")).select("seq_id", F.posexplode("t").alias("rank", "s")).select("seq_id", (F.col("rank") + 1).alias("rank"), "s.pos_a", "s.pos_b", "s.strand", "s.score")
+    rows = pairs.select("seq_id", F.col("pos_a").cast("int").alias("pos_a"), F.col("pos_b").cast("int").alias("pos_b"), "strand", "score")
+    taken = greedy(rows, ["seq_id"], [F.col(c) for c in ("score", "pos_a", "pos_b", "strand")], [("pos_a", width_a), ("pos_b", width_b)], n, "rank")
+    return taken.select("seq_id", "rank", "pos_a", "pos_b", "strand", "score")
 
 
 def top_pvalues(sites: DataFrame, n: int, by: str = "interval_idx") -> DataFrame:
@@ -54,8 +39,7 @@ def top_pvalues(sites: DataFrame, n: int, by: str = "interval_idx") -> DataFrame
     few = sites.groupBy(by).count().filter(F.col("count") < n).limit(1).collect()
     if few:
         raise ValueError(f"only {few[0]['count']} sites in {few[0][0]}")
-    rank = F.row_number().over(Window.partitionBy(by).orderBy("pvalue", "site", "strand"))
-    return sites.withColumn("rank", rank).filter(F.col("rank") <= n)
+    return scan.ranked(sites, [by], ["pvalue", "site", "strand"]).filter(F.col("rank") <= n)
 
 
 def best_site(scores: DataFrame, by: str = "interval_idx") -> DataFrame:
@@ -122,21 +106,9 @@ def pseudo_orthologs(orthologs: DataFrame, seed: int) -> DataFrame:
     return a.join(b, ["species", "r"]).select("species", "query_gene", "target_gene")
 
 
-def _numbered(df: DataFrame, order: str, name: str) -> DataFrame:
-    """df with the place of each row in the order, from 0, counted by ranges: only their sizes meet on the driver."""
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = _cut(df.repartitionByRange(parts, order).withColumn("__part", F.spark_partition_id()))
-    sizes = {r["__part"]: r["count"] for r in dealt.groupBy("__part").count().collect()}
-    before = [(p, sum(n for q, n in sizes.items() if q < p)) for p in sizes]
-    offsets = spark.createDataFrame(before, "__part int, __before long")
-    place = F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1 + F.col("__before")
-    return dealt.join(F.broadcast(offsets), "__part").withColumn(name, place).drop("__part", "__before")
-
-
 def random_orthologs(source: DataFrame, target: DataFrame, seed: int) -> DataFrame:
     """Each source id with one target, by its hash modulo the number of targets in id order."""
     n = target.count()
-    ranked = _numbered(target.select(F.col("id").alias("ortholog")), "ortholog", "r")
+    ranked = scan.ranked(target.select(F.col("id").alias("ortholog")), [], ["ortholog"], "r").withColumn("r", F.col("r").cast("long") - 1)
     draw = F.conv(F.substring(_hash(seed, "id"), 1, 12), 16, 10).cast("long") % max(n, 1)
     return source.select("id", draw.alias("r")).join(ranked, "r").select("id", "ortholog")

@@ -363,8 +363,8 @@ def score_pairs(spark, d):
 
 
 def thin_partners(spark, d):
-    w = _windows(spark, d).withColumn("offset1", F.lit(0))
-    return conservation.thin_partners(w, 60).select(F.concat_ws("|", "gene_id", "species", "partner").alias("interval_idx"), F.col("offset2").alias("site"), "score", F.round("belief", 6).alias("belief"), "integrate")
+    w = _windows(spark, d).withColumn("offset1", (F.col("offset1") % 3 * 40).cast("int"))
+    return conservation.thin_partners(w, 60).select(F.concat_ws("|", "gene_id", "species", "partner", "offset1").alias("interval_idx"), F.col("offset2").alias("site"), "score", F.round("belief", 6).alias("belief"), "integrate")
 
 
 def combine_belief(spark, d):
@@ -483,7 +483,7 @@ QUERIES = {
     "mot13_hits_to_annotations": (hits_to_annotations, with_views("iv") + ", z AS (SELECT *, n % 40 AS site, CASE WHEN n % 3 = 0 THEN '+' ELSE '-' END AS ss FROM iv) SELECT id AS seq_id, type AS description, 'motif_hit' AS type, chrom, CASE WHEN strand = '+' THEN lo + site ELSE hi - site - 8 END AS lo, CASE WHEN strand = '+' THEN lo + site ELSE hi - site - 8 END + 8 AS hi, CASE WHEN ss = strand THEN '+' ELSE '-' END AS strand FROM z"),
     "mot15_scan_input": (scan_input, with_views("seqs") + " SELECT id, md5(CASE WHEN length(seq) % 2 = 0 THEN translate(seq, 'A', 'N') ELSE seq END) AS seq FROM seqs"),
     "cns4_score_pairs": (score_pairs, _TH + ", w AS (SELECT DISTINCT gene_id, species, partner, offset1, offset2, score FROM th), z AS (SELECT *, greatest(CASE WHEN offset1 % 3 > 0 THEN offset1 % 30 ELSE 0 END, CASE WHEN offset2 % 2 > 0 THEN offset2 % 50 ELSE 0 END)::DOUBLE AS repeat_ratio FROM w), y AS (SELECT *, CASE WHEN floor(100.0 * score / 60) >= repeat_ratio THEN least(100.0, least(1.5, 100.0 / (100 - repeat_ratio)) * (floor(100.0 * score / 60) - repeat_ratio)) ELSE 0 END AS i FROM z), x AS (SELECT *, CASE WHEN i <= 30 THEN 0 WHEN i >= 80 THEN 1 ELSE 1 / (1 + exp(5 - 10 * (i - 30) / 50)) END AS b FROM y) SELECT gene_id, species, partner, offset1, offset2, score, repeat_ratio, round(b, 8)::DOUBLE AS belief, round(i, 8)::DOUBLE AS integrate FROM x WHERE b > 0"),
-    "cns5_thin_partners": (thin_partners, (_TH + ", k AS (SELECT gene_id || '|' || species || '|' || partner AS interval_idx, offset2 AS site, score, belief, integrate FROM th)").replace("WITH ", "WITH RECURSIVE ", 1) + ", od AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY interval_idx ORDER BY belief DESC, integrate DESC, site, score) AS r FROM k), gr AS (SELECT interval_idx, 0::BIGINT AS r, []::INT[] AS taken, false AS took FROM od GROUP BY 1 UNION ALL SELECT interval_idx, r, CASE WHEN t THEN list_append(taken, site) ELSE taken END, t FROM (SELECT gr.taken, od.*, len(list_filter(gr.taken, lambda x: abs(x - od.site) < 60)) = 0 AS t FROM gr JOIN od ON od.interval_idx = gr.interval_idx AND od.r = gr.r + 1)) SELECT interval_idx, site, score, round(belief, 6) AS belief, integrate FROM gr JOIN od USING (interval_idx, r) WHERE took"),
+    "cns5_thin_partners": (thin_partners, (_TH + ", k AS (SELECT gene_id || '|' || species || '|' || partner || '|' || (offset1 % 3 * 40) AS interval_idx, offset2 AS site, score, belief, integrate FROM th)").replace("WITH ", "WITH RECURSIVE ", 1) + ", od AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY interval_idx ORDER BY belief DESC, integrate DESC, site, score) AS r FROM k), gr AS (SELECT interval_idx, 0::BIGINT AS r, []::INT[] AS taken, false AS took FROM od GROUP BY 1 UNION ALL SELECT interval_idx, r, CASE WHEN t THEN list_append(taken, site) ELSE taken END, t FROM (SELECT gr.taken, od.*, len(list_filter(gr.taken, lambda x: abs(x - od.site) < 60)) = 0 AS t FROM gr JOIN od ON od.interval_idx = gr.interval_idx AND od.r = gr.r + 1)) SELECT interval_idx, site, score, round(belief, 6) AS belief, integrate FROM gr JOIN od USING (interval_idx, r) WHERE took"),
     "cns6_combine_belief": (combine_belief, _TH + f", {_BEST} SELECT gene_id, offset1, round(1 - product(1 - best), 8) AS belief, count(*)::INT AS comparisons FROM bs GROUP BY ALL HAVING 1 - product(1 - best) >= 0.3"),
     "cns7_prune_partners": (prune_partners, _TH + f", {_BEST}, {_PRUNED} SELECT * REPLACE (round(centre_belief, 8) AS centre_belief) FROM pr"),
     "cns8_assemble": (assemble, _TH + f", {_BEST}, {_BUNDLES} SELECT gene_id, offset1, bundle_id::BIGINT AS bundle_id FROM bu"),
