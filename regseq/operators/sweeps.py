@@ -9,12 +9,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regseq.functions.sequence import expand
+from regseq.operators.scan import dealt, prefix_scan, scanned
 
 
 def assign_gene(gff: DataFrame, gene: Column) -> DataFrame:
     """Each line with the gene of the nearest gene line above it on its sequence."""
-    above = Window.partitionBy("seqid").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    return gff.withColumn("gene_id", F.last(F.when(F.col("type") == "gene", gene), ignorenulls=True).over(above))
+    above = F.when((F.col("type") == "gene") & gene.isNotNull(), F.struct("line_no", gene.alias("gene")))
+    found = prefix_scan(gff, ["seqid"], ["line_no"], {"__g": ("max", above)})
+    return found.withColumn("gene_id", F.col("__g.gene")).drop("__g")
 
 
 def flank(genes: DataFrame, sizes: DataFrame, length: int) -> DataFrame:
@@ -40,15 +42,16 @@ def trim_overlaps(promoters: DataFrame, genes: DataFrame, kick: bool = False) ->
 
     On "+": lo = min(hi, max(lo, the highest end of the genes that start before hi)); on "-" the
     mirror image.  kick drops promoters that are then empty.  One sort of both tables and a
-    running maximum (minimum) each way; no range join.
+    running maximum (minimum) each way, over ranges of a chromosome; no range join.
     """
     rows = promoters.withColumn("__p", F.lit(True)).select("chrom", "lo", "hi", "strand", "name", "__p")
     both = rows.unionByName(genes.select("chrom", "lo", "hi", F.lit(None).cast("string").alias("strand"), F.lit(None).cast("string").alias("name"), F.lit(False).alias("__p")))
     gene = ~F.col("__p")
     # Genes that start before a promoter's end: at one key promoters come first.
-    up = Window.partitionBy("chrom").orderBy(F.when(gene, F.col("lo")).otherwise(F.col("hi")), gene).rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.partitionBy("chrom").orderBy(F.when(gene, F.col("hi")).otherwise(F.col("lo")).desc(), gene).rowsBetween(Window.unboundedPreceding, -1)
-    swept = both.withColumn("__end", F.max(F.when(gene, F.col("hi"))).over(up)).withColumn("__start", F.min(F.when(gene, F.col("lo"))).over(down)).filter("__p")
+    up = [F.when(gene, F.col("lo")).otherwise(F.col("hi")), gene]
+    down = [F.when(gene, F.col("hi")).otherwise(F.col("lo")).desc(), gene]
+    swept = prefix_scan(both, ["chrom"], up, {"__end": ("max", F.when(gene, F.col("hi")))}, before=True)
+    swept = prefix_scan(swept, ["chrom"], down, {"__start": ("min", F.when(gene, F.col("lo")))}, before=True).filter("__p")
     plus = F.col("strand") == "+"
     lo = F.when(plus & F.col("__end").isNotNull(), F.least("hi", F.greatest("lo", "__end"))).otherwise(F.col("lo"))
     hi = F.when(~plus & F.col("__start").isNotNull(), F.greatest("lo", F.least("hi", "__start"))).otherwise(F.col("hi"))
@@ -74,15 +77,17 @@ def neighbours_of(loci: DataFrame, genes: DataFrame) -> DataFrame:
     both = loci.select("chrom", "position", "gene_id", F.lit(False).alias("__gene"), F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi")).unionByName(
         genes.select("chrom", F.lit(None).cast("long").alias("position"), F.col("id").alias("gene_id"), F.lit(True).alias("__gene"), F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
     )
-    left = Window.partitionBy("chrom").orderBy(F.when(gene, F.col("lo")).otherwise(F.col("position")), gene).rowsBetween(Window.unboundedPreceding, -1)
-    right = Window.partitionBy("chrom").orderBy(F.when(gene, F.col("hi")).otherwise(F.col("position") + 1).desc(), gene).rowsBetween(Window.unboundedPreceding, -1)
-    last = F.when(gene, F.struct(F.col("hi").alias("at"), F.col("gene_id").alias("id")))
-    first = F.when(gene, F.struct((-F.col("lo")).alias("at"), F.col("gene_id").alias("id")))
-    swept = both.withColumn("__l1", F.max(last).over(left)).withColumn("__r1", F.max(first).over(right))
-    # The second best so far is the highest of what each gene and the best before it both reach.
-    l_second = F.when(gene & F.col("__l1").isNotNull(), F.least("__l1", last))
-    r_second = F.when(gene & F.col("__r1").isNotNull(), F.least("__r1", first))
-    swept = swept.withColumn("__l2", F.max(l_second).over(left)).withColumn("__r2", F.max(r_second).over(right)).filter(~gene)
+    sides = {
+        "__l": ([F.when(gene, F.col("lo")).otherwise(F.col("position")), gene], F.when(gene, F.struct(F.col("hi").alias("at"), F.col("gene_id").alias("id")))),
+        "__r": ([F.when(gene, F.col("hi")).otherwise(F.col("position") + 1).desc(), gene], F.when(gene, F.struct((-F.col("lo")).alias("at"), F.col("gene_id").alias("id")))),
+    }
+    swept = both
+    for side, (order, reach) in sides.items():
+        parts = scanned(dealt(swept, ["chrom"], order), ["chrom"], order, {f"{side}1": ("max", reach)}, before=True)
+        # The second best so far is the highest of what each gene and the best before it both reach.
+        second = F.when(gene & F.col(f"{side}1").isNotNull(), F.least(f"{side}1", reach))
+        swept = scanned(parts, ["chrom"], order, {f"{side}2": ("max", second)}, before=True).drop("__range")
+    swept = swept.filter(~gene)
 
     def pick(best: str, second: str) -> Column:
         return F.when(F.col(best)["id"] == F.col("gene_id"), F.when(F.col(second)["id"] != F.col("gene_id"), F.col(second))).otherwise(F.col(best))
