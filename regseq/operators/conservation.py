@@ -9,11 +9,13 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from regseq.functions.sequence import belief, bundle_interval, repeat_ratio, revcomp, windows
+from regseq.functions.ranks import Shares, letters, window_matches
+from regseq.functions.sequence import belief, bundle_interval, repeat_ratio
 from regseq.operators.greedy import greedy
 from regseq.operators.sweeps import islands
 
@@ -21,54 +23,92 @@ WIDTH = 60
 LOW, HIGH = 78, 100
 TOLERANCE = 20
 BELIEF = 0.05
-#: Window pairs that a task scores at once.
-STRIP = 1 << 20
+#: Window pairs that a task looks at in one strip of sequence 1.
+STRIP = 1 << 22
 
 
-def window_pair_scores(pairs: DataFrame, width: int = WIDTH, cutoff: int = 0) -> DataFrame:
-    """(pair_id, offset1, offset2, score): equal bases of every two windows of a pair's sequences,
-    of at least the cutoff.  N equals nothing.
+def _turned(seq: np.ndarray) -> np.ndarray:
+    """The reverse complement of letters."""
+    swap = np.arange(256, dtype=np.uint8)
+    for a, b in zip(b"ACGTacgtNn", b"TGCAtgcaNn", strict=True):
+        swap[a] = b
+    return swap[seq[::-1]]
+
+
+def _best_of_strands(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each window pair once, with its better score."""
+    i, j, score = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    order = np.lexsort((-score, i * size + j))
+    i, j, score = i[order], j[order], score[order]
+    new = np.ones(len(i), bool)
+    new[1:] = (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+    return i[new], j[new], score[new]
 
-    The grid of a pair is scored in strips along sequence 1, so a task never holds more than a
-    strip; a diagonal's scores are differences of its running sums.
+
+def _window_pairs(pairs: DataFrame, width: int, cutoff: int, strands: bool, repeats: bool) -> DataFrame:
+    """(pair_id, offset1, offset2, score[, repeat_ratio]) by one kernel over each pair's sequences.
+
+    A task holds one pair at a time and works on strips of its grid.
     """
+    names = ["pair_id", "offset1", "offset2", "score", *(["repeat_ratio"] if repeats else [])]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for pair, a, b in zip(batch["pair_id"], batch["seq1"], batch["seq2"], strict=True):
+            for row in range(batch.num_rows):
+                a, b, *masked = (batch.column(c)[row].as_py() for c in ("seq1", "seq2", *(("masked1", "masked2") if repeats else ())))
                 if a is None or b is None or len(a) < width or len(b) < width:
                     continue
-                x, y = (np.frombuffer(s.encode("ascii", "replace"), np.uint8) for s in (a, b))
-                rows = max(1, STRIP // len(y))
+                x, y = letters(a), letters(b)
+                shares = [Shares(m, s) for m, s in zip(masked, (a, b), strict=True)] if repeats else []
+                rows = max(64, STRIP // len(y))
                 for at in range(0, len(x) - width + 1, rows):
-                    part = x[at : at + rows + width - 1]
-                    same = (part[:, None] == y[None, :]) & (part != ord("N"))[:, None]
-                    # sums[i, j]: equal bases on the diagonal that ends at (i - 1, j - 1).
-                    sums = np.zeros((len(part) + 1, len(y) + 1), np.int32)
-                    for i in range(len(part)):
-                        sums[i + 1, 1:] = sums[i, :-1] + same[i]
-                    score = sums[width:, width:] - sums[:-width, :-width]
-                    i, j = np.nonzero(score >= cutoff)
-                    if len(i):
-                        yield pd.DataFrame({"pair_id": pair, "offset1": (i + at).astype(np.int32), "offset2": j.astype(np.int32), "score": score[i, j].astype(np.int32)})
+                    strip = x[at : at + rows + width - 1]
+                    parts = list(window_matches(strip, y, width, cutoff))
+                    if strands:
+                        parts += [(i, len(y) - j - width, score) for i, j, score in window_matches(strip, _turned(y), width, cutoff)]
+                    if not parts:
+                        continue
+                    i, j, score = _best_of_strands(parts, len(y)) if strands else (np.concatenate([p[k] for p in parts]) for k in range(3))
+                    i = i + at
+                    cols = [pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(score)]
+                    if repeats:
+                        cols.append(pa.array(np.maximum(shares[0](i, width), shares[1](j, width))))
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.column("pair_id")[row].as_py()] * len(i), pa.string()), *cols], names=names)
+
+    more = ["masked1", "masked2"] if repeats else []
+    return pairs.select("pair_id", "seq1", "seq2", *more).mapInArrow(run, "pair_id string, offset1 int, offset2 int, score int" + (", repeat_ratio double" if repeats else ""))
 
-    return pairs.select("pair_id", "seq1", "seq2").mapInPandas(run, "pair_id string, offset1 int, offset2 int, score int")
+
+def window_pair_scores(pairs: DataFrame, width: int = WIDTH, cutoff: int = 0) -> DataFrame:
+    """(pair_id, offset1, offset2, score): equal bases of every two windows of a pair's sequences,
+    of at least the cutoff.  N equals nothing.  Null sequences and those shorter than a window have none.
+    """
+    return _window_pairs(pairs, width, cutoff, False, False)
 
 
-def merge_strands(pairs: DataFrame, width: int = WIDTH, cutoff: int = 0) -> DataFrame:
-    """Scores against both strands of sequence 2, the better one of each window pair."""
-    forward = window_pair_scores(pairs, width, cutoff)
-    turned = window_pair_scores(pairs.withColumn("seq2", revcomp("seq2")), width, cutoff)
-    size = pairs.select("pair_id", F.length("seq2").alias("__n"))
-    back = turned.join(size, "pair_id").select("pair_id", "offset1", (F.col("__n") - F.col("offset2") - width).alias("offset2"), "score")
-    return forward.union(back).groupBy("pair_id", "offset1", "offset2").agg(F.max("score").alias("score"))
+def merge_strands(pairs: DataFrame, width: int = WIDTH, cutoff: int = 0, repeats: bool = False) -> DataFrame:
+    """Scores against both strands of sequence 2, the better one of each window pair; a pair_id names one pair.
+
+    With repeats, pairs have masked1 and masked2 too, and rows the larger repeat ratio of the two windows.
+    """
+    return _window_pairs(pairs, width, cutoff, True, repeats)
 
 
 def window_repeats(seqs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(gene_id, species, offset, repeat_ratio) of all windows; seqs has seq and masked_seq."""
-    pair = F.arrays_zip(windows("masked_seq", width).alias("m"), windows("seq", width).alias("u"))
-    rows = seqs.select("gene_id", "species", F.explode(pair).alias("w"))
-    return rows.select("gene_id", "species", F.col("w")["u"]["offset"].alias("offset"), repeat_ratio(F.col("w")["m"]["seq"], F.col("w")["u"]["seq"]).alias("repeat_ratio"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                seq, masked = (batch.column(c)[row].as_py() for c in ("seq", "masked_seq"))
+                at = np.arange(max(0, len(seq or "") - width + 1))
+                if len(at):
+                    own = [batch.column(c).take(pa.array(np.full(len(at), row))) for c in ("gene_id", "species")]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(at.astype(np.int32)), pa.array(Shares(masked, seq)(at, width))], names=["gene_id", "species", "offset", "repeat_ratio"])
+
+    kinds = [T.StructField(c, seqs.schema[c].dataType) for c in ("gene_id", "species")]
+    schema = T.StructType([*kinds, T.StructField("offset", T.IntegerType()), T.StructField("repeat_ratio", T.DoubleType())])
+    return seqs.select("gene_id", "species", "seq", "masked_seq").mapInArrow(run, schema)
 
 
 def _comparison(df: DataFrame) -> list[str]:
@@ -76,19 +116,22 @@ def _comparison(df: DataFrame) -> list[str]:
     return [c for c in ("species", "partner") if c in df.columns]
 
 
-def score_pairs(pairs: DataFrame, repeats1: DataFrame, repeats2: DataFrame, width: int = WIDTH, low: int = LOW, high: int = HIGH) -> DataFrame:
+def score_pairs(pairs: DataFrame, repeats1: DataFrame | None = None, repeats2: DataFrame | None = None, width: int = WIDTH, low: int = LOW, high: int = HIGH) -> DataFrame:
     """Window pairs with their belief and integrated score, where belief is above 0.
 
-    pairs: (gene_id, species[, partner], offset1, offset2, score); repeats1: (gene_id, offset,
-    repeat_ratio), repeats2: (partner, offset, repeat_ratio), or (gene_id, species, offset,
-    repeat_ratio) without partners.  The larger ratio of the two windows counts.
+    pairs: (gene_id, species[, partner], offset1, offset2, score), with repeat_ratio if the
+    kernel that scored them knew it; else repeats1: (gene_id, offset, repeat_ratio), repeats2:
+    (partner, offset, repeat_ratio), or (gene_id, species, offset, repeat_ratio) without
+    partners, and the larger ratio of the two windows counts.
     """
     who = _comparison(pairs)
-    theirs = ["partner"] if "partner" in repeats2.columns else ["gene_id", "species"]
-    one = repeats1.select("gene_id", F.col("offset").alias("offset1"), F.col("repeat_ratio").alias("__r1"))
-    two = repeats2.select(*theirs, F.col("offset").alias("offset2"), F.col("repeat_ratio").alias("__r2"))
-    rows = pairs.join(one, ["gene_id", "offset1"], "left").join(two, [*theirs, "offset2"], "left")
-    rows = rows.withColumn("repeat_ratio", F.greatest(F.coalesce("__r1", F.lit(0.0)), F.coalesce("__r2", F.lit(0.0))))
+    rows = pairs
+    if "repeat_ratio" not in pairs.columns:
+        theirs = ["partner"] if "partner" in repeats2.columns else ["gene_id", "species"]
+        one = repeats1.select("gene_id", F.col("offset").alias("offset1"), F.col("repeat_ratio").alias("__r1"))
+        two = repeats2.select(*theirs, F.col("offset").alias("offset2"), F.col("repeat_ratio").alias("__r2"))
+        rows = pairs.join(one, ["gene_id", "offset1"], "left").join(two, [*theirs, "offset2"], "left")
+        rows = rows.withColumn("repeat_ratio", F.greatest(F.coalesce("__r1", F.lit(0.0)), F.coalesce("__r2", F.lit(0.0))))
     b, integrate = belief(100.0 * F.col("score") / width, "repeat_ratio", low, high)
     return rows.withColumns({"belief": b, "integrate": integrate}).filter("belief > 0").select("gene_id", *who, "offset1", "offset2", "score", "repeat_ratio", "belief", "integrate")
 
@@ -146,7 +189,7 @@ def centre_elements(combined: DataFrame, bundles: DataFrame, width: int = WIDTH)
 
 def bundle_conservation(elements: DataFrame, species_order: DataFrame) -> DataFrame:
     """(gene_id, bundle_id, conservation, max_all): the best of the first species that has elements, and of all."""
-    rows = elements.join(F.broadcast(species_order), "species")
+    rows = elements.join(species_order, "species")
     first = F.min("species_idx").over(Window.partitionBy("gene_id", "bundle_id"))
     return rows.withColumn("__f", first).groupBy("gene_id", "bundle_id").agg(F.max(F.when(F.col("species_idx") == F.col("__f"), F.col("conservation"))).alias("conservation"), F.max("conservation").alias("max_all"))
 

@@ -78,9 +78,7 @@ def greedy(df: DataFrame, by: list[str], order: list[Column], parts: list[tuple[
     keys, places = [f"__k{i}" for i in range(len(by))], [f"__p{i}" for i in range(len(parts))]
     known = df.dropna(subset=[c for c, _ in parts] + by)
     place = F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)), *(F.col(c).alias(f"p{i}") for i, (c, _) in enumerate(parts)))
-    # Rows of one place overlap, so only the best of them counts: a block has no more rows than places.
-    rows = known.groupBy(*(F.col(k).alias(n) for k, n in zip(by, keys, strict=True)), *(F.col(c).cast("long").alias(n) for (c, _), n in zip(parts, places, strict=True)))
-    rows = rows.agg(F.min(place).alias("__o"), F.min_by(F.struct(*df.columns), place).alias("__row"))
+    rows = known.select(*(F.col(k).alias(n) for k, n in zip(by, keys, strict=True)), *(F.col(c).cast("long").alias(n) for (c, _), n in zip(parts, places, strict=True)), place.alias("__o"), F.struct(*df.columns).alias("__row"))
     lo = F.least(*places) if len(parts) > 1 else F.col("__p0")
     ends = [F.col(p) + w for p, w in zip(places, widths, strict=True)]
     hi = F.greatest(*ends) if len(parts) > 1 else ends[0]

@@ -34,11 +34,13 @@ def conserved_regions(seqs: DataFrame, orthologs: DataFrame, width: int = c.WIDT
     large = pairs.filter("not ok").select("pair_id").limit(5).collect()
     if large:
         raise ValueError(f"pairs beyond the size limit: {[r[0] for r in large]}")
-    # Scores are shares of the width; below the lower threshold a pair has no belief.
-    cutoff = int(low * width / 100)
-    keyed = c.merge_strands(pairs, width, cutoff).join(pairs.select("pair_id", "gene_id", "species", "partner"), "pair_id")
-    repeats = c.window_repeats(clean, width).select("gene_id", "offset", "repeat_ratio")
-    scored = c.score_pairs(keyed, repeats, repeats.withColumnRenamed("gene_id", "partner"), width, low, high)
+    # Repeats only lower a score, and one whose whole percentage is not above the lower threshold has no belief.
+    cutoff = -(-(low + 1) * width // 100)
+    masks = clean.select("gene_id", "masked_seq")
+    both = pairs.join(masks.withColumnRenamed("masked_seq", "masked1"), "gene_id").join(masks.toDF("partner", "masked2"), "partner")
+    names = pairs.select("pair_id", "gene_id", "species", "partner")
+    keyed = c.merge_strands(both, width, cutoff, repeats=True).join(names, "pair_id")
+    scored = c.score_pairs(keyed, width=width, low=low, high=high)
     # Every later step reads this; it is written once.
     thinned = _cut(c.thin_partners(scored, width))
     combined = _cut(c.combine_belief(thinned, least))
