@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,20 +38,38 @@ def merge_networks(nodes1: DataFrame, edges1: DataFrame, nodes2: DataFrame, edge
     return nodes, edges
 
 
+def _kept_by(df: DataFrame, key: str) -> DataFrame:
+    """df written once in partitions of its key, which joins on the key then use as they are."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _cut(df.repartition(parts, key))
+
+
+def _walk(seeds: DataFrame, step: Callable[[DataFrame], DataFrame], depth: int | None = None) -> DataFrame:
+    """(id, level) of all that steps lead to from the seeds, up to `depth` levels or until nothing is new.
+
+    step gives the ids (id) next to a frontier (id).  A round writes its frontier only; the
+    frontiers so far are joined into one table every few rounds, so that plans stay short.
+    """
+    frontier = _cut(seeds.select("id").distinct().withColumn("level", F.lit(0)))
+    seen, level = frontier, 0
+    while depth is None or level < depth:
+        level += 1
+        found = step(frontier.select("id")).distinct().join(seen, "id", "left_anti")
+        frontier = _cut(found.select("id", F.lit(level).alias("level")))
+        if frontier.isEmpty():
+            break
+        seen = seen.union(frontier)
+        if level % 8 == 0:
+            seen = _kept_by(seen, "id")
+    return seen
+
+
 def candidate_network(seeds: DataFrame, hits: DataFrame, n: int, depth: int) -> DataFrame:
     """(src, dst, level): best n hits from the seeds on, `depth` levels far; each node is followed once."""
     rank = F.row_number().over(Window.partitionBy("query").orderBy("significance", "target"))
-    best = hits.withColumn("__r", rank).filter(F.col("__r") <= n).select(F.col("query").alias("src"), F.col("target").alias("dst"))
-    seen = seeds.select("id").distinct()
-    frontier, edges = seen, None
-    for level in range(1, depth + 1):
-        step = _cut(frontier.withColumnRenamed("id", "src").join(best, "src").withColumn("level", F.lit(level)))
-        edges = step if edges is None else edges.union(step)
-        frontier = _cut(step.select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti"))
-        if frontier.isEmpty():
-            break
-        seen = _cut(seen.union(frontier))
-    return edges if edges is not None else best.limit(0).withColumn("level", F.lit(0))
+    best = _kept_by(hits.withColumn("__r", rank).filter(F.col("__r") <= n).select(F.col("query").alias("src"), F.col("target").alias("dst")), "src")
+    reached = _walk(seeds, lambda f: best.join(f.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")), depth - 1)
+    return best.join(reached.select(F.col("id").alias("src"), (F.col("level") + 1).alias("level")), "src").filter(F.col("level") <= depth).select("src", "dst", "level")
 
 
 def clean_orthology(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -63,22 +82,19 @@ def clean_orthology(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, Data
     return nodes.join(kept, "id", "left_semi"), inner.union(near.select(F.col("id").alias("src"), F.col("near").alias("dst"), F.lit(False).alias("bidir"))).distinct()
 
 
-def synteny_closure(seeds: DataFrame, region_genes: DataFrame, orthologs: DataFrame, rounds: int = 50) -> DataFrame:
+def synteny_closure(seeds: DataFrame, region_genes: DataFrame, orthologs: DataFrame) -> DataFrame:
     """(id, level): genes reached from the seeds by going to all genes of a gene's region and on to
-    their orthologs, until nothing is new."""
-    beside = region_genes.select(F.col("gene_id").alias("id"), "region_id")
-    members = region_genes.select("region_id", F.col("gene_id").alias("near"))
-    there = orthologs.select(F.col("a").alias("near"), F.col("b").alias("id")).union(orthologs.select(F.col("b").alias("near"), F.col("a").alias("id")))
-    seen = _cut(seeds.select("id").distinct().withColumn("level", F.lit(0)))
-    frontier = seen
-    for level in range(1, rounds + 1):
-        near = frontier.join(beside, "id").join(members, "region_id").select("near").distinct()
-        found = near.select(F.col("near").alias("id")).union(near.join(there, "near").select("id")).distinct()
-        frontier = _cut(found.join(seen, "id", "left_anti").withColumn("level", F.lit(level)))
-        if frontier.isEmpty():
-            return seen
-        seen = _cut(seen.union(frontier))
-    raise RuntimeError("synteny_closure: not settled")
+    their orthologs, until nothing is new, however many hops that takes."""
+    beside = _kept_by(region_genes.select(F.col("gene_id").alias("id"), "region_id").distinct(), "id")
+    members = _kept_by(region_genes.select("region_id", F.col("gene_id").alias("near")).distinct(), "region_id")
+    there = _kept_by(orthologs.select(F.col("a").alias("near"), F.col("b").alias("id")).union(orthologs.select(F.col("b").alias("near"), F.col("a").alias("id"))).distinct(), "near")
+
+    def step(frontier: DataFrame) -> DataFrame:
+        regions = beside.join(frontier, "id", "left_semi").select("region_id").distinct()
+        near = members.join(regions, "region_id", "left_semi").select("near").distinct()
+        return near.select(F.col("near").alias("id")).union(there.join(near, "near", "left_semi").select("id"))
+
+    return _walk(seeds, step)
 
 
 def add_orthologs(nodes: DataFrame, edges: DataFrame, orthologs: DataFrame, species: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,58 +79,101 @@ def compact(freq: DataFrame) -> DataFrame:
     return rows.groupBy("motif_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "f"))), lambda x: x["f"]).alias("m"))
 
 
-def _kl_both(x: Column, y: Column) -> Column:
-    """Mean of both directions of one position."""
-    safe = lambda v: F.when(v > 0, v).otherwise(F.lit(TINY))
-    return F.aggregate(F.zip_with(x, y, lambda a, b: (safe(a) - safe(b)) * (F.log2(safe(a)) - F.log2(safe(b))) / 2), F.lit(0.0), lambda s, v: s + v)
+def _least_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of motifs x (i, n, 4) and y (j, m, 4) the least distance over all shifts that let them share a position.
 
-
-def _shifted(a: Column, b: Column, pad: Column) -> Column:
-    """Least distance over all shifts that let the motifs share a position."""
-    n, m = F.size(a), F.size(b)
-    at = lambda v, i: F.when((i >= 0) & (i < F.size(v)), F.get(v, i)).otherwise(pad)
-    total = lambda s: F.aggregate(F.sequence(F.least(F.lit(0), s), F.greatest(n, m + s) - 1), F.lit(0.0), lambda acc, i: acc + _kl_both(at(a, i), at(b, i - s)))
-    return F.array_min(F.transform(F.sequence(1 - m, n - 1), total))
+    A position pair costs half of p log p + q log q - p log q - q log p; the mixed terms of all
+    pairs come from two matrix products, and a shift's are a diagonal of them.  Positions that
+    overhang cost what they cost against OVERHANG.
+    """
+    pad = np.array([OVERHANG[b] for b in BASES])
+
+    def parts(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        v = np.where(v > 0, v, TINY)
+        log = np.log2(v)
+        sums = lambda a: np.concatenate([np.zeros((len(a), 1)), np.cumsum(a, axis=1)], axis=1)
+        return v, log, sums((v * log).sum(axis=2) / 2), sums(((v - pad) * (log - np.log2(pad))).sum(axis=2) / 2)
+
+    (p, lp, hp, op), (q, lq, hq, oq) = parts(x), parts(y)
+    (i, n, _), (j, m, _) = x.shape, y.shape
+    mixed = (p.reshape(-1, 4) @ lq.reshape(-1, 4).T + lp.reshape(-1, 4) @ q.reshape(-1, 4).T).reshape(i, n, j, m) / 2
+    best = np.full((i, j), np.inf)
+    for s in range(1 - m, n):
+        # Positions lo to hi of x lie over positions lo - s to hi - s of y.
+        lo, hi = max(0, s), min(n, m + s)
+        k = np.arange(lo, hi)
+        # The two index arrays bring the shared positions to the front.
+        shared = mixed[:, k, :, k - s].sum(axis=0)
+        own = (hp[:, hi] - hp[:, lo] + op[:, lo] + op[:, n] - op[:, hi])[:, None]
+        other = (hq[:, hi - s] - hq[:, lo - s] + oq[:, lo - s] + oq[:, m] - oq[:, hi - s])[None, :]
+        np.minimum(best, own + other - shared, out=best)
+    return best
+
+
+#: Motifs of a block of the grid of pairs, about.
+GRID = 128
 
 
 def motif_distances(freq: DataFrame, turned: bool = True) -> DataFrame:
     """(a, b, distance) of every two motifs, a < b: the least over shifts, and over b's reverse complement,
     of the mean of both Kullback-Leibler directions, overhanging positions against OVERHANG.
 
-    Motif lists are short (hundreds) and every pair is a row of the result.
+    Every pair is a row of the result.  Motifs are dealt into blocks of about GRID; each block
+    pair is one group, whose motifs meet in matrix products, and no pair is made by a join.
     """
-    one = compact(freq)
-    pad = F.array(*(F.lit(OVERHANG[b]) for b in BASES))
-    x, y = one.select(F.col("motif_id").alias("a"), F.col("m").alias("__x")), one.select(F.col("motif_id").alias("b"), F.col("m").alias("__y"))
-    rows = x.join(y, F.col("a") < F.col("b"))
-    d = _shifted(F.col("__x"), F.col("__y"), pad)
-    if turned:
-        back = F.transform(F.reverse("__y"), lambda p: F.reverse(p))
-        d = F.least(d, _shifted(F.col("__x"), back, pad))
-    return rows.select("a", "b", d.alias("distance"))
-
-
-def cluster_motifs(distances: DataFrame, threshold: float, rounds: int = 100) -> DataFrame:
+    one = compact(freq).filter("motif_id is not null")
+    blocks = -(-one.count() // GRID) or 1
+    own = F.pmod(F.xxhash64("motif_id"), F.lit(blocks)).cast("int")
+    dealt = one.withColumn("__own", own).withColumn("__o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select("motif_id", "m", "__own", F.least("__own", "__o").alias("__i"), F.greatest("__own", "__o").alias("__j"))
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        values = [np.array([list(row) for row in m], float) for m in group["m"]]
+        ids, side = group["motif_id"].tolist(), (group["__own"] == group["__i"]).to_numpy()
+        alone = group["__i"].iloc[0] == group["__j"].iloc[0]
+        size = np.array([len(v) for v in values])
+        left, right = np.flatnonzero(side), np.arange(len(ids)) if alone else np.flatnonzero(~side)
+        found = []
+        for n in np.unique(size[left]):
+            for k in np.unique(size[right]):
+                a, b = left[size[left] == n], right[size[right] == k]
+                x, y = np.stack([values[t] for t in a]), np.stack([values[t] for t in b])
+                d = _least_distances(x, y)
+                if turned:
+                    d = np.minimum(d, _least_distances(x, y[:, ::-1, ::-1]))
+                r, c = np.nonzero(a[:, None] < b[None, :]) if alone else np.indices(d.shape).reshape(2, -1)
+                found += zip([ids[t] for t in a[r]], [ids[t] for t in b[c]], d[r, c].tolist(), strict=True)
+        return pd.DataFrame(found, columns=["a", "b", "distance"])
+
+    kind = freq.schema["motif_id"].dataType.simpleString()
+    rows = dealt.groupBy("__i", "__j").applyInPandas(meet, f"a {kind}, b {kind}, distance double")
+    return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")
+
+
+def cluster_motifs(distances: DataFrame, threshold: float) -> DataFrame:
     """(motif_id, cluster_id) by average linkage up to the threshold; a cluster is named by its least motif.
 
-    Each round merges all pairs of clusters that are each other's nearest; average linkage is
-    reducible, so this gives the clusters of one merge at a time.
+    A table holds, for every two clusters, the sum of their motifs' distances and their number.
+    Each round merges all pairs of clusters that are each other's nearest (average linkage is
+    reducible, so this gives the clusters of one merge at a time), and adds up the rows of
+    merged clusters only; the others stay as they are.  There are as many rounds as it takes.
     """
     sym = distances.select("a", "b", "distance").union(distances.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
-    sym = _cut(sym)
-    now = _cut(sym.select(F.col("a").alias("motif_id")).distinct().withColumn("cluster_id", F.col("motif_id")))
-    for _ in range(rounds):
-        named = sym.join(now.select(F.col("motif_id").alias("a"), F.col("cluster_id").alias("ca")), "a").join(now.select(F.col("motif_id").alias("b"), F.col("cluster_id").alias("cb")), "b")
-        mean = named.filter("ca <> cb").groupBy("ca", "cb").agg(F.avg("distance").alias("d"))
+    pairs = _cut(sym.select("a", "b", F.col("distance").alias("s"), F.lit(1).cast("long").alias("w")))
+    now = _cut(pairs.select(F.col("a").alias("motif_id")).distinct().withColumn("cluster_id", F.col("motif_id")))
+    while True:
         # Both directions of a pair see one rounded value, so that nearest is mutual.
-        key = F.struct(F.round("d", 9).alias("d"), F.least("ca", "cb").alias("l"), F.greatest("ca", "cb").alias("h"))
-        near = mean.groupBy("ca").agg(F.min(key).alias("k")).filter(F.col("k.d") <= threshold)
-        both = near.groupBy("k.l", "k.h").count().filter("count = 2").select(F.col("h").alias("cluster_id"), F.col("l").alias("__to"))
-        both = _cut(both)
-        if both.isEmpty():
+        key = F.struct(F.round(F.col("s") / F.col("w"), 9).alias("d"), F.least("a", "b").alias("l"), F.greatest("a", "b").alias("h"))
+        near = pairs.groupBy("a").agg(F.min(key).alias("k")).filter(F.col("k.d") <= threshold)
+        merged = _cut(near.groupBy("k.l", "k.h").count().filter("count = 2").select("l", "h"))
+        if merged.isEmpty():
             return now
-        now = _cut(now.join(both, "cluster_id", "left").select("motif_id", F.coalesce("__to", "cluster_id").alias("cluster_id")))
-    raise RuntimeError("cluster_motifs: not settled")
+        new = merged.select(F.explode(F.array("l", "h")).alias("old"), F.col("l").alias("new"))
+        named = pairs.join(new.toDF("a", "na"), "a", "left").join(new.toDF("b", "nb"), "b", "left")
+        still = named.filter("na is null and nb is null").select("a", "b", "s", "w")
+        moved = named.filter("na is not null or nb is not null").select(F.coalesce("na", "a").alias("a"), F.coalesce("nb", "b").alias("b"), "s", "w").filter("a <> b")
+        pairs = _cut(still.union(moved.groupBy("a", "b").agg(F.sum("s").alias("s"), F.sum("w").alias("w"))))
+        now = _cut(now.join(new.toDF("cluster_id", "to"), "cluster_id", "left").select("motif_id", F.coalesce("to", "cluster_id").alias("cluster_id")))
 
 
 def representatives(clusters: DataFrame, freq: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from regseq.functions.sequence import count_n
 from regseq.operators import scan
 from regseq.operators.greedy import greedy
+from regseq.operators.scan import prefix_scan
 
 
 def ordered_sites(scores: DataFrame) -> DataFrame:
@@ -70,27 +71,49 @@ def sample_ids(df: DataFrame, n: int, seed: int, key: str = "id") -> DataFrame:
     return df.orderBy(_hash(seed, key), key).limit(n)
 
 
-def random_intervals(lengths: DataFrame, seqs: DataFrame, tries: int, max_n: float, seed: int) -> DataFrame:
-    """For each (id, length) an interval of that length on seqs (id, seq), where N makes up at most max_n of it.
+#: Bases between two running counts of hidden bases.
+TILE = 1 << 10
 
-    `tries` candidates are drawn by hash over the sequences' joined lengths; the first that is
-    wholly inside a sequence and clear enough counts.  seqs' lengths are summed in id order.
+
+def _hidden_before(seqs: DataFrame, columns: list[str]) -> DataFrame:
+    """(chrom, t, piece of each column, __n0, ...): tiles of each sequence with the hidden bases before them."""
+    starts = F.sequence(F.lit(0), F.greatest(F.length("seq") - 1, F.lit(0)), F.lit(TILE))
+    # Tiles are cut from bytes, where a slice costs its own width.
+    whole = F.struct(*(F.col(c).cast("binary").alias(c) for c in columns))
+    cut = lambda w: F.transform(starts, lambda i: F.struct((i / TILE).cast("long").alias("t"), *(w[c].substr(i + 1, F.lit(TILE)).cast("string").alias(c) for c in columns)))
+    tiles = seqs.select(F.col("id").alias("chrom"), F.inline(F.get(F.transform(F.array(whole), cut), 0)))
+    return prefix_scan(tiles, ["chrom"], ["t"], {f"__n{i}": ("sum", count_n(c).cast("long")) for i, c in enumerate(columns)}, before=True)
+
+
+def random_intervals(lengths: DataFrame, seqs: DataFrame, tries: int, max_n: float, seed: int, max_rep: float | None = None) -> DataFrame:
+    """For each (id, length) an interval of that length on seqs (id, seq[, masked_seq]), where N makes up
+    at most max_n of it and, if max_rep is given, at most that percentage is hidden by masked_seq alone.
+
+    `tries` candidates are drawn by hash over the sequences' joined lengths in id order; the
+    first that is wholly inside a sequence and clear enough counts, and an id with none has no
+    row.  Running lengths and the search for each draw's sequence go by ranges, and the bases
+    hidden in an interval are two lookups of running counts: no task holds all sequences, and no
+    sequence is copied for each draw.  A masked sequence that is null hides nothing.
     """
-    sized = seqs.select(F.col("id").alias("chrom"), F.length("seq").cast("long").alias("size"))
-    ends = sized.withColumn("to", F.sum("size").over(Window.partitionBy(F.lit(0)).orderBy("chrom")))
-    ends = ends.withColumn("from", F.col("to") - F.col("size"))
+    sized = seqs.select(F.col("id").alias("chrom"), F.length("seq").cast("long").alias("size")).filter("size > 0")
+    ends = prefix_scan(sized, [], ["chrom"], {"at": ("sum", F.col("size"))}, before=True).withColumn("at", F.coalesce("at", F.lit(0)))
     total = seqs.agg(F.sum(F.length("seq"))).first()[0] or 0
     drawn = lengths.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(tries))))
     at = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"), F.col("k").cast("string"))), 1, 12), 16, 10).cast("long") % max(total, 1)
-    # An as-of pick: each draw takes the sequence that its place falls in.
-    marks = ends.select(F.col("from").alias("at"), F.lit(0).alias("o"), "chrom", "from", "size", F.lit(None).cast(lengths.schema["id"].dataType).alias("id"), F.lit(None).cast("int").alias("length"), F.lit(None).cast("int").alias("k"))
-    draws = drawn.select(at.alias("at"), F.lit(1).alias("o"), F.lit(None).cast("string").alias("chrom"), F.lit(None).cast("long").alias("from"), F.lit(None).cast("long").alias("size"), "id", F.col("length").cast("int").alias("length"), "k")
-    spread = Window.partitionBy(F.lit(0)).orderBy("at", "o").rowsBetween(Window.unboundedPreceding, 0)
-    both = marks.union(draws)
-    both = both.withColumns({c: F.last(c, ignorenulls=True).over(spread) for c in ("chrom", "from", "size")}).filter("o = 1")
-    inside = both.withColumn("lo", F.col("at") - F.col("from")).withColumn("hi", F.col("lo") + F.col("length")).filter("hi <= size")
-    text = inside.join(seqs.select(F.col("id").alias("chrom"), "seq"), "chrom").withColumn("piece", F.col("seq").substr((F.col("lo") + 1).cast("int"), F.col("length")))
-    good = text.filter(count_n("piece") <= max_n * F.col("length"))
+    marks = ends.select("at", F.lit(0).alias("o"), F.struct("at", "chrom", "size").alias("m"), F.lit(None).cast(lengths.schema["id"].dataType).alias("id"), F.lit(None).cast("int").alias("length"), F.lit(None).cast("int").alias("k"))
+    draws = drawn.select(at.alias("at"), F.lit(1).alias("o"), F.lit(None).cast(marks.schema["m"].dataType).alias("m"), "id", F.col("length").cast("int").alias("length"), "k")
+    # The last mark up to a draw is the sequence that it falls in.
+    found = prefix_scan(marks.union(draws), [], ["at", "o"], {"in": ("max", F.col("m"))}).filter("o = 1 and in is not null")
+    inside = found.select("id", "k", "length", "in.chrom", F.col("in.size").alias("size"), (F.col("at") - F.col("in.at")).alias("lo")).withColumn("hi", F.col("lo") + F.col("length")).filter("hi <= size and length > 0")
+    columns = ["seq"] + (["masked_seq"] if max_rep is not None else [])
+    tiles = _hidden_before(seqs.withColumn("masked_seq", F.coalesce("masked_seq", "seq")) if max_rep is not None else seqs, columns)
+    side = lambda x, sign: F.struct(F.floor(x / TILE).cast("long").alias("t"), (x % TILE + (1 if sign > 0 else 0)).cast("int").alias("rest"), F.lit(sign).alias("sign"))
+    looked = inside.withColumn("x", F.explode(F.array(side(F.col("lo"), -1), side(F.col("hi") - 1, 1)))).select("*", "x.*").join(tiles, ["chrom", "t"])
+    upto = lambda i, c: F.sum(F.col("sign") * (F.coalesce(f"__n{i}", F.lit(0)) + count_n(F.col(c).substr(F.lit(1), F.col("rest"))))).alias(f"n{i}")
+    shares = looked.groupBy("id", "k", "length", "chrom", "lo", "hi").agg(*(upto(i, c) for i, c in enumerate(columns)))
+    good = shares.filter(F.col("n0") <= max_n * F.col("length"))
+    if max_rep is not None:
+        good = good.filter(100.0 * (F.col("n1") - F.col("n0")) <= max_rep * F.col("length"))
     return good.groupBy("id").agg(F.min(F.struct("k", "chrom", "lo", "hi")).alias("b")).select("id", "b.chrom", "b.lo", "b.hi")
 
 

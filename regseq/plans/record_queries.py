@@ -309,6 +309,12 @@ def random_intervals(spark, d):
     return topk.random_intervals(lengths, b.seqs(spark, d), 4, 0.08, 3)
 
 
+def random_clear_intervals(spark, d):
+    """As random_intervals, but where at most a tenth is hidden by repeats (runs of AC and CA)."""
+    lengths = b.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 90 + 20).cast("int").alias("length"))
+    return topk.random_intervals(lengths, b.seqs(spark, d).withColumn("masked_seq", F.regexp_replace("seq", "ACA", "NNN")), 4, 0.08, 3, max_rep=10.0)
+
+
 def distinct_ids(spark, d):
     return sets.distinct_ids(b.hits(spark, d).select(F.col("query").alias("id")))
 
@@ -473,6 +479,7 @@ QUERIES = {
     "top4_top_pair_sites": (top_pair_sites, (with_views("iv") + ", si AS (SELECT chrom AS seq_id, strand, (lo % 2000)::INT AS pos_a, (lo % 2000 + 10 + n % 50)::INT AS pos_b, ((n * 7919) % 9973 + 1) / 10000.0::DOUBLE AS score FROM iv)").replace("WITH ", "WITH RECURSIVE ", 1) + ", od AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY score, pos_a, pos_b, strand) AS r FROM si), gr AS (SELECT seq_id, 0::BIGINT AS r, []::INT[] AS taken, false AS took FROM od GROUP BY 1 UNION ALL SELECT seq_id, r, CASE WHEN t THEN taken || [pos_a, pos_b] ELSE taken END, t FROM (SELECT gr.taken, od.*, len(list_filter(gr.taken, lambda x: abs(x - od.pos_a) < 8 OR abs(x - od.pos_b) < 8)) = 0 AND len(gr.taken) < 24 AS t FROM gr JOIN od ON od.seq_id = gr.seq_id AND od.r = gr.r + 1)) SELECT seq_id, row_number() OVER (PARTITION BY seq_id ORDER BY r)::INT AS rank, pos_a, pos_b, strand, score FROM gr JOIN od USING (seq_id, r) WHERE took"),
     "top8_first_and_last": (first_and_last, with_views("iv") + ", z AS (SELECT id, n, md5(id) AS k FROM iv) (SELECT * FROM z ORDER BY k LIMIT 25) UNION ALL (SELECT * FROM z ORDER BY k DESC LIMIT 25)"),
     "top10_random_intervals": (random_intervals, with_views("seqs") + ", e AS (SELECT id AS chrom, seq, length(seq) AS size, sum(length(seq)) OVER (ORDER BY id) AS t FROM seqs), l AS (SELECT c_custkey AS id, (c_custkey % 90 + 20)::INT AS length FROM customer), dr AS (SELECT *, ('0x' || substring(md5('3:' || id || ':' || k), 1, 12))::BIGINT % (SELECT sum(length(seq)) FROM seqs) AS spot FROM (SELECT *, unnest([1, 2, 3, 4]) AS k FROM l)), p AS (SELECT id, k, chrom, spot - (t - size) AS lo, spot - (t - size) + length AS hi, substring(seq, (spot - (t - size))::INT + 1, length) AS piece, length FROM dr JOIN e ON spot >= t - size AND spot < t WHERE spot - (t - size) + length <= size) SELECT id, chrom, lo::BIGINT AS lo, hi::BIGINT AS hi FROM p WHERE length(piece) - length(replace(piece, 'N', '')) <= 0.08 * length QUALIFY row_number() OVER (PARTITION BY id ORDER BY k) = 1"),
+    "top10_random_clear_intervals": (random_clear_intervals, with_views("seqs") + ", e AS (SELECT id AS chrom, seq, length(seq) AS size, sum(length(seq)) OVER (ORDER BY id) AS t FROM seqs), l AS (SELECT c_custkey AS id, (c_custkey % 90 + 20)::INT AS length FROM customer), dr AS (SELECT *, ('0x' || substring(md5('3:' || id || ':' || k), 1, 12))::BIGINT % (SELECT sum(length(seq)) FROM seqs) AS spot FROM (SELECT *, unnest([1, 2, 3, 4]) AS k FROM l)), p AS (SELECT id, k, chrom, spot - (t - size) AS lo, spot - (t - size) + length AS hi, substring(seq, (spot - (t - size))::INT + 1, length) AS piece, substring(replace(seq, 'ACA', 'NNN'), (spot - (t - size))::INT + 1, length) AS pm, length FROM dr JOIN e ON spot >= t - size AND spot < t WHERE spot - (t - size) + length <= size) SELECT id, chrom, lo::BIGINT AS lo, hi::BIGINT AS hi FROM p WHERE length(piece) - length(replace(piece, 'N', '')) <= 0.08 * length AND 100.0 * (length(pm) - length(replace(pm, 'N', '')) - length(piece) + length(replace(piece, 'N', ''))) <= 10 * length QUALIFY row_number() OVER (PARTITION BY id ORDER BY k) = 1"),
     "set1_distinct_ids": (distinct_ids, with_views("hits") + " SELECT DISTINCT query AS id FROM hits"),
     "set3_ids_overlap": (ids_overlap, with_views("hits") + " SELECT EXISTS (SELECT 1 FROM hits a JOIN hits b ON a.query = b.target WHERE a.query_db = 'part') AS same_kind, EXISTS (SELECT 1 FROM hits a JOIN hits b ON a.query = b.query WHERE a.query_db = 'part' AND b.query_db = 'supplier') AS other_kind"),
     "set4_subset_by_flag": (subset_by_flag, with_views("edges") + " SELECT src, dst, weight FROM (SELECT DISTINCT * FROM edges) WHERE bidir"),
