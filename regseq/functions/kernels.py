@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of sequence that a kernel works on at once; a longer sequence is a portion of its own.
@@ -47,32 +48,78 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * width, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
-def distinct_kmers(seqs: DataFrame, k: int) -> DataFrame:
-    """(id, n, kmer) of seqs (id, seq): each k-mer of a sequence once, as bytes, beside their number."""
+#: Bits of a table that k-mers are looked up in before they leave a task.
+SLOT_BITS = 25
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit values that spreads them (the splitmix64 finaliser)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _kmer_words(data: np.ndarray, at: np.ndarray, k: int) -> list[np.ndarray]:
+    """Words of eight bytes, the last one overlapping, that tell the windows apart."""
+    # The word that begins at each byte, for all bytes at once.
+    size = min(k, 8)
+    whole = np.zeros(max(len(data) - size + 1, 0), np.uint64)
+    for j in range(size):
+        whole = whole << np.uint64(8) | data[j : j + len(whole)]
+    return [whole[at + first] for first in dict.fromkeys([*range(0, max(k - 7, 1), 8), max(k - 8, 0)])]
+
+
+def _slots(words: list[np.ndarray]) -> np.ndarray:
+    h = np.zeros(len(words[0]), np.uint64)
+    for w in words:
+        h = _mixed(h ^ w)
+    return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def kmer_table(kmers: DataFrame) -> np.ndarray:
+    """One bit for each slot of the k-mers (slot): 2 to the SLOT_BITS bits, whatever their number."""
+    place = F.col("slot") + 1
+    maps = kmers.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    table = np.zeros(1 << SLOT_BITS - 3, np.uint8)
+    for r in maps.collect():
+        bits = np.frombuffer(r["bits"], np.uint8)
+        at = (r["bucket"] - 1) * len(bits)
+        table[at : at + len(bits)] |= bits
+    return table
+
+
+def distinct_kmers(seqs: DataFrame, k: int, table: np.ndarray | None = None, slots: bool = False) -> DataFrame:
+    """(id, n, kmer[, slot]) of seqs (id, seq): each k-mer of a sequence once, as bytes, beside their number.
+
+    With a table (see kmer_table) only k-mers whose slot it holds leave the task, some of them
+    by chance; n counts all of the sequence.
+    """
+    shared = seqs.sparkSession.sparkContext.broadcast(table) if table is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, bounds in portions(batches):
             at, of = _starts(bounds, k)
             if not len(at):
                 continue
-            # Words of eight bytes, the last one overlapping, tell windows apart.
-            words = []
-            for first in dict.fromkeys([*range(0, max(k - 7, 1), 8), max(k - 8, 0)]):
-                word = np.zeros(len(at), np.uint64)
-                for j in range(first, min(first + 8, k)):
-                    word = word << np.uint64(8) | data[at + j]
-                words.append(word)
+            words = _kmer_words(data, at, k)
             order = np.lexsort((*words, of))
             new = np.zeros(len(at), bool)
             new[0] = True
             for key in (of, *words):
                 key = key[order]
                 new[1:] |= key[1:] != key[:-1]
-            at, of = at[order[new]], of[order[new]]
+            first = order[new]
+            at, of, words = at[first], of[first], [w[first] for w in words]
             n = np.bincount(of, minlength=rows.num_rows)
-            yield pa.RecordBatch.from_arrays([rows.column("id").take(pa.array(of)), pa.array(n[of]), _binary(data[at[:, None] + np.arange(k)])], names=["id", "n", "kmer"])
-
-    return seqs.select("id", "seq").mapInArrow(run, T.StructType([T.StructField("id", seqs.schema["id"].dataType), T.StructField("n", T.LongType()), T.StructField("kmer", T.BinaryType())]))
+            slot = _slots(words) if slots or shared is not None else None
+            if shared is not None:
+                hit = shared.value[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 > 0
+                at, of, slot = at[hit], of[hit], slot[hit]
+            cols = [rows.column("id").take(pa.array(of)), pa.array(n[of]), _binary(data[at[:, None] + np.arange(k)])]
+            yield pa.RecordBatch.from_arrays([*cols, *([pa.array(slot)] if slots else [])], names=["id", "n", "kmer", *(["slot"] if slots else [])])
+
+    fields = [T.StructField("id", seqs.schema["id"].dataType), T.StructField("n", T.LongType()), T.StructField("kmer", T.BinaryType())]
+    return seqs.select("id", "seq").mapInArrow(run, T.StructType(fields + ([T.StructField("slot", T.LongType())] if slots else [])))
 
 
 def gram_counts(seqs: DataFrame, width: int) -> DataFrame:

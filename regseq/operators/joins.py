@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from regseq.functions.kernels import distinct_kmers
+from regseq.functions.kernels import distinct_kmers, kmer_table
 from regseq.functions.sequence import revcomp
+from regseq.operators.graph import _cut
 
 TILE = 10_000
 
@@ -140,25 +141,39 @@ def orthologs_from_homology(members: DataFrame, species: str, pattern: str = ".*
 KMER_TARGETS = 1000
 
 
+def _postings(kmers: DataFrame, tag: str) -> DataFrame:
+    """(kmer, tag): the ids that hold each k-mer, as two hashes of them all and their number."""
+    marks = F.struct(F.bit_xor(F.xxhash64("id")).alias("a"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("b"), F.count("*").alias("n"))
+    return kmers.groupBy("kmer").agg(marks.alias(tag))
+
+
 def _shared_kmers(x: DataFrame, y: DataFrame) -> DataFrame:
-    """(query, target, shared, score) of k-mers x and y (id, n, kmer); k-mers of many targets are dealt to salts by target."""
-    salts = y.groupBy("kmer").agg(F.ceil(F.count("*") / KMER_TARGETS).cast("int").alias("salts"))
-    x = x.join(salts, "kmer").select(F.col("id").alias("query"), F.col("n").alias("n_query"), "kmer", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    """(query, target, shared, score) of distinct k-mers x and y (id, n, kmer).
+
+    K-mers that the same queries and the same targets hold, as those of one shared passage are,
+    count as one with a weight.  K-mers of many targets are dealt to salts by target.
+    """
+    classes = _postings(x, "of_x").join(_postings(y, "of_y"), "kmer").groupBy("of_x", "of_y").agg(F.min("kmer").alias("kmer"), F.count("*").alias("weight"))
+    salts = classes.select("kmer", "weight", F.ceil(F.col("of_y.n") / KMER_TARGETS).cast("int").alias("salts"))
+    x = x.join(salts, "kmer").select(F.col("id").alias("query"), F.col("n").alias("n_query"), "kmer", "weight", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     y = y.join(salts, "kmer").select(F.col("id").alias("target"), F.col("n").alias("n_target"), "kmer", F.pmod(F.xxhash64("id"), "salts").cast("int").alias("salt"))
     score = F.col("shared") / F.least("n_query", "n_target")
-    return x.join(y, ["kmer", "salt"]).groupBy("query", "target", "n_query", "n_target").agg(F.count("*").alias("shared")).select("query", "target", "shared", score.alias("score"))
+    return x.join(y, ["kmer", "salt"]).groupBy("query", "target", "n_query", "n_target").agg(F.sum("weight").alias("shared")).select("query", "target", "shared", score.alias("score"))
 
 
 def kmer_hits(a: DataFrame, b: DataFrame, k: int, min_shared: int) -> DataFrame:
     """(query, target, shared, score): shared distinct k-mers over the smaller set; an id names one sequence.
 
-    All k-mers count; equal sequences are compared once.  Only k-mers that a has leave the scan
-    of b: they are picked by a hash join with a's distinct k-mers, broadcast by Spark if small.
+    All k-mers count; equal sequences are compared once.  A table of bits, of one size whatever
+    the input, tells the scan of b which k-mers a may have; only these leave it, and the joins
+    behind are exact.
     """
     cls = F.md5("seq")
-    x, y = (distinct_kmers(s.select(cls.alias("id"), "seq"), k) for s in (a, b))
-    x = x.dropDuplicates(["id", "kmer"])
-    y = y.join(x.select("kmer").distinct(), "kmer", "left_semi").dropDuplicates(["id", "kmer"])
+    one = lambda s: s.select(cls.alias("id"), "seq")
+    x = distinct_kmers(one(a), k, slots=True)
+    table = kmer_table(x.select("slot"))
+    x = _cut(x.drop("slot").dropDuplicates(["id", "kmer"]))
+    y = _cut(distinct_kmers(one(b), k, table).dropDuplicates(["id", "kmer"]))
     met = _shared_kmers(x, y).filter(F.col("shared") >= min_shared).withColumnsRenamed({"query": "cls_a", "target": "cls_b"})
     ids = lambda s, name, key: s.select(F.col("id").alias(name), cls.alias(key)).distinct()
     return met.join(ids(a, "query", "cls_a"), "cls_a").join(ids(b, "target", "cls_b"), "cls_b").select("query", "target", "shared", "score")
