@@ -59,20 +59,48 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _kmer_words(data: np.ndarray, at: np.ndarray, k: int) -> list[np.ndarray]:
-    """Words of eight bytes, the last one overlapping, that tell the windows apart."""
-    # The word that begins at each byte, for all bytes at once.
-    size = min(k, 8)
-    whole = np.zeros(max(len(data) - size + 1, 0), np.uint64)
-    for j in range(size):
-        whole = whole << np.uint64(8) | data[j : j + len(whole)]
-    return [whole[at + first] for first in dict.fromkeys([*range(0, max(k - 7, 1), 8), max(k - 8, 0)])]
+#: Codes of three bits; 7 is any other letter.
+_PLAIN = np.full(256, 7, np.uint64)
+_PLAIN[[65, 67, 71, 84, 78]] = range(5)
+
+
+def _codes(data: np.ndarray, k: int) -> np.ndarray:
+    """Three bits a letter of the window of k letters (at most 21) that begins at each place, by doubling."""
+    power, size = _PLAIN[data], 1
+    whole: np.ndarray | None = None
+    done = 0
+    while True:
+        if k & size:
+            if whole is None:
+                whole = power
+            else:
+                n = min(len(whole), len(power) - done)
+                whole = whole[:n] << np.uint64(3 * size) | power[done : done + n]
+            done += size
+        if 2 * size > k:
+            return whole
+        power = power[:-size] << np.uint64(3 * size) | power[size:]
+        size *= 2
 
 
-def _slots(words: list[np.ndarray]) -> np.ndarray:
-    h = np.zeros(len(words[0]), np.uint64)
+def _kmer_words(data: np.ndarray, at: np.ndarray, k: int) -> list[np.ndarray]:
+    """Words of eight bytes, the last one overlapping, that tell the windows apart."""
+    words = []
+    for first in dict.fromkeys([*range(0, max(k - 7, 1), 8), max(k - 8, 0)]):
+        word = np.zeros(len(at), np.uint64)
+        for j in range(first, min(first + 8, k)):
+            word = word << np.uint64(8) | data[at + j]
+        words.append(word)
+    return words
+
+
+def _slots(words: list[np.ndarray], codes: np.ndarray | None, plain: np.ndarray | bool) -> np.ndarray:
+    """A k-mer's slot: by its code where it has one, whatever stands around it, else by its words."""
+    h = np.zeros(len(words[0] if words else codes), np.uint64)
     for w in words:
         h = _mixed(h ^ w)
+    if codes is not None:
+        h = np.where(plain, _mixed(codes ^ np.uint64(0x9E3779B97F4A7C15)), h)
     return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
@@ -101,21 +129,39 @@ def distinct_kmers(seqs: DataFrame, k: int, table: np.ndarray | None = None, slo
             at, of = _starts(bounds, k)
             if not len(at):
                 continue
-            words = _kmer_words(data, at, k)
-            order = np.lexsort((*words, of))
-            new = np.zeros(len(at), bool)
-            new[0] = True
-            for key in (of, *words):
-                key = key[order]
-                new[1:] |= key[1:] != key[:-1]
-            first = order[new]
-            at, of, words = at[first], of[first], [w[first] for w in words]
-            n = np.bincount(of, minlength=rows.num_rows)
-            slot = _slots(words) if slots or shared is not None else None
-            if shared is not None:
-                hit = shared.value[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 > 0
-                at, of, slot = at[hit], of[hit], slot[hit]
-            cols = [rows.column("id").take(pa.array(of)), pa.array(n[of]), _binary(data[at[:, None] + np.arange(k)])]
+            coded = 3 * k <= 63 and len(data) >= k
+            codes = _codes(data, k) if coded else None
+            if coded and 3 * k + len(bounds).bit_length() <= 64 and not (_PLAIN[data] == 7).any():
+                # All letters have a code: one key a window, and the k-mer can be read off it.
+                key = np.sort(of.astype(np.uint64) << np.uint64(3 * k) | codes[at])
+                key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+                of, code = (key >> np.uint64(3 * k)).astype(np.int64), key & np.uint64((1 << 3 * k) - 1)
+                n = np.bincount(of, minlength=rows.num_rows)
+                slot = _slots([], code, True) if slots or shared is not None else None
+                if shared is not None:
+                    hit = shared.value[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 > 0
+                    of, code, slot = of[hit], code[hit], slot[hit]
+                text = np.frombuffer(b"ACGTN", np.uint8)[(code[:, None] >> np.uint64(3) * np.arange(k, dtype=np.uint64)[::-1] & np.uint64(7)).astype(np.int64)]
+            else:
+                words = _kmer_words(data, at, k)
+                order = np.lexsort((*words, of))
+                new = np.zeros(len(at), bool)
+                new[0] = True
+                for key in (of, *words):
+                    key = key[order]
+                    new[1:] |= key[1:] != key[:-1]
+                first = order[new]
+                at, of, words = at[first], of[first], [w[first] for w in words]
+                n = np.bincount(of, minlength=rows.num_rows)
+                slot = None
+                if slots or shared is not None:
+                    plain = ~(_PLAIN[data[at[:, None] + np.arange(k)]] == 7).any(axis=1) if coded else False
+                    slot = _slots(words, codes[at] if coded else None, plain)
+                if shared is not None:
+                    hit = shared.value[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 > 0
+                    at, of, slot = at[hit], of[hit], slot[hit]
+                text = data[at[:, None] + np.arange(k)]
+            cols = [rows.column("id").take(pa.array(of)), pa.array(n[of]), _binary(text)]
             yield pa.RecordBatch.from_arrays([*cols, *([pa.array(slot)] if slots else [])], names=["id", "n", "kmer", *(["slot"] if slots else [])])
 
     fields = [T.StructField("id", seqs.schema["id"].dataType), T.StructField("n", T.LongType()), T.StructField("kmer", T.BinaryType())]

@@ -14,7 +14,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,40 +28,51 @@ from regseq.operators.graph import _cut
 BLOCK = 1 << 16
 
 
+def _breaks(b: pa.RecordBatch, keys: list[str], last: tuple | None) -> tuple[np.ndarray, tuple]:
+    """Rows that begin a group, and the batch's last key."""
+    new = np.zeros(b.num_rows, bool)
+    for k in keys:
+        column = b.column(k)
+        new[1:] |= pc.fill_null(pc.not_equal(column[1:], column[:-1]), True).to_numpy(zero_copy_only=False)
+    first, end = (tuple(b.column(k)[i].as_py() for k in keys) for i in (0, b.num_rows - 1))
+    new[0] = first != last
+    return new, end
+
+
 def _decide(batches: Iterator[pa.RecordBatch], keys: int, widths: list[int]) -> Iterator[pa.RecordBatch]:
     """Own rows that are taken (true) or still open (null); rows come by group and block, best first.
 
     Columns: __k0 ... for group and block, __p0 ... for the starts of the parts, __own, __taken.
     """
     tile = max(widths)
-    group: object = None
+    last: tuple | None = None
     met: dict[int, list[tuple[int, int, bool]]] = {}
     for b in batches:
-        names = list(zip(*(b.column(f"__k{i}").to_pylist() for i in range(keys)), strict=True))
+        if not b.num_rows:
+            continue
+        new, last = _breaks(b, [f"__k{i}" for i in range(keys)], last)
         parts = list(zip(*(b.column(f"__p{i}").to_pylist() for i in range(len(widths))), strict=True))
-        own, known = b.column("__own").to_pylist(), b.column("__taken").to_pylist()
         keep, state = [], []
-        for i, name in enumerate(names):
-            if name != group:
-                group, met = name, {}
-            spans = [(at, at + w) for at, w in zip(parts[i], widths, strict=True)]
-            taken = known[i]
+        for i, (begins, places, own, taken) in enumerate(zip(new.tolist(), parts, b.column("__own").to_pylist(), b.column("__taken").to_pylist(), strict=True)):
+            if begins:
+                met = {}
+            open_ = gone = False
             if taken is None:
-                open_, gone = False, False
-                for lo, hi in spans:
+                for lo, w in zip(places, widths, strict=True):
+                    hi = lo + w
                     for t in range(lo // tile, (hi - 1) // tile + 1):
                         for a, z, sure in met.get(t, ()):
                             if a < hi and lo < z:
-                                gone |= sure
                                 open_ = True
+                                gone |= sure
                 if gone:
                     continue
                 # A copy may meet better elements that this block does not see.
-                taken = True if own[i] and not open_ else None
-            for lo, hi in spans:
-                for t in range(lo // tile, (hi - 1) // tile + 1):
-                    met.setdefault(t, []).append((lo, hi, taken is True))
-            if own[i]:
+                taken = True if own and not open_ else None
+            for lo, w in zip(places, widths, strict=True):
+                for t in range(lo // tile, (lo + w - 1) // tile + 1):
+                    met.setdefault(t, []).append((lo, lo + w, taken is True))
+            if own:
                 keep.append(i)
                 state.append(taken)
         kept = b.take(pa.array(keep, pa.int64()))
@@ -77,8 +90,11 @@ def greedy(df: DataFrame, by: list[str], order: list[Column], parts: list[tuple[
     widths = [w for _, w in parts]
     keys, places = [f"__k{i}" for i in range(len(by))], [f"__p{i}" for i in range(len(parts))]
     known = df.dropna(subset=[c for c, _ in parts] + by)
-    place = F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)), *(F.col(c).alias(f"p{i}") for i, (c, _) in enumerate(parts)))
-    rows = known.select(*(F.col(k).alias(n) for k, n in zip(by, keys, strict=True)), *(F.col(c).cast("long").alias(n) for (c, _), n in zip(parts, places, strict=True)), place.alias("__o"), F.struct(*df.columns).alias("__row"))
+    orders = [f"__o{i}" for i in range(len(order))] + places
+    rows = known.select(
+        *(F.col(k).alias(n) for k, n in zip(by, keys, strict=True)), *(F.col(c).cast("long").alias(n) for (c, _), n in zip(parts, places, strict=True)),
+        *(o.alias(n) for o, n in zip(order, orders[: len(order)], strict=True)), *(F.col(c).alias(f"__c{i}") for i, c in enumerate(df.columns)),
+    )
     lo = F.least(*places) if len(parts) > 1 else F.col("__p0")
     ends = [F.col(p) + w for p, w in zip(places, widths, strict=True)]
     hi = F.greatest(*ends) if len(parts) > 1 else ends[0]
@@ -92,15 +108,16 @@ def greedy(df: DataFrame, by: list[str], order: list[Column], parts: list[tuple[
     while True:
         copies = state.withColumn(f"__k{len(by)}", F.explode(F.sequence(at(lo - hull), at(hi - 1)))).withColumn("__own", F.col(f"__k{len(by)}") == at(lo))
         group = [*keys, f"__k{len(by)}"]
-        state = _cut(copies.repartition(*group).sortWithinPartitions(*group, "__o").mapInArrow(walk, schema).drop(f"__k{len(by)}", "__own"))
+        state = _cut(copies.repartition(*group).sortWithinPartitions(*group, *orders).mapInArrow(walk, schema).drop(f"__k{len(by)}", "__own"))
         if state.filter("__taken is null").isEmpty():
             break
+    columns = [F.col(f"__c{i}").alias(c) for i, c in enumerate(df.columns)]
     if rank is None and most is None:
-        return state.select("__row.*")
+        return state.select(*columns)
     name = rank or "__rank"
     if most is None:
-        ranked = scan.ranked(state, keys, ["__o"], name)
+        ranked = scan.ranked(state, keys, orders, name)
     else:
         # A task hands on no more than `most` rows of a group.
-        ranked = state.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy("__o"))).filter(F.col(name) <= most)
-    return ranked.select("__row.*", *([name] if rank else []))
+        ranked = state.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*orders))).filter(F.col(name) <= most)
+    return ranked.select(*columns, *([name] if rank else []))

@@ -121,7 +121,7 @@ def motif_distances(freq: DataFrame, turned: bool = True) -> DataFrame:
     Every pair is a row of the result.  Motifs are dealt into blocks of about GRID; each block
     pair is one group, whose motifs meet in matrix products, and no pair is made by a join.
     """
-    one = compact(freq).filter("motif_id is not null")
+    one = _cut(compact(freq).filter("motif_id is not null"))
     blocks = -(-one.count() // GRID) or 1
     own = F.pmod(F.xxhash64("motif_id"), F.lit(blocks)).cast("int")
     dealt = one.withColumn("__own", own).withColumn("__o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))

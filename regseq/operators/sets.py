@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def distinct_ids(df: DataFrame, key: str = "id") -> DataFrame:
@@ -20,6 +21,12 @@ def ids_overlap(a: DataFrame, b: DataFrame, key: str = "id") -> bool:
     return not a.join(b.select(key), key, "left_semi").isEmpty()
 
 
+def overlap_row(a: DataFrame, b: DataFrame, name: str = "overlap", key: str = "id") -> DataFrame:
+    """One row that says whether the two share an id, in the caller's plan: nothing runs before it is asked for."""
+    shared = a.join(b.select(key), key, "left_semi").limit(1)
+    return shared.agg((F.count("*") > 0).alias(name))
+
+
 def subset_by_flag(df: DataFrame, flag: str) -> DataFrame:
     return df.filter(flag).drop(flag)
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regseq.functions.sequence import expand
+from regseq.operators.graph import _cut
 from regseq.operators.scan import dealt, prefix_scan, scanned
 
 
@@ -46,6 +47,8 @@ def trim_overlaps(promoters: DataFrame, genes: DataFrame, kick: bool = False) ->
     """
     rows = promoters.withColumn("__p", F.lit(True)).select("chrom", "lo", "hi", "strand", "name", "__p")
     both = rows.unionByName(genes.select("chrom", "lo", "hi", F.lit(None).cast("string").alias("strand"), F.lit(None).cast("string").alias("name"), F.lit(False).alias("__p")))
+    # Written once: ranges are drawn from a sample first, and the tables may be costly.
+    both = _cut(both)
     gene = ~F.col("__p")
     # Genes that start before a promoter's end: at one key promoters come first.
     up = [F.when(gene, F.col("lo")).otherwise(F.col("hi")), gene]
@@ -77,6 +80,7 @@ def neighbours_of(loci: DataFrame, genes: DataFrame) -> DataFrame:
     both = loci.select("chrom", "position", "gene_id", F.lit(False).alias("__gene"), F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi")).unionByName(
         genes.select("chrom", F.lit(None).cast("long").alias("position"), F.col("id").alias("gene_id"), F.lit(True).alias("__gene"), F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
     )
+    both = _cut(both)
     sides = {
         "__l": ([F.when(gene, F.col("lo")).otherwise(F.col("position")), gene], F.when(gene, F.struct(F.col("hi").alias("at"), F.col("gene_id").alias("id")))),
         "__r": ([F.when(gene, F.col("hi")).otherwise(F.col("position") + 1).desc(), gene], F.when(gene, F.struct((-F.col("lo")).alias("at"), F.col("gene_id").alias("id")))),

@@ -49,7 +49,8 @@ def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As intervals, but dealt over all documents as chromosomes and over their whole lengths."""
     n = F.col("n")
-    size = seqs(spark, sf_dir).select(F.col("id").alias("chrom"), F.length("seq").alias("__size"))
+    # Dealt out first: behind a join, each event would read its document's letters again.
+    size = seqs(spark, sf_dir).select(F.col("id").alias("chrom"), F.length("seq").alias("__size")).repartition("chrom")
     dealt = intervals(spark, sf_dir).withColumn("chrom", F.concat(F.lit("d"), (n % table(spark, sf_dir, "documents").count()).cast("string")))
     lo = (n * 7919) % F.greatest(F.col("__size") - 200, F.lit(1))
     return dealt.join(size, "chrom").withColumns({"lo": lo, "hi": lo + 20 + (n * 31) % 180}).drop("__size")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from regseq.functions import sequence as s
 from regseq.operators import aggregates, joins, quality, sets, sweeps, topk
+from regseq.operators.graph import _cut
 from regseq.plans import bindings as b
 from regseq.plans.bindings import greedy_sql, with_views
 
@@ -17,7 +18,7 @@ FROM p"""
 
 
 def flagship_promoters(spark, d):
-    iv = b.placed(spark, d)
+    iv = _cut(b.placed(spark, d))
     trimmed = sweeps.trim_overlaps(b.promoters(iv), b.genes(iv), kick=True).select("name", "chrom", "lo", "hi", "strand")
     return joins.extract_sequence(trimmed, b.seqs(spark, d))
 
@@ -162,7 +163,7 @@ def intersect_names(spark, d):
 
 def union_sets(spark, d):
     iv = b.intervals(spark, d)
-    return sets.union_sets(b.genes(iv), b.promoters(iv)).groupBy("type", "strand").agg(F.count("*").alias("n"))
+    return sets.union_sets(b.genes(iv), b.promoters(iv), iv.filter("type = 'view'")).select("id", "type", "strand")
 
 
 def duplicates(spark, d):
@@ -207,7 +208,7 @@ QUERIES = {
     "join11_pair_sites": (pair_sites, with_views("pvalues") + f", {_SITES}, m AS (SELECT a.seq_id, a.strand, a.pos AS pos_a, b.pos AS pos_b, a.pvalue AS p1, b.pvalue AS p2, b.pos - (a.pos + 10) + 1 AS m FROM st a JOIN st b ON a.seq_id = b.seq_id AND a.strand = b.strand AND a.motif = 'click' AND b.motif = 'view' AND b.pos BETWEEN a.pos + 10 AND a.pos + 68), z AS (SELECT *, least(p1 * (1 - pow(1 - p2, m)), p2 * (1 - pow(1 - p1, m))) AS score FROM m) SELECT seq_id, strand, pos_a, pos_b, round(score, 9) AS score FROM z QUALIFY row_number() OVER (PARTITION BY seq_id, strand, pos_a ORDER BY score, pos_b) = 1"),
     "top9_sample_ids": (sample_events, with_views("iv") + " SELECT id FROM iv ORDER BY md5('7:' || id), id LIMIT 100"),
     "set2_intersect_ids": (intersect_names, with_views("iv", "iv_genes", "iv_prom") + " SELECT chrom AS id, name FROM p WHERE chrom IN (SELECT chrom FROM g)"),
-    "set5_union_sets": (union_sets, with_views("iv") + " SELECT type, strand, count(*) AS n FROM iv GROUP BY ALL"),
+    "set5_union_sets": (union_sets, with_views("iv") + " SELECT id, type, strand FROM iv UNION ALL SELECT id, type, strand FROM iv WHERE type = 'view'"),
     "qc5_duplicates": (duplicates, with_views("iv") + " SELECT chrom, count(*) AS n FROM iv GROUP BY chrom HAVING count(*) > 1"),
     "qc4_validate": (validate, with_views("iv") + ", z AS (SELECT n, ((n * 7919) % 9973 + 1) / 10000.0 AS p, n % 600 AS w FROM iv) SELECT 0::BIGINT AS bad_strand, count(*) FILTER (NOT p BETWEEN 0 AND 1) AS bad_probability, count(*) FILTER (NOT w BETWEEN 10 AND 500) AS bad_window, 0::BIGINT AS bad_order FROM z"),
 }

@@ -322,7 +322,7 @@ def distinct_ids(spark, d):
 def ids_overlap(spark, d):
     hits = b.hits(spark, d)
     x, y, z = hits.filter("query_db = 'part'").select(F.col("query").alias("id")), hits.filter("target_db = 'part'").select(F.col("target").alias("id")), hits.filter("query_db = 'supplier'").select(F.col("query").alias("id"))
-    return spark.range(1).select(F.lit(sets.ids_overlap(x, y)).alias("same_kind"), F.lit(sets.ids_overlap(x, z)).alias("other_kind"))
+    return sets.overlap_row(x, y, "same_kind").crossJoin(sets.overlap_row(x, z, "other_kind"))
 
 
 def subset_by_flag(spark, d):

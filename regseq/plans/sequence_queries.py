@@ -56,7 +56,7 @@ def db_stats(spark, d):
 
 
 def min_length(spark, d):
-    return quality.min_length(b.seqs(spark, d), 1000).groupBy("source").agg(F.count("*").alias("n"))
+    return quality.min_length(b.seqs(spark, d), 1000).select("id", "source", F.md5("seq").alias("digest"))
 
 
 def markov(spark, d):
@@ -198,7 +198,7 @@ QUERIES = {
     "snk1_fasta_lines": (fasta_lines, with_views("items") + " SELECT '>' || id || '(1:' || length(seq) || ')' || chr(10) || seq AS value FROM items"),
     "qc1_alphabet": (checks, with_views("seqs") + " SELECT true AS ok, 0::BIGINT AS n_bad, 'dna' AS kind UNION ALL SELECT count(*) FILTER (length(seq) > 100) = 0, count(*) FILTER (length(seq) > 100), 'protein' FROM seqs"),
     "qc7_db_stats": (db_stats, with_views("seqs") + " SELECT source AS db, count(DISTINCT id) AS n_genes, count(*) AS n_sequences, sum(length(seq))::BIGINT AS bases, sum(length(seq) - length(replace(seq, 'N', '')))::BIGINT AS hidden FROM seqs GROUP BY source"),
-    "flt2_min_length": (min_length, with_views("seqs") + " SELECT source, count(*) AS n FROM seqs WHERE length(seq) >= 1000 GROUP BY source"),
+    "flt2_min_length": (min_length, with_views("seqs") + " SELECT id, source, md5(seq) AS digest FROM seqs WHERE length(seq) >= 1000"),
     "agg7_markov_model": (markov, with_views("seqs") + ", g AS (SELECT substring(seq, i::INT + 1, 3) AS g FROM (SELECT seq, unnest(range(0, length(seq) - 2)) AS i FROM seqs)), c AS (SELECT substring(g, 1, 2) AS context, substring(g, 3, 1) AS base, count(*) AS n FROM g WHERE NOT contains(g, 'N') GROUP BY ALL) SELECT context, base, n, round(n / sum(n) OVER (PARTITION BY context), 9)::DOUBLE AS p FROM c"),
     "agg3_count_matrix": (counts, with_views("seqs", "aligned") + f", {_COUNTS} SELECT motif_id, pos::INT AS pos, A, C, G, T FROM cm"),
     "mot1_frequencies": (frequencies, _F + " SELECT motif_id, pos::INT AS pos, base, count, round(freq, 9) AS freq FROM fr"),

@@ -310,3 +310,113 @@ def test_kmer_hits_count_kmers_of_any_number_of_targets(spark, monkeypatch, per_
     a, b = (spark.createDataFrame(r, "id string, seq string") for r in (queries, targets))
     got = {(r.query, r.target): (r.shared, pytest.approx(r.score)) for r in joins.kmer_hits(a, b, 8, 3).collect()}
     assert got == want
+
+
+def test_a_walk_longer_than_any_limit(spark):
+    """A chain of 60 hops settles, level by level."""
+    n = 60
+    regions = spark.createDataFrame([(f"r{i}", g) for i in range(n) for g in (f"a{i}", f"b{i}")], "region_id string, gene_id string")
+    orth = spark.createDataFrame([(f"b{i}", f"a{i + 1}") for i in range(n - 1)], "a string, b string")
+    got = {r.id: r.level for r in graph.synteny_closure(spark.createDataFrame([("a0",)], "id string"), regions, orth).collect()}
+    assert got == {"a0": 0} | {f"a{i}": i for i in range(1, n)} | {f"b{i}": i + 1 for i in range(n)}
+
+
+def test_candidate_network_follows_each_node_once(spark):
+    hits = [("a", "b", 1.0), ("a", "c", 2.0), ("a", "d", 3.0), ("b", "a", 1.0), ("c", "e", 1.0), ("e", "f", 1.0)]
+    df = spark.createDataFrame(hits, "query string, target string, significance double")
+    seeds = spark.createDataFrame([("a",), ("a",), ("x",)], "id string")
+    got = {depth: sorted(map(tuple, graph.candidate_network(seeds, df, 2, depth).collect())) for depth in (1, 2, 3)}
+    assert got[1] == [("a", "b", 1), ("a", "c", 1)]
+    assert got[2] == sorted(got[1] + [("b", "a", 2), ("c", "e", 2)]) and got[3] == sorted(got[2] + [("e", "f", 3)])
+
+
+def test_random_intervals_against_counting(spark, monkeypatch):
+    monkeypatch.setattr(topk, "TILE", 16)
+    random.seed(12)
+    seqs = [(f"c{i:02d}", "".join(random.choice("ACGTN") for _ in range(random.choice([0, 1, 16, 32, 47, 200])))) for i in range(20)]
+    masked = [(c, x, None if c == "c03" else "".join("N" if random.random() < 0.2 else b for b in x)) for c, x in seqs]
+    lengths = [(i, random.choice([1, 5, 16, 20])) for i in range(80)]
+    import hashlib
+
+    total, want = sum(len(x) for _, x in seqs), {}
+    for i, n in lengths:
+        for k in range(1, 7):
+            at = int(hashlib.md5(f"3:{i}:{k}".encode()).hexdigest()[:12], 16) % total
+            for c, x, m in masked:
+                if at < len(x):
+                    break
+                at -= len(x)
+            piece, hid = x[at : at + n], (m if m is not None else x)[at : at + n]
+            if len(piece) == n and piece.count("N") <= 0.3 * n and 100 * (hid.count("N") - piece.count("N")) <= 15 * n:
+                want[i] = (c, at, at + n)
+                break
+    df = spark.createDataFrame(masked, "id string, seq string, masked_seq string").repartition(3)
+    ids = spark.createDataFrame(lengths, "id int, length int")
+    got = topk.random_intervals(ids, df, 6, 0.3, 3, max_rep=15.0)
+    assert {r.id: (r.chrom, r.lo, r.hi) for r in got.collect()} == want and 0 < len(want) < 80
+    assert "SinglePartition" not in got._jdf.queryExecution().toString()
+    assert topk.random_intervals(ids, df.limit(0), 6, 0.3, 3).count() == 0
+
+
+def _plain_distance(x, y):
+    pad, tiny = [0.32, 0.18, 0.18, 0.32], 1e-9
+    best = math.inf
+    for s_ in range(1 - len(y), len(x)):
+        cost = 0.0
+        for i in range(min(0, s_), max(len(x), len(y) + s_)):
+            p = x[i] if 0 <= i < len(x) else pad
+            q = y[i - s_] if 0 <= i - s_ < len(y) else pad
+            for a, b in zip(p, q, strict=True):
+                a, b = a if a > 0 else tiny, b if b > 0 else tiny
+                cost += (a - b) * (math.log2(a) - math.log2(b)) / 2
+        best = min(best, cost)
+    return best
+
+
+@pytest.mark.parametrize("grid", [128, 3])
+def test_motif_distances_against_loops(spark, monkeypatch, grid):
+    monkeypatch.setattr(motifs, "GRID", grid)
+    r = random.Random(grid)
+    table = {}
+    for k in range(8):
+        rows = []
+        for _ in range(r.choice([1, 4, 7])):
+            w = [r.choice([0, r.random()]) for _ in range(3)] + [0.2]
+            rows.append([v / sum(w) for v in w])
+        table[f"m{k}"] = rows
+    df = spark.createDataFrame([(m, i, b, row[j]) for m, rows in table.items() for i, row in enumerate(rows) for j, b in enumerate("ACGT")], "motif_id string, pos int, base string, freq double")
+    for turned in (False, True):
+        got = {(x.a, x.b): x.distance for x in motifs.motif_distances(df, turned).collect()}
+        assert len(got) == 28
+        for (a, b), d in got.items():
+            want = _plain_distance(table[a], table[b])
+            if turned:
+                want = min(want, _plain_distance(table[a], [row[::-1] for row in table[b][::-1]]))
+            assert a < b and d == pytest.approx(want, abs=1e-9)
+
+
+def test_the_clusters_query_is_plain_average_linkage(spark):
+    from regseq.plans import sequence_queries as sq
+
+    d = "/root/testdata/sf0.001"
+    dist = {frozenset((x.a, x.b)): x.distance for x in motifs.motif_distances(sq._freq(spark, d)).collect()}
+    groups = [{m} for m in {m for pair in dist for m in pair}]
+    mean = lambda g, h: sum(dist[frozenset((a, b))] for a in g for b in h) / (len(g) * len(h))
+    while len(groups) > 1:
+        best, i, j = min((mean(g, h), i, j) for i, g in enumerate(groups) for j, h in enumerate(groups) if i < j)
+        if best > 0.35:
+            break
+        groups[i] |= groups.pop(j)
+    got = {x.motif_id: x.cluster_id for x in sq.clusters(spark, d).collect()}
+    assert got == {m: min(g) for g in groups for m in g}
+
+
+def test_kmers_with_other_letters_meet_plain_ones(spark):
+    """The table of bits knows a k-mer by itself, whatever letters stand around it in its portion."""
+    passage = "ACGTNACGTTGACCA"
+    a = spark.createDataFrame([("q", passage), ("r", "xx" + passage + "*")], "id string, seq string").coalesce(1)
+    b = spark.createDataFrame([("t", "GG" + passage), ("u", "~~" + passage + "b"), ("v", "ACGTNA")], "id string, seq string")
+    for k in (5, 8, 14):
+        want = {(q, t): len({x[i : i + k] for i in range(len(x) - k + 1)} & {y[i : i + k] for i in range(len(y) - k + 1)}) for q, x in a.collect() for t, y in b.collect()}
+        got = {(x.query, x.target): x.shared for left in (a, a.filter("id = 'q'"), a.filter("id = 'r'")) for right in (b, b.filter("id = 't'"), b.filter("id = 'u'")) for x in joins.kmer_hits(left, right, k, 1).collect()}
+        assert got == {p: n for p, n in want.items() if n}
