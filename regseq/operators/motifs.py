@@ -158,8 +158,8 @@ def cluster_motifs(distances: DataFrame, threshold: float) -> DataFrame:
     reducible, so this gives the clusters of one merge at a time), and adds up the rows of
     merged clusters only; the others stay as they are.  There are as many rounds as it takes.
     """
-    sym = distances.select("a", "b", "distance").union(distances.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
-    pairs = _cut(sym.select("a", "b", F.col("distance").alias("s"), F.lit(1).cast("long").alias("w")))
+    both = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    pairs = _cut(distances.select(F.explode(both).alias("x"), F.col("distance").alias("s"), F.lit(1).cast("long").alias("w")).select("x.*", "s", "w"))
     now = _cut(pairs.select(F.col("a").alias("motif_id")).distinct().withColumn("cluster_id", F.col("motif_id")))
     while True:
         # Both directions of a pair see one rounded value, so that nearest is mutual.

@@ -132,6 +132,6 @@ def pseudo_orthologs(orthologs: DataFrame, seed: int) -> DataFrame:
 def random_orthologs(source: DataFrame, target: DataFrame, seed: int) -> DataFrame:
     """Each source id with one target, by its hash modulo the number of targets in id order."""
     n = target.count()
-    ranked = scan.ranked(target.select(F.col("id").alias("ortholog")), [], ["ortholog"], "r").withColumn("r", F.col("r").cast("long") - 1)
+    ranked = prefix_scan(target.select(F.col("id").alias("ortholog")), [], ["ortholog"], {"r": ("sum", F.lit(1).cast("long"))}).withColumn("r", F.col("r") - 1)
     draw = F.conv(F.substring(_hash(seed, "id"), 1, 12), 16, 10).cast("long") % max(n, 1)
     return source.select("id", draw.alias("r")).join(ranked, "r").select("id", "ortholog")
