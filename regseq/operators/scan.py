@@ -52,8 +52,9 @@ def dealt(df: DataFrame, keys: list[str], order: list[str | Column], ranges: int
     return _cut(spread.withColumn("__range", F.spark_partition_id()))
 
 
-def _carried(rows: DataFrame, key: Column, kinds: dict[str, str], back: bool) -> DataFrame:
-    """(__range, __first, __in): for ranges that continue a group, its key and what the ranges before (behind) hold of it."""
+def _carried(rows: DataFrame, key: Column, kinds: dict[str, str], back: bool) -> DataFrame | None:
+    """(__range, __first, __in): for ranges that continue a group, its key and what the ranges before (behind) hold
+    of it; None if no group goes over a bound."""
     sums = rows.groupBy("__range", key.alias("__key")).agg(F.struct(*(_LOCAL[k](n).alias(n) for n, k in kinds.items())).alias("__sum"))
     low, high = F.min("__key"), F.max("__key")
     first, last, of_last = (high, low, F.min_by) if back else (low, high, F.max_by)
@@ -66,6 +67,8 @@ def _carried(rows: DataFrame, key: Column, kinds: dict[str, str], back: bool) ->
             held = tuple(_joined(k, a, b) for k, a, b in zip(kinds.values(), held, r["sum"], strict=True))
         else:
             at, held = r["last"], tuple(r["sum"])
+    if not out:
+        return None
     types = [("__range", T.IntegerType()), ("__first", ends.schema["first"].dataType), ("__in", ends.schema["sum"].dataType)]
     return rows.sparkSession.createDataFrame(out, T.StructType([T.StructField(n, t) for n, t in types]))
 
@@ -74,8 +77,9 @@ def scanned(parts: DataFrame, keys: list[str], order: list[str | Column], totals
     """Dealt rows with a running total for each name in `totals`: (sum, max or min, expression).
 
     A total runs from its group's first row to the row itself, or with `before` to the row
-    before it; with `back` it runs from the group's end, and order is the reverse of that dealt by.  Nulls add nothing, and the total of nothing is null.  Keys may be null; without
-    keys all rows are one group.  The largest struct of (order, value) is the last value.
+    before it; with `back` it runs from the group's end, and order is the reverse of that dealt
+    by.  Nulls add nothing, and the total of nothing is null.  Keys may be null; without keys all
+    rows are one group.  The largest struct of (order, value) is the last value.
     """
     names = {n: f"__t{i}" for i, n in enumerate(totals)}
     kinds = {names[n]: k for n, (k, _) in totals.items()}
@@ -84,6 +88,8 @@ def scanned(parts: DataFrame, keys: list[str], order: list[str | Column], totals
     carried = _carried(rows, key, kinds, back)
     w = Window.partitionBy("__range", *keys).orderBy(*_columns(order)).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
     local = rows.withColumns({t: _LOCAL[k](t).over(w) for t, k in kinds.items()})
+    if carried is None:
+        return local.withColumns({n: F.col(t) for n, t in names.items()}).drop(*kinds)
     both = local.join(F.broadcast(carried), "__range", "left")
     on = F.coalesce(key.eqNullSafe(F.col("__first")) & F.col("__in").isNotNull(), F.lit(False))
     full = {n: F.when(on, _JOIN[kinds[t]](F.col("__in")[t], F.col(t))).otherwise(F.col(t)) for n, t in names.items()}
