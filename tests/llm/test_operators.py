@@ -495,4 +495,4 @@ def test_stages_keep_callers_columns(spark, odd):
 
 def test_registered():
     names = set(registry.queries())
-    assert {n.split("_")[0] for n in names} == {"pipeline", *(f"op{k}" for k in range(1, 11))} and set(registry.oracle_sql()) <= names
+    assert {n.split("_")[0] for n in names} == {"pipeline", *(f"op{k}" for k in range(1, 14))} and set(registry.oracle_sql()) <= names
