@@ -19,7 +19,7 @@ import hashlib
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +36,8 @@ REMEMBER = 1 << 20
 REMEMBER_PAIRS = 200_000
 #: Bytes up to which a word is named by a hash.
 HASHED = 256
-#: Tokens that are spelt out at once.
-PORTION = 1 << 17
+#: Bytes of text, new words and tokens that are worked on at once: what a task holds besides its model and memory.
+SLICE, WORDS, PORTION = 1 << 18, 1 << 14, 1 << 15
 
 _COLUMNS = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
 
@@ -202,12 +202,17 @@ class Known:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, at, -1)
 
-    def add(self, keys: np.ndarray, ids: list[list[int]]) -> None:
-        size = np.array([len(x) for x in ids], np.int32)
+    def add(self, keys: np.ndarray, portions: Iterable[list[list[int]]]) -> None:
+        """Takes the keys' encodings, a portion of words at a time."""
+        flat, sizes = [self.ids], []
+        for ids in portions:
+            sizes.append(np.array([len(x) for x in ids], np.int32))
+            flat.append(np.fromiter((i for x in ids for i in x), np.int32, int(sizes[-1].sum())))
+        size = np.concatenate(sizes)
         begin = len(self.ids) + np.cumsum(size, dtype=np.int64) - size
         keys = np.concatenate([self.keys, keys])
         order = np.argsort(keys, kind="stable")
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in ids for i in x), np.int32, int(size.sum()))])
+        self.ids = np.concatenate(flat)
         self.keys, self.begin, self.size = keys[order], np.concatenate([self.begin, begin])[order], np.concatenate([self.size, size])[order]
 
 
@@ -230,8 +235,8 @@ def _encoded(s: tb.Slice, bpe: WordBpe, known: Known) -> tuple[np.ndarray, np.nd
     new = np.flatnonzero(known.places(keys) < 0)
     raw = s.data.tobytes()
     if len(new):
-        words = [raw[a:b] for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)]
-        known.add(keys[new], bpe.encode_words(words))
+        parts = (at[new[i : i + WORDS]] for i in range(0, len(new), WORDS))
+        known.add(keys[new], (bpe.encode_words([raw[a:b] for a, b in zip(starts[p].tolist(), ends[p].tolist(), strict=True)]) for p in parts))
     place = known.places(keys)[word.reshape(-1)]
     flat, bounds = _ranges(known.begin[place], known.size[place])
     ids, first = known.ids[flat], bounds[np.searchsorted(starts, s.offsets)]
@@ -300,7 +305,7 @@ def _run(docs: DataFrame, path: str, columns: list) -> DataFrame:
         # The model lives as long as the task: workers that wait for others hold nothing.
         bpe, known = WordBpe(json.loads(spec.value)), Known()
         spelling = Spelling(bpe)
-        for s in tb.slices(batches):
+        for s in tb.slices(batches, most=SLICE):
             ids, first = _encoded(s, bpe, known)
             more: dict[str, object] = {"n_tokens": np.diff(first)}
             if "ids" in names:

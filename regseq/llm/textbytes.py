@@ -17,6 +17,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 2 << 20
+#: Powers of the base are worked out in multiples of so many.
+POWERS = 1 << 18
 _C = ctypes.CDLL(None)
 
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -57,7 +59,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i < n."""
     if len(_powers[0]) < n:
         for k, b in enumerate((BASE, _INVERSE)):
-            a = np.full(max(n, SLICE_BYTES + 64), b, np.uint64)
+            a = np.full(-(-n // POWERS) * POWERS, b, np.uint64)
             a[0] = 1
             _powers[k] = np.multiply.accumulate(a)
     return _powers[0][:n], _powers[1][:n]

@@ -247,6 +247,19 @@ def test_bpe(spark, docs, rows, odd, clash):
     assert (list(r.ids), r.decoded) == (ids, model.decode(ids, skip_special_tokens=False))
 
 
+def test_bpe_new_words_in_portions(monkeypatch):
+    """Words that a task meets first are worked out a bounded number at a time, with the same ids."""
+    with open(bpe.public_path(), encoding="utf-8") as f:
+        own = bpe.WordBpe(json.load(f))
+    text = " ".join(f"w{i}x" for i in range(2 * bpe.WORDS + 5)).encode()
+    seen, whole = [], own.encode_words
+    want = [i for ids in whole(text.split()) for i in ids]
+    monkeypatch.setattr(own, "encode_words", lambda words: seen.append(len(words)) or whole(words))
+    ids, first = bpe._encoded(bpe.tb.Slice(None, np.frombuffer(text, np.uint8), np.array([0, len(text)])), own, bpe.Known())
+    assert ids.tolist() == want and first.tolist() == [0, len(want)]
+    assert max(seen) == bpe.WORDS and sum(seen) == 2 * bpe.WORDS + 5
+
+
 def test_bpe_fuzz():
     from tokenizers import Tokenizer
 
