@@ -130,11 +130,31 @@ def combine_motifs(presence: DataFrame, fraction: float, compat: bool = False) -
     return presence.join(seen.filter(good).select("group_id", "motif"), ["group_id", "motif"], "left_semi")
 
 
+#: Orthologs of one family that one task of the join meets at most, on average.
+FAMILY = 1000
+
+
 def orthologs_from_homology(members: DataFrame, species: str, pattern: str = ".*") -> DataFrame:
-    """(gene_id, ortholog, ortholog_species) of one species, from members (homology_id, gene_id, species)."""
-    x = members.filter(F.col("species") == species).select("homology_id", "gene_id")
-    y = members.filter((F.col("species") != species) & F.col("species").rlike(pattern)).select("homology_id", F.col("gene_id").alias("ortholog"), F.col("species").alias("ortholog_species"))
-    return x.join(y, "homology_id").filter("gene_id <> ortholog").select("gene_id", "ortholog", "ortholog_species").distinct()
+    """(gene_id, ortholog, ortholog_species) of one species, from members (homology_id, gene_id, species).
+
+    Each pair comes once, also where two genes share several families: it is made in the least
+    of these only, so that the pairs themselves are neither shuffled nor compared.  Orthologs of
+    a large family are dealt to salts, each of which meets all its genes.
+    """
+    known = members.filter("homology_id is not null and gene_id is not null")
+    sides = lambda rows, *by: rows.groupBy(*by).agg(F.sort_array(F.collect_set("homology_id")).alias("__f"))
+    x = sides(known.filter(F.col("species") == species), "gene_id").withColumn("homology_id", F.explode("__f"))
+    y = sides(known.filter((F.col("species") != species) & F.col("species").rlike(pattern)), F.col("gene_id").alias("ortholog"), F.col("species").alias("ortholog_species")).withColumn("homology_id", F.explode("__f"))
+    salts = y.groupBy("homology_id").agg(F.ceil(F.count("*") / FAMILY).cast("int").alias("__salts"))
+    x = x.join(salts, "homology_id").withColumn("__s", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1)))
+    y = y.join(salts, "homology_id").withColumn("__s", F.pmod(F.xxhash64("ortholog", "ortholog_species"), "__salts").cast("int"))
+    # Few bytes in, many rows out: a fixed number of partitions, which are not coalesced by their size.
+    parts = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), members.sparkSession.sparkContext.defaultParallelism)
+    several = lambda f: F.when(F.size(f) > 1, F.col(f))
+    x = x.select("homology_id", "__s", "gene_id", several("__f").alias("__fx")).repartition(parts, "homology_id", "__s")
+    y = y.select("homology_id", "__s", "ortholog", "ortholog_species", several("__f").alias("__fy")).repartition(parts, "homology_id", "__s")
+    least = F.col("__fx").isNull() | F.col("__fy").isNull() | (F.array_min(F.array_intersect("__fx", "__fy")) == F.col("homology_id"))
+    return x.join(y.hint("shuffle_merge"), ["homology_id", "__s"]).filter((F.col("gene_id") != F.col("ortholog")) & least).select("gene_id", "ortholog", "ortholog_species")
 
 
 #: Targets of one k-mer that one task of the join meets at most, on average.

@@ -420,3 +420,16 @@ def test_kmers_with_other_letters_meet_plain_ones(spark):
         want = {(q, t): len({x[i : i + k] for i in range(len(x) - k + 1)} & {y[i : i + k] for i in range(len(y) - k + 1)}) for q, x in a.collect() for t, y in b.collect()}
         got = {(x.query, x.target): x.shared for left in (a, a.filter("id = 'q'"), a.filter("id = 'r'")) for right in (b, b.filter("id = 't'"), b.filter("id = 'u'")) for x in joins.kmer_hits(left, right, k, 1).collect()}
         assert got == {p: n for p, n in want.items() if n}
+
+
+def test_homology_pairs_are_not_shuffled(spark, monkeypatch):
+    """Genes that share several families, and families of more orthologs than one salt takes, give each pair once."""
+    monkeypatch.setattr(joins, "FAMILY", 2)
+    random.seed(4)
+    rows = [(random.randrange(6), f"g{random.randrange(9)}", sp) for sp in ("own", "other A", "other B") for _ in range(40)] + [(None, "g1", "own"), (None, "g2", "other A"), (7, "h1", "own")]
+    want = {(g, o, sp) for f, g, own in rows for f2, o, sp in rows if own == "own" and sp == "other A" and f is not None and f == f2 and g != o}
+    found = joins.orthologs_from_homology(spark.createDataFrame(rows, "homology_id int, gene_id string, species string"), "own", "A$")
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan[: plan.index("Aggregate")]
