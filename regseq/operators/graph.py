@@ -97,11 +97,21 @@ def synteny_closure(seeds: DataFrame, region_genes: DataFrame, orthologs: DataFr
     return _walk(seeds, step)
 
 
-def add_orthologs(nodes: DataFrame, edges: DataFrame, orthologs: DataFrame, species: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Network with the orthologs (gene_id, ortholog, ortholog_species) of its nodes in the species."""
-    new = orthologs.filter(F.col("ortholog_species").isin(species)).join(nodes.select(F.col("id").alias("gene_id")), "gene_id", "left_semi")
-    more = edges.select("src", "dst", "bidir").union(new.select(F.col("gene_id").alias("src"), F.col("ortholog").alias("dst"), F.lit(True).alias("bidir"))).distinct()
-    return nodes.select("id").union(new.select(F.col("ortholog").alias("id"))).distinct(), more
+def add_orthologs(nodes: DataFrame, edges: DataFrame, orthologs: DataFrame, species: list[str], once: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Network with the orthologs (gene_id, ortholog, ortholog_species) of its nodes in the species.
+
+    once: orthologs name each pair of ids in these species once.  The new links are then not
+    shuffled: links that the network has already, few as a rule, are taken out of them.
+    """
+    own = nodes.select(F.col("id").alias("gene_id")).distinct()
+    new = orthologs.filter(F.col("ortholog_species").isin(species)).join(own, "gene_id", "left_semi")
+    found = new.select(F.col("gene_id").alias("src"), F.col("ortholog").alias("dst"), F.lit(True).alias("bidir"))
+    ids = nodes.select("id").union(new.select(F.col("ortholog").alias("id"))).distinct()
+    had = edges.select("src", "dst", "bidir")
+    if not once:
+        return ids, had.union(found).distinct()
+    both = _cut(had.filter("bidir").join(own.withColumnRenamed("gene_id", "src"), "src", "left_semi").select("src", "dst").distinct())
+    return ids, had.distinct().union(found if both.isEmpty() else found.join(both, ["src", "dst"], "left_anti"))
 
 
 def edge_lengths(edges: DataFrame) -> DataFrame:

@@ -113,7 +113,7 @@ def synteny(spark, d):
 def add_orthologs(spark, d):
     nodes = b.table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"))
     more = homology(spark, d)
-    return graph.add_orthologs(nodes, b.edges(spark, d), more, ["customer BUILDING"])[1]
+    return graph.add_orthologs(nodes, b.edges(spark, d), more, ["customer BUILDING"], once=True)[1]
 
 
 QUERIES = {

@@ -433,3 +433,13 @@ def test_homology_pairs_are_not_shuffled(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == want
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" in plan[: plan.index("Aggregate")]
+
+
+def test_add_orthologs_once(spark):
+    nodes = spark.createDataFrame([("a",), ("b",)], "id string")
+    pairs = spark.createDataFrame([("a", "x", "s"), ("b", "x", "s"), ("b", "y", "t"), ("c", "x", "s")], "gene_id string, ortholog string, ortholog_species string")
+    edges = spark.createDataFrame([("a", "x", True), ("a", "x", True), ("b", "x", False), ("q", "r", True)], "src string, dst string, bidir boolean")
+    for had in (edges, edges.filter("not bidir")):
+        plain, once = (graph.add_orthologs(nodes, had, pairs, ["s"], once=o) for o in (False, True))
+        for p, o in zip(plain, once, strict=True):
+            assert sorted(map(tuple, o.collect())) == sorted(map(tuple, p.collect()))
