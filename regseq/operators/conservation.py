@@ -25,6 +25,8 @@ TOLERANCE = 20
 BELIEF = 0.05
 #: Window pairs that a task looks at in one strip of sequence 1.
 STRIP = 1 << 22
+#: Names of sequences that are sent to all tasks at most.
+BROADCAST_ROWS = 200_000
 
 
 def _turned(seq: np.ndarray) -> np.ndarray:
@@ -194,18 +196,29 @@ def bundle_conservation(elements: DataFrame, species_order: DataFrame) -> DataFr
     return rows.withColumn("__f", first).groupBy("gene_id", "bundle_id").agg(F.max(F.when(F.col("species_idx") == F.col("__f"), F.col("conservation"))).alias("conservation"), F.max("conservation").alias("max_all"))
 
 
+def _reached(elements: DataFrame, seqs: DataFrame, on: list[str], columns: list[str]) -> DataFrame:
+    """seqs that elements name (where these are few enough to be sent out), each column cut behind the last end of all
+    elements: no more of a sequence goes through the join than an element can reach."""
+    ends = elements.agg(F.min("start").alias("__least"), F.max("end").alias("__last"))
+    upto = lambda c: F.when(F.col("__least") >= 0, F.col(c).substr(F.lit(1), F.greatest(F.col("__last") + 1, F.lit(0)).cast("int"))).otherwise(F.col(c))
+    short = seqs.join(F.broadcast(ends), F.lit(True)).withColumns({c: upto(c) for c in columns}).drop("__least", "__last")
+    ids = elements.select(*on).distinct()
+    return short.join(F.broadcast(ids), on, "left_semi") if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else short
+
+
 def element_repeat_ratio(elements: DataFrame, seqs: DataFrame) -> DataFrame:
     """Elements with the repeat ratio of their final stretch; seqs: (gene_id or partner, species, seq, masked_seq)."""
     cut = lambda c: F.col(c).substr(F.col("start") + 1, F.col("end") - F.col("start") + 1)
     on = [c for c in ("gene_id", "species", "partner") if c in elements.columns and c in seqs.columns]
-    joined = elements.join(seqs.select(*on, "seq", "masked_seq"), on)
+    joined = elements.join(_reached(elements, seqs.select(*on, "seq", "masked_seq"), on, ["seq", "masked_seq"]), on)
     return joined.withColumn("repeat_ratio", repeat_ratio(cut("masked_seq"), cut("seq"))).drop("seq", "masked_seq")
 
 
 def bundles_to_modules(elements: DataFrame, intervals: DataFrame) -> DataFrame:
     """Elements with their place on the region and their bases; intervals: (gene_id or partner, species, chrom, lo, hi, strand, seq)."""
     on = [c for c in ("gene_id", "species", "partner") if c in elements.columns and c in intervals.columns]
-    rows = elements.drop("chrom", "lo", "hi", "strand", "seq").join(intervals.select(*on, "chrom", F.col("lo").alias("__lo"), F.col("hi").alias("__hi"), "strand", "seq"), on)
+    places = intervals.select(*on, "chrom", F.col("lo").alias("__lo"), F.col("hi").alias("__hi"), "strand", "seq")
+    rows = elements.drop("chrom", "lo", "hi", "strand", "seq").join(_reached(elements, places, on, ["seq"]), on)
     lo, hi = bundle_interval("start", "end", "__lo", "__hi", "strand")
     piece = F.col("seq").substr(F.col("start") + 1, F.col("end") - F.col("start") + 1)
     return rows.withColumns({"lo": lo, "hi": hi, "seq": piece}).drop("__lo", "__hi")

@@ -443,3 +443,17 @@ def test_add_orthologs_once(spark):
         plain, once = (graph.add_orthologs(nodes, had, pairs, ["s"], once=o) for o in (False, True))
         for p, o in zip(plain, once, strict=True):
             assert sorted(map(tuple, o.collect())) == sorted(map(tuple, p.collect()))
+
+
+def test_elements_meet_cut_sequences(spark, monkeypatch):
+    """No more of a sequence goes to elements than they reach, with the same ratios and bases."""
+    elements = spark.createDataFrame([("a", 1, 4), ("a", 6, 9), ("b", 0, 2)], "gene_id string, start int, end int")
+    seqs = spark.createDataFrame([("a", "ACGTACGT", "ACNTACNN"), ("b", "ACGTACGTAAAAAAAA", "NCGTACGTAAAAAAAA"), ("c", "ACGT", "ACGT")], "gene_id string, seq string, masked_seq string")
+    near = conservation._reached(elements, seqs, ["gene_id"], ["seq", "masked_seq"])
+    assert sorted((r.gene_id, r.seq, r.masked_seq) for r in near.collect()) == [("a", "ACGTACGT", "ACNTACNN"), ("b", "ACGTACGTAA", "NCGTACGTAA")]
+    for most in (10, 0):
+        monkeypatch.setattr(conservation, "BROADCAST_ROWS", most)
+        got = {(r.gene_id, r.start): r.repeat_ratio for r in conservation.element_repeat_ratio(elements, seqs).collect()}
+        assert got == {("a", 1): 25.0, ("a", 6): 100.0, ("b", 0): pytest.approx(100 / 3)}
+        where = seqs.select("gene_id", F.lit("z").alias("chrom"), F.lit(5).alias("lo"), (5 + F.length("seq")).alias("hi"), F.lit("-").alias("strand"), "seq")
+        assert {(r.gene_id, r.start, r.seq, r.lo, r.hi) for r in conservation.bundles_to_modules(elements, where).collect()} == {("a", 1, "CGTA", 8, 12), ("a", 6, "GT", 3, 7), ("b", 0, "ACG", 18, 21)}
