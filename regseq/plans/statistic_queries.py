@@ -98,7 +98,7 @@ _R = "r AS (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY pvalue, hit_i
 
 QUERIES = {
     "sta7_strand_bias": (strand_bias, with_views("iv") + f", z AS (SELECT chrom AS motif_id, count(*) FILTER (strand = '+') AS plus, count(*) FILTER (strand = '-') AS minus, count(*) AS n, greatest(plus, minus) AS k, 0.5 AS p FROM iv GROUP BY chrom) SELECT motif_id, plus, minus, round({_SF}, 7)::DOUBLE AS p_value FROM z"),
-    "sta2_best_binomial": (best_binomial, with_views("pvalues") + f", m AS (SELECT 2 * max(c) AS n FROM (SELECT count(*) AS c FROM pv GROUP BY seq_id)), z AS (SELECT seq_id AS group_id, pvalue AS p, row_number() OVER (PARTITION BY seq_id ORDER BY pvalue) AS k, n FROM pv, m), t AS (SELECT group_id, k, {_SF} AS v FROM z) SELECT group_id, round(min(v), 7)::DOUBLE AS p_value, arg_min(k, v)::INT AS index FROM t GROUP BY group_id"),
+    "sta2_best_binomial": (best_binomial, with_views("pvalues") + f", m AS (SELECT 2 * max(c) AS n FROM (SELECT count(*) AS c FROM pv GROUP BY seq_id)), z AS (SELECT seq_id AS group_id, pvalue AS p, row_number() OVER (PARTITION BY seq_id ORDER BY pvalue) AS k, n FROM pv, m), t AS (SELECT group_id, k, {_SF} AS v FROM z) SELECT group_id, round(min(v), 7)::DOUBLE AS p_value, arg_min(k, (v, k))::INT AS index FROM t GROUP BY group_id"),
     "sta3_phyper": (phyper, "WITH t AS (SELECT count(*) AS t, count(*) FILTER (p_size > 25) AS m FROM part), z AS (SELECT p_brand AS key, count(*) AS k, count(*) FILTER (p_size > 25) AS q FROM part GROUP BY p_brand), y AS (SELECT key, k, q, m, t - m AS n, unnest(range(greatest(0, k - (t - m)), least(k, m) + 1)) AS j FROM z, t), x AS (SELECT *, exp(lgamma(m + 1) - lgamma(j + 1) - lgamma(m - j + 1) + lgamma(n + 1) - lgamma(k - j + 1) - lgamma(n - k + j + 1) - lgamma(m + n + 1) + lgamma(k + 1) + lgamma(m + n - k + 1)) AS v FROM y) SELECT key, q, k, round(least(1.0, coalesce(sum(v) FILTER (j >= q), 0)), 7)::DOUBLE AS upper, round(least(1.0, coalesce(sum(v) FILTER (j <= q), 0)), 7)::DOUBLE AS lower FROM x GROUP BY ALL"),
     "sta4_cluster_enrichment": (enrichment, "WITH c AS (SELECT DISTINCT l_returnflag AS pattern, l_partkey AS g FROM lineitem WHERE l_quantity >= 49 AND l_partkey IN (SELECT p_partkey FROM part)), kk AS (SELECT pattern, count(*) AS k FROM c GROUP BY ALL), mm AS (SELECT p_brand AS cluster_id, count(DISTINCT p_partkey) AS m FROM part GROUP BY ALL), qq AS (SELECT pattern, p_brand AS cluster_id, count(*) AS q FROM c JOIN part ON g = p_partkey GROUP BY ALL), z AS (SELECT pattern, cluster_id, coalesce(q, 0) AS q, m, (SELECT count(*) FROM part) - m AS n, k FROM kk CROSS JOIN mm LEFT JOIN qq USING (pattern, cluster_id)), x AS (SELECT *, unnest(range(greatest(q, k - n, 0), least(k, m) + 1)) AS j FROM z) SELECT pattern, cluster_id, q, m, n, k, round(least(1.0, sum(exp(lgamma(m + 1) - lgamma(j + 1) - lgamma(m - j + 1) + lgamma(n + 1) - lgamma(k - j + 1) - lgamma(n - k + j + 1) - lgamma(m + n + 1) + lgamma(k + 1) + lgamma(m + n - k + 1)))), 6)::DOUBLE AS p_value FROM x GROUP BY ALL"),
     "sta5_ks_uniform": (ks, with_views("pvalues") + ", g AS (SELECT DISTINCT seq_id, unnest(range(0, 51)) AS i FROM pv), f AS (SELECT g.seq_id, i, count(*) FILTER (round(pvalue * 50, 9) <= i) / count(*)::DOUBLE AS f, count(*) AS n FROM g JOIN pv USING (seq_id) GROUP BY ALL), d AS (SELECT seq_id, max(abs(f - i / 50.0)) AS d, max(n) AS n FROM f GROUP BY seq_id), s AS (SELECT *, n * d * d AS s FROM d) SELECT seq_id AS group_id, round(d, 9)::DOUBLE AS d, n, round(CASE WHEN s > " + f"{statistics.KS_LARGE} OR (s > {statistics.KS_MIDDLE} AND n > {statistics.KS_MANY}) THEN 2 * exp(-({statistics.KS_TAIL[0]} + {statistics.KS_TAIL[1]} / sqrt(n) + {statistics.KS_TAIL[2]} / n) * s)" + " ELSE least(1.0, greatest(0.0, (SELECT sum(CASE WHEN k % 2 = 1 THEN 2.0 ELSE -2.0 END * exp(-2.0 * k * k * s)) FROM (SELECT unnest(range(1, 21)) AS k)))) END, 7)::DOUBLE AS p_value FROM s"),
