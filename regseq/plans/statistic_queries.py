@@ -10,6 +10,10 @@ from regseq.plans.bindings import greedy_sql, with_views
 
 _SF = "CASE WHEN k <= 0 THEN 1.0 WHEN k > n THEN 0.0 ELSE least(1.0, (SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(p) + (n - j) * ln(1 - p))) FROM (SELECT unnest(range(k::BIGINT, n::BIGINT + 1)) AS j))) END"
 
+#: As _SF, but tails of p beyond (k + 1) / (n + 3) are 1 less the lower sum, as in binomial_tail: a long sum near 1 is off
+#: by more than such tails differ, so the least of them would be left to rounding.
+_SF_SIDED = "CASE WHEN k <= 0 THEN 1.0 WHEN k > n THEN 0.0 ELSE (SELECT least(1.0, greatest(0.0, CASE WHEN p > (k + 1) / (n + 3)::DOUBLE THEN 1 - sum(t) ELSE sum(t) END)) FROM (SELECT exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(p) + (n - j) * ln(1 - p)) AS t FROM (SELECT unnest(CASE WHEN p > (k + 1) / (n + 3)::DOUBLE THEN range(0::BIGINT, k::BIGINT) ELSE range(k::BIGINT, n::BIGINT + 1) END) AS j))) END"
+
 
 def _most(df, by):
     return int(df.groupBy(by).count().agg(F.max("count")).first()[0] or 0)
@@ -92,7 +96,7 @@ _NORMAL = "(CASE WHEN z >= 0 THEN nt ELSE 1 - nt END)"
 _POISBINOM = "m AS (SELECT *, sum(pvalue) OVER w + greatest(200 - rank, 0) * pvalue AS mu, sum(pvalue * (1 - pvalue)) OVER w + greatest(200 - rank, 0) * pvalue * (1 - pvalue) AS var, sum(pvalue * (1 - pvalue) * (1 - 2 * pvalue)) OVER w + greatest(200 - rank, 0) * pvalue * (1 - pvalue) * (1 - 2 * pvalue) AS third FROM r WINDOW w AS (PARTITION BY seq_id ORDER BY rank ROWS UNBOUNDED PRECEDING)), z AS (SELECT *, (rank + 0.5::DOUBLE - mu) / sqrt(var) AS z, third / pow(sqrt(var), 3) AS skew FROM m), y AS (SELECT *, 1 / (1 + 0.2316419::DOUBLE * abs(z)) AS t, exp(-z * z / 2) / sqrt(2 * pi()) AS dens FROM z), x AS (SELECT *, dens * t * (0.319381530::DOUBLE + t * (-0.356563782::DOUBLE + t * (1.781477937::DOUBLE + t * (-1.821255978::DOUBLE + t * 1.330274429::DOUBLE)))) AS nt FROM y), v AS (SELECT seq_id, hit_id, rank, least(1.0::DOUBLE, greatest(0.0::DOUBLE, " + _NORMAL + " + skew * (z * z - 1) * dens / 6)) AS v FROM x), bst AS (SELECT seq_id, arg_min(rank, (v, rank)) AS best, min(v) AS v FROM v GROUP BY seq_id HAVING min(v) < 0.9) SELECT seq_id, hit_id, rank::INT AS rank, round(bst.v, 6) AS test_p FROM r JOIN bst USING (seq_id) WHERE rank <= best"
 _QVALUES = "r AS (SELECT *, row_number() OVER w AS rank, count(*) OVER (PARTITION BY seq_id, motif) AS m FROM pv WINDOW w AS (PARTITION BY seq_id, motif ORDER BY pvalue, hit_id)), q AS (SELECT *, least(1.0::DOUBLE, min(pvalue * m / rank) OVER (PARTITION BY seq_id, motif ORDER BY rank DESC ROWS UNBOUNDED PRECEDING)) AS q FROM r), k AS (SELECT seq_id, motif, count(*) AS n, min(pvalue) AS p FROM q WHERE q <= 0.95 GROUP BY ALL) SELECT seq_id, motif, 'qvalue' AS test, coalesce(n, 0) AS count, p AS pvalue FROM (SELECT DISTINCT seq_id, motif FROM pv) LEFT JOIN k USING (seq_id, motif)"
 _SITES = with_views("pvalues", "iv") + ", si AS (SELECT seq_id AS interval_idx, (lo % 3000)::INT AS site, strand, pvalue FROM pv JOIN iv ON iv.n = hit_id)"
-_IN_SEQUENCES = greedy_sql(_SITES, 30, 1 << 30, "si").removesuffix("SELECT interval_idx, rank, site, strand, pvalue FROM ch") + f", mm AS (SELECT 2 * max(c) AS n FROM (SELECT count(*) AS c FROM si GROUP BY interval_idx)), zz AS (SELECT interval_idx, pvalue AS p, row_number() OVER (PARTITION BY interval_idx ORDER BY pvalue) AS k, n FROM ch, mm), tt AS (SELECT interval_idx, k, {_SF} AS v FROM zz) SELECT interval_idx, round(min(v), 7)::DOUBLE AS p_value, arg_min(k, (v, k))::INT AS index FROM tt GROUP BY interval_idx"
+_IN_SEQUENCES = greedy_sql(_SITES, 30, 1 << 30, "si").removesuffix("SELECT interval_idx, rank, site, strand, pvalue FROM ch") + f", mm AS (SELECT 2 * max(c) AS n FROM (SELECT count(*) AS c FROM si GROUP BY interval_idx)), zz AS (SELECT interval_idx, pvalue AS p, row_number() OVER (PARTITION BY interval_idx ORDER BY pvalue) AS k, n FROM ch, mm), tt AS (SELECT interval_idx, k, {_SF_SIDED} AS v FROM zz) SELECT interval_idx, round(min(v), 7)::DOUBLE AS p_value, arg_min(k, (v, k))::INT AS index FROM tt GROUP BY interval_idx"
 
 _R = "r AS (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY pvalue, hit_id) AS rank FROM pv)"
 
