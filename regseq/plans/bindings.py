@@ -14,11 +14,21 @@ AS_BASES = "ACGTACGTANCGTACGNTACGTANCN"
 
 GENE_TYPES = ("view", "signup", "purchase")
 
+#: Rows of a partition, about, and how many partitions of these make a table large.
+PART_ROWS, LARGE = 1 << 18, 16
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df of about so many rows, dealt by the keys into partitions of about PART_ROWS, so that a task's memory does not
+    grow with the table, whatever the session's number of partitions; a table that is not large stays as it is."""
+    parts = -(-rows // PART_ROWS)
+    return df if parts <= LARGE else df.repartition(parts, *keys)
+
+
 def _bases(text: str) -> Column:
     return F.translate(F.upper(F.regexp_replace(text, "[^A-Za-z]", "")), LETTERS, AS_BASES)
 
@@ -75,6 +85,9 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst, bidir): customers and suppliers that trade, bidirectional if an urgent order is among it."""
     orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    # Both sides in one number of partitions, which the join uses as they are.
+    n = lines.count()
+    orders, lines = spread(orders, n, "o_orderkey"), spread(lines, n, "l_orderkey")
     rows = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"])
     return rows.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"), (F.col("o_orderpriority") == "1-URGENT").alias("bidir"), F.col("l_quantity").alias("weight"))
 

@@ -63,3 +63,14 @@ def test_mot12_tails_near_one(spark, tmp_path):
     # In exact fractions the least tail of user 1 is 1 - 4.04e-15, of two sites; the first's is 1 - 1.55e-15.
     assert got.set_index("interval_idx")["index"]["c1"] == 2
     assert rows(got) == rows(want)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_gra2_partitions_grow(spark, duck, monkeypatch):
+    """On tables that are large, links lie in as many partitions as their number asks for, not the session's."""
+    from regseq.plans import bindings
+
+    monkeypatch.setattr(bindings, "PART_ROWS", 200)
+    got = registry.queries()["gra2_merge_networks"](spark, SF)
+    assert got.rdd.getNumPartitions() >= duck.sql("SELECT count(*) FROM lineitem").fetchall()[0][0] // 200
+    assert rows(got.toPandas()) == rows(duck.sql(registry.oracle_sql()["gra2_merge_networks"]).df())
