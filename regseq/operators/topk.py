@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from regseq.functions.sequence import count_n
 from regseq.operators import scan
+from regseq.operators.graph import _cut
 from regseq.operators.greedy import greedy
 from regseq.operators.scan import prefix_scan
 
@@ -75,14 +76,13 @@ def sample_ids(df: DataFrame, n: int, seed: int, key: str = "id") -> DataFrame:
 TILE = 1 << 10
 
 
-def _hidden_before(seqs: DataFrame, columns: list[str]) -> DataFrame:
-    """(chrom, t, piece of each column, __n0, ...): tiles of each sequence with the hidden bases before them."""
+def _tiles(seqs: DataFrame, columns: list[str]) -> DataFrame:
+    """(chrom, size, t, piece of each column): the tiles of each sequence, written once, since letters may be costly to make."""
     starts = F.sequence(F.lit(0), F.greatest(F.length("seq") - 1, F.lit(0)), F.lit(TILE))
     # Tiles are cut from bytes, where a slice costs its own width.
     whole = F.struct(*(F.col(c).cast("binary").alias(c) for c in columns))
     cut = lambda w: F.transform(starts, lambda i: F.struct((i / TILE).cast("long").alias("t"), *(w[c].substr(i + 1, F.lit(TILE)).cast("string").alias(c) for c in columns)))
-    tiles = seqs.select(F.col("id").alias("chrom"), F.inline(F.get(F.transform(F.array(whole), cut), 0)))
-    return prefix_scan(tiles, ["chrom"], ["t"], {f"__n{i}": ("sum", count_n(c).cast("long")) for i, c in enumerate(columns)}, before=True)
+    return _cut(seqs.select(F.col("id").alias("chrom"), F.length("seq").cast("long").alias("size"), F.inline(F.get(F.transform(F.array(whole), cut), 0))))
 
 
 def random_intervals(lengths: DataFrame, seqs: DataFrame, tries: int, max_n: float, seed: int, max_rep: float | None = None) -> DataFrame:
@@ -93,11 +93,16 @@ def random_intervals(lengths: DataFrame, seqs: DataFrame, tries: int, max_n: flo
     first that is wholly inside a sequence and clear enough counts, and an id with none has no
     row.  Running lengths and the search for each draw's sequence go by ranges, and the bases
     hidden in an interval are two lookups of running counts: no task holds all sequences, and no
-    sequence is copied for each draw.  A masked sequence that is null hides nothing.
+    sequence is copied for each draw.  Sequences are read once, and behind that their letters move
+    once, to the lookups; lengths and counts go by themselves.  A masked sequence that is null
+    hides nothing.
     """
-    sized = seqs.select(F.col("id").alias("chrom"), F.length("seq").cast("long").alias("size")).filter("size > 0")
+    columns = ["seq"] + (["masked_seq"] if max_rep is not None else [])
+    tiles = _tiles(seqs.withColumn("masked_seq", F.coalesce("masked_seq", "seq")) if max_rep is not None else seqs, columns)
+    counts = _cut(tiles.select("chrom", "t", "size", *(count_n(c).cast("long").alias(f"__c{i}") for i, c in enumerate(columns))))
+    sized = counts.filter("t = 0 and size > 0").select("chrom", "size")
     ends = prefix_scan(sized, [], ["chrom"], {"at": ("sum", F.col("size"))}, before=True).withColumn("at", F.coalesce("at", F.lit(0)))
-    total = seqs.agg(F.sum(F.length("seq"))).first()[0] or 0
+    total = sized.agg(F.sum("size")).first()[0] or 0
     drawn = lengths.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(tries))))
     at = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"), F.col("k").cast("string"))), 1, 12), 16, 10).cast("long") % max(total, 1)
     marks = ends.select("at", F.lit(0).alias("o"), F.struct("at", "chrom", "size").alias("m"), F.lit(None).cast(lengths.schema["id"].dataType).alias("id"), F.lit(None).cast("int").alias("length"), F.lit(None).cast("int").alias("k"))
@@ -105,11 +110,14 @@ def random_intervals(lengths: DataFrame, seqs: DataFrame, tries: int, max_n: flo
     # The last mark up to a draw is the sequence that it falls in.
     found = prefix_scan(marks.union(draws), [], ["at", "o"], {"in": ("max", F.col("m"))}).filter("o = 1 and in is not null")
     inside = found.select("id", "k", "length", "in.chrom", F.col("in.size").alias("size"), (F.col("at") - F.col("in.at")).alias("lo")).withColumn("hi", F.col("lo") + F.col("length")).filter("hi <= size and length > 0")
-    columns = ["seq"] + (["masked_seq"] if max_rep is not None else [])
-    tiles = _hidden_before(seqs.withColumn("masked_seq", F.coalesce("masked_seq", "seq")) if max_rep is not None else seqs, columns)
-    side = lambda x, sign: F.struct(F.floor(x / TILE).cast("long").alias("t"), (x % TILE + (1 if sign > 0 else 0)).cast("int").alias("rest"), F.lit(sign).alias("sign"))
-    looked = inside.withColumn("x", F.explode(F.array(side(F.col("lo"), -1), side(F.col("hi") - 1, 1)))).select("*", "x.*").join(tiles, ["chrom", "t"])
-    upto = lambda i, c: F.sum(F.col("sign") * (F.coalesce(f"__n{i}", F.lit(0)) + count_n(F.col(c).substr(F.lit(1), F.col("rest"))))).alias(f"n{i}")
+    before = prefix_scan(counts, ["chrom"], ["t"], {f"__n{i}": ("sum", F.col(f"__c{i}")) for i in range(len(columns))}, before=True)
+    look = lambda x, start, n, sign, whole: F.struct(F.floor(x / TILE).cast("long").alias("t"), start.cast("int").alias("start"), n.cast("int").alias("n"), F.lit(sign).alias("sign"), F.lit(whole).alias("whole"))
+    lo, last = F.col("lo"), F.col("hi") - 1
+    # An interval within a tile is counted there; one over a bound is what lies before its end less what lies before its start.
+    sides = F.when(F.floor(lo / TILE) == F.floor(last / TILE), F.array(look(lo, lo % TILE + 1, F.col("length"), 1, 0)))
+    sides = sides.otherwise(F.array(look(lo, F.lit(1), lo % TILE, -1, 1), look(last, F.lit(1), last % TILE + 1, 1, 1)))
+    looked = inside.withColumn("x", F.explode(sides)).select("id", "k", "length", "chrom", "lo", "hi", "x.*").join(before.drop("size"), ["chrom", "t"]).join(tiles.drop("size"), ["chrom", "t"])
+    upto = lambda i, c: F.sum(F.col("sign") * (F.col("whole") * F.coalesce(f"__n{i}", F.lit(0)) + count_n(F.col(c).substr(F.col("start"), F.col("n"))))).alias(f"n{i}")
     shares = looked.groupBy("id", "k", "length", "chrom", "lo", "hi").agg(*(upto(i, c) for i, c in enumerate(columns)))
     good = shares.filter(F.col("n0") <= max_n * F.col("length"))
     if max_rep is not None:

@@ -358,6 +358,20 @@ def test_random_intervals_against_counting(spark, monkeypatch):
     assert topk.random_intervals(ids, df.limit(0), 6, 0.3, 3).count() == 0
 
 
+def test_random_intervals_read_sequences_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def letters(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    seqs = spark.createDataFrame([(f"c{i}", "ACGTN" * (i * 300)) for i in range(8)], "id string, seq string").mapInPandas(letters, "id string, seq string")
+    ids = spark.createDataFrame([(i, 20) for i in range(50)], "id int, length int")
+    assert topk.random_intervals(ids, seqs.withColumn("masked_seq", F.replace("seq", F.lit("GTN"), F.lit("NNN"))), 4, 0.3, 3, max_rep=50.0).count() == 50
+    assert made.value == 8
+
+
 def _plain_distance(x, y):
     pad, tiny = [0.32, 0.18, 0.18, 0.32], 1e-9
     best = math.inf
