@@ -22,15 +22,20 @@ _CODE = np.full(256, 4, np.int64)
 _CODE[[65, 67, 71, 84]] = range(4)
 
 
+def _letters(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, bounds) of a column of texts: null ones are empty."""
+    text = column.cast(pa.large_binary()).fill_null(b"")
+    _, bounds, data = text.buffers()
+    bounds = np.frombuffer(bounds, np.int64)[text.offset : text.offset + len(text) + 1] if len(text) else np.zeros(1, np.int64)
+    return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), bounds
+
+
 def portions(batches: Iterator[pa.RecordBatch], column: str = "seq") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, bytes, bounds): null sequences are empty."""
     for b in batches:
-        text = b.column(b.schema.get_field_index(column)).cast(pa.large_binary()).fill_null(b"")
-        _, bounds, data = text.buffers()
-        bounds = np.frombuffer(bounds, np.int64)[text.offset : text.offset + len(text) + 1] if len(text) else np.zeros(1, np.int64)
-        data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        data, bounds = _letters(b.column(b.schema.get_field_index(column)))
         at = 0
-        while at < len(text):
+        while at < b.num_rows:
             to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + PORTION, "right")) - 1)
             yield b.slice(at, to - at), data[bounds[at] : bounds[to]], bounds[at : to + 1] - bounds[at]
             at = to
@@ -217,6 +222,58 @@ def position_counts(aligned: DataFrame) -> DataFrame:
     return aligned.select("motif_id", "seq").mapInArrow(run, T.StructType(fields))
 
 
+def hidden_tiles(seqs: DataFrame, columns: list[str], tile: int) -> DataFrame:
+    """(id, size, t, bits0, before0, ...): for each `tile` bases of seqs (id, seq, ...) and each column, which of them
+    are N, 64 to a word from the lowest bit on, and how many N the sequence holds before each word.
+
+    An empty sequence has no row.  What a column has beyond the end of seq is left out.
+    """
+    width = -(-tile // 64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, _, bounds in portions(batches):
+            size = np.diff(bounds)
+            n = -(-size // tile)
+            first = np.cumsum(n) - n
+            of = np.repeat(np.arange(len(n)), n)
+            if not len(of):
+                continue
+            t = np.arange(len(of)) - first[of]
+            words = -(-np.minimum(size[of] - t * tile, tile) // 64)
+            ends = np.concatenate([[0], np.cumsum(words)])
+            used = np.arange(width) < words[:, None]
+            cols = [rows.column("id").take(pa.array(of)), pa.array(size[of]), pa.array(t)]
+            for c in columns:
+                data, at = _letters(rows.column(c))
+                data, at = data[at[0] : at[-1]], at - at[0]
+                hidden = (data | 32) == ord("n")
+                # Each sequence begins with a tile of its own.
+                laid = np.zeros(len(of) * tile, bool)
+                if len(size) == 1:
+                    laid[: min(len(hidden), size[0])] = hidden[: size[0]]
+                else:
+                    place = np.flatnonzero(hidden)
+                    row = np.searchsorted(at, place, "right") - 1
+                    place = place - at[row]
+                    inside = place < size[row]
+                    laid[(first[row] * tile + place)[inside]] = True
+                laid = laid.reshape(-1, tile)
+                if tile % 64:
+                    laid = np.pad(laid, ((0, 0), (0, width * 64 - tile)))
+                bits = np.packbits(laid, axis=1, bitorder="little").view("<u8")[used]
+                count = np.cumsum(np.bitwise_count(bits), dtype=np.int64)
+                before = np.concatenate([[0], count])
+                before = before[:-1] - np.repeat(before[ends[first[of]]], words)
+                lists = lambda x: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x))
+                cols += [lists(bits.view(np.int64)), lists(before.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
+
+    fields = [T.StructField("id", seqs.schema["id"].dataType), T.StructField("size", T.LongType()), T.StructField("t", T.LongType())]
+    for i in range(len(columns)):
+        fields += [T.StructField(f"bits{i}", T.ArrayType(T.LongType())), T.StructField(f"before{i}", T.ArrayType(T.IntegerType()))]
+    return seqs.select("id", *dict.fromkeys(["seq", *columns])).mapInArrow(run, T.StructType(fields))
+
+
 def motif_scores(seqs: DataFrame, motifs: list[tuple[object, np.ndarray]], motif_type: T.DataType, least: float | None) -> DataFrame:
     """(id, motif_id, site, strand, score) of every window, or of those that score `least`.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from regseq.functions.sequence import count_n
+from regseq.functions.kernels import hidden_tiles
 from regseq.operators import scan
 from regseq.operators.graph import _cut
 from regseq.operators.greedy import greedy
@@ -72,17 +72,27 @@ def sample_ids(df: DataFrame, n: int, seed: int, key: str = "id") -> DataFrame:
     return df.orderBy(_hash(seed, key), key).limit(n)
 
 
-#: Bases between two running counts of hidden bases.
+#: Bases of a tile, whose running counts of hidden bases are one row.
 TILE = 1 << 10
+#: Draws of a partition, about, and the least number of stretches that all sequences are cut into for the search.
+DRAWS, STRETCHES = 1 << 17, 1 << 16
 
 
-def _tiles(seqs: DataFrame, columns: list[str]) -> DataFrame:
-    """(chrom, size, t, piece of each column): the tiles of each sequence, written once, since letters may be costly to make."""
-    starts = F.sequence(F.lit(0), F.greatest(F.length("seq") - 1, F.lit(0)), F.lit(TILE))
-    # Tiles are cut from bytes, where a slice costs its own width.
-    whole = F.struct(*(F.col(c).cast("binary").alias(c) for c in columns))
-    cut = lambda w: F.transform(starts, lambda i: F.struct((i / TILE).cast("long").alias("t"), *(w[c].substr(i + 1, F.lit(TILE)).cast("string").alias(c) for c in columns)))
-    return _cut(seqs.select(F.col("id").alias("chrom"), F.length("seq").cast("long").alias("size"), F.inline(F.get(F.transform(F.array(whole), cut), 0))))
+def _draws(lengths: DataFrame, tries: int, seed: int, total: int) -> DataFrame:
+    """(id, length, k, x): places below the total, by hash.  Ids may lie in one file: they are dealt out first."""
+    parts = -(-lengths.count() * tries // DRAWS)
+    spread = lengths.repartition(parts, "id") if parts > 1 else lengths
+    x = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"), F.col("k").cast("string"))), 1, 12), 16, 10).cast("long") % max(total, 1)
+    return spread.filter("length > 0").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(tries)))).select("id", F.col("length").cast("int").alias("length"), "k", x.alias("x"))
+
+
+def _rank(i: int, x: Column, own: bool) -> Column:
+    """Hidden bases of column i before place x of a tile, or up to it if the place's own base counts."""
+    b = (x % 64).cast("int")
+    ones = F.lit(-1).cast("long")
+    mask = F.call_function("shiftrightunsigned", ones, 63 - b) if own else F.bitwise_not(F.call_function("shiftleft", ones, b))
+    word = F.floor(x / 64).cast("int")
+    return F.get(f"before{i}", word) + F.bit_count(F.get(f"bits{i}", word).bitwiseAND(mask))
 
 
 def random_intervals(lengths: DataFrame, seqs: DataFrame, tries: int, max_n: float, seed: int, max_rep: float | None = None) -> DataFrame:
@@ -91,34 +101,30 @@ def random_intervals(lengths: DataFrame, seqs: DataFrame, tries: int, max_n: flo
 
     `tries` candidates are drawn by hash over the sequences' joined lengths in id order; the
     first that is wholly inside a sequence and clear enough counts, and an id with none has no
-    row.  Running lengths and the search for each draw's sequence go by ranges, and the bases
-    hidden in an interval are two lookups of running counts: no task holds all sequences, and no
-    sequence is copied for each draw.  Sequences are read once, and behind that their letters move
-    once, to the lookups; lengths and counts go by themselves.  A masked sequence that is null
-    hides nothing.
+    row.  Sequences are read once, and what is written of them is a bit for each base, with
+    running counts.  Running lengths go by ranges; a draw meets the sequences of its stretch of
+    the joined lengths, two on average, and then one tile, or two where it crosses a bound: no
+    task holds all sequences, and no sequence is copied for each draw.  A masked sequence that is
+    null hides nothing.
     """
     columns = ["seq"] + (["masked_seq"] if max_rep is not None else [])
-    tiles = _tiles(seqs.withColumn("masked_seq", F.coalesce("masked_seq", "seq")) if max_rep is not None else seqs, columns)
-    counts = _cut(tiles.select("chrom", "t", "size", *(count_n(c).cast("long").alias(f"__c{i}") for i, c in enumerate(columns))))
-    sized = counts.filter("t = 0 and size > 0").select("chrom", "size")
-    ends = prefix_scan(sized, [], ["chrom"], {"at": ("sum", F.col("size"))}, before=True).withColumn("at", F.coalesce("at", F.lit(0)))
-    total = sized.agg(F.sum("size")).first()[0] or 0
-    drawn = lengths.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(tries))))
-    at = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"), F.col("k").cast("string"))), 1, 12), 16, 10).cast("long") % max(total, 1)
-    marks = ends.select("at", F.lit(0).alias("o"), F.struct("at", "chrom", "size").alias("m"), F.lit(None).cast(lengths.schema["id"].dataType).alias("id"), F.lit(None).cast("int").alias("length"), F.lit(None).cast("int").alias("k"))
-    draws = drawn.select(at.alias("at"), F.lit(1).alias("o"), F.lit(None).cast(marks.schema["m"].dataType).alias("m"), "id", F.col("length").cast("int").alias("length"), "k")
-    # The last mark up to a draw is the sequence that it falls in.
-    found = prefix_scan(marks.union(draws), [], ["at", "o"], {"in": ("max", F.col("m"))}).filter("o = 1 and in is not null")
-    inside = found.select("id", "k", "length", "in.chrom", F.col("in.size").alias("size"), (F.col("at") - F.col("in.at")).alias("lo")).withColumn("hi", F.col("lo") + F.col("length")).filter("hi <= size and length > 0")
-    before = prefix_scan(counts, ["chrom"], ["t"], {f"__n{i}": ("sum", F.col(f"__c{i}")) for i in range(len(columns))}, before=True)
-    look = lambda x, start, n, sign, whole: F.struct(F.floor(x / TILE).cast("long").alias("t"), start.cast("int").alias("start"), n.cast("int").alias("n"), F.lit(sign).alias("sign"), F.lit(whole).alias("whole"))
+    tiles = _cut(hidden_tiles(seqs.withColumn("masked_seq", F.coalesce("masked_seq", "seq")) if max_rep is not None else seqs, columns, TILE).withColumnRenamed("id", "chrom"))
+    ends = prefix_scan(tiles.filter("t = 0").select("chrom", "size"), [], ["chrom"], {"at": ("sum", F.col("size"))}, before=True).withColumn("at", F.coalesce("at", F.lit(0)))
+    total, n = ends.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    # As many stretches as sequences at least: draws are even, so the pairs stay in proportion to them, however lengths differ.
+    stretch = max(1, total // max(n, STRETCHES))
+    of = lambda x: F.floor(x / stretch).cast("long")
+    places = ends.withColumn("s", F.explode(F.sequence(of(F.col("at")), of(F.col("at") + F.col("size") - 1))))
+    met = _draws(lengths, tries, seed, total).withColumn("s", of(F.col("x"))).join(places, "s").withColumn("lo", F.col("x") - F.col("at")).withColumn("hi", F.col("lo") + F.col("length"))
+    inside = met.filter("lo >= 0 and hi <= size").select("id", "k", "length", "chrom", "lo", "hi")
     lo, last = F.col("lo"), F.col("hi") - 1
-    # An interval within a tile is counted there; one over a bound is what lies before its end less what lies before its start.
-    sides = F.when(F.floor(lo / TILE) == F.floor(last / TILE), F.array(look(lo, lo % TILE + 1, F.col("length"), 1, 0)))
-    sides = sides.otherwise(F.array(look(lo, F.lit(1), lo % TILE, -1, 1), look(last, F.lit(1), last % TILE + 1, 1, 1)))
-    looked = inside.withColumn("x", F.explode(sides)).select("id", "k", "length", "chrom", "lo", "hi", "x.*").join(before.drop("size"), ["chrom", "t"]).join(tiles.drop("size"), ["chrom", "t"])
-    upto = lambda i, c: F.sum(F.col("sign") * (F.col("whole") * F.coalesce(f"__n{i}", F.lit(0)) + count_n(F.col(c).substr(F.col("start"), F.col("n"))))).alias(f"n{i}")
-    shares = looked.groupBy("id", "k", "length", "chrom", "lo", "hi").agg(*(upto(i, c) for i, c in enumerate(columns)))
+    tile = lambda x: F.floor(x / TILE).cast("long")
+    looked = inside.withColumn("t", F.explode(F.array_distinct(F.array(tile(lo), tile(last))))).join(tiles.drop("size"), ["chrom", "t"])
+    # What lies up to the interval's end less what lies before its start, each read off its own tile.
+    part = lambda i: F.when(F.col("t") == tile(last), _rank(i, last % TILE, True)).otherwise(0) - F.when(F.col("t") == tile(lo), _rank(i, lo % TILE, False)).otherwise(0)
+    sides = looked.select("id", "k", "length", "chrom", "lo", "hi", *(part(i).alias(f"n{i}") for i in range(len(columns))))
+    # One shuffle by id serves both groupings.
+    shares = sides.repartition("id").groupBy("id", "k", "length", "chrom", "lo", "hi").agg(*(F.sum(f"n{i}").alias(f"n{i}") for i in range(len(columns))))
     good = shares.filter(F.col("n0") <= max_n * F.col("length"))
     if max_rep is not None:
         good = good.filter(100.0 * (F.col("n1") - F.col("n0")) <= max_rep * F.col("length"))

@@ -2,10 +2,12 @@
 
 import math
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from regseq.functions import kernels
 from regseq.functions import sequence as s
 from regseq.operators import aggregates, conservation, graph, joins, motifs, quality, sets, statistics, sweeps, topk
 from regseq.plans import conserved
@@ -372,6 +374,56 @@ def test_random_intervals_read_sequences_once(spark):
     assert made.value == 8
 
 
+def test_random_intervals_write_no_letters(spark):
+    rows = [(f"c{i}", 300_000) for i in range(4)]
+    # Letters without repeats, which no codec brings below a quarter.
+    letters = F.expr("array_join(transform(sequence(1, n div 32), i -> md5(concat(id, i))), '')")
+    seqs = spark.createDataFrame(rows, "id string, n int").select("id", F.translate(letters, "0123456789abcdef", "ACGTACGTACGTACGN").alias("seq"))
+    ids = spark.createDataFrame([(i, 20) for i in range(50)], "id int, length int")
+    spark.range(1).checkpoint()
+    top = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    written = lambda: sum(f.stat().st_size for f in Path(top).rglob("part-*"))
+    before = written()
+    assert topk.random_intervals(ids, seqs, 4, 0.3, 3).count() == 50
+    assert 0 < written() - before < sum(n for _, n in rows) / 5
+
+
+def test_random_intervals_deal_out_draws(spark, monkeypatch):
+    monkeypatch.setattr(topk, "DRAWS", 50)
+    seqs = spark.createDataFrame([("a", "ACGT" * 500), ("b", "N" * 700), ("c", "A")], "id string, seq string")
+    ids = spark.range(200).select("id", F.lit(10).alias("length")).coalesce(1)
+    assert topk._draws(ids, 4, 3, 2701).rdd.getNumPartitions() == 16
+    assert topk._draws(ids.limit(12), 4, 3, 2701).rdd.getNumPartitions() == 1
+    got = {r.id: (r.chrom, r.lo, r.hi) for r in topk.random_intervals(ids, seqs, 4, 0.1, 3).collect()}
+    monkeypatch.undo()
+    assert got == {r.id: (r.chrom, r.lo, r.hi) for r in topk.random_intervals(ids, seqs, 4, 0.1, 3).collect()} and len(got) > 150
+
+
+def test_hidden_tiles(spark):
+    random.seed(13)
+    rows = [(f"s{i}", "".join(random.choice("ACGTNn") for _ in range(random.choice([0, 1, 63, 64, 65, 100, 128, 300])))) for i in range(40)]
+    # A masked text may be absent, shorter or longer; a sequence may be longer than a kernel's portion.
+    rows = [(c, x, random.choice([None, "N" * 50, "NA" * 200, "T" * 99 + "N"])) for c, x in rows] + [("none", None, "N"), ("long", "ACGTN" * 500_000, "N" * 2_500_000)]
+    df = spark.createDataFrame(rows, "id string, seq string, masked_seq string").repartition(3)
+    for tile in (16, 64, 100, 1024):
+        got = {}
+        for r in sorted(kernels.hidden_tiles(df, ["seq", "masked_seq"], tile).collect(), key=lambda r: (r.id, r.t)):
+            got.setdefault(r.id, []).append(r)
+        assert set(got) == {c for c, x, _ in rows if x}
+        for c, x, m in rows:
+            for i, text in enumerate((x or "", ((m or "") + "A" * len(x or ""))[: len(x or "")])):
+                tiles = got.get(c, [])
+                assert [t.t for t in tiles] == list(range(-(-len(text) // tile))) and all(t["size"] == len(text) for t in tiles)
+                n = 0
+                for t in tiles:
+                    piece = text[t.t * tile : (t.t + 1) * tile].upper()
+                    words = [piece[j : j + 64] for j in range(0, len(piece), 64)]
+                    assert [w % 2**64 for w in t[f"bits{i}"]] == [int(w[::-1].translate(str.maketrans("NACGT", "10000")), 2) for w in words]
+                    for w, b in zip(words, t[f"before{i}"], strict=True):
+                        assert b == n
+                        n += w.count("N")
+
+
 def _plain_distance(x, y):
     pad, tiny = [0.32, 0.18, 0.18, 0.32], 1e-9
     best = math.inf
